@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import read_table
 from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.media import media_features, store_texts
+from lodestone.llm.packing import pack_documents
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pack_documents(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2, with_ids=False)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return round_trip(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store_texts(read_table(spark, sf_dir, "documents"))
+    return media_features(stored, keep=("doc_id", "text_bytes")).withColumnRenamed("text_bytes", "n_bytes")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +53,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_media": op7_media,
+    "op10_line_dedup": op10_line_dedup,
+}
 ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
