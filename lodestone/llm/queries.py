@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import read_table
+from lodestone.llm.language_id import fit, held_out, identify
+from lodestone.llm.license_scan import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.media import media_features, store_texts
 from lodestone.llm.packing import pack_documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=("doc_id", "held_out"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack_documents(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2, with_ids=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"), keep=("doc_id",)).drop("matches")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return round_trip(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -54,7 +66,9 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_license_scan": op3_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_media": op7_media,
     "op10_line_dedup": op10_line_dedup,
