@@ -20,6 +20,7 @@ one; an empty table gives no sequences; extra columns are dropped unless named.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.bpe import encoder, slices, texts_of
+from lodestone.llm.bpe import PieceEncoder, byte_characters, slices, texts_of
 
 #: Remaining pieces that a partition packs together.
 GROUP = 8192
@@ -38,6 +39,58 @@ GROUP = 8192
 PER_PARTITION = 33
 
 
+#: Characters whose normal form and class are plain: there, splitting is that of the tokenizer's file.
+_NOT_PLAIN = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ÿ]")
+_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+
+
+class WordEncoder:
+    """Ids of a tokenizer that lower-cases, drops white space and ends words with a suffix.
+
+    Texts of plain characters are split here and each distinct piece goes through the
+    tokenizer's model once while it is remembered; other texts go through the whole tokenizer.
+    """
+
+    REMEMBERED = 500_000
+
+    def __init__(self, tokenizer_path: str) -> None:
+        self.whole = PieceEncoder(tokenizer_path, spaced=False)
+        self.model = self.whole.tokenizer.model
+        self.character = {b: c for c, b in byte_characters().items()}
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.character.__getitem__, piece.encode()))
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        known, out = self.known, []
+        for text in texts:
+            shown = text.decode()
+            if _NOT_PLAIN.search(shown):
+                out += self.whole.encode([text])
+                continue
+            pieces = _PLAIN_PIECES.findall(shown.lower())
+            new = set(pieces).difference(known)
+            if len(known) + len(new) > self.REMEMBERED:
+                known.clear()
+                new = set(pieces)
+            for piece in new:
+                known[piece] = self._learn(piece)
+            out.append(b"".join(map(known.__getitem__, pieces)))
+        return out
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(tokenizer_path: str) -> WordEncoder:
+    """One for each worker process."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
+    return _encoders[tokenizer_path]
+
+
 def best_subset(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """Of the multiset {length: count}, the counts whose total is the largest within capacity; longer lengths come first."""
     mask = (1 << (capacity + 1)) - 1
@@ -151,7 +204,7 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str, capacity: int = 4096
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, spaced=False)
+        enc = word_encoder(tokenizer_path)
         rows: dict[str, list] = {c: [] for c in schema.names}
 
         def emit(row: tuple, start: int, ids: np.ndarray, sequence: int, offset: int, doc_tokens: int) -> None:
