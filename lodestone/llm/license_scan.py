@@ -38,9 +38,9 @@ PHRASES = {
 #: Notices by which licenses are usually declared, and their labels.
 TEMPLATES = {
     "Licensed under the Apache License, Version 2.0": "apache-2.0",
-    "This work is licensed under the GNU General Public License, version 2": "gpl-2.0",
-    "This work is licensed under the GNU General Public License, version 3": "gpl-3.0",
-    "This library is licensed under the GNU Lesser General Public License": "lgpl",
+    "GNU General Public License, version 2": "gpl-2.0",
+    "GNU General Public License, version 3": "gpl-3.0",
+    "GNU Lesser General Public License": "lgpl",
     "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0",
     "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0",
     "Released under the MIT License": "mit-notice",
