@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.bag_minhash import near_classes
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import read_table
 from lodestone.llm.language_id import fit, held_out, identify
@@ -41,6 +42,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_classes(docs, size=5, similarity=0.8).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_texts(read_table(spark, sf_dir, "documents"))
     return media_features(stored, keep=("doc_id", "text_bytes")).withColumnRenamed("text_bytes", "n_bytes")
@@ -51,6 +57,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP6_SQL = """
+WITH RECURSIVE texts AS (
+  SELECT text, min(doc_id) AS id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+words AS (
+  SELECT id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w
+  FROM texts),
+places AS (
+  SELECT id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE len(w) > 0),
+bags AS (
+  SELECT id, array_to_string(w[i : i + k - 1], ' ') AS run, count(*) AS n FROM places GROUP BY 1, 2),
+totals AS (SELECT id, sum(n) AS total FROM bags GROUP BY id),
+shared AS (
+  SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS m
+  FROM bags a JOIN bags b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN totals x ON x.id = a JOIN totals y ON y.id = b
+  WHERE m >= 0.8 * (x.total + y.total - m) - 1e-9),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT id AS a, id AS b FROM texts
+  UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+classes AS (SELECT a AS id, min(b) AS class_id FROM reach GROUP BY a),
+sizes AS (SELECT class_id, sum(copies) AS class_size FROM classes JOIN texts USING (id) GROUP BY class_id)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(s.class_size, 1)::BIGINT AS class_size,
+       coalesce(c.class_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN texts t ON d.text = t.text LEFT JOIN classes c ON t.id = c.id
+LEFT JOIN sizes s ON c.class_id = s.class_id
+"""
+
 OP10_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -77,7 +113,8 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_bag_minhash": op6_bag_minhash,
     "op7_media": op7_media,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op6_bag_minhash": OP6_SQL, "op10_line_dedup": OP10_SQL}
