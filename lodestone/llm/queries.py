@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bag_minhash import near_classes
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import read_table
+from lodestone.llm.hnsw import near_vectors
 from lodestone.llm.language_id import fit, held_out, identify
 from lodestone.llm.license_scan import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
@@ -52,6 +53,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored, keep=("doc_id", "text_bytes")).withColumnRenamed("text_bytes", "n_bytes")
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), similarity=0.98)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -87,6 +92,24 @@ FROM documents d LEFT JOIN texts t ON d.text = t.text LEFT JOIN classes c ON t.i
 LEFT JOIN sizes s ON c.class_id = s.class_id
 """
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+         label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding::DOUBLE[], lambda x: x IS NOT NULL AND isfinite(x))), false) AS clean
+  FROM embeddings),
+good AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE clean AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM parts LEFT JOIN counts USING (vec_id)
+"""
+
 OP10_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -115,6 +138,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_bag_minhash": op6_bag_minhash,
     "op7_media": op7_media,
+    "op9_hnsw": op9_hnsw,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL = {"op6_bag_minhash": OP6_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "op10_line_dedup": OP10_SQL}
