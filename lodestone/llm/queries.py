@@ -10,6 +10,7 @@ from lodestone.llm.bag_minhash import near_classes
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import read_table
 from lodestone.llm.hnsw import near_vectors
+from lodestone.llm.html_text import extract_main_text
 from lodestone.llm.language_id import fit, held_out, identify
 from lodestone.llm.license_scan import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
@@ -53,6 +54,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored, keep=("doc_id", "text_bytes")).withColumnRenamed("text_bytes", "n_bytes")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+
+
 def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"), similarity=0.98)
 
@@ -138,6 +143,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_bag_minhash": op6_bag_minhash,
     "op7_media": op7_media,
+    "op8_html_text": op8_html_text,
     "op9_hnsw": op9_hnsw,
     "op10_line_dedup": op10_line_dedup,
 }

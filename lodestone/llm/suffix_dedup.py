@@ -319,9 +319,12 @@ def repeated_spans(rows: DataFrame, length: int, keep_first: bool, anchor: int |
     return alike.select(*whole).unionByName(copies.select(*whole)).unionByName(found)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kept binary (the bytes left), n_bytes, n_removed and n_spans (maximal removed runs)."""
-    added = {"n_bytes": _LONG, "n_removed": _LONG, "n_spans": _LONG, "kept": T.BinaryType()}
+def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """docs with kept binary (the bytes left), n_bytes, n_removed and n_spans (maximal removed runs).
+
+    as_text: kept is a string, without what the cuts left of characters.
+    """
+    added = {"n_bytes": _LONG, "n_removed": _LONG, "n_spans": _LONG, "kept": T.StringType() if as_text else T.BinaryType()}
     others = [f for f in docs.schema.fields if f.name not in added]
     text = text_or_empty(text_col)
     rows = docs.select(F.struct(*[f.name for f in others]).alias("row"), ordered_id(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -343,10 +346,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = Tru
                     at = max(at, e)
                 kept.append(text[at:])
                 left = b"".join(kept)
-                for name, v in zip(added, (len(text), len(text) - len(left), n, left), strict=True):
+                for name, v in zip(added, (len(text), len(text) - len(left), n, left.decode("utf-8", "ignore") if as_text else left), strict=True):
                     out[name].append(v)
             columns = {f.name: row.field(i) for i, f in enumerate(others)}
-            columns |= {n: pa.array(v, pa.binary() if n == "kept" else pa.int64()) for n, v in out.items()}
+            columns |= {n: pa.array(v, (pa.string() if as_text else pa.binary()) if n == "kept" else pa.int64()) for n, v in out.items()}
             yield pa.RecordBatch.from_pydict(columns)
 
     return joined.mapInArrow(run, T.StructType(others + [T.StructField(n, t) for n, t in added.items()]))
