@@ -7,15 +7,14 @@ Each run of words has Poisson processes over its weight, cut into the intervals
 and a place in the interval, and counts if the text's weight reaches beyond that place. A
 register keeps its earliest point, and a process stops once its time is later than the
 latest register. Two texts agree in a register with probability of their weighted Jaccard
-similarity, so 32 bands of 4 registers miss a pair at 0.8 with probability 5e-8.
+similarity, so 32 bands of 5 registers miss a pair at 0.8 with probability 3e-6.
 
 Equal texts are one node from the start. In each bucket of a band all nodes are verified,
-on their whole multisets, against the smallest; classes are components of the verified
-links. Buckets that then still hold several classes are gone through again, with all
-members as partners where they are few and else with growing sets of them, each pair once
-and never within one class, until no bucket with several classes has untested pairs: no
-link is lost, a large group of near copies costs one verification a member, and pairs are
-only formed between texts that are not in one class yet.
+on their whole multisets, against the one that shares the most buckets overall; classes are
+components of the verified links. Buckets that then still hold several classes are gone
+through again, so that no link is lost: small ones pair by pair, large ones in blocks, every
+two blocks in a task of bounded size that verifies all pairs across classes and returns no
+pairs but edges that connect what they connect.
 
 Defined results: a null text is alone; equal texts share a class, also without words;
 other texts without words are alone; a null id gets class null unless it shares a text or
@@ -33,10 +32,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import slices, texts_of
 from lodestone.llm.common import NULL_ID, ordered_id, written
-from lodestone.llm.components import components
+from lodestone.llm.components import components, smallest_reachable
 from lodestone.llm.language_id import _folded
 from lodestone.llm.suffix_dedup import RollingHash, mixed
 
+#: Buckets up to this size have their pairs dealt one by one, larger ones in blocks of so many nodes.
+FEW, BLOCK = 12, 512
+
 _WORD = _folded()
 _WORD[ord("0") : ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
 _C1, _C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -165,47 +167,86 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return joined.mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
+def _units(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, unit) by text: a run of words that stands n times is n units, so multisets overlap as sets of units do."""
+    text, h, n = shingles_of(texts, size)
+    text, h = np.repeat(text, n), np.repeat(h, n)
+    rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    return text, np.unique(mixed(h + rank.astype(np.uint64) * _C2), return_inverse=True)[1]
+
+
+def _block_links(table: pa.Table, size: int, similarity: float) -> pa.Table:
+    """Of two blocks of one bucket, edges that connect what the links across classes connect."""
+    names, index = np.unique(table["node"].to_numpy(), return_index=True)
+    component, left = table["component"].to_numpy()[index], table["i"].to_numpy()[index] == table["own"].to_numpy()[index]
+    right = table["j"].to_numpy()[index] == table["own"].to_numpy()[index]
+    texts = [t for t in table["text"].take(pa.array(index)).cast(pa.binary()).to_pylist()]
+    text, unit = _units(texts, size)
+    begin = np.searchsorted(text, np.arange(len(names) + 1))
+    total = np.diff(begin)
+    by_unit = np.argsort(unit, kind="stable")
+    holder, first = text[by_unit], np.searchsorted(unit[by_unit], np.arange(unit.max(initial=-1) + 2))
+    a, b = [], []
+    for x in np.flatnonzero(left):
+        mine = unit[begin[x] : begin[x + 1]]
+        n = first[mine + 1] - first[mine]
+        at = np.arange(n.sum()) + np.repeat(first[mine] - (np.cumsum(n) - n), n)
+        shared = np.bincount(holder[at], minlength=len(names))
+        linked = right & (component != component[x]) & (shared > 0) & (shared >= similarity * (total + total[x] - shared) - 1e-9)
+        b.append(np.flatnonzero(linked))
+        a.append(np.full(len(b[-1]), x))
+    a, b = np.concatenate(a or [index[:0]]), np.concatenate(b or [index[:0]])
+    root = smallest_reachable(a, b, len(names))
+    some = np.flatnonzero(root != np.arange(len(names)))
+    return pa.table({"a": names[some], "b": names[root[some]]})
+
+
+def across_blocks(open_: DataFrame, texts: DataFrame, size: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """open_: band, node, n, component of large buckets. Links across classes, each two blocks of a bucket in a task."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = open_.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = met.join(texts, "node").select("band", "i", "j", "own", "node", "component", "text")
+    return rows.groupBy("band", "i", "j").applyInArrow(lambda t: _block_links(t, size, similarity), "a long, b long")
+
+
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """docs with class_id (the smallest id of the class), class_size and kept (its first row, if ids are unique)."""
-    own = docs.select("*", ordered_id(id_col).alias("_doc"), F.xxhash64(text_col).alias("_node"))
-    named = own.select(F.col("_doc").alias("doc"), F.col("_node").alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    firsts = named.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
-    sketches = banded(named, size, bands, rows)
-    members = sketches.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("nband"), "leader", "n")
-    buckets = written(members.join(shared, F.col("band") == F.bitwise_not("nband")).drop("nband"), "buckets")
-    texts = named.join(firsts.select("node", "doc"), ["node", "doc"]).select("node", "text")
-    pairs = written(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = written(verified(pairs, texts, size, similarity), "links")
+    results = ("class_id", "class_size", "kept")
+    columns = [c for c in docs.columns if c not in results]
+    own = docs.select(F.struct(*columns).alias("row"), ordered_id(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node"))
+    named = own.where("text IS NOT NULL").select("doc", "node", "text")
+    firsts = written(named.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "nodes")
+    members = banded(named, size, bands, rows).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("nband"), "n")
+    buckets = written(members.join(shared, F.col("band") == F.bitwise_not("nband")).select("band", "node", "n"), "buckets")
+    # the text that shares the most buckets is the likeliest to be what the others were copied from
+    central = buckets.groupBy("node").agg(F.sum("n").alias("met"))
+    texts = written(named.join(firsts.join(central, "node", "left_semi").select("node", "doc"), ["node", "doc"]).select("node", "text"), "candidates")
+    leaders = buckets.join(central, "node").groupBy("band").agg(F.max_by("node", "met").alias("leader")).select(F.bitwise_not("band").alias("nband"), "leader")
+    led = buckets.join(leaders, F.col("band") == F.bitwise_not("nband")).where("node != leader")
+    tested = written(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
+    links = written(verified(tested, texts, size, similarity), "links")
     classes = written(components(links), "classes")
-    tested, partners = pairs, 16
-    while True:
-        placed = buckets.join(classes, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-        several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(F.bitwise_not("band").alias("nband"))
-        open_ = written(placed.join(several, F.col("band") == F.bitwise_not("nband")).drop("nband"), "open")
-        few = open_.where(F.col("n") <= partners).select("band", "node", "component")
-        many = open_.where(F.col("n") > partners).groupBy("band", F.pmod(F.xxhash64("node"), F.lit(partners)).alias("slot")).agg(F.min_by(F.struct("node", "component"), "node").alias("p")).select("band", "p.node", "p.component")
-        side = few.unionByName(many).select(F.bitwise_not("band").alias("nband"), F.col("node").alias("partner"), F.col("component").alias("other"))
-        untested = (
-            open_.join(side, F.col("band") == F.bitwise_not("nband"))
-            .where("component != other")
-            .select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = written(untested, "pairs")
-        more = written(verified(pairs, texts, size, similarity), "links")
-        largest = open_.agg(F.max("n")).first()[0] or 0
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            classes = written(components(links), "classes")
-        if largest <= partners:
-            break
-        tested, partners = tested.unionByName(pairs), partners * 16
+
+    placed = buckets.join(classes, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(F.bitwise_not("band").alias("nband"))
+    open_ = written(placed.join(several, F.col("band") == F.bitwise_not("nband")).drop("nband"), "open")
+    few = open_.where(F.col("n") <= FEW)
+    side = few.select(F.col("band").alias("b_band"), F.col("node").alias("partner"), F.col("component").alias("other"))
+    untested = (
+        few.join(side, (F.col("band") == F.col("b_band")) & (F.col("node") < F.col("partner")) & (F.col("component") != F.col("other")))
+        .select(F.col("node").alias("a"), F.col("partner").alias("b"))
+        .distinct()
+        .join(tested, ["a", "b"], "left_anti")
+    )
+    more = written(verified(untested, texts, size, similarity), "links")
+    across = written(across_blocks(open_.where(F.col("n") > FEW), texts, size, similarity), "links")
+    classes = components(links.unionByName(more).unionByName(across))
+
     ids = firsts.join(classes, "node", "left").select("node", "doc", "copies", F.coalesce("component", "node").alias("component"))
-    sizes = ids.groupBy("component").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size"))
-    placed = ids.join(sizes.select(F.bitwise_not("component").alias("nc"), "class_id", "class_size"), F.col("component") == F.bitwise_not("nc")).select(F.bitwise_not("node").alias("_nn"), "class_id", "class_size")
-    own = own.drop("class_id", "class_size", "kept") if {"class_id", "class_size", "kept"} & set(docs.columns) else own
-    out = own.withColumn("_match", F.when(F.col(text_col).isNotNull(), F.col("_node"))).join(placed, F.col("_match") == F.bitwise_not("_nn"), "left")
-    alone = F.col("class_id").isNull()
-    return out.withColumns({"class_size": F.coalesce("class_size", F.lit(1)), "kept": alone | (F.col("class_id") == F.col("_doc")), "class_id": F.nullif(F.when(alone, F.col("_doc")).otherwise(F.col("class_id")), F.lit(NULL_ID))}).drop("_doc", "_node", "_nn", "_match")
+    sizes = ids.groupBy("component").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size")).select(F.bitwise_not("component").alias("nc"), "class_id", "class_size")
+    of_node = ids.join(sizes, F.col("component") == F.bitwise_not("nc")).select(F.bitwise_not("node").alias("nn"), "class_id", "class_size")
+    out = own.withColumn("node", F.when(F.col("text").isNotNull(), F.col("node"))).join(of_node, F.col("node") == F.bitwise_not("nn"), "left")
+    class_id = F.coalesce("class_id", "doc")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns], F.nullif(class_id, F.lit(NULL_ID)).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (class_id == F.col("doc")).alias("kept"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import NULL_ID, ordered_id, written
-from lodestone.llm.components import components
+from lodestone.llm.components import components, smallest_reachable
 
 #: Expected vectors of a shard, and vectors that one search step takes together.
 SHARD, LOCKSTEP = 4096, 512
@@ -204,20 +204,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest index that each of n can reach over the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _search_block(table: pa.Table, similarity: float) -> pa.Table:
     """The links between the vectors of one shard and a block of queries: for each node its links by weight, and a root that keeps it connected."""
     node, weight, build = (table[c].to_numpy() for c in ("node", "weight", "build"))
@@ -244,7 +230,7 @@ def _search_block(table: pa.Table, similarity: float) -> pa.Table:
     np.add.at(links, a, weights[b])
     np.add.at(links, b, weights[a])
     some = np.flatnonzero(links)
-    return pa.table({"node": names[some], "links": links[some], "root": names[_roots(a, b, len(names))[some]]})
+    return pa.table({"node": names[some], "links": links[some], "root": names[smallest_reachable(a, b, len(names))[some]]})
 
 
 def linked(nodes: DataFrame, similarity: float, shard: int = SHARD) -> DataFrame:
