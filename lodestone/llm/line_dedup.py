@@ -41,8 +41,10 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     else:
         per_doc = keyed.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
         repeated = per_doc.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    # under complements, so that Spark deals both sides anew and can split a line that very many documents have
+    found = repeated.select(F.bitwise_not("h1").alias("n1"), F.bitwise_not("h2").alias("n2"), "first")
     return (
-        keyed.join(repeated.select("h1", "h2", "first"), ["h1", "h2"])
+        keyed.join(found, (F.col("h1") == F.bitwise_not("n1")) & (F.col("h2") == F.bitwise_not("n2")))
         .where(F.col("doc") != F.col("first"))
         .groupBy("doc", "text_hash")
         .agg(F.collect_list("pos").alias("dropped"))
