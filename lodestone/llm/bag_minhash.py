@@ -213,8 +213,8 @@ def across_blocks(open_: DataFrame, texts: DataFrame, size: int, similarity: flo
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """docs with class_id (the smallest id of the class), class_size and kept (its first row, if ids are unique)."""
     results = ("class_id", "class_size", "kept")
-    columns = [c for c in docs.columns if c not in results]
-    own = docs.select(F.struct(*columns).alias("row"), ordered_id(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node"))
+    columns = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in results}  # no name clashes, and what nobody asks for is pruned
+    own = docs.select(*[F.col(c).alias(name) for c, name in columns.items()], ordered_id(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node"))
     named = own.where("text IS NOT NULL").select("doc", "node", "text")
     firsts = written(named.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "nodes")
     members = banded(named, size, bands, rows).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
@@ -249,4 +249,4 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     of_node = ids.join(sizes, F.col("component") == F.bitwise_not("nc")).select(F.bitwise_not("node").alias("nn"), "class_id", "class_size")
     out = own.withColumn("node", F.when(F.col("text").isNotNull(), F.col("node"))).join(of_node, F.col("node") == F.bitwise_not("nn"), "left")
     class_id = F.coalesce("class_id", "doc")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in columns], F.nullif(class_id, F.lit(NULL_ID)).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (class_id == F.col("doc")).alias("kept"))
+    return out.select(*[F.col(name).alias(c) for c, name in columns.items()], F.nullif(class_id, F.lit(NULL_ID)).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (class_id == F.col("doc")).alias("kept"))
