@@ -240,7 +240,7 @@ def series_split_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """,
 eyes AS (SELECT *, least(eye_left, eye_right) AS eye FROM (SELECT * FROM series WHERE eye_left IS NOT NULL AND eye_right IS NOT NULL) UNION ALL SELECT *, NULL FROM series WHERE eye_left IS NULL OR eye_right IS NULL),
 pool AS (SELECT * FROM (SELECT *, bool_or(coalesce(eye >= 0.105, false)) OVER (PARTITION BY entity_id, series_index) AS opened FROM eyes) WHERE NOT opened OR coalesce(eye >= 0.105, false)),
-logs AS (SELECT *, ln(1 + greatest(0, blur_score)) AS lb FROM pool),
+logs AS (SELECT *, CASE WHEN blur_score IS NOT NULL THEN ln(1 + greatest(0, blur_score)) END AS lb FROM pool),
 ranks AS (
   SELECT *, count(eye) OVER s AS eyes, count(lb) OVER s AS blurs, max(eye) OVER s - min(eye) OVER s AS eye_span, max(lb) OVER s - min(lb) OVER s AS blur_span,
          rank() OVER (s ORDER BY eye NULLS LAST) AS eye_rank, rank() OVER (s ORDER BY lb NULLS LAST) AS blur_r,
