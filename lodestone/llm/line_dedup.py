@@ -60,7 +60,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = text_or_empty(text_col)
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     rows = docs.select(F.struct(*others).alias("row") if others else F.struct(F.lit(0)).alias("row"), F.col(text_col).alias("text"), ordered_id(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"))
-    joined = rows.join(dropped_positions(docs, id_col, text_col, min_chars, min_docs), ["doc", "text_hash"], "left")
+    # hashed on the short side, so that texts are not sorted
+    joined = rows.join(dropped_positions(docs, id_col, text_col, min_chars, min_docs).hint("shuffle_hash"), ["doc", "text_hash"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
     pieces = F.transform(kept, lambda i: F.get(lines, i))
