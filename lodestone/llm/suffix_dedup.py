@@ -315,7 +315,7 @@ def repeated_spans(rows: DataFrame, length: int, keep_first: bool, anchor: int |
         .agg(F.collect_list("w").alias("wanted"))
     )
     texts = rows.select("doc", "th", "text")
-    found = shards(cuttings(texts.join(wanted, ["doc", "th"]), length, anchor), length, keep_first)
+    found = shards(cuttings(texts.join(wanted.hint("shuffle_hash"), ["doc", "th"]), length, anchor), length, keep_first)
     return alike.select(*whole).unionByName(copies.select(*whole)).unionByName(found)
 
 
@@ -330,7 +330,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = Tru
     rows = docs.select(F.struct(*[f.name for f in others]).alias("row"), ordered_id(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = repeated_spans(rows.select("doc", "th", "text"), length, keep_first)
     removed = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
-    joined = rows.join(removed, ["doc", "th"], "left").select("row", "text", "spans")
+    # hashed on the short side, so that texts are not sorted
+    joined = rows.join(removed.hint("shuffle_hash"), ["doc", "th"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
