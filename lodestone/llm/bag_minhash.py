@@ -123,7 +123,7 @@ def banded(nodes: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, node = texts_of(batch, "text"), batch.column(batch.schema.get_field_index("node"))
-            for part in slices(texts, 4 << 20):
+            for part in slices(texts, 2 << 20):
                 found = shingles_of(texts[part.start : part.stop], size)
                 least = signatures(*found, len(part), bands * rows)
                 some = np.flatnonzero(np.isfinite(least[:, 0]))
@@ -247,6 +247,6 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ids = firsts.join(classes, "node", "left").select("node", "doc", "copies", F.coalesce("component", "node").alias("component"))
     sizes = ids.groupBy("component").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size")).select(F.bitwise_not("component").alias("nc"), "class_id", "class_size")
     of_node = ids.join(sizes, F.col("component") == F.bitwise_not("nc")).select(F.bitwise_not("node").alias("nn"), "class_id", "class_size")
-    out = own.withColumn("node", F.when(F.col("text").isNotNull(), F.col("node"))).join(of_node, F.col("node") == F.bitwise_not("nn"), "left")
+    out = own.withColumn("node", F.when(F.col("text").isNotNull(), F.col("node"))).join(of_node.hint("shuffle_hash"), F.col("node") == F.bitwise_not("nn"), "left")
     class_id = F.coalesce("class_id", "doc")
     return out.select(*[F.col(name).alias(c) for c, name in columns.items()], F.nullif(class_id, F.lit(NULL_ID)).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (class_id == F.col("doc")).alias("kept"))
