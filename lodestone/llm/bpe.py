@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Before these bytes a space begins a match: visible ASCII, and first bytes of characters that are no white space.
 _UNSAFE = re.compile(rb" (?![!-~\xc3-\xe0\xe4-\xf4])")
 _SAFE = re.compile(rb" (?=[!-~\xc3-\xe0\xe4-\xf4])")

@@ -51,7 +51,7 @@ class WordEncoder:
     tokenizer's model once while it is remembered; other texts go through the whole tokenizer.
     """
 
-    REMEMBERED = 500_000
+    REMEMBERED = 250_000
 
     def __init__(self, tokenizer_path: str) -> None:
         self.whole = PieceEncoder(tokenizer_path, spaced=False)
