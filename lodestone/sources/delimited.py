@@ -9,7 +9,7 @@ import tempfile
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,8 +76,6 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     width = F.coalesce(F.array_max(F.array(*[F.when(c != "", F.lit(i + 1)) for i, c in enumerate(cells)])), F.lit(0))
     some = raw.select(cells[entity].alias("entity"), cells[photo].alias("photo_id"), (cells[source] if source is not None else F.lit(None).cast("string")).alias("source"), width.alias("width"), F.monotonically_increasing_id().alias("at"))
     rows = some.where("width > 0")
-    from pyspark.sql import Window
-
     # one manifest, written by a person or by a run, is one file: its rows are few
     numbered = rows.withColumn("row_number", (F.row_number().over(Window.orderBy("at")) + 1).cast("int"))
     return numbered.select("row_number", "entity", "photo_id", "source", "width"), source is not None
@@ -96,16 +94,21 @@ def shown(df: DataFrame, headers: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
+def order_keys(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Texts without regard to case first, then as they are; other types as they are."""
+    return [k for c in order for k in ([F.lower(c), F.col(c)] if isinstance(df.schema[c].dataType, T.StringType) else [F.col(c)])]
+
+
 def write_delimited(df: DataFrame, path: str, headers: dict[str, str], order: Sequence[str] = ("entity_id", "path")) -> None:
     """A folder of delimited files in order: the distributed form of a result."""
-    keys = [k for c in order for k in (F.lower(F.col(c).cast("string")), F.col(c))]
+    keys = order_keys(df, order)
     shown(df.sort(*keys), headers).write.mode("overwrite").csv(path, sep=";", header=True, quote='"', escape='"', emptyValue="", nullValue="", encoding="UTF-8")
 
 
 def write_single(df: DataFrame, path: str | Path, headers: dict[str, str], order: Sequence[str] = ("entity_id", "path")) -> None:
     """One local file with a byte order mark, replaced as a whole; rows pass the driver one partition at a time."""
     path = Path(path)
-    keys = [k for c in order for k in (F.lower(F.col(c).cast("string")), F.col(c))]
+    keys = order_keys(df, order)
     rows = shown(df.sort(*keys), headers)
     with tempfile.NamedTemporaryFile("wb", dir=path.parent, suffix=".part", delete=False) as f:
         try:
