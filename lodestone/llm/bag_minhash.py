@@ -76,7 +76,10 @@ def shingles_of(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, registers: int) -> np.ndarray:
-    """texts x registers: times of the earliest points; infinite for a text without elements. Weights are whole numbers from 1."""
+    """texts x registers, uint64: names of the earliest points; 0 for a text without elements. Weights are whole numbers from 1.
+
+    Names are hashes, so sums of times that round otherwise on other machines or in other batches do not change them.
+    """
     levels = [np.zeros(len(text), np.int64)]
     rows = [np.arange(len(text))]
     level = 1
@@ -90,7 +93,7 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
     width = np.maximum(low, 1).astype(float)
     seed = mixed(element[row] * _C1 + lev.astype(np.uint64) * _C2 + np.uint64(1))
     time, drawn = np.zeros(len(row)), 0
-    least = np.full((texts, registers), np.inf)
+    least, names = np.full((texts, registers), np.inf), np.zeros((texts, registers), np.uint64)
     while len(owner):
         points = max(1, min(64, 30_000 // len(owner)))
         step = np.arange(drawn, drawn + points, dtype=np.uint64)
@@ -100,17 +103,20 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
         register = ((h >> np.uint64(40)) * np.uint64(registers) >> np.uint64(24)).astype(np.int64)
         place = low[:, None] + (h & np.uint64(0xFFFFFFFF)) * (2.0**-32) * width[:, None]
         counts = np.floor(place) < w[:, None]
-        np.minimum.at(least.reshape(-1), (owner[:, None] * registers + register)[counts], times[counts])
+        cell, when = (owner[:, None] * registers + register)[counts], times[counts]
+        np.minimum.at(least.reshape(-1), cell, when)
+        first = when == least.reshape(-1)[cell]
+        names.reshape(-1)[cell[first]] = h[counts][first]
         time, drawn = times[:, -1], drawn + points
         live = time < least.max(axis=1)[owner]
         if not live.all():
             owner, w, low, width, seed, time = (x[live] for x in (owner, w, low, width, seed, time))
-    return least
+    return names
 
 
-def band_hashes(least: np.ndarray, bands: int) -> np.ndarray:
+def band_hashes(names: np.ndarray, bands: int) -> np.ndarray:
     """texts x bands, int64."""
-    bits = least.view(np.uint64).reshape(len(least), bands, -1)
+    bits = names.reshape(len(names), bands, -1)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _C2, bits.shape[:2])
     for k in range(bits.shape[2]):
         h = mixed(h * _C1 + bits[:, :, k])
@@ -125,9 +131,9 @@ def banded(nodes: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             texts, node = texts_of(batch, "text"), batch.column(batch.schema.get_field_index("node"))
             for part in slices(texts, 2 << 20):
                 found = shingles_of(texts[part.start : part.stop], size)
-                least = signatures(*found, len(part), bands * rows)
-                some = np.flatnonzero(np.isfinite(least[:, 0]))
-                hashes = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(least[some], bands).ravel()), bands).cast(pa.list_(pa.int64()))
+                names = signatures(*found, len(part), bands * rows)
+                some = np.unique(found[0])
+                hashes = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(names[some], bands).ravel()), bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict({"node": node.take(pa.array(some + part.start)), "bands": hashes})
 
     return nodes.select("node", "text").mapInArrow(run, "node long, bands array<long>")
