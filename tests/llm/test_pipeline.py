@@ -1,0 +1,71 @@
+"""Each stage of the pipeline, on what its predecessor kept, against plain forms."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from tests.llm import plain
+from tests.llm.test_dedup import family
+from tests.llm.test_text_operators import WORDS, check_packed, sentence
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    rng = random.Random(7)
+    folder = tmp_path_factory.mktemp("corpus")
+    line = "a line that several documents hold"
+    passage = " ".join(rng.choices(WORDS["bb"], k=60))
+    rows = [(i, sentence(rng, lang, 80) + "\n" + (line if i % 4 == 0 else "x"), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 12)]
+    rows += [(100 + i, t, "aa") for i, t in family(rng, 8, 150, 0.01, 0)]
+    rows += [(200 + i, sentence(rng, "cc", 30) + " " + passage + " " + sentence(rng, "cc", 30), "bb") for i in range(4)]
+    rows += [(300, None, "aa"), (301, "", None), (302, "12 !!", "bb"), (303, rows[5][1], "cc"), (304, "kama tiko", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], plain.TEXT)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    out = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out[-1], str(folder)).write.parquet(f"{folder}/{k}")
+        out.append(spark.read.parquet(f"{folder}/{k}"))
+    return [sorted(map(tuple, d.select("doc_id", "text").collect())) if k < 5 else d.collect() for k, d in enumerate(out)], out, str(folder)
+
+
+def test_columns_stay(stages):
+    for df in stages[1][1:5]:
+        assert df.columns == corpus_pipeline.COLUMNS
+        assert df.where("n_chars <> char_length(text)").count() == 0
+
+
+def test_language(stages):
+    before, after = stages[0][0], stages[0][1]
+    assert {i for i, _ in before} - {i for i, _ in after} == {300, 301, 302}
+
+
+def test_lines(stages):
+    assert dict(stages[0][2]) == {i: t for i, (t, _) in plain.line_dedup(stages[0][1]).items()}
+    assert any(dropped for _, dropped in plain.line_dedup(stages[0][1]).values())
+
+
+def test_near(stages):
+    classes = plain.near_classes(stages[0][2])
+    assert {i for i, _ in stages[0][3]} == set(classes.values())
+    assert len(set(classes.values())) < len(classes)
+
+
+def test_suffixes(stages):
+    expected = plain.suffix_dedup(stages[0][3], 200, True)
+    assert dict(stages[0][4]) == {i: kept.decode("utf-8", "ignore") for i, (kept, _, _) in expected.items()}
+    assert any(n for _, n, _ in expected.values())
+
+
+def test_packing(stages):
+    texts = dict(stages[0][4])
+    index = {d: k for k, d in enumerate(texts)}
+    rows = [r.asDict() | {"doc_id": index[r["doc_id"]]} for r in stages[0][5]]
+    assert check_packed(rows, list(texts.values()), 4096) == 0
+
+
+def test_run_gives_the_same_rows(spark, stages):
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
+    got = corpus_pipeline.run(spark, stages[2])
+    count = lambda rows: {d: sum(n for e, _, n, _ in map(key, rows) if e == d) for d in {r["doc_id"] for r in rows}}
+    assert count(got.collect()) == count(stages[0][5])
