@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,7 +128,8 @@ def match_two_pass(observations: DataFrame, gallery: DataFrame, s: Settings, *,
 
     A row is recovered if the larger gallery accepts the entity that was best before, closer by recovery_gain.
     """
-    first = match(observations, gallery, s, obs_col=obs_col)
+    # narrow rows that anchors, border and result all need: kept, on disk where memory is short
+    first = match(observations, gallery, s, obs_col=obs_col).persist(StorageLevel.MEMORY_AND_DISK)
     extra = anchors(observations, first, s, obs_col=obs_col)
     larger = gallery.select(F.col("entity_id").cast("string").alias("entity_id"), F.col("embedding").cast("array<double>").alias("embedding")).unionByName(extra.select("entity_id", F.col("embedding").cast("array<double>").alias("embedding")))
     border = first.where(F.col("accepted_id").isNull() & (F.col("best_dist") <= s.match_threshold + s.recovery_band)).select(obs_col, F.col("best_id").alias("was_id"), F.col("best_dist").alias("was_dist"))

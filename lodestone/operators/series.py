@@ -10,6 +10,7 @@ entity with very many frames is spread over many tasks.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +106,8 @@ def split(frames: DataFrame, s: Settings) -> DataFrame:
     # only frames that would join need the guard
     guard = foreign_between(linked.where("joins"), frames, s).withColumn("foreign", F.lit(True)) if s.foreign_frames > 0 else None
     marked = linked.join(guard, ["entity_id", "path"], "left") if guard is not None else linked.withColumn("foreign", F.lit(None).cast("boolean"))
-    cut = marked.withColumn("breaks", (~(F.col("joins") & F.col("foreign").isNull())).cast("long"))
+    # breaks are both summed and numbered
+    cut = marked.withColumn("breaks", (~(F.col("joins") & F.col("foreign").isNull())).cast("long")).drop("previous", "micros", "joins", "foreign").persist(StorageLevel.MEMORY_AND_DISK)
     within = Window.partitionBy("entity_id", "stretch").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     sums = cut.groupBy("entity_id", "stretch").agg(F.sum("breaks").alias("b"))
     earlier = Window.partitionBy("entity_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
