@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import slices, texts_of
+from lodestone.llm.bpe import released, slices, text_slices, texts_of
 from lodestone.llm.common import NULL_ID, ordered_id, written
 from lodestone.llm.components import components, smallest_reachable
 from lodestone.llm.language_id import _folded
@@ -128,15 +128,15 @@ def banded(nodes: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, node = texts_of(batch, "text"), batch.column(batch.schema.get_field_index("node"))
-            for part in slices(texts, 2 << 20):
-                found = shingles_of(texts[part.start : part.stop], size)
+            node = batch.column(batch.schema.get_field_index("node"))
+            for part, texts in text_slices(batch, "text"):
+                found = shingles_of(texts, size)
                 names = signatures(*found, len(part), bands * rows)
                 some = np.unique(found[0])
                 hashes = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(names[some], bands).ravel()), bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict({"node": node.take(pa.array(some + part.start)), "bands": hashes})
 
-    return nodes.select("node", "text").mapInArrow(run, "node long, bands array<long>")
+    return nodes.select("node", "text").mapInArrow(lambda batches: released(run(batches)), "node long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -170,7 +170,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
                         kept.append(i)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64())})
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(lambda batches: released(run(batches)), "a long, b long")
 
 
 def _units(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ special tokens are ordinary text; other columns stay, those named as results are
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import os
 import re
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -145,6 +147,26 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
 
 
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[range, list[bytes]]]:
+    """Ranges of a batch's rows with about that many bytes of text, and their texts: no more than one slice is taken out of the batch."""
+    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at, before = 0, 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield range(at, to), [t or b"" for t in texts.slice(at, to - at).to_pylist()]
+        at, before = to, int(ends[to - 1])
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; in the end freed memory goes back to the system, where other processes of the executor may need it."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def encode_texts(docs: DataFrame, *, tokenizer_path: str, text_col: str = "text", keep_text: bool = True, with_offsets: bool = True) -> DataFrame:
     """docs and ids array<int>; with_offsets: also token_offsets, (first, last + 1) character of each token."""
     added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
@@ -158,9 +180,7 @@ def encode_texts(docs: DataFrame, *, tokenizer_path: str, text_col: str = "text"
         enc = encoder(tokenizer_path)
         table = token_bytes(tokenizer_path) if with_offsets else []
         for batch in batches:
-            texts = texts_of(batch, text_col)
-            for rows in slices(texts):
-                some = texts[rows.start : rows.stop]
+            for rows, some in text_slices(batch, text_col):
                 encoded = enc.encode(some)
                 part = batch.slice(rows.start, len(rows))
                 columns = {f.name: part.column(part.schema.get_field_index(f.name)) for f in kept}
@@ -197,13 +217,13 @@ def round_trip(docs: DataFrame, *, tokenizer_path: str, ranks_path: str, id_col:
         enc, table = encoder(tokenizer_path), token_bytes(ranks_path)
         decimal = [str(i) for i in range(len(table))]
         for batch in batches:
-            texts, counts, sums, back = texts_of(batch, text_col), [], [], []
-            for rows in slices(texts):
-                for e in enc.encode(texts[rows.start : rows.stop]):
+            counts, sums, back = [], [], []
+            for _, some in text_slices(batch, text_col):
+                for e in enc.encode(some):
                     ids = np.frombuffer(e, "<u4").tolist()
                     counts.append(len(ids))
                     sums.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
             yield pa.RecordBatch.from_pydict({id_col: batch.column(batch.schema.get_field_index(id_col)), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: released(run(batches)), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.bpe import slices, texts_of
+from lodestone.llm.bpe import released, text_slices
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -97,10 +97,10 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
-            for some in slices(texts, 4 << 20):
-                for lang in {langs[i] for i in some}:
-                    sums[index[lang]] += np.bincount(words_of([texts[i] for i in some if langs[i] == lang]).codes, minlength=BUCKETS)
+            langs = batch.column(0).to_pylist()
+            for part, some in text_slices(batch, "text"):
+                for lang in {langs[i] for i in part}:
+                    sums[index[lang]] += np.bincount(words_of([t for i, t in zip(part, some, strict=True) if langs[i] == lang]).codes, minlength=BUCKETS)
         lang, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "n": pa.array(sums[lang, bucket], pa.int64())})
 
@@ -162,14 +162,13 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tup
     added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "n_languages": T.LongType()}
     kept = [docs.schema[c] for c in (docs.columns if keep is None else keep) if c not in added]
     schema = T.StructType(kept + [T.StructField(k, t) for k, t in added.items()])
-    languages, most = np.array([*model.languages, UNDETERMINED], dtype=object), max(1 << 16, (8 << 20) // max(4, len(model.languages)))
+    languages, most = np.array([*model.languages, UNDETERMINED], dtype=object), max(1 << 16, (4 << 20) // max(4, len(model.languages)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch, text_col)
-            for rows in slices(texts, most):
-                some, part = texts[rows.start : rows.stop], batch.slice(rows.start, len(rows))
+            for rows, some in text_slices(batch, text_col, most):
+                part = batch.slice(rows.start, len(rows))
                 share = proportions(some, shared.value, penalty)
                 known = np.array([_has_letter(t) for t in some], bool) & (share.sum(axis=1) > 0) if share.shape[1] else np.zeros(len(some), bool)
                 top = np.where(known, share.argmax(axis=1) if share.shape[1] else -1, -1)
@@ -178,7 +177,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tup
                 columns |= {"lang_pred": pa.array(languages[top], pa.string()), "score": pa.array(score), "n_languages": pa.array(np.where(known, (share > 0).sum(axis=1), 0), pa.int64())}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(*dict.fromkeys([f.name for f in kept] + [text_col])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([f.name for f in kept] + [text_col])).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.bpe import slices, texts_of
+from lodestone.llm.bpe import text_slices
 
 #: Fixed values of the format: its signature, channels by colour type, and chunk names.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -162,9 +162,8 @@ def store_texts(docs: DataFrame, *, text_col: str = "text", media_col: str = "me
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch, text_col)
-            for rows in slices(texts, 4 << 20):
-                some, part = texts[rows.start : rows.stop], batch.slice(rows.start, len(rows))
+            for rows, some in text_slices(batch, text_col):
+                part = batch.slice(rows.start, len(rows))
                 media = [write_png(np.frombuffer(payload(t), np.uint8).reshape(-1, WIDTH, 3)) for t in some]
                 columns = {f.name: part.column(part.schema.get_field_index(f.name)) for f in kept}
                 yield pa.RecordBatch.from_pydict(columns | {"text_bytes": pa.array(map(len, some), pa.int64()), media_col: pa.array(media, pa.binary())})

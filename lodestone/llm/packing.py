@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.bpe import PieceEncoder, byte_characters, slices, texts_of
+from lodestone.llm.bpe import PieceEncoder, byte_characters, released, text_slices
 
 #: Remaining pieces that a partition packs together.
 GROUP = 8192
@@ -227,10 +227,9 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str, capacity: int = 4096
         for batch in batches:
             if not types_of:
                 types_of.append({c: batch.schema.field(c).type for c in kept} | {c: pa.int64() for c in results} | {"ids": pa.list_(pa.int32())})
-            texts = texts_of(batch, text_col)
             heads = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in kept), strict=True))
-            for part in slices(texts):
-                for i, ids in zip(part, enc.encode(texts[part.start : part.stop]), strict=True):
+            for part, texts in text_slices(batch, text_col):
+                for i, ids in zip(part, enc.encode(texts), strict=True):
                     packer.add(heads[i], np.concatenate([np.frombuffer(ids, "<u4"), end]))
                 if len(rows["start"]) > 5000:
                     yield flush()
@@ -239,4 +238,4 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str, capacity: int = 4096
             yield flush()
 
     wanted = dict.fromkeys([*kept, text_col])
-    return docs.select(*wanted).mapInArrow(run, schema)
+    return docs.select(*wanted).mapInArrow(lambda batches: released(run(batches)), schema)

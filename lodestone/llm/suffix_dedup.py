@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.bpe import slices, texts_of
+from lodestone.llm.bpe import released, text_slices, texts_of
 from lodestone.llm.common import ordered_id, text_or_empty, written
 
 #: Distinct runs from which an anchor is split, and into how many parts.
 HOT_RUNS, HOT_PARTS = 4000, 16
 #: Bytes of cuttings from which a shard is sorted.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Blocks of a string that the suffix order compares.
 BLOCKS = 5
 
@@ -207,14 +207,13 @@ def runs(rows: DataFrame, length: int, anchor: int, placed: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch, "text")
             doc, th = _columns(batch, "doc", "th")
-            for part in slices(texts):
-                found = runs_of(texts[part.start : part.stop], length, anchor)
+            for part, texts in text_slices(batch, "text", 1 << 19):
+                found = runs_of(texts, length, anchor)
                 found |= {"doc": doc[part.start + found["text"]], "th": th[part.start + found["text"]]}
                 yield pa.RecordBatch.from_pydict({n: pa.array(found[n], pa.int64()) for n in names})
 
-    return rows.select("doc", "th", "text").mapInArrow(run, _schema(*names))
+    return rows.select("doc", "th", "text").mapInArrow(lambda batches: released(run(batches)), _schema(*names))
 
 
 def cuttings(asked: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -244,7 +243,7 @@ def cuttings(asked: DataFrame, length: int, anchor: int) -> DataFrame:
                 columns = list(zip(*out[at : at + 20_000], strict=True))
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.binary() if n == "snippet" else pa.int64()) for n, c in zip(("key", "doc", "th", "lo", "snippet"), columns, strict=True)})
 
-    return asked.mapInArrow(run, _schema("key", "doc", "th", "lo", snippet=T.BinaryType()))
+    return asked.mapInArrow(lambda batches: released(run(batches)), _schema("key", "doc", "th", "lo", snippet=T.BinaryType()))
 
 
 def shards(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -279,7 +278,7 @@ def shards(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
             yield spans(waiting)
 
     dealt = cut.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, _schema("doc", "th", "b", "e"))
+    return dealt.mapInArrow(lambda batches: released(run(batches)), _schema("doc", "th", "b", "e"))
 
 
 def repeated_spans(rows: DataFrame, length: int, keep_first: bool, anchor: int | None = None) -> DataFrame:
@@ -353,4 +352,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = Tru
             columns |= {n: pa.array(v, (pa.string() if as_text else pa.binary()) if n == "kept" else pa.int64()) for n, v in out.items()}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return joined.mapInArrow(run, T.StructType(others + [T.StructField(n, t) for n, t in added.items()]))
+    return joined.mapInArrow(lambda batches: released(run(batches)), T.StructType(others + [T.StructField(n, t) for n, t in added.items()]))
