@@ -222,22 +222,22 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     columns = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in results}  # no name clashes, and what nobody asks for is pruned
     own = docs.select(*[F.col(c).alias(name) for c, name in columns.items()], ordered_id(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node"))
     named = own.where("text IS NOT NULL").select("doc", "node", "text")
-    firsts = written(named.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "nodes")
+    firsts = written(named.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "nodes", narrow=True)
     members = banded(named, size, bands, rows).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("nband"), "n")
-    buckets = written(members.join(shared, F.col("band") == F.bitwise_not("nband")).select("band", "node", "n"), "buckets")
+    buckets = written(members.join(shared, F.col("band") == F.bitwise_not("nband")).select("band", "node", "n"), "buckets", narrow=True)
     # the text that shares the most buckets is the likeliest to be what the others were copied from
     central = buckets.groupBy("node").agg(F.sum("n").alias("met"))
     texts = written(named.join(firsts.join(central, "node", "left_semi").select("node", "doc"), ["node", "doc"]).select("node", "text"), "candidates")
     leaders = buckets.join(central, "node").groupBy("band").agg(F.max_by("node", "met").alias("leader")).select(F.bitwise_not("band").alias("nband"), "leader")
     led = buckets.join(leaders, F.col("band") == F.bitwise_not("nband")).where("node != leader")
-    tested = written(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
+    tested = written(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs", narrow=True)
     links = written(verified(tested, texts, size, similarity), "links")
-    classes = written(components(links), "classes")
+    classes = components(links)
 
     placed = buckets.join(classes, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
     several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(F.bitwise_not("band").alias("nband"))
-    open_ = written(placed.join(several, F.col("band") == F.bitwise_not("nband")).drop("nband"), "open")
+    open_ = written(placed.join(several, F.col("band") == F.bitwise_not("nband")).drop("nband"), "open", narrow=True)
     few = open_.where(F.col("n") <= FEW)
     side = few.select(F.col("band").alias("b_band"), F.col("node").alias("partner"), F.col("component").alias("other"))
     untested = (

@@ -32,11 +32,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b long. (node, component) of every node with an edge to another; component is the smallest node reachable."""
-    edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", narrow=True)
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = print_of(edges)
     while before[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(_large_star(edges)), "edges", narrow=True)
         now = print_of(edges)
         if now == before:
             break

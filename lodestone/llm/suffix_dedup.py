@@ -293,7 +293,7 @@ def repeated_spans(rows: DataFrame, length: int, keep_first: bool, anchor: int |
     )
     placed = runs(rows, length, anchor, placed=True)
     # the complement makes Spark deal both sides anew, so that it can split an anchor that many runs have
-    shared = written(placed.join(common, F.col("ah") == F.bitwise_not("nah")).drop("nah"), "shared-runs")
+    shared = written(placed.join(common, F.col("ah") == F.bitwise_not("nah")).drop("nah"), "shared-runs", narrow=True)
     whole = ["doc", "th", F.col("lo").alias("b"), (F.col("hi") + length).alias("e")]
     place = F.struct("doc", "th", "lo")
     alike = shared.where(~F.col("mixed"))
