@@ -6,6 +6,12 @@ pass over all blocks counts how many hold each word of the templates; ordered fr
 rarest, a block that meets a template must share one of the template's first words (prefix
 filter), have enough distinct words (length filter), and have enough of them left, on both
 sides, from the first one shared (positional filter). What passes is verified exactly.
+
+Notices are usually wrapped, so a template is also met by a stretch across line ends: words
+in a row, at most STRETCH times as many as the template has, that hold the threshold's share
+of its distinct words. The same join finds the templates that a whole text meets; only for
+those a window slides over the places of their words.
+
 The templates are a parameter; their distinct words, which is all that is ever gathered or
 sent to the executors, are checked against a bound.
 
@@ -50,6 +56,8 @@ TEMPLATES = {
     "This is free and unencumbered software released into the public domain": "unlicense",
 }
 MOST_TEMPLATE_WORDS = 100_000
+#: Words of a stretch across line ends for each word of the template; more than one, for comment marks and small additions.
+STRETCH = 2
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -63,20 +71,22 @@ class TemplateIndex:
 
     def __init__(self, templates: Mapping[str, str], frequency: Mapping[bytes, int], threshold: float) -> None:
         self.rank = {w: i for i, (_, w) in enumerate(sorted((frequency.get(w, 0), w) for w in template_words(templates)))}
-        self.labels, self.words, self.need = [], [], []
+        self.labels, self.words, self.need, self.longest = [], [], [], []
         self.prefix: dict[bytes, list[int]] = {}
         for text, label in templates.items():
-            ordered = sorted(set(words_of(text.encode())), key=self.rank.__getitem__)
+            own = words_of(text.encode())
+            ordered = sorted(set(own), key=self.rank.__getitem__)
             need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
             for w in ordered[: len(ordered) - need + 1]:
                 self.prefix.setdefault(w, []).append(len(self.labels))
             self.labels.append(label)
             self.words.append({w: i for i, w in enumerate(ordered)})
             self.need.append(need)
+            self.longest.append(STRETCH * len(own))
         self.keys = frozenset(self.prefix)
 
-    def matches(self, block: list[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, share of the template's words) of each template that the block meets."""
+    def matches(self, block: list[bytes]) -> Iterator[tuple[int, float]]:
+        """(number, share of its words) of each template that the block meets."""
         if self.keys.isdisjoint(block):
             return
         held = set(block)
@@ -91,7 +101,25 @@ class TemplateIndex:
                 if min(len(words) - words[w], len(mine) - j) < need:
                     continue
                 if (n := sum(x in held for x in words)) >= need:
-                    yield self.labels[k], n / len(words)
+                    yield k, n / len(words)
+
+    def wrapped(self, words: list[bytes], line: list[int], k: int) -> tuple[int, int, float] | None:
+        """(first line, last line, share) of the first of the stretches across line ends that meet template k best."""
+        own, longest = self.words[k], self.longest[k]
+        places = [i for i, w in enumerate(words) if w in own]
+        held: Counter[bytes] = Counter()
+        best, most, left = None, self.need[k] - 1, 0
+        for right in places:
+            held[words[right]] += 1
+            while right - places[left] >= longest or held[words[places[left]]] > 1:  # what stands again later is not needed
+                w = words[places[left]]
+                held[w] -= 1
+                if not held[w]:
+                    del held[w]
+                left += 1
+            if len(held) > most and line[places[left]] != line[right]:
+                best, most = (line[places[left]], line[right], len(held) / len(own)), len(held)
+        return best
 
 
 def template_words(templates: Mapping[str, str]) -> set[bytes]:
@@ -132,14 +160,17 @@ def phrase_places(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tupl
 
 
 def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.9, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns to keep (all by default), n_words, n_base, first_word, last_word, base_labels, labels, score and matches.
+    """The columns to keep (all by default), n_words, n_base, first_word, last_word, base_labels, labels, score, matches and wrapped.
 
-    matches: (block from 0, label, share) of every block that meets a template; score is the
-    largest share, 1 where a phrase stands.
+    matches: (block from 0, label, share) of every block that meets a template; wrapped: (first
+    line, last line, label, share) of the best stretch across line ends of every template that
+    one meets better than any block. score is the largest share, 1 where a phrase stands.
     """
     match = T.StructType([T.StructField("block", T.LongType()), T.StructField("label", T.StringType()), T.StructField("share", T.DoubleType())])
-    added = {"n_words": T.LongType(), "n_base": T.LongType(), "first_word": T.LongType(), "last_word": T.LongType(), "base_labels": T.StringType(), "labels": T.StringType(), "score": T.DoubleType(), "matches": T.ArrayType(match)}
-    arrow = {T.LongType: pa.int64(), T.StringType: pa.string(), T.DoubleType: pa.float64(), T.ArrayType: pa.list_(pa.struct({"block": pa.int64(), "label": pa.string(), "share": pa.float64()}))}
+    stretch = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("label", T.StringType()), T.StructField("share", T.DoubleType())])
+    added = {"n_words": T.LongType(), "n_base": T.LongType(), "first_word": T.LongType(), "last_word": T.LongType(), "base_labels": T.StringType(), "labels": T.StringType(), "score": T.DoubleType(), "matches": T.ArrayType(match), "wrapped": T.ArrayType(stretch)}
+    arrow = {T.LongType: pa.int64(), T.StringType: pa.string(), T.DoubleType: pa.float64()}
+    lists = {"matches": pa.list_(pa.struct({"block": pa.int64(), "label": pa.string(), "share": pa.float64()})), "wrapped": pa.list_(pa.struct({"first": pa.int64(), "last": pa.int64(), "label": pa.string(), "share": pa.float64()}))}
     kept = [docs.schema[c] for c in (docs.columns if keep is None else keep) if c not in added]
     schema = T.StructType(kept + [T.StructField(k, t) for k, t in added.items()])
     index = TemplateIndex(templates, block_frequencies(docs, template_words(templates), text_col), threshold)
@@ -148,7 +179,15 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES,
     def of(text: bytes) -> tuple:
         words = words_of(text)
         base = phrase_places(words, spaced)
-        met = [] if index.keys.isdisjoint(words) else [(i, label, share) for i, line in enumerate(text.split(b"\n")) for label, share in index.matches(words_of(line))]
+        met, wrapped = [], []
+        if whole := [k for k, _ in index.matches(words)]:
+            lines = [words_of(x) for x in text.split(b"\n")]
+            met = [(i, k, share) for i, x in enumerate(lines) for k, share in index.matches(x)]
+            line = [i for i, x in enumerate(lines) for _ in x]
+            for k in whole:
+                best = index.wrapped(words, line, k)
+                if best and best[2] > max((share for _, j, share in met if j == k), default=0.0):
+                    wrapped.append((k, *best))
         places, own = [p for p, _ in base], {label for _, label in base}
         return (
             len(words),
@@ -156,9 +195,10 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES,
             min(places, default=None),
             max(places, default=None),
             ",".join(sorted(own)),
-            ",".join(sorted(own | {label for _, label, _ in met})),
-            1.0 if base else max((share for *_, share in met), default=0.0),
-            [{"block": b, "label": label, "share": share} for b, label, share in met],
+            ",".join(sorted(own | {index.labels[k] for _, k, _ in met} | {index.labels[k] for k, *_ in wrapped})),
+            1.0 if base else max((x[-1] for x in (*met, *wrapped)), default=0.0),
+            [{"block": b, "label": index.labels[k], "share": share} for b, k, share in met],
+            [{"first": a, "last": b, "label": index.labels[k], "share": share} for k, a, b, share in wrapped],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +206,7 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES,
             found = [of(t) for t in texts_of(batch, text_col)]
             columns = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in kept}
             for k, (name, kind) in enumerate(added.items()):
-                columns[name] = pa.array([x[k] for x in found], arrow[type(kind)])
+                columns[name] = pa.array([x[k] for x in found], lists.get(name) or arrow[type(kind)])
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(*dict.fromkeys([f.name for f in kept] + [text_col])).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(read_table(spark, sf_dir, "documents"), keep=("doc_id",)).drop("matches")
+    return scan_licenses(read_table(spark, sf_dir, "documents"), keep=("doc_id",)).drop("matches", "wrapped")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

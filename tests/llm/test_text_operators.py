@@ -174,6 +174,36 @@ def test_join_is_exact(spark, threshold):
         assert {(m["block"], m["label"]) for m in r["matches"]} == expected
 
 
+def test_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    narrow = "x\ndnl " + "\ndnl ".join(mit.split())
+    far = "Redistribution and use in source and binary forms\n" + "x " * 30 + "\nwith or without modification, are permitted"
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs(spark, [mit, bsd, mpl, narrow, far, mit.replace("\n", " ")]), keep=("doc_id",)).collect()}
+    assert [got[i]["labels"] for i in range(6)] == ["mit-grant", "bsd", "mpl-2.0", "mit-grant", "", "mit-grant"]
+    assert [[tuple(w) for w in got[i]["wrapped"]] for i in range(3)] == [[(0, 1, "mit-grant", 1.0)], [(0, 1, "bsd", 1.0)], [(0, 1, "mpl-2.0", 1.0)]]
+    assert [got[i]["score"] for i in range(6)] == [1.0, 1.0, 1.0, 1.0, 0.0, 1.0]
+    assert not any(got[i]["matches"] for i in range(5)) and got[5]["matches"] and not got[5]["wrapped"]
+
+
+def test_stretches_are_exact(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(20)]
+    templates = {" ".join(rng.sample(vocabulary, rng.randint(2, 6))): f"t{i}" for i in range(6)}
+    texts = ["\n".join(" ".join(rng.choices(vocabulary, k=rng.randint(0, 4))) for _ in range(12)) for _ in range(30)]
+    for r in license_scan.scan_licenses(docs(spark, texts), templates=templates, threshold=0.7, keep=("doc_id",)).collect():
+        words = plain.words(texts[r["doc_id"]])
+        line = [i for i, x in enumerate(texts[r["doc_id"]].split("\n")) for _ in plain.words(x)]
+        for t, label in templates.items():
+            own = set(plain.words(t))
+            spans = [(i, j) for i in range(len(words)) for j in range(i + 2, min(len(words), i + 2 * len(own)) + 1) if line[i] != line[j - 1]]
+            best = max((len(own & set(words[i:j])) for i, j in spans), default=0) / len(own)
+            block = max((m["share"] for m in r["matches"] if m["label"] == label), default=0.0)
+            share = [w["share"] for w in r["wrapped"] if w["label"] == label]
+            assert share == ([best] if best >= 0.7 - 1e-9 and best > block else [])
+
+
 # --- language ID ---
 
 WORDS = {"aa": "kama tiko mana kima tako nami".split(), "bb": "stré plôx gréné brôt xplé snôr".split(), "cc": "zzyq wvvu qzzy uwvz yqqw vuzz".split()}
