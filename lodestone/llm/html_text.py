@@ -8,10 +8,11 @@ the entropy of the presentations to base m, that of content one less the mean ov
 of log(pages with the text) to base m; a node's importance is the larger one. Branches that
 enough pages have and whose importance is low are noise of the site, and go from each page.
 
+Equal pages of a host count once, so that copies of a page do not remove each other's text.
+
 What names itself goes first: navigation, asides, forms, scripts and the like by tag, and
 elements whose class or id has a word such as ad, menu or comments. A page with article or
-main elements is read from those, and their plain text elements always stay, so that copies
-of one page on a host do not remove each other.
+main elements is read from those, and their plain text elements always stay.
 
 Counts of nodes and texts are combined on the map side, so a host with a third of all pages
 is no hot key; each host's list of removed branches is as long as its templates have nodes.
@@ -188,8 +189,9 @@ def style_tree(pages: DataFrame, *, html_col: str = "html", url_col: str = "url"
         paths = Paths()
         for batch in batches:
             hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
-            out: dict[str, list] = {"host": [], "path": [], "kind": [], "value": []}
-            for host, page in zip(hosts, texts_of(batch, "html"), strict=True):
+            out: dict[str, list] = {"host": [], "path": [], "kind": [], "value": [], "share": []}
+            shares = batch.column(batch.schema.get_field_index("share")).to_pylist()
+            for host, share, page in zip(hosts, shares, texts_of(batch, "html"), strict=True):
                 nodes, blocks = parse(page.decode(), frozenset(), paths)
                 shown: dict[int, set[str]] = {}
                 for n in nodes:
@@ -197,12 +199,17 @@ def style_tree(pages: DataFrame, *, html_col: str = "html", url_col: str = "url"
                 held = {(n.path, b.text) for b in blocks for n in b.nodes if n.tag not in ("html", "body")}
                 rows = [(p, 0, _hash(*sorted(s))) for p, s in shown.items()] + [(p, 1, _hash(t)) for p, t in held]
                 out["host"] += [host] * len(rows)
+                out["share"] += [share] * len(rows)
                 for k, name in enumerate(("path", "kind", "value")):
                     out[name] += [r[k] for r in rows]
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int32() if n == "kind" else pa.int64()) for n, v in out.items()})
-
-    seen = pages.select(F.xxhash64(host_of(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host long, path long, kind int, value long")
-    counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"))
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, {"kind": pa.int32(), "share": pa.float64()}.get(n, pa.int64())) for n, v in out.items()})
+
+    rows = pages.select(F.xxhash64(host_of(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("page"))
+    # the n copies of a page count 1/n each; written for the same reason as the lists of branches
+    copies = written(rows.groupBy("host", "page").agg(F.count("*").alias("n")).where("n > 1").select(F.col("host").alias("of"), F.bitwise_not("page").alias("copied"), (1 / F.col("n")).alias("share")), "copied-pages", narrow=True)
+    rows = rows.join(copies, (F.col("host") == F.col("of")) & (F.col("page") == F.bitwise_not("copied")), "left").select("host", "html", F.coalesce("share", F.lit(1.0)).alias("share"))
+    seen = rows.mapInArrow(run, "host long, path long, kind int, value long, share double")
+    counts = seen.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("share")).cast("long").alias("k"))
     shown, k = F.col("kind") == 0, F.col("k")
     sums = counts.groupBy("host", "path").agg(
         F.sum(F.when(shown, k)).alias("pages"),

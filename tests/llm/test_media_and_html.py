@@ -96,6 +96,24 @@ def test_copies_of_a_page_keep_their_article(spark):
     assert {t for t, _ in texts(spark, rows).values()} == {"Same\ntext"}
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<article><div class="entry-content"><p>one</p><section>two</section></div></article>', "one\ntwo"),
+        ("<div>plain <span>words</span></div>", "plain words"),
+        ("<article><p><b>bold</b><p><a href=x>link</a></article>", "bold\nlink"),
+    ],
+)
+def test_copies_of_a_page_keep_wrapped_text(spark, body, text):
+    rows = [(n, f"https://one.example/{n}", f"<body>{body}</body>") for n in range(30)]
+    rows += [(100 + n, "https://two.example/p", f"<body><div id=top>Welcome</div><div id=own>Story {n % 10}</div></body>") for n in range(30)]
+    got = texts(spark, rows)
+    assert {got[n][0] for n in range(30)} == {text}
+    assert got[103][0] == "Story 3"  # ten distinct pages are enough to tell
+    few = [(n, "https://one.example/p", f"<body><div id=top>Welcome</div><div id=own>Story {n % 7}</div></body>") for n in range(30)]
+    assert texts(spark, few)[0][0] == "Welcome\nStory 0"  # seven are not
+
+
 def test_importance(spark):
     rows = [(n, "https://h/p", f"<body><div id=a>same</div><div id=b>own {n}</div></body>") for n in range(10)]
     tree = html_text.style_tree(spark.createDataFrame(rows, PAGES)).collect()
