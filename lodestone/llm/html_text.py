@@ -11,8 +11,11 @@ enough pages have and whose importance is low are noise of the site, and go from
 Equal pages of a host count once, so that copies of a page do not remove each other's text.
 
 What names itself goes first: navigation, asides, forms, scripts and the like by tag, and
-elements whose class or id has a word such as ad, menu or comments. A page with article or
-main elements is read from those, and their plain text elements always stay.
+elements of which a class, the id or the role is a word such as ad, menu or comments. Longer
+names that contain such a word are left to the style tree. Names never remove main and
+article elements or what these stand in; an article within an article is a comment or the
+like and has no such right. A page with article or main elements is read from those, and
+their plain text elements always stay.
 
 Counts of nodes and texts are combined on the map side, so a host with a third of all pages
 is no hot key; each host's list of removed branches is as long as its templates have nodes.
@@ -46,7 +49,7 @@ PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table th
 CONTENT = frozenset(["article", "main"])
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SCOPES = frozenset("ul ol dl table article section div body main aside nav footer header form".split())
-#: Words in a class or id that mark what is no part of an article.
+#: Classes, ids and roles that mark what is no part of an article.
 NOISE_WORDS = frozenset("ad ads advert advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -58,12 +61,17 @@ _WORDS = re.compile(r"[a-z]+")
 class Node:
     tag: str
     path: int
-    noise: bool
+    tagged: bool  # noise by a tag, its own or one it stands in
+    named: bool  # noise by a name
     content: bool
     free: bool  # may go as a low branch
     low: bool = False
     children: list[str] = field(default_factory=list)
 
+    @property
+    def noise(self) -> bool:
+        return self.tagged or self.named
+
 
 @dataclass
 class Block:
@@ -99,7 +107,7 @@ class Paths:
 
 def parse(page: str, low: frozenset[int], paths: Paths) -> tuple[list[Node], list[Block]]:
     """Elements in page order, and blocks outside named noise."""
-    root = Node("", 0, False, False, False)
+    root = Node("", 0, False, False, False, False)
     stack, nodes, blocks = [root], [], []
     pieces: list[str] = []
 
@@ -162,9 +170,15 @@ def parse(page: str, low: frozenset[int], paths: Paths) -> tuple[list[Node], lis
         if tag in VOID or m[3].endswith("/"):
             continue
         inside = up.content
-        content = inside or tag in CONTENT or "main" in named.split()
-        noisy = tag in NOISE or (tag == "header" and not inside) or (bool(named) and tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(_WORDS.findall(named)))
-        node = Node(tag, paths.of(up.path, name), up.noise or noisy, content, tag not in ("html", "body") and tag not in CONTENT and not (inside and tag in PLAIN))
+        names = named.split()
+        content = inside or tag in CONTENT or "main" in names
+        tagged = up.tagged or tag in NOISE or (tag == "header" and not inside)
+        if tag == "main" or (tag == "article" and not any(n.tag == "article" for n in stack)):
+            by_name = False  # nor does the name of what it stands in count
+        else:
+            by_name = tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(names)
+            by_name |= up.named and not (content and not inside)
+        node = Node(tag, paths.of(up.path, name), tagged, by_name, content, tag not in ("html", "body") and tag not in CONTENT and not (inside and tag in PLAIN))
         node.low = node.path in low
         nodes.append(node)
         stack.append(node)

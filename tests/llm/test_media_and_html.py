@@ -114,6 +114,22 @@ def test_copies_of_a_page_keep_wrapped_text(spark, body, text):
     assert texts(spark, few)[0][0] == "Welcome\nStory 0"  # seven are not
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content-sidebar-wrap"><main><article><p>text</p></article></main></div>', "text"),
+        ('<main class="has-sidebar"><p>text</p></main>', "text"),
+        ('<article class="post share-enabled"><p>text</p></article>', "text"),
+        ('<div class="sidebar">side<div><article class="share"><p>text</p></article></div></div>', "text"),
+        ('<div class="no-sidebar">text</div><div class="sidebar">side</div>', "text"),
+        ('<article><p>text</p><div class="comments"><article><p>me too</p></article></div></article>', "text"),
+        ('<nav><article>menu</article></nav><main><p>text</p><div id="Share">share</div></main>', "text"),
+    ],
+)
+def test_names_do_not_remove_articles(spark, page, text):
+    assert texts(spark, [(1, "http://h/1", f"<body>{page}</body>")])[1][0] == text
+
+
 def test_importance(spark):
     rows = [(n, "https://h/p", f"<body><div id=a>same</div><div id=b>own {n}</div></body>") for n in range(10)]
     tree = html_text.style_tree(spark.createDataFrame(rows, PAGES)).collect()
