@@ -233,11 +233,15 @@ def cuttings(asked: DataFrame, length: int, anchor: int) -> DataFrame:
                 yield int.from_bytes(shared, "little", signed=True), lo, text[lo : hi + length]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[tuple] = []
             texts = texts_of(batch, "text")
             wanted = batch.column(batch.schema.get_field_index("wanted"))
-            for text, doc, th, some in zip(texts, *_columns(batch, "doc", "th"), wanted, strict=True):
+            for text, doc, th, some in zip(texts, *(c.tolist() for c in _columns(batch, "doc", "th")), wanted, strict=True):
+                if (doc, th) in seen:  # a repeated row is the same place
+                    continue
+                seen.add((doc, th))
                 out += [(key, doc, th, lo, snippet) for w in some.as_py() for key, lo, snippet in parts(text, w)]
             for at in range(0, len(out), 20_000):
                 columns = list(zip(*out[at : at + 20_000], strict=True))
@@ -250,7 +254,8 @@ def shards(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """doc, th, b, e: the spans of bytes that the suffix arrays of the shards find."""
 
     def spans(waiting: list[tuple]) -> pa.RecordBatch:
-        waiting.sort(key=lambda w: w[:3])
+        # repeated rows may have been cut in several tasks; no two strings of a text begin at one place
+        waiting = sorted({w[:3]: w for w in waiting}.values(), key=lambda w: w[:3])
         found = repeated_strings([w[3] for w in waiting], length, keep_first)
         out: dict[str, list] = {"doc": [], "th": [], "b": [], "e": []}
         for (doc, th, lo, _), flags in zip(waiting, found, strict=True):

@@ -72,6 +72,21 @@ def test_suffixes_of_repeated_rows_and_empty_tables(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_repeated_rows_beside_a_text_that_shares_a_part(spark, keep_first):
+    rng = random.Random(2)
+    part = lambda n: "".join(rng.choices("abcdef", k=n))
+    shared, other = part(400), part(300)
+    one, two, three = part(300) + shared + part(300), part(250) + shared + part(250), other + part(50) + shared[100:]
+    rows = [(1, one), (2, two), (3, three), (4, part(50) + other)]
+    got = suffix_dedup.remove_repeats(docs(spark, [rows[0]] * 5 + [rows[1]] * 3 + rows[2:]).repartition(4), keep_first=keep_first).collect()
+    if keep_first:
+        assert {(r["doc_id"], bytes(r["kept"])) for r in got} == {(i, kept) for i, (kept, _, _) in plain.suffix_dedup(rows, 200, True).items()}
+        assert {r["n_removed"] for r in got if r["doc_id"] == 1} == {0}
+    else:
+        assert {r["doc_id"]: r["n_removed"] for r in got} == {1: len(one), 2: len(two), 3: 600, 4: 300}
+
+
 def test_cut_characters_go_from_texts(spark):
     text = "é" * 10 + "".join(random.Random(1).choices("abcdef", k=250))
     df = docs(spark, [(1, text), (2, "é" + text[10:])])
