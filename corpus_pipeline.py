@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bag_minhash import near_classes
-from lodestone.llm.common import read_table, written
+from lodestone.llm.common import ordered_id, read_table, written
 from lodestone.llm.language_id import UNDETERMINED, fit, held_out, identify
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.packing import pack_documents
@@ -36,9 +36,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(dedup_lines(docs))
 
 
+def _without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with one of the rows that repeat an id and text, the first by the other columns. Only such rows are shuffled."""
+    named = docs.withColumns({"doc": ordered_id("doc_id"), "th": F.xxhash64("text")})
+    repeated = written(named.groupBy("doc", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc", "th"), "repeated-rows", narrow=True)
+    if repeated.isEmpty():
+        return docs
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    again = named.join(repeated, ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.min(F.struct(*rest, "doc_id", "text")).alias("row"))
+    return written(named.join(repeated, ["doc", "th"], "left_anti").select(*COLUMNS).unionByName(again.select("row.*")), "distinct-rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one with the smallest id."""
-    return near_classes(docs).where("kept").select(*COLUMNS)
+    """One row of each class of near copies stays, one with the smallest id."""
+    return near_classes(_without_repeats(docs), one_text=True).where("kept").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

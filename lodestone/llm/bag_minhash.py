@@ -216,8 +216,11 @@ def across_blocks(open_: DataFrame, texts: DataFrame, size: int, similarity: flo
     return rows.groupBy("band", "i", "j").applyInArrow(lambda t: _block_links(t, size, similarity), "a long, b long")
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
-    """docs with class_id (the smallest id of the class), class_size and kept (its first row, if ids are unique)."""
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, one_text: bool = False) -> DataFrame:
+    """docs with class_id (the smallest id of the class), class_size and kept (its first row, if ids are unique).
+
+    one_text: of a class's different texts with the smallest id only one is kept.
+    """
     results = ("class_id", "class_size", "kept")
     columns = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in results}  # no name clashes, and what nobody asks for is pruned
     own = docs.select(*[F.col(c).alias(name) for c, name in columns.items()], ordered_id(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node"))
@@ -251,8 +254,12 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     classes = components(links.unionByName(more).unionByName(across))
 
     ids = firsts.join(classes, "node", "left").select("node", "doc", "copies", F.coalesce("component", "node").alias("component"))
-    sizes = ids.groupBy("component").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size")).select(F.bitwise_not("component").alias("nc"), "class_id", "class_size")
-    of_node = ids.join(sizes, F.col("component") == F.bitwise_not("nc")).select(F.bitwise_not("node").alias("nn"), "class_id", "class_size")
+    lead = [F.min(F.struct("doc", "node")).getField("node").alias("lead")] if one_text else []
+    sizes = ids.groupBy("component").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size"), *lead).select(F.bitwise_not("component").alias("nc"), "class_id", "class_size", *["lead"] * one_text)
+    of_node = ids.join(sizes, F.col("component") == F.bitwise_not("nc")).select(F.bitwise_not("node").alias("nn"), "class_id", "class_size", *["lead"] * one_text)
     out = own.withColumn("node", F.when(F.col("text").isNotNull(), F.col("node"))).join(of_node.hint("shuffle_hash"), F.col("node") == F.bitwise_not("nn"), "left")
     class_id = F.coalesce("class_id", "doc")
-    return out.select(*[F.col(name).alias(c) for c, name in columns.items()], F.nullif(class_id, F.lit(NULL_ID)).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (class_id == F.col("doc")).alias("kept"))
+    kept = class_id == F.col("doc")
+    if one_text:
+        kept &= F.coalesce(F.col("lead") == F.col("node"), F.lit(True))
+    return out.select(*[F.col(name).alias(c) for c, name in columns.items()], F.nullif(class_id, F.lit(NULL_ID)).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"))

@@ -51,6 +51,19 @@ def test_near(stages):
     assert len(set(classes.values())) < len(classes)
 
 
+def test_near_copies_of_repeated_rows(spark):
+    rng = random.Random(11)
+    a = family(rng, 1, 150, 0.01, 0)[0][1]
+    near = a + " end"
+    b, c = sentence(rng, "bb", 60), sentence(rng, "cc", 60)
+    rows = [(1, a, "zz"), (1, a, "aa"), (1, near, "aa"), (1, b, "bb"), (2, a, "aa"), (None, c, "cc"), (None, c, "cc"), (3, near, "aa"), (4, "", "aa"), (4, "", "aa")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], plain.TEXT)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), "a" if r["text"] in (a, near) else r["text"]) for r in got) == sorted([("1", "a"), ("1", b), ("None", c), ("4", "")])
+    once = corpus_pipeline.near_dedup(spark, docs.where("doc_id = 1 AND text = '" + a + "'"), "").collect()
+    assert [(r["doc_id"], r["text"], r["lang"]) for r in once] == [(1, a, "aa")]
+
+
 def test_suffixes(stages):
     expected = plain.suffix_dedup(stages[0][3], 200, True)
     assert dict(stages[0][4]) == {i: kept.decode("utf-8", "ignore") for i, (kept, _, _) in expected.items()}
