@@ -146,13 +146,43 @@ def match_two_pass(observations: DataFrame, gallery: DataFrame, s: Settings, *,
     return joined.select(obs_col, *[F.when(recovered, F.col("new").getField(c)).otherwise(F.col(c)).alias(c) for c in columns], recovered.alias("recovered"))
 
 
-def reference_consistency(gallery: DataFrame, s: Settings, *, ref_col: str = "ref_id") -> DataFrame:
-    """Of each entity with several references the pair farthest apart, the first of equals: entity_id, refs, ref_a, ref_b, worst_dist, warn."""
+def _farthest(table: pa.Table) -> pa.Table:
+    """The pair farthest apart of two blocks of an entity's references, or within one; of equals the first."""
+    refs, own = np.array(table["ref"].to_pylist(), dtype=object), table["own"].to_numpy()
+    values = table["v"].combine_chunks()
+    vectors = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    left, right = np.flatnonzero(own == table["i"][0].as_py()), np.flatnonzero(own == table["j"][0].as_py())
+    best = None
+    if len(left) and len(right):
+        dots = vectors[left] @ vectors[right].T
+        same = np.unique(refs, return_inverse=True)[1]
+        dots[same[left][:, None] == same[right][None, :]] = np.inf
+        # what a matrix product rounds differently is computed anew for the pairs that may be farthest
+        x, y = np.nonzero(dots <= dots.min() + 1e-12)
+        for at in range(0, len(x) if np.isfinite(dots.min()) else 0, 65536):
+            a, b = left[x[at : at + 65536]], right[y[at : at + 65536]]
+            exact = np.einsum("pd,pd->p", vectors[a], vectors[b])
+            for d, k, m in zip(exact.tolist(), refs[a].tolist(), refs[b].tolist(), strict=True):
+                pair = (d - 1, min(k, m), max(k, m))
+                best = pair if best is None or pair < best else best
+    rows = [] if best is None else [best]
+    return pa.table({"entity_id": table["entity_id"][: len(rows)], "d": pa.array([r[0] for r in rows], pa.float64()), "a": pa.array([r[1] for r in rows], table.schema.field("ref").type), "b": pa.array([r[2] for r in rows], table.schema.field("ref").type)})
+
+
+def reference_consistency(gallery: DataFrame, s: Settings, *, ref_col: str = "ref_id", block: int = 1024) -> DataFrame:
+    """Of each entity with several references the pair farthest apart, the first of equals: entity_id, refs, ref_a, ref_b, worst_dist, warn.
+
+    Every two blocks of an entity's references meet in one task, which returns one pair.
+    """
     g = gallery.select("entity_id", F.col(ref_col).alias("ref"), unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
-    pairs = g.alias("a").join(g.alias("b"), (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.ref") < F.col("b.ref")))
-    dist = cosine_distance(F.col("a.v"), F.col("b.v"))
-    worst = pairs.select(F.col("a.entity_id").alias("entity_id"), F.struct((-dist).alias("d"), F.col("a.ref").alias("a"), F.col("b.ref").alias("b")).alias("p")).groupBy("entity_id").agg(F.min("p").alias("p"))
     counts = g.groupBy("entity_id").agg(F.count("*").alias("refs"))
+    sizes = counts.select(F.col("entity_id").alias("of"), F.ceil(F.col("refs") / block).cast("int").alias("blocks"))
+    dealt = g.join(sizes, F.col("entity_id") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("ref"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = met.select("entity_id", "ref", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    ref = g.schema["ref"].dataType.simpleString()
+    pairs = rows.groupBy("entity_id", "i", "j").applyInArrow(_farthest, f"entity_id {g.schema['entity_id'].dataType.simpleString()}, d double, a {ref}, b {ref}")
+    worst = pairs.groupBy("entity_id").agg(F.min(F.struct("d", "a", "b")).alias("p"))
     return worst.join(counts, "entity_id").select("entity_id", "refs", F.col("p.a").alias("ref_a"), F.col("p.b").alias("ref_b"), (-F.col("p.d")).alias("worst_dist"), (-F.col("p.d") > s.reference_warn).alias("warn"))
 
 

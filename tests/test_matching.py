@@ -104,3 +104,24 @@ def test_whole_run(spark, tmp_path):
     assert (tmp_path / "result.csv").read_text("utf-8-sig").splitlines()[1] == "a;i1;d/i1.jpg"
     row = summary(out, Settings(match_threshold=0.35)).first()
     assert (row["accepted"], row["rejected"], row["review"], row["errors"]) == (1, 1, 1, 1)
+
+
+def test_farthest_references_of_a_whole_table(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("CAST(label AS STRING) AS entity_id", "vec_id AS ref_id", "embedding")
+    rows = e.collect()
+    expected = {}
+    for entity in {r["entity_id"] for r in rows}:
+        mine = sorted((r["ref_id"], r["embedding"]) for r in rows if r["entity_id"] == entity)
+        v = np.array([x for _, x in mine], float)
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        pairs = [(round(float(1 - v[i] @ v[j]), 9), mine[i][0], mine[j][0]) for i in range(len(mine)) for j in range(i + 1, len(mine))]
+        if pairs:
+            d = max(p[0] for p in pairs)
+            expected[entity] = (len(mine), d, {p[1:] for p in pairs if p[0] == d})
+    found = matching.reference_consistency(e, Settings(), block=7)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()  # blocks, no join of pairs
+    got = {r["entity_id"]: r for r in found.collect()}
+    assert got.keys() == expected.keys()
+    for entity, (refs, d, pairs) in expected.items():
+        r = got[entity]
+        assert r["refs"] == refs and abs(r["worst_dist"] - d) < 1e-8 and (r["ref_a"], r["ref_b"]) in pairs
