@@ -7,9 +7,10 @@ nodes of one as queries to the graph of the other. What leaves a task is a row f
 linked node - its links and a root - so a dense group's pairs are counted where they are found.
 Graphs are built and searched for many vectors in lockstep, so each step is a few matrix
 operations. A search is only done when its beam holds a vector below the threshold; until
-then the beam widens, so that a dense group of any size is found whole. Besides, a sample of
-queries is searched by brute force in every shard, and the beams of the whole shard widen
-until the recall audit passes. Whatever a search finds is verified in double precision.
+then the beam widens, so that a dense group of any size is found whole. Besides, queries are
+searched by brute force in every shard until AUDITED_LINKS true links, matches with
+themselves aside, were seen, and the beams of the whole shard widen until the recall of these
+passes; where links are rarer, that search was exact and is the result. Whatever a search finds is verified in double precision.
 
 Links are counted from both sides by weights, components follow from the links.
 
@@ -33,8 +34,8 @@ from lodestone.llm.components import components, smallest_reachable
 SHARD, LOCKSTEP = 4096, 512
 #: Shards whose queries one task takes.
 BLOCK = 16
-#: Audited queries of each batch, the recall they must reach, and the first width of the beams.
-AUDITED, RECALL, BEAM = 32, 0.99, 48
+#: Queries audited at a time, true links an audit must see, the recall it must reach, and the first width of the beams.
+AUDITED, AUDITED_LINKS, RECALL, BEAM = 32, 200, 0.99, 48
 
 
 def _take(values: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -154,16 +155,36 @@ class SmallWorld:
             expanded[active] = _take(np.concatenate([expanded[active], np.zeros(new.shape, bool)], axis=1), order)
         return nodes, similar
 
-    def within(self, queries: np.ndarray, least: float, audited: int = AUDITED) -> tuple[np.ndarray, np.ndarray, float]:
+    def _audit(self, queries: np.ndarray, least: float, own: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
+        """Queries, AUDITED at a time, until their true links, each query's own node aside, are as many as asked or no query is left; and those links."""
+        order = np.random.Generator(np.random.PCG64(len(queries))).permutation(len(queries))
+        parts, seen, at = [], 0, 0
+        while at < len(order) and seen < links:
+            some = order[at : at + AUDITED]
+            truth = queries[some] @ self.exact.T >= least - 1e-12
+            mine = np.flatnonzero(own[some] >= 0)
+            truth[mine, own[some[mine]]] = False
+            seen += int(truth.sum())
+            parts.append(truth)
+            at += AUDITED
+        return order[:at], np.concatenate(parts) if parts else np.zeros((0, len(self.exact)), bool)
+
+    def within(self, queries: np.ndarray, least: float, own: np.ndarray | None = None, links: int = AUDITED_LINKS) -> tuple[np.ndarray, np.ndarray, float]:
         """(query, node) of the pairs found with cosine of at least least, and the audit's recall.
 
-        Beams widen for queries whose whole beam is that close, and for all of them until the
+        own: each query's own node, which is no link, or -1. Where all queries together have
+        fewer true links than an audit asks for, the audit has searched exactly and its links
+        are the result. Else beams widen for queries whose whole beam is that close, and for all of them until the
         audit passes; a beam as wide as the graph has seen all of it.
         """
         n, width, slack = len(self.exact), min(self.beam, len(self.exact)), 1e-4
         near = queries.astype(np.float32)
-        sample = np.linspace(0, len(queries) - 1, min(audited, len(queries))).astype(int)
-        truth = queries[sample] @ self.exact.T >= least
+        own = np.full(len(queries), -1) if own is None else own
+        sample, truth = self._audit(queries, least, own, links)
+        if len(sample) == len(queries):
+            i, v = np.nonzero(truth)
+            sure = np.concatenate([np.einsum("pd,pd->p", queries[sample[i[at : at + 65536]]], self.exact[v[at : at + 65536]]) for at in range(0, len(i), 65536)] or [np.empty(0)]) >= least
+            return sample[i][sure], v[sure], 1.0
         while True:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             left, wide = np.arange(len(queries)), width
@@ -220,7 +241,9 @@ def _search_block(table: pa.Table, similarity: float) -> pa.Table:
     graph = SmallWorld(vectors[base])
     links, left, right = np.zeros(len(names), np.int64), [], []
     for at in range(0, len(asking), SHARD):
-        q, v, _ = graph.within(vectors[asking[at : at + SHARD]], similarity)
+        some = theirs[at : at + SHARD]
+        place = np.minimum(np.searchsorted(mine, some), len(mine) - 1)
+        q, v, _ = graph.within(vectors[asking[at : at + SHARD]], similarity, np.where(mine[place] == some, place, -1))
         left.append(theirs[at + q])
         right.append(mine[v])
     a, b = np.concatenate(left), np.concatenate(right)

@@ -234,6 +234,22 @@ def test_recall_in_a_graph_of_loose_vectors():
     assert len(q) >= 0.9 * truth
 
 
+def test_rare_links_are_all_found(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[600:630] = x[:30] + rng.normal(size=(30, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    # a graph that finds nothing but each query itself
+    monkeypatch.setattr(hnsw.SmallWorld, "_search", lambda self, q, layer, width, at: (np.argmax(q @ self.near.T, axis=1)[:, None].astype(np.int32), np.ones((len(q), 1), np.float32) * 0.5))
+    graph = hnsw.SmallWorld.__new__(hnsw.SmallWorld)
+    graph.exact, graph.near, graph.beam, graph.top, graph.entry = x, x.astype(np.float32), 48, 0, 0
+    q, v, recall = graph.within(x, 0.98, np.arange(len(x)))
+    truth = x @ x.T >= 0.98
+    np.fill_diagonal(truth, False)
+    assert set(zip(q.tolist(), v.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(truth)), strict=True)) and len(q) >= 60
+    assert recall == 1
+
+
 def test_documents_of_the_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = queries.op4_suffix_dedup(spark, sf)
