@@ -10,10 +10,9 @@ search is exact and shuffles no string that stands only once:
 2. Runs whose anchor all have one and the same content are repeats from end to end. Of the
    others each distinct content is taken once, cut out of its text, and dealt by anchor to
    shards; a very common anchor is split by the bytes that its strings share.
-3. A shard concatenates its cuttings in the order of the documents and sorts their strings
-   into a suffix array, five blocks deep. Longest previous factors follow from it: with the
-   previous and the next smaller position in suffix order, a string has an earlier match of
-   full length if its common prefix with one of them reaches the length.
+3. A shard concatenates its cuttings in the order of the documents and sorts their strings by
+   the hashes of five blocks, equal ones by position. Only matches of the full length count, so
+   no longest previous factors are computed: a string that equals its neighbour is a repeat.
 4. The spans found go back to their texts, which cut them out.
 
 keep_first leaves the earliest copy, by id, hash of the text and place, and removes those
