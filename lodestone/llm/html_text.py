@@ -1,35 +1,40 @@
 """HTML extraction by a site style tree.
 
-A tolerant parser turns a page into elements and blocks of text. Pages of one host share a
-tree: its nodes are paths of tags with their classes and ids. For each node the corpus gives
-the pages that have it, how they present it (the sequences of its children) and what it
-holds (the texts of the blocks below it). With m pages, the importance of presentation is
-the entropy of the presentations to base m, that of content one less the mean over the texts
-of log(pages with the text) to base m; a node's importance is the larger one. Branches that
-enough pages have and whose importance is low are noise of the site, and go from each page.
+A tolerant parser, linear in the page, turns a page into elements and blocks of text. Pages
+of one host share a tree: its nodes are paths of tags with their classes and ids. For each
+node the corpus gives the pages that have it, how they present it (the sequences of its
+children) and what it holds (the texts of the blocks below it). With m pages, the importance
+of presentation is the entropy of the presentations to base m, that of content one less the
+mean over the texts of log(pages with the text) to base m. A node's importance is the larger
+one, smoothed by PRIOR pages of importance 1, so that few pages prove little and every
+further page counts. Branches of low importance are noise of the site, and go from each page.
 
 Equal pages of a host count once, so that copies of a page do not remove each other's text.
 
-What names itself goes first: navigation, asides, forms, scripts and the like by tag, and
-elements of which a class, the id or the role is a word such as ad, menu or comments. Longer
-names that contain such a word are left to the style tree. Names never remove main and
-article elements or what these stand in; an article within an article is a comment or the
-like and has no such right. A page with article or main elements is read from those, and
-their plain text elements always stay.
+What names itself goes as well: navigation, asides, forms, scripts and the like by tag, and
+elements, inline ones too, of which a class or the id is a word such as ad, menu or comments,
+or is put together from such words and plain ones (cookie-notice, share-buttons). Longer
+names that only contain such a word (notice-period, has-sidebar) are left to the style tree.
+Names never remove main and article elements or what these stand in; an article within an
+article is a comment or the like and has no such right. A page with a main element is read
+from that; one with articles from those, unless more text stands outside them (a teaser beside
+a story). The plain text elements of main and articles are never low branches.
 
 Counts of nodes and texts are combined on the map side, so a host with a third of all pages
 is no hot key; each host's list of removed branches is as long as its templates have nodes.
 
 Defined results: a null or empty page has an empty text; a null or unreadable url is a host
-of its own; repeated rows get equal results; an empty table gives an empty table.
+of its own; repeated rows get equal results; an empty table gives an empty table; columns of
+the input named text or n_chars are replaced. Elements nested deeper than MOST_DEPTH become
+siblings there, as in browsers, and keep their text; a page is held whole by one task.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Container, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -42,49 +47,36 @@ from lodestone.llm.common import written
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg".split())
-BLOCKS = frozenset("address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-NOISE = frozenset("head nav footer aside form button select menu dialog object canvas audio video".split()) | RAW
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+BLOCKS = frozenset("address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+NOISE = frozenset("head nav footer aside form button select option optgroup datalist label fieldset legend output progress meter menu dialog object canvas audio video noscript template svg".split()) | RAW
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption".split())
-CONTENT = frozenset(["article", "main"])
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SCOPES = frozenset("ul ol dl table article section div body main aside nav footer header form".split())
-#: Classes, ids and roles that mark what is no part of an article.
-NOISE_WORDS = frozenset("ad ads advert advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Words of classes and ids that mark what is no part of an article, plain words that may stand beside them, and such roles.
+NOISE_WORDS = frozenset("ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container form global icons inner left link links list main message outer overlay page panel right section site slot top unit wrap wrapper".split())
+NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Nesting of elements, as browsers bound it.
+MOST_DEPTH = 512
+#: Pages of full importance that every node is taken to have besides its own.
+PRIOR = 25.0
+
+_SIMPLE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+([\"']?))?+|=++)")
+_VALUE = re.compile(r"[^\s>]*+")
 _WORDS = re.compile(r"[a-z]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 
 
-@dataclass
 class Node:
-    tag: str
-    path: int
-    tagged: bool  # noise by a tag, its own or one it stands in
-    named: bool  # noise by a name
-    content: bool
-    free: bool  # may go as a low branch
-    low: bool = False
-    children: list[str] = field(default_factory=list)
-
-    @property
-    def noise(self) -> bool:
-        return self.tagged or self.named
-
-
-@dataclass
-class Block:
-    text: str
-    nodes: list[Node]
+    __slots__ = ("tag", "path", "up", "tagged", "named", "content", "main", "low", "plain", "children")
 
-    @property
-    def content(self) -> bool:
-        return self.nodes[-1].content
-
-    @property
-    def low(self) -> bool:
-        return any(n.low and n.free for n in self.nodes)
+    def __init__(self, tag: str, path: int, up: Node | None) -> None:
+        self.tag, self.path, self.up = tag, path, up
+        self.tagged = self.named = self.content = self.main = self.low = self.plain = False
+        self.children: list[str] = []
 
 
 def _hash(*parts: object) -> int:
@@ -105,17 +97,86 @@ class Paths:
         return self.known[key]
 
 
-def parse(page: str, low: frozenset[int], paths: Paths) -> tuple[list[Node], list[Block]]:
-    """Elements in page order, and blocks outside named noise."""
-    root = Node("", 0, False, False, False, False)
+@lru_cache(maxsize=10_000)
+def noise_name(name: str) -> bool:
+    """Whether a class or id is put together from words of noise and plain ones alone."""
+    words = _WORDS.findall(name)
+    return any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in NEUTRAL_WORDS for w in words)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """(kind, what, attributes): text, start, empty (a start tag closed at once) and end, in page order. Comments and raw elements' contents are left out."""
+    at, n, unclosed, nothing = 0, len(page), set(), {}
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], nothing
+            return
+        if lt > at:
+            yield "text", page[at:lt], nothing
+        if m := _SIMPLE.match(page, lt):
+            tag, at = m[2].lower(), m.end()
+            yield "end" if m[1] else "start", tag, nothing
+            if tag in RAW and not m[1]:
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else n
+            continue
+        after = page[lt + 1 : lt + 2]
+        if after in "!?" or (after == "/" and not page[lt + 2 : lt + 3].isalpha()):
+            ends = (("<!--", "-->"), ("<![CDATA[", "]]>"))
+            end = next((e for b, e in ends if page.startswith(b, lt)), ">") if after else ""
+            if not after:
+                yield "text", "<", nothing
+                return
+            to = page.find(end, lt + 2)
+            at = n if to < 0 else to + len(end)
+            continue
+        closing = after == "/"
+        m = _NAME.match(page, lt + 1 + closing)
+        if not m:
+            yield "text", "<", nothing
+            at = lt + 1
+            continue
+        tag, at = m[0].lower(), m.end()
+        attributes: dict[str, str] = {}
+        while at < n and page[at] != ">":
+            m = _ATTRIBUTE.match(page, at)
+            if not m:  # white space or slashes before the end
+                at += 1
+                continue
+            at = m.end()
+            if m[1] and m[2] is not None:
+                quote, value = m[2], None
+                if quote and quote not in unclosed:
+                    if (to := page.find(quote, at)) >= 0:
+                        value, at = page[at:to], to + 1
+                    else:
+                        unclosed.add(quote)
+                if value is None:
+                    v = _VALUE.match(page, at)
+                    value, at = v[0], v.end()
+                attributes.setdefault(m[1].lower(), value)
+        if at >= n:
+            return  # the page ends within a tag
+        empty = page[at - 1] == "/" and not closing
+        at += 1
+        yield "end" if closing else "empty" if empty else "start", tag, attributes
+        if tag in RAW and not closing:
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else n
+
+
+def parse(page: str, low: frozenset[int], paths: Paths, names: bool = True) -> tuple[list[Node], list[tuple[str, Node]]]:
+    """Elements in page order, and blocks of text with the elements they stand in; neither text nor elements of noise are among the blocks."""
+    root = Node("", 0, None)
     stack, nodes, blocks = [root], [], []
     pieces: list[str] = []
 
     def flush() -> None:
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text and not stack[-1].noise:
-                blocks.append(Block(text, stack[1:] or [root]))
+            text = " ".join("".join(pieces).split())
+            if text:
+                blocks.append((text, stack[-1]))
             pieces.clear()
 
     def close(depth: int) -> None:
@@ -123,19 +184,22 @@ def parse(page: str, low: frozenset[int], paths: Paths) -> tuple[list[Node], lis
             flush()
         del stack[depth:]
 
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        pieces.append(page[at : m.start()] if m else page[at:])
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    def innermost(tags: Container[str], stop: Container[str] = ()) -> int:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                return i
+            if stack[i].tag in stop:
+                break
+        return 0
+
+    for kind, what, attributes in tokens(page):
+        if kind == "text":
+            if not (stack[-1].tagged or stack[-1].named):
+                pieces.append(html.unescape(what) if "&" in what else what)
             continue
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
+        tag = what
+        if kind == "end":
+            if depth := innermost((tag,)):
                 close(depth)
             elif tag in BLOCKS:
                 flush()
@@ -145,51 +209,46 @@ def parse(page: str, low: frozenset[int], paths: Paths) -> tuple[list[Node], lis
             continue
         if tag in BLOCKS:
             flush()
-            inner = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if inner and not any(n.tag in SCOPES for n in stack[inner:]):
-                close(inner)
-        if tag == "body":
-            head = next((i for i, n in enumerate(stack) if n.tag == "head"), 0)
-            if head:
-                close(head)
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    close(i)
-                    break
-                if stack[i].tag in SCOPES and not (tag in ("tr", "td", "th") and stack[i].tag != "table"):
-                    break
-        named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower() if "=" in m[3] else ""
+            if depth := innermost(("p",), SCOPES):
+                close(depth)
+        if tag == "body" and (depth := innermost(("head",))):
+            close(depth)
+        if tag in CLOSES and (depth := innermost(CLOSES[tag], ("table",) if tag in ("tr", "td", "th") else SCOPES)):
+            close(depth)
+        named = [x for a in ("class", "id") for x in attributes.get(a, "").lower().split()] if attributes else []
+        role = attributes.get("role", "").lower() if attributes else ""
         up = stack[-1]
-        name = f"{tag}.{' '.join(_WORDS.findall(named))}" if named else tag
+        name = f"{tag}.{' '.join(_WORDS.findall(' '.join(named)))}" if named else tag
         up.children.append(name)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in RAW or tag in VOID or kind == "empty" or len(stack) > MOST_DEPTH:
             continue
+        node = Node(tag, paths.of(up.path, name), up)
         inside = up.content
-        names = named.split()
-        content = inside or tag in CONTENT or "main" in names
-        tagged = up.tagged or tag in NOISE or (tag == "header" and not inside)
-        if tag == "main" or (tag == "article" and not any(n.tag == "article" for n in stack)):
-            by_name = False  # nor does the name of what it stands in count
-        else:
-            by_name = tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(names)
-            by_name |= up.named and not (content and not inside)
-        node = Node(tag, paths.of(up.path, name), tagged, by_name, content, tag not in ("html", "body") and tag not in CONTENT and not (inside and tag in PLAIN))
-        node.low = node.path in low
+        node.main = up.main or tag == "main" or role == "main"
+        node.content = inside or node.main or tag == "article" or role == "article"
+        node.plain = inside and tag in PLAIN
+        node.tagged = up.tagged or (names and (tag in NOISE or role in NOISE_ROLES or (not inside and (tag == "header" or "header" in named))))
+        if tag == "main" or (tag == "article" and not innermost(("article",))):
+            node.named = False  # nor does the name of what it stands in count
+        elif names:
+            node.named = tag not in ("html", "body") and any(map(noise_name, named))
+            node.named |= up.named and not (node.content and not inside)
+        free = tag not in ("html", "body", "main", "article") and not node.plain
+        node.low = up.low or (free and node.path in low)
         nodes.append(node)
         stack.append(node)
     flush()
     return nodes, blocks
 
 
-def main_text(page: str, low: frozenset[int], paths: Paths) -> str:
-    _, blocks = parse(page, low, paths)
-    explicit = any(b.content for b in blocks)
-    return "\n".join(b.text for b in blocks if (b.content or not explicit) and not b.low)
+def main_text(page: str, low: frozenset[int], paths: Paths, names: bool = True) -> str:
+    blocks = [(text, node) for text, node in parse(page, low, paths, names)[1] if not node.low]
+    inside = sum(len(text) for text, node in blocks if node.content)
+    if any(node.main for _, node in blocks):
+        blocks = [b for b in blocks if b[1].main]
+    elif inside and 2 * inside >= sum(len(text) for text, _ in blocks):
+        blocks = [b for b in blocks if b[1].content]
+    return "\n".join(text for text, _ in blocks)
 
 
 def host_of(url_col: str) -> Column:
@@ -206,12 +265,17 @@ def style_tree(pages: DataFrame, *, html_col: str = "html", url_col: str = "url"
             out: dict[str, list] = {"host": [], "path": [], "kind": [], "value": [], "share": []}
             shares = batch.column(batch.schema.get_field_index("share")).to_pylist()
             for host, share, page in zip(hosts, shares, texts_of(batch, "html"), strict=True):
-                nodes, blocks = parse(page.decode(), frozenset(), paths)
+                nodes, blocks = parse(page.decode(), frozenset(), paths, names=False)
                 shown: dict[int, set[str]] = {}
                 for n in nodes:
                     shown.setdefault(n.path, set()).add(" ".join(n.children))
-                held = {(n.path, b.text) for b in blocks for n in b.nodes if n.tag not in ("html", "body")}
-                rows = [(p, 0, _hash(*sorted(s))) for p, s in shown.items()] + [(p, 1, _hash(t)) for p, t in held]
+                held = set()
+                for text, node in blocks:
+                    t = _hash(text)
+                    while node is not None and node.tag not in ("", "html", "body"):
+                        held.add((node.path, t))
+                        node = node.up
+                rows = [(p, 0, _hash(*sorted(s))) for p, s in shown.items()] + [(p, 1, t) for p, t in held]
                 out["host"] += [host] * len(rows)
                 out["share"] += [share] * len(rows)
                 for k, name in enumerate(("path", "kind", "value")):
@@ -241,22 +305,36 @@ def style_tree(pages: DataFrame, *, html_col: str = "html", url_col: str = "url"
     )
 
 
-def extract_main_text(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", keep: tuple[str, ...] | None = None, least_pages: int = 8, importance: float = 0.2) -> DataFrame:
-    """The columns to keep (all by default), text and n_chars. Branches of at least least_pages pages below that importance go."""
+def importance_of() -> Column:
+    """Of a row of style_tree, smoothed by its pages."""
+    return (F.col("pages") * F.greatest("presentation", "content") + PRIOR) / (F.col("pages") + PRIOR)
+
+
+def extract_main_text(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", keep: tuple[str, ...] | None = None, importance: float = 0.75, names: bool = True) -> DataFrame:
+    """The columns to keep (all by default), text and n_chars. Branches below that importance go.
+
+    names: whether what names itself noise goes too; without it the style tree decides alone.
+    """
     added = {"text": T.StringType(), "n_chars": T.LongType()}
     kept = [pages.schema[c] for c in (pages.columns if keep is None else keep) if c not in added]
-    low = style_tree(pages, html_col=html_col, url_col=url_col).where((F.col("pages") >= least_pages) & (F.greatest("presentation", "content") < importance))
+    low = style_tree(pages, html_col=html_col, url_col=url_col).where(importance_of() < importance)
     # written, so that its size is known when the join is planned: small lists are broadcast, others joined
     lists = written(low.groupBy("host").agg(F.collect_list("path").alias("low")), "low-branches")
     rows = pages.select(F.struct(*[f.name for f in kept]).alias("row"), F.col(html_col).alias("html"), F.xxhash64(host_of(url_col)).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths()
+        paths, sets = Paths(), {}
         for batch in batches:
-            row = batch.column(batch.schema.get_field_index("row"))
-            texts = [main_text(page.decode(), frozenset(low or ()), paths) for page, low in zip(texts_of(batch, "html"), batch.column(batch.schema.get_field_index("low")).to_pylist(), strict=True)]
+            row, low = (batch.column(batch.schema.get_field_index(c)) for c in ("row", "low"))
+            texts = []
+            for i, (page, host) in enumerate(zip(texts_of(batch, "html"), batch.column(batch.schema.get_field_index("host")).to_pylist(), strict=True)):
+                if host not in sets:  # one for each host, while few are remembered
+                    if len(sets) > 1000:
+                        sets.clear()
+                    sets[host] = frozenset(low[i].as_py() or ())
+                texts.append(main_text(page.decode(), sets[host], paths, names))
             columns = {f.name: row.field(i) for i, f in enumerate(kept)}
             yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
     schema = T.StructType(kept + [T.StructField(k, t) for k, t in added.items()])
-    return rows.join(lists, "host", "left").select("row", "html", "low").mapInArrow(run, schema)
+    return rows.join(lists, "host", "left").select("row", "html", "host", "low").mapInArrow(run, schema)

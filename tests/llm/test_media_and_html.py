@@ -1,4 +1,9 @@
+import hashlib
+import math
+import random
+import time
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -64,6 +69,49 @@ def test_hash_is_the_cosine_transform():
     assert media.cosine_hash(samples) == np.packbits(wave > np.median(wave)).tobytes().hex()
 
 
+def test_query_against_a_plain_form(spark, sf):
+    """Every column: the file is put together from its definition, the payload is read back with zlib alone."""
+    from lodestone.llm.queries import op7_media
+
+    def plain_png(data: bytes) -> bytes:
+        rows = [data[i : i + 192] for i in range(0, len(data), 192)]
+        body = bytearray()
+        for y, row in enumerate(rows):
+            above = rows[y - 1] if y else bytes(192)
+            forms = [row, bytes((row[i] - (row[i - 3] if i >= 3 else 0)) & 255 for i in range(192)), bytes((a - b) & 255 for a, b in zip(row, above, strict=True))]
+            cost = [sum(min(b, 256 - b) for b in f) for f in forms]
+            body += bytes([cost.index(min(cost))]) + forms[cost.index(min(cost))]
+        chunk = lambda kind, x: len(x).to_bytes(4, "big") + kind + x + zlib.crc32(kind + x).to_bytes(4, "big")
+        header = (64).to_bytes(4, "big") + len(rows).to_bytes(4, "big") + b"\x08\x02\0\0\0"
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(bytes(body), 1)) + chunk(b"IEND", b"")
+
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if len(r["text"] or "") < 3000]
+    got = {r["doc_id"]: r.asDict() for r in op7_media(spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for r in rows:
+        data = (r["text"] or "").encode()
+        padded = data + b" " * (-len(data) % 192 or (0 if data else 192))
+        file = plain_png(padded)
+        mine = got[r["doc_id"]]
+        assert len(mine.pop("feature")) == 16
+        assert mine == {
+            "doc_id": r["doc_id"],
+            "n_bytes": len(data),
+            "payload_bytes": len(padded),
+            "payload_sha256": hashlib.sha256(padded).hexdigest(),
+            "tail_crc32": zlib.crc32(padded[-16:]),
+            "media_bytes": len(file),
+            "media_sha256": hashlib.sha256(file).hexdigest(),
+        }
+
+
+def test_null_ids_and_columns_with_names_of_results(spark):
+    rows = spark.createDataFrame([(None, None, "y"), (1, "", None), (1, "", "z")], "doc_id long, text string, media string")
+    out = media.media_features(media.store_texts(rows)).collect()
+    assert [(r["doc_id"], r["payload_bytes"]) for r in out] == [(None, 192), (1, 192), (1, 192)]
+    assert media.media_features(media.store_texts(rows.where("false"))).collect() == []
+
+
 # --- pages ---
 
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>site</header><nav><ul><li><a href=x>menu</a></ul></nav><div class="ad">buy</div><article><h1>Head &amp; &eacute;</h1><p><b>One\n two<br><p>Three<div class="comments"><p>me too</p></div><form><p>mail</p></form></article><aside>side</aside><footer>&copy;</footer></body></html>'
@@ -136,6 +184,118 @@ def test_importance(spark):
     assert sorted((r["pages"], round(r["presentation"], 6), round(r["content"], 6)) for r in tree) == sorted([(10, 0.0, 0.0), (10, 0.0, 0.0), (10, 0.0, 1.0)])
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p>text <span class="ad">BUY NOW</span> more</p>', "text more"),
+        ("<article><p>a <button>B</button> b <select><option>x<option>y</select> c <label>l</label> d</p></article>", "a b c d"),
+        ('<article><p>a <a class="share" href=x>share</a> b</p></article>', "a b"),
+        ('<p data-id="share">one</p><p title="see id=menu">two</p><p data-related-id="related-1">three</p>', "one\ntwo\nthree"),
+        ('<p class="notice-period">one</p><p class="cookie-notice">two</p><div id="share_buttons">three</div><p class="head ad">four', "one"),
+        ('<p>The story is long.</p><p>It goes on.</p><article class="teaser">Teaser</article>', "The story is long.\nIt goes on.\nTeaser"),
+        ("<div>aside</div><article>A story of its own</article>", "A story of its own"),
+        ("<p>long text beside it</p><main>x</main>", "x"),
+        ('<div role="navigation">menu</div><p>x<svg><text>y</text></svg>z</p><noscript>n</noscript>', "xz"),
+        ("<p>a &lt;b&gt; &am<b></b>p; < c <3", "a <b> &amp; < c <3"),
+        ('<p>x<a href="y>z</a>', "xz"),
+        ("<p>x<script>if (a</script >y<style>z", "xy"),
+        ("<table><tr><td>1<td>2<tr><td><table><tr><td>in</table>3</table>", "1\n2\nin\n3"),
+    ],
+)
+def test_what_is_noise(page, text):
+    assert html_text.main_text(page, frozenset(), html_text.Paths()) == text
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a x="', "<a x='\"", "<", "<div>", "<p>w &lt; ", "<a ", "</", "<!--", "</p>", "<div></p>", '<p class="x y">'])
+def test_broken_pages_take_linear_time(part):
+    seconds = []
+    for n in (2_000, 40_000):
+        began = time.perf_counter()
+        html_text.main_text(part * n, frozenset(), html_text.Paths())
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 60 * seconds[0] + 0.5
+
+
+def test_deep_pages_keep_their_text():
+    assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after", frozenset(), html_text.Paths()) == "deep\nafter"
+
+
+def plain_tree(pages):
+    """{path: smoothed importance} of pages given as trees: (name, children), where a child may be a text."""
+    shown, held = defaultdict(list), defaultdict(lambda: defaultdict(int))
+
+    def walk(node, path, seen, below):
+        own = (*path, node[0])
+        seen[own].add(tuple(c[0] for c in node[1] if not isinstance(c, str)))
+        texts = set()
+        for c in node[1]:
+            texts |= {c} if isinstance(c, str) else walk(c, own, seen, below)
+        below[own] |= texts
+        return texts
+
+    for page in pages:
+        seen, below = defaultdict(set), defaultdict(set)
+        walk(page, (), seen, below)
+        for path in seen:
+            shown[path].append(frozenset(seen[path]))
+            for t in below[path]:
+                held[path][t] += 1
+    out = {}
+    for path, all_shown in shown.items():
+        m = len(all_shown)
+        if m == 1:
+            presentation, content = 1.0, 1.0 if held[path] else 0.0
+        else:
+            presentation = -sum(k / m * math.log(k / m, m) for k in Counter(all_shown).values())
+            content = 1 - sum(math.log(k, m) for k in held[path].values()) / len(held[path]) if held[path] else 0.0
+        out[path] = (m * max(presentation, content) + 25) / (m + 25)
+    return out
+
+
+def test_pages_of_random_trees(spark):
+    """The whole operator against the definition of importance over known trees."""
+    rng = random.Random(5)
+
+    def tree(name, depth):
+        children = []
+        for c in rng.sample("abcd", rng.randrange(1, 4)):
+            if depth and rng.random() < 0.7:
+                children.append(tree(f"div.{c}", depth - 1))
+            elif not children or not isinstance(children[-1], str):  # texts side by side would be one block
+                children.append(f"text of {name}{c} {rng.choice(['same', rng.randrange(10**6)])}")
+        return (name, children)
+
+    def shown(node):
+        return node if isinstance(node, str) else f"<div class={node[0][4:]}>{''.join(map(shown, node[1]))}</div>"
+
+    def kept(node, path, importance):
+        own = (*path, node[0])
+        if importance[own] < 0.75:
+            return []
+        return [t for c in node[1] for t in ([c] if isinstance(c, str) else kept(c, own, importance))]
+
+    pages = [("div.top", [("div.head", ["Welcome"]), tree("div.body", 2), ("div.tail", ["All rights reserved", ("div.a", ["same"])])]) for _ in range(40)]
+    rows = [(n, "https://h/p", f"<body>{shown(p)}</body>") for n, p in enumerate(pages)]
+    importance = plain_tree(pages)
+    got = texts(spark, rows)
+    assert [got[n][0].split("\n") for n in range(40)] == [kept(p, (), importance) for p in pages]
+    assert sum(v < 0.75 for v in importance.values()) >= 3
+
+
+def test_the_tree_decides_without_names(spark):
+    """Noise in tags that say nothing, drawn from a few texts, goes by its importance alone; stories stay."""
+    rng = random.Random(3)
+    noise = [f"Offer {k} of the day" for k in range(20)]
+    rows = [(n, "https://h/p", f"<body><div><p>{rng.choice(noise)}</p></div><section><p>Story {n}</p><p>goes on {n}</p></section><div id=x>{rng.choice(noise)}</div></body>") for n in range(600)]
+    got = texts(spark, rows, names=False)
+    assert all(got[n][0] == f"Story {n}\ngoes on {n}" for n in range(600))
+
+
+def test_columns_with_names_of_results(spark):
+    rows = spark.createDataFrame([(1, None, "<p>a</p>", "old", "x")], "page_id long, url string, html string, text string, n_chars string")
+    assert [r.asDict() for r in html_text.extract_main_text(rows).collect()] == [{"page_id": 1, "url": None, "html": "<p>a</p>", "text": "a", "n_chars": 1}]
+
+
 def test_a_long_page(spark):
     body = "<p>word &lt; " * 60_000
     got = texts(spark, [(1, "http://h/1", f"<article>{body}</article>")])
