@@ -67,6 +67,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP4_SQL = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+begins AS (SELECT doc_id, n, h, unnest(range(0, n - 199, 500)) AS b FROM texts WHERE n >= 200),
+blocks AS (SELECT doc_id, b, least(500, n - 199 - b) AS m, substr(h, 2 * b + 1, 1398) AS part FROM begins),
+strings AS (SELECT doc_id, b, part, unnest(range(0, m)) AS i FROM blocks),
+hashed AS (SELECT doc_id, b + i AS s, md5(substr(part, 2 * i + 1, 400)) AS k FROM strings),
+repeated AS (SELECT k FROM hashed GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT doc_id, s, s - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS run FROM hashed JOIN repeated USING (k)),
+runs AS (SELECT doc_id, min(s) AS b, max(s) + 200 AS e FROM starts GROUP BY doc_id, run),
+edges AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runs),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR b > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b) AS span FROM edges),
+spans AS (SELECT doc_id, span, min(b) AS b, max(e) AS e FROM numbered GROUP BY doc_id, span),
+pieces AS (
+  SELECT t.doc_id, b AS until, coalesce(lag(e) OVER (PARTITION BY t.doc_id ORDER BY b), 0) AS since, h FROM spans JOIN texts t USING (doc_id)
+  UNION ALL SELECT t.doc_id, n, coalesce((SELECT max(e) FROM spans s WHERE s.doc_id = t.doc_id), 0), h FROM texts t),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (until - since)), '' ORDER BY since, until) AS k FROM pieces GROUP BY doc_id)
+SELECT t.doc_id, n::BIGINT AS n_bytes, coalesce((SELECT sum(e - b) FROM spans s WHERE s.doc_id = t.doc_id), 0)::BIGINT AS n_removed,
+       (SELECT count(*) FROM spans s WHERE s.doc_id = t.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM texts t JOIN kept USING (doc_id)
+"""
+
 OP6_SQL = """
 WITH RECURSIVE texts AS (
   SELECT text, min(doc_id) AS id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
@@ -147,4 +169,4 @@ QUERIES = {
     "op9_hnsw": op9_hnsw,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL = {"op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op4_suffix_dedup": OP4_SQL, "op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "op10_line_dedup": OP10_SQL}

@@ -7,26 +7,29 @@ search is exact and shuffles no string that stands only once:
    the smallest hash, so equal strings have equal anchors at equal places. Neighbouring
    strings with one anchor make a run; a corpus has a run for every 75 bytes or so. One
    aggregation over the anchors' hashes finds those that several runs have.
-2. Runs whose anchor all have one and the same content are repeats from end to end. Of the
-   others each distinct content is taken once, cut out of its text, and dealt by anchor to
-   shards; a very common anchor is split by the bytes that its strings share.
-3. A shard concatenates its cuttings in the order of the documents and sorts their strings by
-   the hashes of five blocks, equal ones by position. Only matches of the full length count, so
-   no longest previous factors are computed: a string that equals its neighbour is a repeat.
-4. The spans found go back to their texts, which cut them out.
+2. Runs of one anchor with one and the same content are repeats from end to end, so copies
+   are counted before anything is shuffled. Each distinct content is taken once, cut out of
+   its text, and dealt by anchor to shards.
+3. A shard concatenates its cuttings in the order of the documents and builds their suffix
+   array by doubling prefixes. The previous and next smaller positions in suffix order give
+   each position's longest previous factor; where that reaches the length, the string stands
+   earlier too, and the neighbour it shares the length with stands again.
+4. An anchor with more than HOT_RUNS distinct contents would make its shard too large. Its
+   strings are counted one by one by their hashes, in one aggregation and a join back.
+5. The spans found go back to their texts, which cut them out.
 
 keep_first leaves the earliest copy, by id, hash of the text and place, and removes those
 after it; otherwise all copies go. Rows with equal id and text count as one place for that
 order and so keep or lose the same bytes.
 
 Defined results: a null or empty text has no bytes and loses none; a null id comes after all
-others; texts shorter than the length stay whole; an empty table gives an empty table;
-columns with the names of the results are replaced, the others stay.
+others; texts shorter than the length stay whole; a very long text is hashed whole by one
+task; an empty table gives an empty table; columns with the names of the results are replaced,
+the others stay.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +41,12 @@ from pyspark.sql import types as T
 from lodestone.llm.bpe import released, text_slices, texts_of
 from lodestone.llm.common import ordered_id, text_or_empty, written
 
-#: Distinct runs from which an anchor is split, and into how many parts.
-HOT_RUNS, HOT_PARTS = 4000, 16
+#: Distinct runs from which an anchor's strings are counted one by one instead of in a shard.
+HOT_RUNS = 2000
 #: Bytes of cuttings from which a shard is sorted.
-SHARD_BYTES = 2 << 20
-#: Blocks of a string that the suffix order compares.
-BLOCKS = 5
+SHARD_BYTES = 1 << 20
+#: Bytes by which suffixes are ranked at first.
+STEP = 7
 
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INVERSE = pow(_B, -1, 1 << 64)
@@ -118,77 +121,109 @@ def runs_of(texts: list[bytes], length: int, anchor: int) -> dict[str, np.ndarra
     return {"text": text[lo], "lo": lo - base, "hi": hi - base, "off": at - lo, "ah": hashes[at].view(np.int64), "sh": sh.view(np.int64)}
 
 
-def suffix_array(block_hashes: np.ndarray, starts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """starts in suffix order, and for each but the first whether all blocks equal those before it.
+class Suffixes:
+    """The suffixes of some snippets, none of which reaches into the next, in lexicographic order.
 
-    The order is that of the blocks' hashes; equal strings stand in order of position.
+    Prefixes double: ranks by STEP bytes and the length of what is shorter give those by
+    twice as many, of which only groups that still tie are sorted. The ranks of all lengths are kept, so
+    common prefixes of any two suffixes follow from the longest length down.
     """
-    order = np.arange(len(starts))
-    for k in range(BLOCKS - 1, -1, -1):  # least significant block first: each sort is stable
-        order = order[np.argsort(block_hashes[starts[order] + k * block], kind="stable")]
-    sa = starts[order]
-    same = np.ones(max(0, len(sa) - 1), bool)
-    for k in range(BLOCKS):
-        keys = block_hashes[sa + k * block]
-        same &= keys[1:] == keys[:-1]
-    return sa, same
 
-
-def smaller_neighbours(sa: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place in suffix order, the places of the previous and of the next smaller position that share the full length, or -1.
-
-    Beyond a string that differs the common prefix is short, so only equal neighbours count; among those positions ascend.
-    """
-    rank = np.arange(len(sa))
-    previous = np.where(np.concatenate([[False], same]), rank - 1, -1)
-    previous = np.where((previous >= 0) & (sa[previous] < sa), previous, -1)
-    following = np.where(np.concatenate([same, [False]]), rank + 1, -1)
-    following = np.where((following >= 0) & (sa[np.minimum(rank + 1, len(sa) - 1)] < sa), following, -1)
-    return previous, following
+    def __init__(self, snippets: list[bytes]) -> None:
+        sizes = np.array([len(s) for s in snippets], np.int64)
+        self.data = np.frombuffer(b"".join(snippets), np.uint8)
+        n = len(self.data)
+        self.end = np.repeat(np.cumsum(sizes), sizes)
+        self.left = self.end - np.arange(n)
+        padded = np.concatenate([self.data, np.zeros(STEP, np.uint8)]).astype(np.uint64)
+        self.words = np.zeros(n, np.uint64)
+        for k in range(STEP):
+            self.words = self.words << np.uint64(8) | np.where(self.left > k, padded[k : n + k], np.uint64(0))
+        self.words = self.words << np.uint64(8) | np.minimum(self.left, STEP).astype(np.uint64)
+        order = np.argsort(self.words, kind="stable")
+        ranked = self.words[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(np.concatenate([[True], ranked[1:] != ranked[:-1]]), np.arange(n), 0)) if n else 0
+        self.ranks, width = [rank], STEP
+        longest = int(sizes.max(initial=0))
+        while width < longest:
+            tied = self._tied(rank)
+            if not len(tied):
+                break
+            more = tied + width < self.end[tied]
+            after = np.where(more, rank[np.minimum(tied + width, n - 1)].astype(np.int64) + 1, 0)
+            key = rank[tied].astype(np.int64) * (n + 1) + after
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], rank[tied][order]
+            place = np.arange(len(key))
+            group = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), place, 0))
+            part = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), place, 0))
+            rank = rank.copy()
+            rank[tied[order]] = own + (part - group)
+            self.ranks.append(rank)
+            width *= 2
+        self.order = np.argsort(rank, kind="stable")  # equal suffixes by position
+
+    @staticmethod
+    def _tied(rank: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of each two suffixes."""
+        got = np.zeros(len(i), np.int64)
+        last = len(self.data) - 1
+        for k in range(len(self.ranks) - 1, -1, -1):
+            a, b = np.minimum(i + got, last), np.minimum(j + got, last)
+            same = (i + got < self.end[i]) & (j + got < self.end[j]) & (self.ranks[k][a] == self.ranks[k][b])
+            got += np.where(same, np.minimum(STEP << k, self.left[a]), 0)
+        a, b = np.minimum(i + got, last), np.minimum(j + got, last)
+        inside = (i + got < self.end[i]) & (j + got < self.end[j])
+        apart = (self.words[a] ^ self.words[b]) >> np.uint64(8)
+        equal = STEP - np.ceil(np.log2(apart.astype(np.float64) + 1) / 8).astype(np.int64)
+        return got + np.where(inside, np.minimum(equal, np.minimum(self.left[a], self.left[b])), 0)
+
+    def smaller_neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each position the nearest smaller positions before and after it in suffix order, or -1.
+
+        A candidate that is not smaller passes on its own candidate: all between are larger still.
+        """
+        n = len(self.order)
+        out = []
+        for sa in (self.order, self.order[::-1]):
+            sa = np.concatenate([sa, [-1]])  # place -1 is smaller than all
+            at = np.arange(-1, n - 1)
+            open_ = np.flatnonzero(sa[at] > sa[:n])
+            while len(open_):
+                at[open_] = at[at[open_]]
+                open_ = open_[sa[at[open_]] > sa[open_]]
+            found = np.empty(n, np.int64)
+            found[sa[:n]] = sa[at]
+            out.append(found)
+        return out[0], out[1]
+
+    def longest_previous_factors(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the positions some: where their previous and next smaller positions are, and the lengths in common with these; the larger length is the longest previous factor."""
+        before, after = (x[some] for x in self.smaller_neighbours())
+        lengths = [np.where(x >= 0, self.common(some, np.maximum(x, 0)), 0) for x in (before, after)]
+        return before, after, lengths[0], lengths[1]
 
 
 def repeated_strings(snippets: list[bytes], length: int, keep_first: bool) -> list[np.ndarray]:
-    """For each snippet, which of its strings stand in an earlier one (keep_first) or in any other."""
-    block = length // BLOCKS
-    data = np.frombuffer(b"".join(snippets), np.uint8)
+    """For each snippet, which of its strings stand in an earlier place (keep_first) or in any other."""
     sizes = np.array([len(s) for s in snippets])
     counts = sizes - length + 1
     begin = np.cumsum(sizes) - sizes
-    starts = np.repeat(begin - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    # the last block also covers what length leaves over
-    hashes = RollingHash(data).all(block)
-    if length % BLOCKS:
-        raise ValueError(f"length must be a multiple of {BLOCKS}")
-    sa, same = suffix_array(hashes, starts, block)
-    previous, following = smaller_neighbours(sa, same)
-    hit = (previous >= 0) | (following >= 0)  # the longest previous factor reaches the length
-    if not keep_first:
-        hit |= np.concatenate([same, [False]])
-    flags = np.zeros(len(data), bool)
-    flags[sa[hit]] = True
+    suffixes = Suffixes(snippets)
+    starts = np.flatnonzero(suffixes.left >= length)
+    before, after, shared_before, shared_after = suffixes.longest_previous_factors(starts)
+    flags = np.zeros(len(suffixes.data), bool)
+    flags[starts[np.maximum(shared_before, shared_after) >= length]] = True
+    if not keep_first:  # the first copy is the smaller neighbour of the second
+        flags[before[shared_before >= length]] = True
+        flags[after[shared_after >= length]] = True
     return [flags[b : b + n] for b, n in zip(begin, counts, strict=True)]
 
 
-def longest_previous_factor(data: bytes) -> list[int]:
-    """For each position, the length of the longest substring from it that also stands at an earlier one. For short data: the plain form of what shards do."""
-    n = len(data)
-    sa = sorted(range(n), key=lambda i: data[i:])
-    previous, following, stack = [-1] * n, [-1] * n, []
-    for p in sa:
-        while stack and stack[-1] > p:
-            following[stack.pop()] = p
-        previous[p] = stack[-1] if stack else -1
-        stack.append(p)
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while j >= 0 and i + k < n and j + k < n and data[i + k] == data[j + k]:
-            k += 1
-        return k if j >= 0 else 0
-
-    return [max(common(i, previous[i]), common(i, following[i])) for i in range(n)]
-
-
 _LONG = T.LongType()
 
 
@@ -215,21 +250,8 @@ def runs(rows: DataFrame, length: int, anchor: int, placed: bool) -> DataFrame:
     return rows.select("doc", "th", "text").mapInArrow(lambda batches: released(run(batches)), _schema(*names))
 
 
-def cuttings(asked: DataFrame, length: int, anchor: int) -> DataFrame:
-    """asked: rows with text, doc, th and wanted, a list of runs. A row for each of their parts: key, doc, th, lo, snippet."""
-    width = length - anchor + 1
-
-    def parts(text: bytes, w: dict) -> Iterator[tuple[int, int, bytes]]:
-        at = w["lo"] + w["off"]
-        if w["parts"] <= 1:
-            yield w["ah"], w["lo"], text[w["lo"] : w["hi"] + length]
-            return
-        for i in range(w["parts"]):
-            r0, r1 = i * width // w["parts"], (i + 1) * width // w["parts"] - 1  # distances from string to anchor
-            lo, hi = max(w["lo"], at - r1), min(w["hi"], at - r0)
-            if lo <= hi:
-                shared = hashlib.blake2b(text[at - r0 : at - r1 + length] + bytes([i]), digest_size=8).digest()
-                yield int.from_bytes(shared, "little", signed=True), lo, text[lo : hi + length]
+def cuttings(asked: DataFrame, length: int) -> DataFrame:
+    """asked: rows with text, doc, th and wanted, a list of runs. A row for each: ah, doc, th, lo, snippet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -241,12 +263,35 @@ def cuttings(asked: DataFrame, length: int, anchor: int) -> DataFrame:
                 if (doc, th) in seen:  # a repeated row is the same place
                     continue
                 seen.add((doc, th))
-                out += [(key, doc, th, lo, snippet) for w in some.as_py() for key, lo, snippet in parts(text, w)]
+                out += [(w["ah"], doc, th, w["lo"], text[w["lo"] : w["hi"] + length]) for w in some.as_py()]
             for at in range(0, len(out), 20_000):
                 columns = list(zip(*out[at : at + 20_000], strict=True))
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.binary() if n == "snippet" else pa.int64()) for n, c in zip(("key", "doc", "th", "lo", "snippet"), columns, strict=True)})
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.binary() if n == "snippet" else pa.int64()) for n, c in zip(("ah", "doc", "th", "lo", "snippet"), columns, strict=True)})
+
+    return asked.mapInArrow(lambda batches: released(run(batches)), _schema("ah", "doc", "th", "lo", snippet=T.BinaryType()))
 
-    return asked.mapInArrow(lambda batches: released(run(batches)), _schema("key", "doc", "th", "lo", snippet=T.BinaryType()))
+
+def repeats_one_by_one(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """doc, th, b, e: the repeated strings of cuttings around very common anchors, by one aggregation over the strings' hashes: no group is gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            snippets = batch.column(batch.schema.get_field_index("snippet")).to_pylist()
+            counts = np.array([len(s) - length + 1 for s in snippets], np.int64)
+            hashes = [RollingHash(np.frombuffer(s, np.uint8)).all(length) for s in snippets]
+            ah, doc, th, lo = (np.repeat(c, counts) for c in _columns(batch, "ah", "doc", "th", "lo"))
+            at = lo + np.arange(len(lo)) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = {"ah": ah, "h": np.concatenate([*hashes, np.empty(0, np.uint64)]).view(np.int64), "doc": doc, "th": th, "b": at}
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in columns.items()})
+
+    # repeated rows may have been cut in several tasks
+    strings = written(cut.dropDuplicates(["doc", "th", "lo"]).mapInArrow(lambda batches: released(run(batches)), _schema("ah", "h", "doc", "th", "b")), "hot-strings")
+    place = F.struct("doc", "th", "b")
+    again = strings.groupBy("ah", "h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(F.bitwise_not("ah").alias("nah"), F.bitwise_not("h").alias("nh"), "first")
+    found = strings.join(again, (F.col("ah") == F.bitwise_not("nah")) & (F.col("h") == F.bitwise_not("nh")))
+    if keep_first:
+        found = found.where(place != F.col("first"))
+    return found.select("doc", "th", "b", (F.col("b") + length).alias("e"))
 
 
 def shards(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -271,7 +316,7 @@ def shards(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
         size, last = 0, None
         for batch in batches:
             snippets = batch.column(batch.schema.get_field_index("snippet")).to_pylist()
-            for key, doc, th, lo, snippet in zip(*(c.tolist() for c in _columns(batch, "key", "doc", "th", "lo")), snippets, strict=True):
+            for key, doc, th, lo, snippet in zip(*(c.tolist() for c in _columns(batch, "ah", "doc", "th", "lo")), snippets, strict=True):
                 if key != last and size >= SHARD_BYTES:
                     yield spans(waiting)
                     waiting, size = [], 0
@@ -281,7 +326,7 @@ def shards(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
         if waiting:
             yield spans(waiting)
 
-    dealt = cut.repartition("key").sortWithinPartitions("key")
+    dealt = cut.repartition("ah").sortWithinPartitions("ah")
     return dealt.mapInArrow(lambda batches: released(run(batches)), _schema("doc", "th", "b", "e"))
 
 
@@ -305,21 +350,23 @@ def repeated_spans(rows: DataFrame, length: int, keep_first: bool, anchor: int |
         firsts = alike.groupBy("ah").agg(F.min(place).alias("first")).select(F.bitwise_not("ah").alias("nah"), "first")
         alike = alike.join(firsts, F.col("ah") == F.bitwise_not("nah")).where(place != F.col("first"))
     varied = shared.where("mixed")
-    contents = varied.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "lo", "hi", "off")).alias("rep"))
+    contents = varied.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "lo", "hi")).alias("rep"))
     again = contents.where("n > 1").select(F.bitwise_not("ah").alias("nah"), F.col("sh").alias("rep_sh"), F.col("rep"))
     copies = varied.join(again, (F.col("ah") == F.bitwise_not("nah")) & (F.col("sh") == F.col("rep_sh")))
     if keep_first:
         copies = copies.where(place != F.struct("rep.doc", "rep.th", "rep.lo"))
-    hot = contents.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_RUNS).select("ah", F.lit(HOT_PARTS).alias("parts"))
-    wanted = (
-        contents.join(hot, "ah", "left")
-        .select("rep.doc", "rep.th", F.struct("ah", "rep.lo", "rep.hi", "rep.off", F.coalesce("parts", F.lit(1)).alias("parts")).alias("w"))
-        .groupBy("doc", "th")
-        .agg(F.collect_list("w").alias("wanted"))
-    )
+    hot = written(contents.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_RUNS).select(F.bitwise_not("ah").alias("nah")), "hot-anchors", narrow=True)
     texts = rows.select("doc", "th", "text")
-    found = shards(cuttings(texts.join(wanted.hint("shuffle_hash"), ["doc", "th"]), length, anchor), length, keep_first)
-    return alike.select(*whole).unionByName(copies.select(*whole)).unionByName(found)
+
+    def cut(some: DataFrame) -> DataFrame:
+        wanted = some.select("rep.doc", "rep.th", F.struct("ah", "rep.lo", "rep.hi").alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted"))
+        return cuttings(texts.join(wanted.hint("shuffle_hash"), ["doc", "th"]), length)
+
+    is_hot = F.col("ah") == F.bitwise_not("nah")
+    found = alike.select(*whole).unionByName(copies.select(*whole)).unionByName(shards(cut(contents.join(hot, is_hot, "left_anti")), length, keep_first))
+    if not hot.isEmpty():
+        found = found.unionByName(repeats_one_by_one(cut(contents.join(hot, is_hot, "left_semi")), length, keep_first))
+    return found
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:

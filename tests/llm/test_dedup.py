@@ -1,3 +1,5 @@
+import itertools
+import os
 import random
 
 import numpy as np
@@ -95,10 +97,28 @@ def test_cut_characters_go_from_texts(spark):
     assert got[2] == ""
 
 
-@pytest.mark.parametrize("data", [b"", b"a", b"aaaa", b"abracadabra", b"mississippi"])
-def test_longest_previous_factors(data):
-    expected = [max([0, *(k for j in range(i) for k in range(1, len(data) - i + 1) if data[i : i + k] == data[j : j + k])]) for i in range(len(data))]
-    assert suffix_dedup.longest_previous_factor(data) == expected
+def random_snippets(rng):
+    pool = [bytes(rng.choices(b"ab\0\xff", k=rng.randint(1, 60))) for _ in range(4)]
+    return [b"".join(rng.choice(pool) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 8))]
+
+
+@pytest.mark.parametrize("snippets", [[b"a"], [b"aaaa"], [b"abracadabra"], [b"mississippi", b"miss", b"issi"], [b"x" * 3000, b"x" * 2000], *(random_snippets(random.Random(k)) for k in range(30))])
+def test_suffix_order_and_longest_previous_factors(snippets):
+    """Order, neighbours and factors against their definitions; no suffix reaches into the next snippet."""
+    data, ends = b"".join(snippets), [e for s, e in zip(snippets, itertools.accumulate(map(len, snippets)), strict=True) for _ in s]
+    suffix = [data[i : ends[i]] for i in range(len(data))]
+    found = suffix_dedup.Suffixes(snippets)
+    order = sorted(range(len(data)), key=lambda i: (suffix[i], i))
+    assert found.order.tolist() == order
+    if len(data) > 800:  # the definition takes quadratic time
+        return
+    before, after, *lengths = (x.tolist() for x in found.longest_previous_factors(np.arange(len(data))))
+    place = {p: r for r, p in enumerate(order)}
+    common = lambda i, j: len(os.path.commonprefix([suffix[i], suffix[j]]))
+    for i in range(len(data)):
+        assert before[i] == next((j for j in order[: place[i]][::-1] if j < i), -1)
+        assert after[i] == next((j for j in order[place[i] :] if j < i), -1)
+        assert max(lengths[0][i], lengths[1][i]) == max((common(i, j) for j in range(i)), default=0)
 
 
 # --- near copies ---
