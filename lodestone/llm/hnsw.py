@@ -8,24 +8,34 @@ linked node - its links and a root - so a dense group's pairs are counted where
 Graphs are built and searched for many vectors in lockstep, so each step is a few matrix
 operations. A search is only done when its beam holds a vector below the threshold; until
 then the beam widens, so that a dense group of any size is found whole. Besides, queries are
-searched by brute force in every shard until AUDITED_LINKS true links, matches with
-themselves aside, were seen, and the beams of the whole shard widen until the recall of these
-passes; where links are rarer, that search was exact and is the result. Whatever a search finds is verified in double precision.
+drawn and searched by brute force in every shard until AUDITED_LINKS true links, matches with
+themselves aside, or MOST_AUDITED queries were seen, and the beams of the whole shard widen
+until the recall of these links passes. Where so many queries hold no link at all, none is
+missed and the audit has passed. What the audit found is part of the result; if it took every
+query, it is the result. Whatever a search finds is verified in double precision.
 
 Links are counted from both sides by weights, components follow from the links.
 
+The audits' links, and how many of them the graphs had found, come with the links
+(audited_recall sums them up).
+
 Defined results: vectors that are null, zero, hold null or non-finite components, differ in
 length from those of their shard, or have no label link with nothing and are alone; repeated
 rows count as vectors of their own; a null id is never the smallest; an empty table gives an
-empty table.
+empty table; only the id of the input's columns is kept, so names cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import NULL_ID, ordered_id, written
 from lodestone.llm.components import components, smallest_reachable
@@ -34,8 +44,23 @@ from lodestone.llm.components import components, smallest_reachable
 SHARD, LOCKSTEP = 4096, 512
 #: Shards whose queries one task takes.
 BLOCK = 16
-#: Queries audited at a time, true links an audit must see, the recall it must reach, and the first width of the beams.
-AUDITED, AUDITED_LINKS, RECALL, BEAM = 32, 200, 0.99, 48
+#: Queries audited at a time and at most, true links after which an audit has seen enough, the recall it must reach, and the first width of the beams.
+AUDITED, MOST_AUDITED, AUDITED_LINKS, RECALL, BEAM = 32, 1280, 200, 0.99, 48
+
+
+@dataclass(frozen=True)
+class Found:
+    """Pairs of a query and a node; the audit's true links, and those of them that the graph found; the beams' last width, 0 if no graph was needed."""
+
+    query: np.ndarray
+    node: np.ndarray
+    audited: int
+    hit: int
+    width: int
+
+    @property
+    def recall(self) -> float:
+        return self.hit / self.audited if self.audited else 1.0
 
 
 def _take(values: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -156,10 +181,10 @@ class SmallWorld:
         return nodes, similar
 
     def _audit(self, queries: np.ndarray, least: float, own: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
-        """Queries, AUDITED at a time, until their true links, each query's own node aside, are as many as asked or no query is left; and those links."""
+        """Queries drawn AUDITED at a time until their true links, each query's own node aside, are as many as asked, or the queries MOST_AUDITED or all; and those links."""
         order = np.random.Generator(np.random.PCG64(len(queries))).permutation(len(queries))
         parts, seen, at = [], 0, 0
-        while at < len(order) and seen < links:
+        while at < min(len(order), MOST_AUDITED) and seen < links:
             some = order[at : at + AUDITED]
             truth = queries[some] @ self.exact.T >= least - 1e-12
             mine = np.flatnonzero(own[some] >= 0)
@@ -169,54 +194,58 @@ class SmallWorld:
             at += AUDITED
         return order[:at], np.concatenate(parts) if parts else np.zeros((0, len(self.exact)), bool)
 
-    def within(self, queries: np.ndarray, least: float, own: np.ndarray | None = None, links: int = AUDITED_LINKS) -> tuple[np.ndarray, np.ndarray, float]:
-        """(query, node) of the pairs found with cosine of at least least, and the audit's recall.
+    def _exact(self, queries: np.ndarray, q: np.ndarray, v: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs whose cosine is that large in double precision."""
+        cosine = np.concatenate([np.einsum("pd,pd->p", queries[q[at : at + 65536]], self.exact[v[at : at + 65536]]) for at in range(0, len(q), 65536)] or [np.empty(0)])
+        return q[cosine >= least], v[cosine >= least]
+
+    def _beams(self, near: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that beams of that width find; a beam that is all that close widens."""
+        n, found = len(self.exact), []
+        left, wide = np.arange(len(near)), width
+        while len(left):
+            most = max(1, min(LOCKSTEP, (32 << 20) // n, (8 << 20) // (wide + 32)))
+            full = []
+            for at in range(0, len(left), most):
+                some = left[at : at + most]
+                if wide >= n:  # every node
+                    nodes = np.broadcast_to(np.arange(n, dtype=np.int32), (len(some), n))
+                    close = near[some] @ self.near.T >= least
+                else:
+                    nodes, similar = self._search(near[some], 0, wide, self._descend(near[some], 0))
+                    close = similar >= least
+                    whole = close.all(axis=1)
+                    full.append(some[whole])
+                    close &= ~whole[:, None]
+                i, j = np.nonzero(close)
+                found.append((some[i], nodes[i, j]))
+            left = np.concatenate(full) if full else left[:0]
+            wide = min(n, wide * 4)
+        return tuple(np.concatenate([f[k] for f in found] or [np.empty(0)]).astype(np.int64) for k in (0, 1))
 
-        own: each query's own node, which is no link, or -1. Where all queries together have
-        fewer true links than an audit asks for, the audit has searched exactly and its links
-        are the result. Else beams widen for queries whose whole beam is that close, and for all of them until the
-        audit passes; a beam as wide as the graph has seen all of it.
+    def within(self, queries: np.ndarray, least: float, own: np.ndarray | None = None, links: int = AUDITED_LINKS) -> Found:
+        """The pairs with cosine of at least least that are found.
+
+        own: each query's own node, which is no link, or -1. An audit that took all queries is
+        the result. Else the beams of all queries widen until the audit passes; a beam as wide
+        as the graph has seen all of it. The audit's links are among the pairs.
         """
-        n, width, slack = len(self.exact), min(self.beam, len(self.exact)), 1e-4
-        near = queries.astype(np.float32)
+        n, width = len(self.exact), min(self.beam, len(self.exact))
         own = np.full(len(queries), -1) if own is None else own
         sample, truth = self._audit(queries, least, own, links)
+        i, v = np.nonzero(truth)
+        sure, sure_v = self._exact(queries, sample[i], v, least)
         if len(sample) == len(queries):
-            i, v = np.nonzero(truth)
-            sure = np.concatenate([np.einsum("pd,pd->p", queries[sample[i[at : at + 65536]]], self.exact[v[at : at + 65536]]) for at in range(0, len(i), 65536)] or [np.empty(0)]) >= least
-            return sample[i][sure], v[sure], 1.0
+            return Found(sure, sure_v, len(sure), len(sure), 0)
+        known = np.unique(sure * n + sure_v)
+        near = queries.astype(np.float32)
         while True:
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            left, wide = np.arange(len(queries)), width
-            while len(left):
-                most = max(1, min(LOCKSTEP, (32 << 20) // n, (8 << 20) // (wide + 32)))
-                full = []
-                for at in range(0, len(left), most):
-                    some = left[at : at + most]
-                    if wide >= n:  # every node
-                        nodes = np.broadcast_to(np.arange(n, dtype=np.int32), (len(some), n))
-                        close = near[some] @ self.near.T >= least - slack
-                    else:
-                        nodes, similar = self._search(near[some], 0, wide, self._descend(near[some], 0))
-                        close = similar >= least - slack
-                        whole = close.all(axis=1)
-                        full.append(some[whole])
-                        close &= ~whole[:, None]
-                    i, j = np.nonzero(close)
-                    found.append((some[i], nodes[i, j]))
-                left = np.concatenate(full) if full else left[:0]
-                wide = min(n, wide * 4)
-            q, v = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
-            exact = np.concatenate([np.einsum("pd,pd->p", queries[q[at : at + 65536]], self.exact[v[at : at + 65536]]) for at in range(0, len(q), 65536)] or [np.empty(0)])
-            q, v = q[exact >= least], v[exact >= least]
-            hit = np.zeros(truth.shape, bool)
-            back = np.full(len(queries), -1)
-            back[sample] = np.arange(len(sample))
-            mine = back[q] >= 0
-            hit[back[q[mine]], v[mine]] = True
-            recall = (hit & truth).sum() / max(1, truth.sum())
-            if recall >= RECALL or width >= n:
-                return q, v, float(recall)
+            q, v = self._exact(queries, *self._beams(near, width, least - 1e-4), least)
+            pairs = np.unique(q * n + v)
+            hit = int(np.isin(known, pairs, assume_unique=True).sum())
+            if hit >= RECALL * len(known) or width >= n:
+                pairs = np.union1d(pairs, known)
+                return Found(pairs // n, pairs % n, len(known), hit, width)
             width = min(n, width * 2)
 
 
@@ -226,11 +255,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _search_block(table: pa.Table, similarity: float) -> pa.Table:
-    """The links between the vectors of one shard and a block of queries: for each node its links by weight, and a root that keeps it connected."""
+    """The links between the vectors of one shard and a block of queries: for each node its links by weight, and a root that keeps it connected; beside the first one the audits' counts."""
     node, weight, build = (table[c].to_numpy() for c in ("node", "weight", "build"))
     vectors = _matrix(table["vector"].combine_chunks())
     base, asking = np.flatnonzero(build), np.flatnonzero(~build)
-    empty = pa.table({c: pa.array([], pa.int64()) for c in ("node", "links", "root")})
+    empty = pa.table({c: pa.array([], pa.int64()) for c in ("node", "links", "root", "audited", "hit")})
     if not len(base) or not len(asking):
         return empty
     base, asking = base[np.argsort(node[base])], asking[np.argsort(node[asking])]
@@ -239,13 +268,14 @@ def _search_block(table: pa.Table, similarity: float) -> pa.Table:
     weights[index] = np.concatenate([weight[base], weight[asking]])
     mine, theirs = index[: len(base)], index[len(base) :]
     graph = SmallWorld(vectors[base])
-    links, left, right = np.zeros(len(names), np.int64), [], []
+    links, left, right, audits = np.zeros(len(names), np.int64), [], [], []
     for at in range(0, len(asking), SHARD):
         some = theirs[at : at + SHARD]
         place = np.minimum(np.searchsorted(mine, some), len(mine) - 1)
-        q, v, _ = graph.within(vectors[asking[at : at + SHARD]], similarity, np.where(mine[place] == some, place, -1))
-        left.append(theirs[at + q])
-        right.append(mine[v])
+        found = graph.within(vectors[asking[at : at + SHARD]], similarity, np.where(mine[place] == some, place, -1))
+        left.append(theirs[at + found.query])
+        right.append(mine[found.node])
+        audits.append((found.audited, found.hit))
     a, b = np.concatenate(left), np.concatenate(right)
     both = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))  # within the shard a link may be found from both ends
     a, b = both // len(names), both % len(names)
@@ -253,11 +283,13 @@ def _search_block(table: pa.Table, similarity: float) -> pa.Table:
     np.add.at(links, a, weights[b])
     np.add.at(links, b, weights[a])
     some = np.flatnonzero(links)
-    return pa.table({"node": names[some], "links": links[some], "root": names[smallest_reachable(a, b, len(names))[some]]})
+    counts = np.zeros((2, len(some)), np.int64)
+    counts[:, :1] = np.sum(audits, axis=0)[:, None]
+    return pa.table({"node": names[some], "links": links[some], "root": names[smallest_reachable(a, b, len(names))[some]], "audited": counts[0], "hit": counts[1]})
 
 
 def linked(nodes: DataFrame, similarity: float, shard: int = SHARD) -> DataFrame:
-    """nodes: node, label, vector (array<double>, unit), weight. node, links, root: parts of each node's links, and edges that connect what is linked.
+    """nodes: node, label, vector (array<double>, unit), weight. node, links, root, audited, hit: parts of each node's links, edges that connect what is linked, and the audits' counts.
 
     Every two shards of a label meet in one task, which counts their links for both ends;
     a task takes a shard and the queries of BLOCK shards, so that no label is too large for one.
@@ -269,21 +301,51 @@ def linked(nodes: DataFrame, similarity: float, shard: int = SHARD) -> DataFrame
     block = F.floor(F.col("own") / BLOCK).cast("int")
     queries = dealt.select("node", "label", "d", "vector", "weight", F.explode(F.sequence("own", F.col("shards") - 1)).alias("shard"), block.alias("block"), F.lit(False).alias("build"))
     builders = dealt.select("node", "label", "d", "vector", "weight", F.col("own").alias("shard"), F.explode(F.sequence(F.lit(0), block)).alias("block"), F.lit(True).alias("build"))
-    return queries.unionByName(builders).groupBy("label", "d", "shard", "block").applyInArrow(lambda t: _search_block(t, similarity), "node long, links long, root long")
+    return queries.unionByName(builders).groupBy("label", "d", "shard", "block").applyInArrow(lambda t: _search_block(t, similarity), "node long, links long, root long, audited long, hit long")
+
+
+def audited_recall(links: DataFrame) -> DataFrame:
+    """links: of linked. One row: audited and hit, the true links that audits saw and those that graphs had found, and recall, 1 if there was none."""
+    sums = links.agg(F.coalesce(F.sum("audited"), F.lit(0)).alias("audited"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"))
+    return sums.withColumn("recall", F.when(F.col("audited") > 0, F.col("hit") / F.col("audited")).otherwise(1.0))
+
+
+def vector_nodes(unit: DataFrame) -> DataFrame:
+    """unit: node, doc, label, vector. Distinct vectors: node, first (the smallest id), weight, label, vector."""
+    return unit.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+
+
+def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """id, doc, label, vector (array<double>, of length 1) and node, its 64-bit name; label and node are null for what links with nothing."""
+    rows = vectors.select(F.col(id_col).alias("id"), ordered_id(id_col).alias("doc"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, docs, labels, column = batch.columns
+            values, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            nulls = np.asarray(pc.is_null(values))
+            flat = np.where(nulls, np.nan, values.to_numpy(zero_copy_only=False)).astype(np.float64)
+            ends = np.cumsum(sizes)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            largest = np.zeros(len(sizes))
+            np.maximum.at(largest, owner, np.where(np.isfinite(flat), np.abs(flat), np.inf))
+            good = (largest > 0) & np.isfinite(largest) & np.asarray(pc.is_valid(labels))
+            flat, owner = flat[good[owner]], owner[good[owner]]
+            flat = flat / largest[owner]  # so that squares neither vanish nor overflow
+            norm = np.sqrt(np.bincount(owner, flat * flat, minlength=len(sizes)))
+            flat = flat / norm[owner] + 0.0  # -0.0 + 0.0 is 0.0: equal vectors must have equal bytes
+            offsets = np.concatenate([[0], np.cumsum(np.where(good, sizes, 0))]).astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([ids, docs, pc.if_else(pa.array(good), labels, pa.scalar(None, pa.string())), out], names=["id", "doc", "label", "vector"])
+
+    schema = T.StructType([rows.schema["id"], T.StructField("doc", T.LongType()), T.StructField("label", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, schema).withColumn("node", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vector")))
 
 
 def near_vectors(vectors: DataFrame, *, similarity: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """A row for each vector: the id, n_links, component_id and kept."""
-    wide = F.col(vector_col).cast("array<double>")
-    clean = F.coalesce(F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    largest = F.aggregate(wide, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    usable = clean & (largest > 0) & F.col(label_col).isNotNull()
-    own = vectors.select(F.col(id_col).alias("id"), ordered_id(id_col).alias("doc"), F.when(usable, F.col(label_col).cast("string")).alias("label"), F.when(usable, F.transform(wide, lambda x: x / largest)).alias("scaled"))
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
-    # -0.0 + 0.0 is 0.0: equal vectors must have equal bytes
-    unit = own.select("id", "doc", "label", F.transform("scaled", lambda x: x / norm + F.lit(0.0)).alias("vector")).withColumn("node", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vector")))
-    good = unit.where("node IS NOT NULL")
-    nodes = written(good.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector")), "nodes")
+    unit = unit_vectors(vectors, id_col, vector_col, label_col)
+    nodes = written(vector_nodes(unit), "nodes")
     links = written(linked(nodes.select("node", "label", "vector", "weight"), similarity), "links")
     counted = links.groupBy("node").agg(F.sum("links").alias("others")).withColumnRenamed("node", "a")
     classes = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -248,10 +248,10 @@ def test_recall_in_a_graph_of_loose_vectors():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    q, v, recall = hnsw.SmallWorld(x).within(x, 0.5)
+    found = hnsw.SmallWorld(x).within(x, 0.5)
     truth = int((x @ x.T >= 0.5).sum())
-    assert recall >= 0.9
-    assert len(q) >= 0.9 * truth
+    assert found.recall >= 0.9
+    assert len(found.query) >= 0.9 * truth
 
 
 def test_rare_links_are_all_found(monkeypatch):
@@ -263,13 +263,36 @@ def test_rare_links_are_all_found(monkeypatch):
     monkeypatch.setattr(hnsw.SmallWorld, "_search", lambda self, q, layer, width, at: (np.argmax(q @ self.near.T, axis=1)[:, None].astype(np.int32), np.ones((len(q), 1), np.float32) * 0.5))
     graph = hnsw.SmallWorld.__new__(hnsw.SmallWorld)
     graph.exact, graph.near, graph.beam, graph.top, graph.entry = x, x.astype(np.float32), 48, 0, 0
-    q, v, recall = graph.within(x, 0.98, np.arange(len(x)))
+    found = graph.within(x, 0.98, np.arange(len(x)))
+    q, v, recall = found.query, found.node, found.recall
     truth = x @ x.T >= 0.98
     np.fill_diagonal(truth, False)
     assert set(zip(q.tolist(), v.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(truth)), strict=True)) and len(q) >= 60
     assert recall == 1
 
 
+def test_shards_without_links_keep_narrow_beams():
+    rng = np.random.default_rng(6)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(3000, 32)), rng.normal(size=(2500, 32))))
+    found = hnsw.SmallWorld(x).within(y, 0.98)
+    assert (len(found.query), found.audited, found.recall, found.width) == (0, 0, 1.0, hnsw.BEAM)
+
+
+def test_recall_of_a_label_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "MOST_AUDITED", 64)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(900, 24))
+    x = np.concatenate([base, base[:450] + rng.normal(size=(450, 24)) * 0.1, rng.normal(size=(450, 24))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, "l", v.tolist(), 1) for i, v in enumerate(x)], "node long, label string, vector array<double>, weight long")
+    links = hnsw.linked(nodes, 0.98, 600).cache()
+    truth = int((x @ x.T >= 0.98).sum()) - len(x)
+    assert links.agg(F.sum("links")).first()[0] >= 0.9 * truth
+    recall = hnsw.audited_recall(links).first()
+    assert 0 < recall["audited"] < truth
+    assert recall["recall"] >= 0.9
+
+
 def test_documents_of_the_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = queries.op4_suffix_dedup(spark, sf)
