@@ -12,20 +12,25 @@ in a row, at most STRETCH times as many as the template has, that hold the thres
 of its distinct words. The same join finds the templates that a whole text meets; only for
 those a window slides over the places of their words.
 
-The templates are a parameter; their distinct words, which is all that is ever gathered or
-sent to the executors, are checked against a bound.
+The templates are a parameter, by default one-line notices and the texts of license_texts.txt;
+their distinct words, which is all that is ever gathered or sent to the executors, are checked
+against a bound.
 
 Besides, the places of fixed phrases are found word by word.
 
 Defined results: a null or empty text has no words and no labels; repeated rows get equal
-results; a template without words is an error.
+results; an empty table gives an empty table; a very long text is scanned whole by one task in
+linear time; input columns named as results are replaced, others with any name stay, also null
+ones; a template without words is an error.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +60,7 @@ TEMPLATES = {
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2.0",
     "This is free and unencumbered software released into the public domain": "unlicense",
 }
+TEXTS = Path(__file__).with_name("license_texts.txt")
 MOST_TEMPLATE_WORDS = 100_000
 #: Words of a stretch across line ends for each word of the template; more than one, for comment marks and small additions.
 STRETCH = 2
@@ -66,6 +72,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
+def read_templates(path: str | Path) -> dict[str, str]:
+    """The templates of a file: each text stands under a line with == and its label."""
+    parts = re.split(r"^== *(\S+) *$", Path(path).read_text(encoding="utf-8"), flags=re.M)
+    return {text.strip(): label for label, text in zip(parts[1::2], parts[2::2], strict=True)}
+
+
+def all_templates() -> dict[str, str]:
+    return TEMPLATES | read_templates(TEXTS)
+
+
 class TemplateIndex:
     """Templates with their words from the rarest in the corpus, and the inverted index of their prefixes."""
 
@@ -152,14 +168,15 @@ def phrase_places(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tupl
     joined = b" " + b" ".join(words) + b" "
     found = []
     for phrase, label in phrases.items():
-        at = joined.find(phrase)
+        at, before, word = joined.find(phrase), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
-            at = joined.find(phrase, at + 1)
+            word += joined.count(b" ", before, at)  # counted on from the place before
+            found.append((word, label))
+            at, before = joined.find(phrase, at + 1), at
     return found
 
 
-def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.9, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.9, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns to keep (all by default), n_words, n_base, first_word, last_word, base_labels, labels, score, matches and wrapped.
 
     matches: (block from 0, label, share) of every block that meets a template; wrapped: (first
@@ -173,6 +190,7 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES,
     lists = {"matches": pa.list_(pa.struct({"block": pa.int64(), "label": pa.string(), "share": pa.float64()})), "wrapped": pa.list_(pa.struct({"first": pa.int64(), "last": pa.int64(), "label": pa.string(), "share": pa.float64()}))}
     kept = [docs.schema[c] for c in (docs.columns if keep is None else keep) if c not in added]
     schema = T.StructType(kept + [T.StructField(k, t) for k, t in added.items()])
+    templates = all_templates() if templates is None else templates
     index = TemplateIndex(templates, block_frequencies(docs, template_words(templates), text_col), threshold)
     spaced = {b" " + b" ".join(words_of(p.encode())) + b" ": label for p, label in phrases.items()}
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from lodestone.llm.common import read_table
 from lodestone.llm.hnsw import near_vectors
 from lodestone.llm.html_text import extract_main_text
 from lodestone.llm.language_id import fit, held_out, identify
-from lodestone.llm.license_scan import scan_licenses
+from lodestone.llm.license_scan import PHRASES, STRETCH, all_templates, scan_licenses, words_of
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.media import media_features, store_texts
 from lodestone.llm.packing import pack_documents
@@ -67,6 +70,52 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+
+
+def license_sql(templates: Mapping[str, str], phrases: Mapping[str, str], threshold: float = 0.9) -> str:
+    """Words with their lines; places of phrases; for each template the distinct words that a line holds, and those of stretches across line ends."""
+    found = [(k, label, [w.decode() for w in words_of(text.encode())]) for k, (text, label) in enumerate(templates.items())]
+    needs = [(k, label, STRETCH * len(words), max(1, math.ceil(threshold * len(set(words)) - 1e-9)), len(set(words))) for k, label, words in found]
+    rows = lambda some: ", ".join(map(repr, some))
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, pos, '{label}' AS label FROM ahead WHERE " + " AND ".join(f"w{i} = '{w}'" for i, w in enumerate(phrase.split())) for phrase, label in phrases.items()
+    )
+    return f"""
+WITH templates(k, label, longest, need, size) AS (VALUES {rows(needs)}),
+template_words(k, w) AS (VALUES {rows((k, w) for k, _, words in found for w in sorted(set(words)))}),
+lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+in_lines AS (
+  SELECT doc_id, n, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+    SELECT doc_id, n, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM lines)),
+words AS (SELECT doc_id, n, w, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS pos FROM in_lines),
+ahead AS (
+  SELECT doc_id, pos, w AS w0, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2, lead(w, 3) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+places AS ({places}),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+hits AS (SELECT doc_id, n, pos, k, w FROM words JOIN template_words USING (w)),
+held AS (SELECT doc_id, k FROM hits JOIN templates USING (k) GROUP BY doc_id, k, need HAVING count(DISTINCT w) >= need),
+near AS (SELECT h.* FROM hits h JOIN held USING (doc_id, k)),
+in_line AS (SELECT doc_id, k, n, count(DISTINCT w) AS c FROM near GROUP BY doc_id, k, n),
+last_places AS (
+  SELECT a.doc_id, a.k, a.pos, a.n, b.w, max(b.pos) AS p, max(b.n) AS line
+  FROM near a JOIN templates USING (k) JOIN near b ON a.doc_id = b.doc_id AND a.k = b.k AND b.pos <= a.pos AND b.pos > a.pos - longest GROUP BY ALL),
+across AS (SELECT doc_id, k, pos, count(*) AS c FROM last_places GROUP BY doc_id, k, pos, n HAVING min(line) < n),
+met AS (
+  SELECT doc_id, k, max(c) AS c FROM (SELECT doc_id, k, c FROM in_line UNION ALL SELECT doc_id, k, c FROM across) JOIN templates USING (k) WHERE c >= need GROUP BY doc_id, k),
+labels AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+    SELECT doc_id, label FROM met JOIN templates USING (k) UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id),
+scores AS (SELECT doc_id, max(c / size) AS score FROM met JOIN templates USING (k) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score
+FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN scores USING (doc_id)
+"""
+
+
+OP3_SQL = license_sql(all_templates(), PHRASES)
+
 OP4_SQL = """
 WITH texts AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
@@ -169,4 +218,4 @@ QUERIES = {
     "op9_hnsw": op9_hnsw,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL = {"op4_suffix_dedup": OP4_SQL, "op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op3_license_scan": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "op10_line_dedup": OP10_SQL}

@@ -1,16 +1,21 @@
 import base64
 import hashlib
 import random
+import textwrap
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, language_id, license_scan, packing
-from lodestone.llm.queries import op1_language_id
+from lodestone.llm.queries import OP3_SQL, op1_language_id, op3_license_scan
+from tests.compare import same
 from tests.llm import plain
 
 ODD = [None, "", " \n ", "x", "a  b　c   d\u0085e", "Don't we'LL <|endoftext|> ½ ٣ 中文 é é", "é" * 3000 + " end " * 2000, "\U0001f600 ​﻿", "line\nline\r\nline"]
@@ -204,6 +209,48 @@ def test_stretches_are_exact(spark):
             assert share == ([best] if best >= 0.7 - 1e-9 and best > block else [])
 
 
+def test_full_license_texts_are_found_wrapped_and_commented(spark):
+    templates = license_scan.all_templates()
+    texts = ["\n".join(f" * {x}" for x in textwrap.wrap(t, 72)) for t in templates]
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan_licenses(docs(spark, ["before\n" * 30 + t + "\nafter" * 30 for t in texts]), keep=("doc_id",)).collect()}
+    assert all(label in got[i] for i, label in enumerate(templates.values()))
+
+
+def test_license_sql_on_notices(spark, tmp_path):
+    """The query against its SQL where every template stands, whole, wrapped and with words missing."""
+    rng = random.Random(8)
+    texts = [None, ""]
+    for t in license_scan.all_templates():
+        words = t.split()
+        for share in (0.0, 0.05, 0.2):
+            left = [w for w in words if rng.random() >= share]
+            texts.append("\n".join(["x y z", *textwrap.wrap(" ".join(left), rng.choice([30, 72, 10_000])), "cc by"][: rng.randint(2, 40)]))
+    docs(spark, texts).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    files = tmp_path / "flat"
+    files.mkdir()
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())}), files / "documents.parquet")
+    got = op3_license_scan(spark, str(tmp_path))
+    same(got, OP3_SQL, str(files))
+    assert got.where("labels <> ''").count() > 30
+
+
+def test_phrases_take_linear_time():
+    spaced = {b" cc by ": "cc-by", b" mit license ": "mit"}
+    words = license_scan.words_of(b"cc by mit license " * 500_000)
+    began = time.perf_counter()
+    found = license_scan.phrase_places(words, spaced)
+    assert time.perf_counter() - began < 20
+    assert len(found) == 1_000_000
+    assert found[:2] == [(0, "cc-by"), (4, "cc-by")]
+    assert found[-1] == (1_999_998, "mit")
+
+
+def test_license_columns_with_names_of_results(spark):
+    rows = spark.createDataFrame([(None, "mit license", "old", 7.5), (1, None, None, None)], "doc_id long, text string, labels string, score double")
+    got = sorted(((str(r["doc_id"]), r["labels"], r["score"]) for r in license_scan.scan_licenses(rows).collect()))
+    assert got == [("1", "", 0.0), ("None", "mit", 1.0)]
+
+
 # --- language ID ---
 
 WORDS = {"aa": "kama tiko mana kima tako nami".split(), "bb": "stré plôx gréné brôt xplé snôr".split(), "cc": "zzyq wvvu qzzy uwvz yqqw vuzz".split()}
