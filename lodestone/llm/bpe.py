@@ -6,11 +6,14 @@ decoding joins the tokens' bytes again, also where a character lies in several t
 
 Texts are cut before single spaces that stand before a visible character: no match of the
 splitting pattern reaches over such a space, so the pieces have the ids that they have in
-the whole text, and each distinct piece is encoded once while a worker remembers it. What
-it remembers is bounded, and forgetting changes no result.
+the whole text, and each distinct piece is encoded once while a worker remembers it. New
+pieces are encoded together and told apart by the byte offsets of their tokens. What is
+remembered is bounded, and forgetting changes no result.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; strings of
-special tokens are ordinary text; other columns stay, those named as results are replaced.
+special tokens are ordinary text; repeated rows get equal results; an empty table gives an
+empty table; a very long text is held whole by one task; other columns stay, those named as
+results are replaced (an id column of such a name is an error).
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced  # a piece after the first begins with its space
+        if spaced:
+            self.sizes = np.array([len(t) for t in token_bytes(tokenizer_path)], np.int64)
         self.heads: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = self.heads if not spaced else {}
 
@@ -55,9 +60,26 @@ class PieceEncoder:
             new = list(pieces)
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast([before + p.decode() for p in some], add_special_tokens=False), strict=True):
+            if before:
+                self._learn_together(some, known)
+                continue
+            for piece, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
                 known[piece] = np.array(e.ids, "<u4").tobytes()
 
+    def _learn_together(self, pieces: list[bytes], known: dict[bytes, bytes]) -> None:
+        """Pieces after a space, as one text: their tokens are told apart by where they end."""
+        text = b" " + b" ".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum([len(p) + 1 for p in pieces])
+        last = np.searchsorted(ends, wanted)
+        if len(last) and not np.array_equal(ends[np.minimum(last, len(ends) - 1)], wanted):
+            raise RuntimeError("a token reaches over a piece's end")
+        begin = 0
+        for piece, end in zip(pieces, (4 * (last + 1)).tolist(), strict=True):
+            known[piece] = ids.data[begin // 4 : end // 4].tobytes()
+            begin = end
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         cut = [self._cut(t) for t in texts]
@@ -210,11 +232,16 @@ def decode_ids(encoded: DataFrame, *, tokenizer_path: str, ids_col: str = "ids")
 
 
 def round_trip(docs: DataFrame, *, tokenizer_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids, and of the bytes that the rank table gives for them."""
+    """(id, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids, and of the bytes that the reversed byte table gives for them.
+
+    ranks_path: a tiktoken file that must give every id of the tokenizer's file the same bytes.
+    """
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, table = encoder(tokenizer_path), token_bytes(ranks_path)
+        enc, table, ranks = encoder(tokenizer_path), token_bytes(tokenizer_path), token_bytes(ranks_path)
+        if table[: len(ranks)] != ranks:
+            raise ValueError("the tokenizer's file and the ranks differ")
         decimal = [str(i) for i in range(len(table))]
         for batch in batches:
             counts, sums, back = [], [], []

@@ -14,12 +14,17 @@ A partition packs its own documents in groups of bounded size, so nothing is shu
 lost task packs the same sequences again. Sequence ids hold the partition's number in their
 upper bits.
 
+Strings of special tokens in a text are ordinary text, so that no text can forge an end;
+with special_literals they become the special ids, as in the library's plain call.
+
 Defined results: a null or empty text is the end id alone; repeated rows are packed one by
-one; an empty table gives no sequences; extra columns are dropped unless named.
+one, also with null ids; an empty table gives no sequences; extra columns are dropped unless
+named, and those named as results are replaced; a very long text is encoded whole by one task.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -44,17 +49,38 @@ _NOT_PLAIN = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ÿ]")
 _PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
+#: The normaliser and splitter of tokenizer files whose plain texts may be split here.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(tokenizer_path: str) -> bool:
+    """Whether the file lower-cases, drops white space and splits words as this module does."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        file = json.load(f)
+    before, after = file.get("normalizer") or {}, (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = {"truncation": None, "padding": None, "post_processor": None}
+    if before.get("normalizers") != _NORMALIZERS or len(after) != 2 or any(file.get(k) != v for k, v in plain.items()):
+        return False
+    split, bytes_ = after
+    return split == {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True} and bytes_.get("type") == "ByteLevel" and not bytes_.get("use_regex") and not bytes_.get("add_prefix_space")
+
+
 class WordEncoder:
-    """Ids of a tokenizer that lower-cases, drops white space and ends words with a suffix.
+    """Ids of a tokenizer.
 
-    Texts of plain characters are split here and each distinct piece goes through the
-    tokenizer's model once while it is remembered; other texts go through the whole tokenizer.
+    If its file is one that lower-cases, drops white space and ends words with a suffix, texts of plain
+    characters are split here and each distinct piece goes through the tokenizer's model once
+    while it is remembered. Other texts, and all texts of other files, go through the whole tokenizer.
     """
 
     REMEMBERED = 250_000
 
-    def __init__(self, tokenizer_path: str) -> None:
+    def __init__(self, tokenizer_path: str, special_literals: bool = False) -> None:
         self.whole = PieceEncoder(tokenizer_path, spaced=False)
+        self.known_kind = splits_words(tokenizer_path)
+        self.literals = [t.content for t in self.whole.tokenizer.get_added_tokens_decoder().values()] if special_literals else []
+        self.whole.tokenizer.encode_special_tokens = not special_literals
         self.model = self.whole.tokenizer.model
         self.character = {b: c for c, b in byte_characters().items()}
         self.known: dict[str, bytes] = {}
@@ -67,6 +93,9 @@ class WordEncoder:
         known, out = self.known, []
         for text in texts:
             shown = text.decode()
+            if not self.known_kind or any(x in shown for x in self.literals):
+                out.append(np.array(self.whole.tokenizer.encode(shown, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             if _NOT_PLAIN.search(shown):
                 out += self.whole.encode([text])
                 continue
@@ -81,14 +110,15 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def word_encoder(tokenizer_path: str) -> WordEncoder:
+def word_encoder(tokenizer_path: str, special_literals: bool = False) -> WordEncoder:
     """One for each worker process."""
-    if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-    return _encoders[tokenizer_path]
+    key = (tokenizer_path, special_literals)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(tokenizer_path, special_literals)
+    return _encoders[key]
 
 
 def best_subset(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -191,7 +221,7 @@ class Packer:
                     at, left = 0, sizes[k] if k < len(sizes) else 0
 
 
-def pack_documents(docs: DataFrame, *, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, *, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = True, special_literals: bool = False) -> DataFrame:
     """A row for each piece: the id, columns to keep, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids.
 
     capacity is a power of two, so that full windows need no padding either.
@@ -204,7 +234,7 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str, capacity: int = 4096
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(tokenizer_path)
+        enc = word_encoder(tokenizer_path, special_literals)
         rows: dict[str, list] = {c: [] for c in schema.names}
 
         def emit(row: tuple, start: int, ids: np.ndarray, sequence: int, offset: int, doc_tokens: int) -> None:

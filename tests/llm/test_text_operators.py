@@ -1,8 +1,11 @@
 import base64
 import hashlib
+import json
 import random
 import textwrap
 import time
+import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, language_id, license_scan, packing
-from lodestone.llm.queries import OP3_SQL, op1_language_id, op3_license_scan
+from lodestone.llm.queries import OP3_SQL, op1_language_id, op2_packing, op3_license_scan
 from tests.compare import same
 from tests.llm import plain
 
@@ -112,6 +115,50 @@ def test_packing_keeps_every_id_and_pads_little(spark):
     assert packing.pack_documents(docs(spark, []), tokenizer_path=public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_query_against_a_plain_form(spark, sf):
+    """Every column of the query: ids by the tokenizers library alone, layout and padding by sequence."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op2_packing(spark, sf).collect()
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(pieces) == set(texts)
+    for i, parts in pieces.items():
+        ids, at = np.array([*tk.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4"), 0
+        for r in sorted(parts, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : at].tobytes())
+        assert at == len(ids)
+    short = 0
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 4096 and at & (at - 1) == 0  # a power of two: no padding
+        short += at < 4096
+    partitions = len({s >> packing.PER_PARTITION for s in sequences})
+    assert short <= 12 * partitions  # of each partition one for each smaller power of two at most
+
+
+def test_packing_with_other_tokenizers_literals_and_odd_rows(spark, tmp_path):
+    file = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    file["normalizer"] = {"type": "NFC"}  # keeps capitals
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    other = Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert np.frombuffer(packing.WordEncoder(str(tmp_path / "other.json")).encode([b"Some TEXT"])[0], "<u4").tolist() == other.encode("Some TEXT", add_special_tokens=False).ids
+    path, text = public_tokenizers.path("word_bpe_49k.json"), "a <|endoftext|> B<|startoftext|>"
+    own = Tokenizer.from_file(path)
+    assert np.frombuffer(packing.WordEncoder(path, special_literals=True).encode([text.encode()])[0], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    assert 49407 not in np.frombuffer(packing.WordEncoder(path).encode([text.encode()])[0], "<u4")
+    rows = spark.createDataFrame([(None, "a b", 7), (None, "a b", 7), (3, None, 8)], "doc_id long, text string, offset long")
+    out = packing.pack_documents(rows, tokenizer_path=path, capacity=4, keep=("offset",)).collect()
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in out if r["start"] == 0) == [("3", 1), ("None", 3), ("None", 3)]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_subset_sum_is_the_best(seed):
     rng = random.Random(seed)
