@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Before these bytes a space begins a match: visible ASCII, and first bytes of characters that are no white space.
 _UNSAFE = re.compile(rb" (?![!-~\xc3-\xe0\xe4-\xf4])")
+#: Marks that end a match of letters before them and begin one of their own.
+_MARKS = b",.;:!?"
 _SAFE = re.compile(rb" (?=[!-~\xc3-\xe0\xe4-\xf4])")
 
 
@@ -51,20 +53,30 @@ class PieceEncoder:
         if spaced:
             self.sizes = np.array([len(t) for t in token_bytes(tokenizer_path)], np.int64)
         self.heads: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = self.heads if not spaced else {}
 
-    def _learn(self, pieces: set[bytes], known: dict[bytes, bytes], before: str) -> None:
-        new = [p for p in pieces if p not in known]
+    def _learn(self, pieces: set[bytes], known: dict[bytes, bytes], together: bool) -> None:
+        new = pieces.difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            if before:
+            new = pieces
+        stems = new
+        if together:  # between a letter and such marks a match ends: the stem and the marks have ids of their own
+            marked = {p: len(stem) for p in new if p[-1:] in _MARKS and (stem := p.rstrip(_MARKS))[-1:].isalpha()}
+            stems = ({p[: marked[p]] if p in marked else p for p in new}).difference(known)
+            self._learn({p[n:] for p, n in marked.items()}, self.marks, False)
+        stems = list(stems)
+        for at in range(0, len(stems), 128):
+            some = stems[at : at + 128]
+            if together:
                 self._learn_together(some, known)
                 continue
             for piece, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
                 known[piece] = np.array(e.ids, "<u4").tobytes()
+        if together:
+            for p, n in marked.items():
+                known[p] = known[p[:n]] + self.marks[p[n:]]
 
     def _learn_together(self, pieces: list[bytes], known: dict[bytes, bytes]) -> None:
         """Pieces after a space, as one text: their tokens are told apart by where they end."""
@@ -84,10 +96,10 @@ class PieceEncoder:
         """The ids of each text."""
         cut = [self._cut(t) for t in texts]
         if self.spaced:
-            self._learn({c[0] for c in cut if c}, self.heads, "")
-            self._learn(set().union(*(c[1:] for c in cut)), self.tails, " ")
+            self._learn({c[0] for c in cut if c}, self.heads, False)
+            self._learn(set().union(*(c[1:] for c in cut)), self.tails, True)
         else:
-            self._learn(set().union(*cut), self.heads, "")
+            self._learn(set().union(*cut), self.heads, False)
         heads, tails = self.heads, self.tails
         return [heads[c[0]] + b"".join(map(tails.__getitem__, c[1:])) if c else b"" for c in cut]
 
