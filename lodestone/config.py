@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from contextlib import suppress
 from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import Any
@@ -71,18 +72,25 @@ class Settings:
         return min(self.detector_threshold, self.rescue_threshold)
 
 
-_QUALITY_FIELDS = ("min_side", "max_yaw", "max_pitch", "max_roll", "eye_ratio_min", "blur_threshold", "max_clipped", "top_margin", "side_margin", "bottom_margin", "guard_base", "guard_min", "guard_max")
-_SEARCH_FIELDS = ("tiles", "tile_size", "tile_overlap", "tile_trigger", "rescue_threshold", "rescue_max_candidates")
-#: Quality presets and search modes.
+#: What quality presets and search modes set.
 QUALITY = {
-    "soft": (35, 55.0, 45.0, 45.0, 0.080, 25.0, 0.70, 0.12, 0.05, 0.02, 0.012, 0.006, 0.035),
-    "normal": (45, 45.0, 35.0, 35.0, 0.105, 45.0, 0.55, 0.18, 0.07, 0.03, 0.020, 0.008, 0.050),
-    "strict": (65, 30.0, 25.0, 25.0, 0.125, 75.0, 0.35, 0.24, 0.10, 0.05, 0.030, 0.012, 0.065),
+    "soft": {
+        "min_side": 35, "max_yaw": 55.0, "max_pitch": 45.0, "max_roll": 45.0, "eye_ratio_min": 0.080, "blur_threshold": 25.0, "max_clipped": 0.70,
+        "top_margin": 0.12, "side_margin": 0.05, "bottom_margin": 0.02, "guard_base": 0.012, "guard_min": 0.006, "guard_max": 0.035,
+    },
+    "normal": {
+        "min_side": 45, "max_yaw": 45.0, "max_pitch": 35.0, "max_roll": 35.0, "eye_ratio_min": 0.105, "blur_threshold": 45.0, "max_clipped": 0.55,
+        "top_margin": 0.18, "side_margin": 0.07, "bottom_margin": 0.03, "guard_base": 0.020, "guard_min": 0.008, "guard_max": 0.050,
+    },
+    "strict": {
+        "min_side": 65, "max_yaw": 30.0, "max_pitch": 25.0, "max_roll": 25.0, "eye_ratio_min": 0.125, "blur_threshold": 75.0, "max_clipped": 0.35,
+        "top_margin": 0.24, "side_margin": 0.10, "bottom_margin": 0.05, "guard_base": 0.030, "guard_min": 0.012, "guard_max": 0.065,
+    },
 }
 SEARCH = {
-    "fast": (False, 1400, 0.18, 1600, 0.12, 40),
-    "enhanced": (True, 1400, 0.20, 1600, 0.10, 80),
-    "maximum": (True, 1000, 0.24, 1200, 0.08, 120),
+    "fast": {"tiles": False, "tile_size": 1400, "tile_overlap": 0.18, "tile_trigger": 1600, "rescue_threshold": 0.12, "rescue_max_candidates": 40},
+    "enhanced": {"tiles": True, "tile_size": 1400, "tile_overlap": 0.20, "tile_trigger": 1600, "rescue_threshold": 0.10, "rescue_max_candidates": 80},
+    "maximum": {"tiles": True, "tile_size": 1000, "tile_overlap": 0.24, "tile_trigger": 1200, "rescue_threshold": 0.08, "rescue_max_candidates": 120},
 }
 #: Ranges of what a user may enter.
 RANGES = {"match_threshold": (0.05, 1.0), "ambiguity_margin": (0.0, 0.5), "detector_threshold": (0.05, 0.8)}
@@ -102,7 +110,7 @@ def number(name: str, value: object) -> float:
 
 def settings_for(quality: str = "normal", search: str = "enhanced", **entered: object) -> Settings:
     """Settings of presets, with entered numbers checked and switches taken over."""
-    base = replace(Settings(), **dict(zip(_QUALITY_FIELDS, QUALITY[quality], strict=True)), **dict(zip(_SEARCH_FIELDS, SEARCH[search], strict=True)))
+    base = replace(Settings(), **QUALITY[quality], **SEARCH[search])
     chosen = replace(base, **{k: number(k, v) if k in RANGES else v for k, v in entered.items()})
     return replace(chosen, rescue_threshold=min(chosen.detector_threshold, chosen.rescue_threshold))
 
@@ -111,13 +119,12 @@ VERSION = 1
 
 
 def load_values(path: str | Path) -> dict[str, Any]:
-    """The values saved; nothing of a file that is missing, unreadable or of another version."""
-    try:
-        saved = json.loads(Path(path).read_text(encoding="utf-8"))
-    except (OSError, ValueError):
-        return {}
-    values = saved.get("values") if isinstance(saved, dict) and saved.get("version") == VERSION else None
-    return values if isinstance(values, dict) else {}
+    """The values saved; none where the file does not hold this version's record of them."""
+    with suppress(OSError, ValueError):
+        match json.loads(Path(path).read_bytes()):
+            case {"version": version, "values": dict(values)} if version == VERSION:
+                return values
+    return {}
 
 
 def save_values(values: dict[str, Any], path: str | Path) -> None:

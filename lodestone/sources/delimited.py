@@ -35,21 +35,26 @@ BEST = {
     "source": "Источник",
 }
 REPORT = {"row_number": "Строка CSV", "entity": "Цель", "source": "Исходный файл/номер", "status": "Статус", "detail": "Результат/причина"}
+#: How a report names what became of a row.
+STATUSES = {"copied": "скопировано", "skipped": "пропущено", "error": "ошибка", "cancelled": "отменено"}
 DECIMALS = {"blur_score": 2}
 
 
 def delimiter(sample: str) -> str:
-    return ";" if sample.count(";") >= sample.count(",") else ","
+    """The more frequent of both; of equals the semicolon."""
+    return max(";,", key=sample.count)
+
+
+def _plain(header: str) -> str:
+    return " ".join(header.split()).casefold()
 
 
 def find_column(header: Sequence[str], names: Sequence[str], fallback: int | None = None) -> int | None:
     """The place of the first name that the header has, without regard to case and white space; else the fallback, if there is such a column."""
-    plain = lambda s: " ".join(s.casefold().split())
-    places = [plain(h) for h in header]
-    for name in names:
-        if plain(name) in places:
-            return places.index(plain(name))
-    return fallback if fallback is not None and fallback < len(header) else None
+    places = {_plain(h): i for i, h in reversed(list(enumerate(header)))}
+    known = [places[n] for n in map(_plain, names) if n in places]
+    spare = [] if fallback is None else range(len(header))[fallback : fallback + 1]
+    return next(iter([*known, *spare]), None)
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
@@ -124,3 +129,10 @@ def write_single(df: DataFrame, path: str | Path, headers: dict[str, str], order
         except BaseException:
             os.unlink(f.name)
             raise
+
+
+def write_report(outcomes: DataFrame, path: str | Path) -> None:
+    """outcomes: row_number, entity, source, status and detail, as copying gives them, also where it was cancelled."""
+    status = F.col("status")
+    named = F.coalesce(*[F.when(status == k, F.lit(v)) for k, v in STATUSES.items()], status)
+    write_single(outcomes.withColumn("status", named), path, REPORT, ("row_number",))

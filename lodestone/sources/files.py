@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import base_name, camera_time, folder, sequence_number, sequence_prefix, stem, suffix
 
 #: Suffixes of files that are certainly no images.
-SKIPPED = ".csv .txt .json .xml .yaml .yml .ini .log .md .py .pyw .bat .cmd .ps1 .exe .dll .zip .7z .rar .pdf .doc .docx .xls .xlsx .xmp".split()
+SKIPPED = (
+    ".csv", ".txt", ".json", ".xml", ".yaml", ".yml", ".ini", ".log", ".md",
+    ".py", ".pyw", ".bat", ".cmd", ".ps1", ".exe", ".dll", ".zip", ".7z",
+    ".rar", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".xmp",
+)
 
 
 def image_like(path: Column) -> Column:
     """Neither hidden nor of a suffix that is certainly no image; unknown suffixes stay."""
-    return ~base_name(path).startswith(".") & ~suffix(path).isin(SKIPPED)
+    return ~base_name(path).startswith(".") & ~suffix(path).isin(*SKIPPED)
 
 
 def candidates(listing: DataFrame, *, recursive: bool = True) -> DataFrame:

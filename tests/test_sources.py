@@ -1,11 +1,12 @@
 import codecs
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import inner_path, sequence_number, sequence_prefix, stem
-from lodestone.operators.collect import copy_file, copy_files, copy_plan, folder_names, resolve
-from lodestone.sources.delimited import ACCEPTED, delimiter, find_column, read_manifest, write_delimited, write_single
+from lodestone.operators.collect import copy_file, copy_files, copy_plan, copy_summary, folder_names, resolve, unique_names
+from lodestone.sources.delimited import ACCEPTED, delimiter, find_column, read_manifest, write_delimited, write_report, write_single
 from lodestone.sources.files import candidates, list_files
 
 
@@ -99,6 +100,62 @@ def test_folder_names(spark, names, folders):
     assert {r["entity"]: r["folder"] for r in got} == folders
 
 
+def plain_unique(rows, taken=()):
+    """In order of place each (id, scope, name, end, place) takes the first free of name, name (2), name (3), ..."""
+    held = {(scope, (name + end).casefold()) for scope, name, end in taken}
+    out = {}
+    for own, scope, name, end, _ in sorted(rows, key=lambda r: r[4]):
+        n = 1
+        while (scope, (f"{name} ({n}){end}" if n > 1 else name + end).casefold()) in held:
+            n += 1
+        out[own] = f"{name} ({n}){end}" if n > 1 else name + end
+        held.add((scope, out[own].casefold()))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_names(spark, seed):
+    rng = random.Random(seed)
+    name = lambda: rng.choice("abA") + rng.choice(["", "", " (2)", " (3)", " (2) (2)"])
+    rows = [(str(i), rng.choice("xy"), name(), rng.choice([".jpg", ".JPG", ""]), i) for i in range(80)]
+    rows += [(f"z{i}", "z", "only", ".jpg", i) for i in range(30)]
+    taken = [(rng.choice("xy"), name(), ".jpg") for _ in range(10)]
+    frame = spark.createDataFrame(rows, "id string, scope string, name string, end string, place int").repartition(3)
+    for some in ([], taken):
+        there = spark.createDataFrame(some, "scope string, name string, end string") if some else None
+        assert {r["id"]: r["unique"] for r in unique_names(frame, there).collect()} == plain_unique(rows, some)
+
+
+def test_targets_that_clash(spark):
+    paths = ["x/a.jpg", "y/a.jpg", "x/a (2).jpg"]
+    m = spark.createDataFrame([(i + 2, "E", "a", p, 3) for i, p in enumerate(paths)], MANIFEST)
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    targets = lambda there: [r["target"] for r in copy_plan(m, files, has_source=True, existing=there).sort("row_number").collect()]
+    assert targets(None) == ["E/a.jpg", "E/a (2).jpg", "E/a (2) (2).jpg"]
+    there = spark.createDataFrame([("E", "a.jpg"), ("E", "A (2).jpg")], "folder string, name string")
+    assert targets(there) == ["E/a (3).jpg", "E/a (4).jpg", "E/a (2) (2).jpg"]
+
+
+def test_report_of_copies(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.jpg").write_bytes(b"1")
+    files = spark.createDataFrame([("a.jpg",), ("gone.jpg",)], "path string")
+    m = spark.createDataFrame([(2, "A", "a", "a.jpg", 3), (3, "A", "gone", "gone.jpg", 3), (4, "B", "x", "x.jpg", 3)], MANIFEST)
+    plan = copy_plan(m, files, has_source=True)
+    out = copy_files(plan, str(tmp_path / "src"), str(tmp_path / "out"))
+    assert [(r["row_number"], r["source"], r["status"]) for r in out.sort("row_number").collect()] == [(2, "a.jpg", "copied"), (3, "gone.jpg", "error"), (4, "x", "skipped")]
+    assert tuple(copy_summary(out).first()) == (1, 1, 1, 1, False)
+    write_report(out, tmp_path / "report.csv")
+    lines = (tmp_path / "report.csv").read_text("utf-8-sig").splitlines()
+    assert lines[0] == "Строка CSV;Цель;Исходный файл/номер;Статус;Результат/причина"
+    assert lines[1] == "2;A;a.jpg;скопировано;A/a.jpg"
+    assert lines[3] == "4;B;x;пропущено;source missing or outside"
+    (tmp_path / "stop").touch()
+    again = copy_files(plan, str(tmp_path / "src"), str(tmp_path / "new"), cancel_file=str(tmp_path / "stop"))
+    assert tuple(copy_summary(again).first()) == (0, 1, 1, 0, True)
+    assert not list((tmp_path / "new").rglob("*.jpg*"))
+
+
 def test_copying(spark, tmp_path):
     (tmp_path / "src/d").mkdir(parents=True)
     (tmp_path / "src/d/a.jpg").write_bytes(b"1")
