@@ -1,9 +1,12 @@
 """Matching of observations to a gallery by cosine distance, in one pass or two.
 
 gallery: entity_id, embedding. observations: obs_id, embedding and what else there is.
-The gallery's matrix is broadcast while its size, which is checked, stays within a bound; a
-larger gallery is gone through in blocks of entities, whose best two candidates are merged
-for each observation. Observations are never multiplied by references in the plan.
+The gallery's matrix is broadcast while its size, which is checked, stays within a bound. A
+larger gallery and its observations are dealt into blocks, every two of which meet in one
+task, and the blocks' best two candidates are merged for each observation; nothing of them
+passes the driver. Observations are never multiplied by references in the plan. Vectors are
+normalised where they are multiplied. Those without a direction (null, zero, not finite, of
+another length than the gallery's first) are left out on both sides.
 """
 
 from __future__ import annotations
@@ -12,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.config import Settings
 from lodestone.functions.text import casefold
-from lodestone.functions.vectors import cosine_distance, unit
+from lodestone.functions.vectors import unit
+from lodestone.storage import written
 
 #: Bytes of a gallery's matrix, in double precision, that are broadcast at a time.
 GALLERY_BYTES = 128 << 20
@@ -27,75 +31,103 @@ PAIRS = ("best_id", "best_dist", "second_id", "second_dist")
 
 
 def entity_index(gallery: DataFrame) -> DataFrame:
-    """entity_id and entity_idx, from 1 in order of the names, without regard to case. Only names are ranked, not references."""
-    names = gallery.select("entity_id").distinct().withColumn("_cf", casefold(F.col("entity_id").cast("string")))
-    return names.select("entity_id", F.dense_rank().over(Window.orderBy("_cf", "entity_id")).alias("entity_idx"))
+    """entity_id and entity_idx, from 1 in order of the names, without regard to case. Only names are ranked, within their first letters and then over one row for each of these."""
+    names = gallery.select("entity_id").distinct().withColumn("_cf", casefold(F.col("entity_id").cast("string"))).withColumn("_head", F.substring("_cf", 1, 3))
+    heads = names.groupBy("_head").agg(F.count("*").alias("_n"))
+    before = heads.select("_head", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_head").orderBy("_cf", "entity_id"))
+    return names.withColumn("_own", own).join(before, "_head").select("entity_id", (F.col("_own") + F.col("_before")).cast("int").alias("entity_idx"))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _units(column: pa.Array | pa.ChunkedArray, width: int, normalise: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places, vectors) of the rows that have a direction and that many numbers, in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def _top2_against(observations: DataFrame, rows: pa.Table, obs_col: str) -> DataFrame:
-    """obs, best_id, best_dist, second_id, second_dist against references sorted by entity."""
-    names, first = np.unique(np.array(rows["entity_id"].to_pylist(), dtype=object), return_index=True)
-    shared = observations.sparkSession.sparkContext.broadcast((_matrix(rows["embedding"]), first, names))
-    schema = T.StructType([observations.schema[obs_col], T.StructField("best_id", T.StringType()), T.StructField("best_dist", T.DoubleType()), T.StructField("second_id", T.StringType()), T.StructField("second_dist", T.DoubleType())])
+    places = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False))
+    values = column.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(places), width)
+    norm = np.sqrt((values * values).sum(axis=1))
+    good = (norm > 1e-12) & np.isfinite(norm)
+    return places[good], values[good] / norm[good, None] if normalise else values[good]
+
+
+def _best_two(vectors: np.ndarray, matrix: np.ndarray, first: np.ndarray, names: np.ndarray) -> Iterator[tuple[slice, list[pa.Array]]]:
+    """For stretches of vectors: best_id, best_dist, second_id, second_dist over references that stand by entity."""
+    block = max(1, (32 << 20) // (8 * len(matrix)))
+    for at in range(0, len(vectors), block):
+        part = slice(at, min(at + block, len(vectors)))
+        least = np.minimum.reduceat(1.0 - vectors[part] @ matrix.T, first, axis=1)
+        order = np.argsort(least, axis=1, kind="stable")[:, :2]
+        dist = np.take_along_axis(least, order, axis=1)
+        n, two = len(order), order.shape[1] > 1
+        yield part, [pa.array(names[order[:, 0]], pa.string()), pa.array(dist[:, 0]), pa.array(names[order[:, 1]], pa.string()) if two else pa.nulls(n, pa.string()), pa.array(dist[:, 1]) if two else pa.nulls(n, pa.float64())]
+
+
+def _by_entity(table: pa.Table, width: int, normalise: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matrix, first, names): the references' vectors by entity, where each entity begins, and its name."""
+    places, vectors = _units(table["embedding"], width, normalise)
+    owner = np.array(table["entity_id"].to_pylist(), dtype=object)[places]
+    order = np.argsort(owner, kind="stable") if len(owner) else places
+    names, first = np.unique(owner[order], return_index=True) if len(owner) else (owner, places)
+    return vectors[order], first, names
+
+
+def _against_all(observations: DataFrame, refs: DataFrame, width: int, obs_col: str, normalise: bool, schema: T.StructType) -> DataFrame:
+    """Observations against a gallery of checked size, which is broadcast."""
+    shared = observations.sparkSession.sparkContext.broadcast(_by_entity(refs.toArrow(), width, normalise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, first, names = shared.value
-        block = max(1, (32 << 20) // (8 * len(matrix)))
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                vectors = _matrix(part.column(1))
-                least = np.minimum.reduceat(1.0 - vectors @ matrix.T, first, axis=1)
-                order = np.argsort(least, axis=1, kind="stable")[:, :2]
-                dist = np.take_along_axis(least, order, axis=1)
-                two = order.shape[1] > 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(names[order[:, 0]], pa.string()),
-                        pa.array(dist[:, 0]),
-                        pa.array(names[order[:, 1]], pa.string()) if two else pa.nulls(part.num_rows, pa.string()),
-                        pa.array(dist[:, 1]) if two else pa.nulls(part.num_rows, pa.float64()),
-                    ],
-                    names=[obs_col, *PAIRS],
-                )
+            places, vectors = _units(batch.column(1), width, normalise)
+            if not len(matrix):
+                continue
+            for part, columns in _best_two(vectors, matrix, first, names):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places[part])), *columns], names=schema.names)
 
     return observations.select(obs_col, "embedding").mapInArrow(run, schema)
 
 
-def top2(observations: DataFrame, gallery: DataFrame, *, obs_col: str = "obs_id", normalise: bool = True) -> DataFrame:
-    """For each observation the closest two different entities and their smallest distances; equal distances go by name.
-
-    Vectors without a direction are left out on both sides.
-    """
-    prepared = lambda df: df.withColumn("embedding", unit(F.col("embedding")) if normalise else F.col("embedding").cast("array<double>")).where("embedding IS NOT NULL")
-    refs = prepared(gallery.select(F.col("entity_id").cast("string").alias("entity_id"), "embedding")).where("entity_id IS NOT NULL")
-    size = refs.agg(F.count("*").alias("n"), F.sum(F.size("embedding").cast("long")).alias("values")).first()
-    obs = prepared(observations.select(obs_col, "embedding"))
-    if not size["n"]:
-        return obs.select(obs_col, *[F.lit(None).cast("string" if c.endswith("id") else "double").alias(c) for c in PAIRS])
-    blocks = -(-8 * size["values"] // GALLERY_BYTES)
-    parts = []
-    for k in range(blocks):
-        rows = refs.where(F.pmod(F.xxhash64("entity_id"), F.lit(blocks)) == k).sort("entity_id").toArrow()
-        if rows.num_rows:
-            parts.append(_top2_against(obs, rows, obs_col))
-    if len(parts) == 1:
-        return parts[0]
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
+def _in_blocks(observations: DataFrame, refs: DataFrame, width: int, obs_col: str, normalise: bool, schema: T.StructType, blocks: int) -> DataFrame:
+    """Every block of observations against every block of references; the candidates of an observation are merged."""
+    n = observations.count()
+    parts = max(1, -(-8 * n * width // GALLERY_BYTES))
+    spread = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
+    deal = lambda c, k: F.pmod(F.xxhash64(*c), F.lit(k)).cast("int")
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    own = observations.select(F.col(obs_col).alias("obs"), F.lit(None).cast("string").alias("entity_id"), vector, deal([obs_col], parts).alias("part"), F.explode(spread(blocks)).alias("block"))
+    theirs = refs.select(F.lit(None).cast(observations.schema[obs_col].dataType).alias("obs"), "entity_id", vector, F.explode(spread(parts)).alias("part"), deal(["entity_id", "embedding"], blocks).alias("block"))
+    kind = observations.schema[obs_col].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = pc.is_null(table["entity_id"])
+        asked, held = table.filter(mine), table.filter(pc.invert(mine))
+        matrix, first, names = _by_entity(held, width, normalise)
+        places, vectors = _units(asked["embedding"], width, normalise)
+        out = [pa.table([asked["obs"].take(pa.array(places[part])), *columns], names=schema.names) for part, columns in _best_two(vectors, matrix, first, names)] if len(matrix) else []
+        return pa.concat_tables([pa.table({f: pa.array([], t) for f, t in zip(schema.names, (table.schema.field("obs").type, pa.string(), pa.float64(), pa.string(), pa.float64()), strict=True)}), *out])
+
+    pairs = own.unionByName(theirs).groupBy("part", "block").applyInArrow(run, f"{obs_col} {kind}, best_id string, best_dist double, second_id string, second_dist double")
+    # the two best entities overall are among the two best of the blocks that hold their closest references
     both = pairs.select(obs_col, F.explode(F.array(*[F.struct(F.col(f"{w}_dist").alias("d"), F.col(f"{w}_id").alias("id")) for w in ("best", "second")])).alias("c")).where("c.id IS NOT NULL")
-    best = both.groupBy(obs_col).agg(F.slice(F.array_sort(F.collect_list("c")), 1, 2).alias("c"))
+    closest = both.groupBy(obs_col, "c.id").agg(F.min("c.d").alias("d"))
+    best = closest.groupBy(obs_col).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, 2).alias("c"))
     pick = lambda i, f: F.get("c", F.lit(i))[f]
     return best.select(obs_col, pick(0, "id").alias("best_id"), pick(0, "d").alias("best_dist"), pick(1, "id").alias("second_id"), pick(1, "d").alias("second_dist"))
 
 
+def top2(observations: DataFrame, gallery: DataFrame, *, obs_col: str = "obs_id", normalise: bool = True) -> DataFrame:
+    """For each observation the closest two different entities and their smallest distances; equal distances go by name."""
+    refs = gallery.select(F.col("entity_id").cast("string").alias("entity_id"), "embedding").where("entity_id IS NOT NULL AND embedding IS NOT NULL")
+    size = refs.agg(F.sum(F.size("embedding").cast("long")).alias("values"), F.min_by(F.size("embedding"), F.struct("entity_id", F.size("embedding"))).alias("width")).first()
+    schema = T.StructType([observations.schema[obs_col], T.StructField("best_id", T.StringType()), T.StructField("best_dist", T.DoubleType()), T.StructField("second_id", T.StringType()), T.StructField("second_dist", T.DoubleType())])
+    if not size["values"]:
+        return observations.where("embedding IS NOT NULL").select(obs_col, *[F.lit(None).cast("string" if c.endswith("id") else "double").alias(c) for c in PAIRS])
+    obs = observations.select(obs_col, "embedding").where("embedding IS NOT NULL")
+    blocks = -(-8 * size["values"] // GALLERY_BYTES)
+    if blocks == 1:
+        return _against_all(obs, refs, size["width"], obs_col, normalise, schema)
+    return _in_blocks(obs, refs, size["width"], obs_col, normalise, schema, blocks)
+
+
 def problem(s: Settings) -> Column:
     """Null for a match; the distance is tested before the margin, and a gallery of one entity has no margin."""
     too_far = F.col("best_dist") > s.match_threshold
@@ -128,8 +160,8 @@ def match_two_pass(observations: DataFrame, gallery: DataFrame, s: Settings, *,
 
     A row is recovered if the larger gallery accepts the entity that was best before, closer by recovery_gain.
     """
-    # narrow rows that anchors, border and result all need: kept, on disk where memory is short
-    first = match(observations, gallery, s, obs_col=obs_col).persist(StorageLevel.MEMORY_AND_DISK)
+    # narrow rows that anchors, border and result all need
+    first = written(match(observations, gallery, s, obs_col=obs_col), "matched", narrow=True)
     extra = anchors(observations, first, s, obs_col=obs_col)
     larger = gallery.select(F.col("entity_id").cast("string").alias("entity_id"), F.col("embedding").cast("array<double>").alias("embedding")).unionByName(extra.select("entity_id", F.col("embedding").cast("array<double>").alias("embedding")))
     border = first.where(F.col("accepted_id").isNull() & (F.col("best_dist") <= s.match_threshold + s.recovery_band)).select(obs_col, F.col("best_id").alias("was_id"), F.col("best_dist").alias("was_dist"))

@@ -6,6 +6,8 @@ is null or not finite gives no reason.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +19,30 @@ def _over(metric: Column, limit: float) -> Column:
     return finite(metric) & (F.abs(metric) > limit)
 
 
-def reasons_of(*rules: tuple[Column, str]) -> Column:
-    """The codes of the rules that hold, in their order."""
-    return F.filter(F.array(*[F.when(rule, F.lit(code)) for rule, code in rules]), lambda c: c.isNotNull())
+def _codes(*rules: tuple[Column, str]) -> Column:
+    """The codes of the rules that hold, in their order, in one text: unlike a filter over an array, that is compiled."""
+    return F.concat_ws(";", *[F.when(rule, F.lit(code)) for rule, code in rules])
+
+
+def _listed(codes: Column) -> Column:
+    return F.array_remove(F.split(codes, ";"), "")
+
+
+def guard_ratio(fw: Column, fh: Column, width: Column, height: Column, s: Settings) -> Column:
+    """The share of the frame that must stay free around a box of that size."""
+    share = F.greatest(F.lit(1e-8), F.least(F.lit(1.0), fw * fh / F.greatest(F.lit(1.0), width.cast("double") * height.cast("double"))))
+    scaled = s.guard_base * F.pow(F.lit(max(1e-8, s.guard_area)) / share, F.lit(s.guard_exponent))
+    return F.greatest(F.lit(s.guard_min), F.least(F.lit(s.guard_max), scaled))
 
 
-def clipping(raw: Column, width: Column, height: Column, s: Settings) -> Column:
-    """Reasons of a box at the frame's edge: beyond it, too close to it or, if neither, within the guard that grows as boxes shrink."""
-    fw, fh = F.greatest(raw["x2"] - raw["x1"], F.lit(1.0)), F.greatest(raw["y2"] - raw["y1"], F.lit(1.0))
+def _with_edges(boxes: DataFrame, s: Settings) -> DataFrame:
+    """boxes with _guard and _edges, the codes of a box at the frame's edge. What several rules need is a column, so it is computed once."""
+    raw, width, height, zero = F.col("raw_bbox"), F.col("image_w"), F.col("image_h"), F.lit(0.0)
+    sized = boxes.withColumns({"_fw": F.greatest(raw["x2"] - raw["x1"], F.lit(1.0)), "_fh": F.greatest(raw["y2"] - raw["y1"], F.lit(1.0))})
+    fw, fh, guard = F.col("_fw"), F.col("_fh"), F.col("_guard")
     slack_x, slack_y = F.greatest(F.lit(2.0), fw * 0.015), F.greatest(F.lit(2.0), fh * 0.015)
-    zero = F.lit(0.0)
     near = F.least(F.greatest(zero, raw["x1"]), F.greatest(zero, width - raw["x2"]))
-    direct = reasons_of(
+    direct = _codes(
         (raw["y1"] < -slack_y, "cut_top"),
         ((raw["x1"] < -slack_x) | (raw["x2"] > width + slack_x), "cut_side"),
         (raw["y2"] > height + slack_y, "cut_bottom"),
@@ -36,45 +50,41 @@ def clipping(raw: Column, width: Column, height: Column, s: Settings) -> Column:
         (near < fw * s.side_margin, "tight_side"),
         (F.greatest(zero, height - raw["y2"]) < fh * s.bottom_margin, "tight_bottom"),
     )
-    guard = guard_ratio(raw, width, height, s)
     left, right = raw["x1"] - fw * s.side_margin, raw["x2"] + fw * s.side_margin
-    guarded = reasons_of(
+    guarded = _codes(
         (F.least(left, width - right) < width * guard, "guard_side"),
         (raw["y1"] - fh * s.top_margin < height * guard, "guard_top"),
         (height - (raw["y2"] + fh * s.bottom_margin) < height * guard, "guard_bottom"),
     )
-    return F.when(F.size(direct) > 0, direct).otherwise(guarded)
+    ruled = sized.withColumns({"_guard": guard_ratio(fw, fh, width, height, s), "_direct": direct})
+    return ruled.withColumn("_edges", F.when(F.col("_direct") != "", F.col("_direct")).otherwise(guarded)).drop("_fw", "_fh", "_direct")
 
 
-def guard_ratio(raw: Column, width: Column, height: Column, s: Settings) -> Column:
-    """The share of the frame that must stay free around a box."""
-    fw, fh = F.greatest(raw["x2"] - raw["x1"], F.lit(1.0)), F.greatest(raw["y2"] - raw["y1"], F.lit(1.0))
-    share = F.greatest(F.lit(1e-8), F.least(F.lit(1.0), fw * fh / F.greatest(F.lit(1.0), width.cast("double") * height.cast("double"))))
-    scaled = s.guard_base * F.pow(F.lit(max(1e-8, s.guard_area)) / share, F.lit(s.guard_exponent))
-    return F.greatest(F.lit(s.guard_min), F.least(F.lit(s.guard_max), scaled))
+def with_clipping(boxes: DataFrame, s: Settings) -> DataFrame:
+    """boxes (raw_bbox, image_w, image_h) with edge_reasons - beyond the frame's edge, too close to it or, if neither, within the guard that grows as boxes shrink - and guard."""
+    return _with_edges(boxes, s).withColumns({"edge_reasons": _listed(F.col("_edges")), "guard": F.col("_guard")}).drop("_edges", "_guard")
 
 
 def exposure_bad(clipped: Column, mean: Column, s: Settings) -> Column:
     return (finite(clipped) & (clipped > s.max_clipped)) | (finite(mean) & ((mean < 22.0) | (mean > 238.0)))
 
 
-def quality_reasons(s: Settings, *, apply_clipping: bool = True) -> Column:
-    """Over the columns bbox, raw_bbox, image_w, image_h, blur_score, clipped, gray_mean, pose, eye_left and eye_right."""
+def with_quality(observations: DataFrame, s: Settings, *, apply_clipping: bool = True) -> DataFrame:
+    """observations (bbox, raw_bbox, image_w, image_h, blur_score, clipped, gray_mean, pose, eye_left, eye_right) with quality_reasons."""
     c = F.col
-    small = reasons_of((F.lit(s.reject_small) & (F.least(c("bbox.x2") - c("bbox.x1"), c("bbox.y2") - c("bbox.y1")) < s.min_side), "small"))
-    edges = [clipping(c("raw_bbox"), c("image_w"), c("image_h"), s)] if s.reject_clipping and apply_clipping else []
+    edges = s.reject_clipping and apply_clipping
     pose_known = finite(c("pose.pitch")) & finite(c("pose.yaw")) & finite(c("pose.roll"))
     eyes_known = finite(c("eye_left")) & finite(c("eye_right"))
-    rest = reasons_of(
-        (F.lit(s.reject_blur) & finite(c("blur_score")) & (c("blur_score") < s.blur_threshold), "blur"),
-        (F.lit(s.reject_exposure) & exposure_bad(c("clipped"), c("gray_mean"), s), "exposure"),
-        (F.lit(s.reject_pose) & pose_known & _over(c("pose.yaw"), s.max_yaw), "yaw"),
-        (F.lit(s.reject_pose) & pose_known & _over(c("pose.pitch"), s.max_pitch), "pitch"),
-        (F.lit(s.reject_pose) & pose_known & _over(c("pose.roll"), s.max_roll), "roll"),
-        (F.lit(s.reject_eyes) & eyes_known & (F.least(c("eye_left"), c("eye_right")) < s.eye_ratio_min), "eyes"),
-    )
-    return F.concat(small, *edges, rest)
-
-
-def with_quality(observations: DataFrame, s: Settings, *, apply_clipping: bool = True) -> DataFrame:
-    return observations.withColumn("quality_reasons", quality_reasons(s, apply_clipping=apply_clipping))
+    rules = [
+        (s.reject_blur, finite(c("blur_score")) & (c("blur_score") < s.blur_threshold), "blur"),
+        (s.reject_exposure, exposure_bad(c("clipped"), c("gray_mean"), s), "exposure"),
+        (s.reject_pose, pose_known & _over(c("pose.yaw"), s.max_yaw), "yaw"),
+        (s.reject_pose, pose_known & _over(c("pose.pitch"), s.max_pitch), "pitch"),
+        (s.reject_pose, pose_known & _over(c("pose.roll"), s.max_roll), "roll"),
+        (s.reject_eyes, eyes_known & (F.least(c("eye_left"), c("eye_right")) < s.eye_ratio_min), "eyes"),
+    ]
+    small = [(F.least(c("bbox.x2") - c("bbox.x1"), c("bbox.y2") - c("bbox.y1")) < s.min_side, "small")] if s.reject_small else []
+    # counting the rows also ends a compiled stage: all rules in one make a method too long for the JVM to optimise
+    first = observations.withColumn("_rest", _codes(*[(rule, code) for on, rule, code in rules if on])).observe(f"judged-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+    rows = _with_edges(first, s) if edges else first
+    return rows.withColumn("quality_reasons", _listed(F.concat_ws(";", _codes(*small), *([c("_edges")] if edges else []), c("_rest")))).drop("_rest", "_edges", "_guard")

@@ -398,14 +398,13 @@ def quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dataclasses import replace
 
     rows = inputs.measured(spark, sf_dir).withColumn("bbox", clipped(F.col("raw_bbox"), F.col("image_w"), F.col("image_h")))
-    return quality.with_quality(rows, replace(SETTINGS, reject_exposure=True)).select("item_id", "line", "part", F.array_join("quality_reasons", ";").alias("reasons"))
+    return quality.with_quality(rows, replace(SETTINGS, reject_exposure=True)).select("item_id", "line", "part", F.concat_ws(";", "quality_reasons").alias("reasons"))
 
 
 @query(f"WITH {inputs.MEASURED_SQL}, {inputs.CLIPPING_SQL} SELECT item_id, line, part, array_to_string(edge_reasons, ';') AS reasons, round(guard, 6) AS guard FROM clipping")
 def edge_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.measured(spark, sf_dir)
-    args = (F.col("raw_bbox"), F.col("image_w"), F.col("image_h"), SETTINGS)
-    return rows.select("item_id", "line", "part", F.array_join(quality.clipping(*args), ";").alias("reasons"), F.round(quality.guard_ratio(*args), 6).alias("guard"))
+    return quality.with_clipping(rows, SETTINGS).select("item_id", "line", "part", F.concat_ws(";", "edge_reasons").alias("reasons"), F.round("guard", 6).alias("guard"))
 
 
 @query(
