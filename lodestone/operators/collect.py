@@ -105,17 +105,18 @@ def _parts(path: Column) -> tuple[Column, Column]:
 
 
 def copy_plan(manifest: DataFrame, files: DataFrame, *, has_source: bool, destination: str | None = None, existing: DataFrame | None = None) -> DataFrame:
-    """resolve with target: a path within the destination that no other row and no existing file (folder, name) has. Row numbers are unique."""
+    """resolve with target: a path within the destination that no other row and no existing file (folder, name) has. Rows of one number, as a listing that repeats a path makes them, go one by one."""
     rows = resolve(manifest, files, has_source=has_source, destination=destination)
-    named = rows.join(folder_names(manifest), "entity", "left")
+    again = F.row_number().over(Window.partitionBy("row_number").orderBy("path"))
+    named = rows.join(folder_names(manifest), "entity", "left").withColumn("again", again).withColumn("own", F.concat_ws("#", "row_number", "again"))
     name, end = _parts(F.col("path"))
-    wanted = named.where("status = 'found'").select(F.col("row_number").cast("string").alias("id"), F.col("folder").alias("scope"), name.alias("name"), end.alias("end"), F.col("row_number").alias("place"))
+    wanted = named.where("status = 'found'").select(F.col("own").alias("id"), F.col("folder").alias("scope"), name.alias("name"), end.alias("end"), F.struct("row_number", "again").alias("place"))
     taken = None
     if existing is not None:
         name, end = _parts(F.col("name"))
         taken = existing.select(F.col("folder").alias("scope"), name.alias("own"), end.alias("end")).withColumnRenamed("own", "name")
     targets = unique_names(wanted, taken)
-    planned = named.join(targets, named["row_number"].cast("string") == targets["id"], "left")
+    planned = named.join(targets, F.col("own") == F.col("id"), "left")
     return planned.select("row_number", "entity", "photo_id", "path", "status", "reason", F.concat("folder", F.lit("/"), "unique").alias("target"))
 
 

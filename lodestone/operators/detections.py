@@ -6,7 +6,7 @@ array<array<float>>, det_score, source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
@@ -78,12 +78,17 @@ def cap_weak(boxes: DataFrame, s: Settings, *keys: str, tie: tuple[str, ...] = (
     """All strong boxes, and of the weak ones of each image the best rescue_max_candidates."""
     strong = F.col("det_score") >= s.detector_threshold
     order = [F.desc("det_score"), F.desc(area(F.col("bbox"))), *tie]
-    from pyspark.sql import Window
-
     weak = boxes.where(~strong).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= max(0, s.rescue_max_candidates)).drop("_n")
     return boxes.where(strong).unionByName(weak)
 
 
+def from_tiles(local: DataFrame) -> DataFrame:
+    """local: detections in the coordinates of a tile (x, y, w, h). Those that its inner edges do not cut, in the frame's coordinates."""
+    raw, x, y = F.col("raw_bbox"), F.col("x"), F.col("y")
+    whole = local.where(inside_tile(raw, x, y, F.col("w"), F.col("h"), F.col("image_w"), F.col("image_h")))
+    return whole.withColumns({"raw_bbox": shifted(raw, x, y), "kps": F.transform("kps", lambda p: F.array(p[0] + x, p[1] + y))}).drop("x", "y", "w", "h")
+
+
 def detect(full: DataFrame, tiled: DataFrame, s: Settings, tie: tuple[str, ...] = ()) -> DataFrame:
     """Candidates of whole images and of tiles, suppressed together and capped, by (y1, x1)."""
     together = full.unionByName(tiled)

@@ -1,8 +1,9 @@
 """Entities from the names of reference files.
 
 Equal names are one node. Different ones may share an identity: a run of two words or more,
-or one word if either name is just that word. Only names with a word in common are compared,
-by an equi-join on words. What stays ambiguous is an error, not a guess.
+or one word if either name is just that word. So only names with two neighbouring words in
+common are compared, and names of one word with those that have it, by equi-joins: a word that
+very many names have makes no pairs. What stays ambiguous is an error, not a guess.
 
 references: path, stem.
 """
@@ -13,6 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import casefold, contains_run, identifier, identity_key, longest_common_run, tokens
+from lodestone.storage import written
+
+
+#: Names that an error tells.
+MOST_TOLD = 1000
 
 
 class AmbiguousNames(ValueError):
@@ -32,10 +38,17 @@ def nodes_of(references: DataFrame) -> DataFrame:
 
 def shared_names(nodes: DataFrame) -> DataFrame:
     """candidate (a key) and shown: the identities that pairs of nodes have in common."""
-    words = nodes.select("key", "display", "cf", "words", F.explode(F.array_distinct("words")).alias("word"))
-    a, b = words.alias("a"), words.alias("b")
+    own = ("key", "display", "cf", "words")
+    twos = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.array_join(F.slice("words", i, 2), " "))
+    runs = nodes.where(F.size("words") > 1).select(*own, F.explode(F.array_distinct(twos)).alias("run"))
+    alone = nodes.where(F.size("words") == 1).select(*own, F.col("key").alias("run"))
+    inside = nodes.where(F.size("words") > 1).select(*own, F.explode(F.array_distinct("words")).alias("run"))
     before = F.struct("a.cf", "a.key") < F.struct("b.cf", "b.key")
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & before).select(*[F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("key", "display", "cf", "words")]).distinct()
+    sides = lambda x, y: [F.col(f"{t}.{c}").alias(f"{c}_{n}") for n, t in ((x, "a"), (y, "b")) for c in own]
+    two = runs.alias("a").join(runs.alias("b"), (F.col("a.run") == F.col("b.run")) & before).select(*sides("a", "b"))
+    one = alone.alias("a").join(inside.alias("b"), "run")
+    one = one.where(before).select(*sides("a", "b")).unionByName(one.where(~before).select(*sides("b", "a")))
+    pairs = two.unionByName(one).distinct()
     run = longest_common_run(F.col("words_a"), F.col("words_b"))
     common = pairs.withColumn("run", run).where(F.col("run").isNotNull())
     safe = common.where((F.col("run.len") > 1) | (F.size("words_a") == 1) | (F.size("words_b") == 1))
@@ -55,8 +68,8 @@ def memberships(nodes: DataFrame, shared: DataFrame) -> DataFrame:
 
 def resolution(references: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups, problems). groups: entity_id, path. problems: kind, name - empty if the groups hold."""
-    nodes = nodes_of(references)
-    members = memberships(nodes, shared_names(nodes))
+    nodes = written(nodes_of(references), "names", narrow=True)  # all that follows reads them again and again
+    members = written(memberships(nodes, shared_names(nodes)), "members", narrow=True)
     short = (F.col("size") == 1) & (F.col("members") > 2)
     named = nodes.select("key", "display")
     too_short = members.where(short).join(named, "key").select(F.lit("short").alias("kind"), F.col("display").alias("name"))
@@ -75,8 +88,9 @@ def group_references(references: DataFrame) -> DataFrame:
     if blank:
         raise ValueError(f"no name in {blank[0]['path']}")
     groups, problems = resolution(references)
-    found = problems.collect()  # names of the user's files that need another name
+    problems = written(problems, "ambiguous-names", narrow=True)
     for kind in ("short", "several"):
-        if names := sorted((r["name"] for r in found if r["kind"] == kind), key=str.casefold):
+        # names that the user must change; the error tells the first of them
+        if names := [r["name"] for r in problems.where(F.col("kind") == kind).select("name", casefold(F.col("name")).alias("cf")).sort("cf", "name").limit(MOST_TOLD).collect()]:
             raise AmbiguousNames(kind, names)
     return groups

@@ -10,17 +10,25 @@ entity with very many frames is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.boxes import finite
+from lodestone.storage import written
 
 #: Stands for no sequence number in an order.
 LAST = 10**15
+#: Stands for no time in an order.
+NO_TIME = -(2**62)
+#: Characters of a path that name a stretch.
+PATH_HEAD = 48
 #: Microseconds, or sequence numbers, of a stretch of an entity's order.
 STRETCH_MICROS, STRETCH_NUMBERS = 3_600_000_000, 500
+#: Buckets that the times between two frames span at most.
+REACH = 64
+#: Widths of buckets; the widest spans all times.
+LEVELS = 10
 
 
 def order_modes(frames: DataFrame) -> DataFrame:
@@ -35,7 +43,7 @@ def order_modes(frames: DataFrame) -> DataFrame:
 
 def _micros(t: Column) -> Column:
     """Microseconds of a time; a missing one comes before all others."""
-    return F.coalesce(F.unix_micros(t.cast("timestamp")), F.lit(-(2**62)))
+    return F.coalesce(F.unix_micros(t.cast("timestamp")), F.lit(NO_TIME))
 
 
 def ordered(frames: DataFrame) -> DataFrame:
@@ -45,7 +53,11 @@ def ordered(frames: DataFrame) -> DataFrame:
     both = frames.join(modes, "entity_id")
     by = F.col("by_number")
     keyed = both.withColumns({"k1": F.when(by, number).otherwise(time), "k2": F.when(by, time).otherwise(number), "k3": F.when(by, F.lower("name")).otherwise(F.lower("path")), "k4": F.col("path")})
-    return keyed.withColumn("stretch", F.floor(F.col("k1") / F.when(by, STRETCH_NUMBERS).otherwise(STRETCH_MICROS)))
+    # frames without what orders their entity stand in stretches of the next key, and at last of their paths
+    missing = F.col("k1") == F.when(by, LAST).otherwise(NO_TIME)
+    second = F.when(missing, F.floor(F.col("k2") / F.when(by, STRETCH_MICROS).otherwise(STRETCH_NUMBERS)))
+    third = F.when(missing & (F.col("k2") == F.when(by, NO_TIME).otherwise(LAST)), F.substring("k3", 1, PATH_HEAD))
+    return keyed.withColumn("stretch", F.struct(F.floor(F.col("k1") / F.when(by, STRETCH_NUMBERS).otherwise(STRETCH_MICROS)).alias("first"), second.alias("second"), third.alias("third")))
 
 
 _ORDER = ("k1", "k2", "k3", "k4")
@@ -80,13 +92,15 @@ def foreign_between(pairs: DataFrame, frames: DataFrame, s: Settings) -> DataFra
     width = max(1, int(s.series_gap_seconds * 1_000_000))
     low, high = F.least("micros", "previous.micros"), F.greatest("micros", "previous.micros")
     timed = p.where(~F.coalesce(by_number, F.lit(False)) & (high > low)).withColumns({"low": low, "high": high})
-    close = timed.where(F.col("high") - F.col("low") <= 64 * width)
-    bucket = lambda c: F.floor(F.col(c) / width)
+    # a pair looks into at most REACH + 1 buckets: the longer the time between, the wider they are
+    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(float(REACH), (F.col("high") - F.col("low")) / F.lit(float(width * REACH)))))).cast("int")
+    bucket = lambda c, k: F.floor(F.col(c) / (F.pow(F.lit(float(REACH)), k) * width))
     in_time = (F.col("f.micros") > F.col("p.low")) & (F.col("f.micros") < F.col("p.high")) & (F.col("p.dir") == F.col("f.dir"))
-    near = close.withColumn("at", F.explode(F.sequence(bucket("low"), bucket("high")))).alias("p").join(paths.withColumn("at", bucket("micros")).alias("f"), (F.col("p.at") == F.col("f.at")) & in_time)
-    far = timed.where(F.col("high") - F.col("low") > 64 * width).alias("p").join(paths.alias("f"), in_time)
+    asked = timed.withColumn("level", level).withColumn("at", F.explode(F.sequence(bucket("low", F.col("level")), bucket("high", F.col("level")))))
+    held = paths.withColumn("level", F.explode(F.array(*map(F.lit, range(LEVELS))))).withColumn("at", bucket("micros", F.col("level")))
+    between = asked.alias("p").join(held.alias("f"), (F.col("p.level") == F.col("f.level")) & (F.col("p.at") == F.col("f.at")) & in_time)
     columns = [F.col("p.entity_id").alias("entity_id"), F.col("p.path").alias("path"), F.col("f.path").alias("between"), F.col("f.targets").alias("targets"), F.col("p.previous.path").alias("was")]
-    found = numbered.select(*columns).unionByName(near.select(*columns)).unionByName(far.select(*columns))
+    found = numbered.select(*columns).unionByName(between.select(*columns))
     foreign = found.where((F.col("between") != F.col("path")) & (F.col("between") != F.col("was")) & ~F.array_contains("targets", F.col("entity_id"))).distinct()
     counts = foreign.withColumn("target", F.explode("targets")).groupBy("entity_id", "path", "target").agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= s.foreign_frames).select("entity_id", "path").distinct()
@@ -107,7 +121,7 @@ def split(frames: DataFrame, s: Settings) -> DataFrame:
     guard = foreign_between(linked.where("joins"), frames, s).withColumn("foreign", F.lit(True)) if s.foreign_frames > 0 else None
     marked = linked.join(guard, ["entity_id", "path"], "left") if guard is not None else linked.withColumn("foreign", F.lit(None).cast("boolean"))
     # breaks are both summed and numbered
-    cut = marked.withColumn("breaks", (~(F.col("joins") & F.col("foreign").isNull())).cast("long")).drop("previous", "micros", "joins", "foreign").persist(StorageLevel.MEMORY_AND_DISK)
+    cut = written(marked.withColumn("breaks", (~(F.col("joins") & F.col("foreign").isNull())).cast("long")).drop("previous", "micros", "joins", "foreign"), "breaks")
     within = Window.partitionBy("entity_id", "stretch").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     sums = cut.groupBy("entity_id", "stretch").agg(F.sum("breaks").alias("b"))
     earlier = Window.partitionBy("entity_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0")
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as references."""
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("label").cast("string").alias("entity_id"), F.col("vec_id").alias("ref_id"), "embedding")
 
 
+def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the references; the other nine are the observations matched to it."""
+    return references(spark, sf_dir).where("ref_id % 10 = 0")
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("vec_id % 10 <> 0")
     return e.selectExpr(
@@ -36,7 +42,8 @@ OBSERVATIONS_SQL = """
 vectors AS (
   SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e
   FROM embeddings),
-gallery AS (SELECT label::VARCHAR AS entity_id, vec_id AS ref_id, e FROM vectors WHERE vec_id % 10 = 0),
+refs AS (SELECT label::VARCHAR AS entity_id, vec_id AS ref_id, e FROM vectors),
+gallery AS (SELECT * FROM refs WHERE ref_id % 10 = 0),
 obs AS (
   SELECT vec_id AS obs_id, e, 0.35 + (vec_id % 7) / 10.0 AS det_score,
          CASE WHEN vec_id % 11 = 0 THEN 'rescue-full' WHEN vec_id % 5 = 0 THEN 'tile' ELSE 'full' END AS source,
@@ -171,7 +178,7 @@ files AS (
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_files(spark, sf_dir).where("page_id % 3 = 0").selectExpr(
+    return page_files(spark, sf_dir).selectExpr(
         "CAST(row_number() OVER (ORDER BY page_id) + 1 AS INT) AS row_number",
         "CASE WHEN page_id % 21 = 0 THEN '' ELSE concat('Team', CASE WHEN page_id % 2 = 0 THEN ': ' ELSE '? ' END, page_id % 5) END AS entity",
         "regexp_extract(path, '/([0-9]+)', 1) AS photo_id",
@@ -187,9 +194,37 @@ manifest AS (
          regexp_extract(path, '/([0-9]+)', 1) AS photo_id,
          CASE WHEN page_id % 9 = 0 THEN '../' || path WHEN page_id % 6 = 0 THEN replace(path, '/', '\\') ELSE path END AS source,
          CASE WHEN page_id % 33 = 0 THEN 1 ELSE 3 END AS width
-  FROM files WHERE page_id % 3 = 0)
+  FROM files)
 """
 
+CLASH_NAME = "CASE c_custkey % 7 WHEN 0 THEN 'a.jpg' WHEN 1 THEN 'A.JPG' WHEN 2 THEN 'a (2).jpg' WHEN 3 THEN concat('a (', c_custkey % 40, ').jpg') WHEN 4 THEN 'b.jpg' WHEN 5 THEN 'a (2) (2).jpg' ELSE 'b (3).x' END"
+
+
+def clashing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, existing): customers as files of five entities whose names clash, also when numbered, and files that stand in their folders already."""
+    rows = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey + 1 AS INT) AS row_number", "concat('E', c_custkey % 5) AS entity", "CAST(c_custkey AS STRING) AS photo_id", f"concat('d', c_custkey, '/', {CLASH_NAME}) AS source", "3 AS width")
+    there = table(spark, sf_dir, "region").selectExpr("concat('E', r_regionkey) AS folder", "explode(IF(r_regionkey % 2 = 0, array('a.jpg', 'A (4).jpg'), array('a.jpg'))) AS name")
+    return rows, there
+
+
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as reference files: two words name one of 300 entities, some files have a third word or an index."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('r/', c_custkey, '.jpg') AS path",
+        "concat(CASE WHEN c_custkey % 2 = 0 THEN concat(c_custkey, ' ') ELSE '' END, 'K', c_custkey % 300, ' N', c_custkey % 300, CASE CAST(c_custkey / 300 AS INT) % 3 WHEN 1 THEN ' portrait' WHEN 2 THEN ' street' ELSE '' END) AS stem",
+    )
+
+
+def frame_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(full, tiled): boxes of whole frames, and boxes in the coordinates of a tile; some landmarks are broken."""
+    raw = F.struct(*[F.col(f"bbox.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    point = F.array(F.when(F.col("part") % 13 == 0, float("nan")).otherwise(1.0), F.lit(2.0))
+    kps = F.when(F.col("part") % 17 == 0, F.array(*[point] * 4)).otherwise(F.array(*[point] * 5))
+    rows = boxes(spark, sf_dir).withColumns({"raw_bbox": raw, "kps": kps, "image_w": F.lit(500), "image_h": F.lit(300)}).drop("bbox")
+    tiled = rows.where("supp % 2 = 1").withColumns({"source": F.lit("tile"), "x": F.col("line") % 3 * 100, "y": F.col("part") % 2 * 80, "w": F.lit(240), "h": F.lit(200)})
+    return rows.where("supp % 2 = 0").withColumn("source", F.lit("full")), tiled
+
+
 #: Stems of reference files and the entity that each belongs to.
 NAMED = [
     ("a/712 Kot Nik.jpg", "712 Kot Nik", "Kot Nik"),

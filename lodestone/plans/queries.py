@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from lodestone.operators import collect, detections, identity, matching, quality
 from lodestone.plans import inputs
 from lodestone.plans.inputs import SETTINGS
 from lodestone.sources.files import candidates, item_order
+from lodestone.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,7 +116,8 @@ def two_pass_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = inputs.observations(spark, sf_dir)
-    return matching.match_two_pass(obs, inputs.gallery(spark, sf_dir), SETTINGS).join(obs.select("obs_id", "path", "source", "quality_reasons"), "obs_id")
+    found = matching.match_two_pass(obs, inputs.gallery(spark, sf_dir), SETTINGS).join(obs.select("obs_id", "path", "source", "quality_reasons"), "obs_id")
+    return written(found, "routed", narrow=True)  # what follows reads it several times
 
 
 @query(ROUTED + "SELECT entity_id, path, round(distance, 6) AS distance, obs_id, source, photo_id FROM accepted")
@@ -157,23 +160,23 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {inputs.OBSERVATIONS_SQL},
 pairs AS (
   SELECT a.entity_id, a.ref_id AS ref_a, b.ref_id AS ref_b, 1 - list_dot_product(a.e, b.e) AS d
-  FROM gallery a JOIN gallery b ON a.entity_id = b.entity_id AND a.ref_id < b.ref_id),
+  FROM refs a JOIN refs b ON a.entity_id = b.entity_id AND a.ref_id < b.ref_id),
 worst AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d DESC, ref_a, ref_b) AS n FROM pairs)
-SELECT entity_id, (SELECT count(*) FROM gallery g WHERE g.entity_id = worst.entity_id) AS refs, ref_a, ref_b, round(d, 6) AS worst_dist, d > 0.55 AS warn
+SELECT entity_id, (SELECT count(*) FROM refs g WHERE g.entity_id = worst.entity_id) AS refs, ref_a, ref_b, round(d, 6) AS worst_dist, d > 0.55 AS warn
 FROM worst WHERE n = 1"""
 )
 def reference_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matching.reference_consistency(inputs.gallery(spark, sf_dir), SETTINGS), "worst_dist")
+    return rounded(matching.reference_consistency(inputs.references(spark, sf_dir), SETTINGS), "worst_dist")
 
 
 @query(
     """WITH r AS (
   SELECT label::VARCHAR AS entity_id, vec_id AS ref_id FROM embeddings
-  WHERE vec_id % 10 = 0 AND vec_id % 70 <> 0 AND vec_id % 4 <> 2 AND vec_id % 120 <> 0)
+  WHERE vec_id % 70 <> 0 AND vec_id % 4 <> 2 AND vec_id % 120 <> 0)
 SELECT count(DISTINCT entity_id) AS entities, count(*) AS refs FROM r"""
 )
 def reference_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = inputs.gallery(spark, sf_dir).withColumns(
+    refs = inputs.references(spark, sf_dir).withColumns(
         {
             "boxes": F.when(F.col("ref_id") % 4 == 2, 2).otherwise(1),
             "quality_reasons": F.expr("filter(array(CASE WHEN ref_id % 120 = 0 THEN 'small' END), x -> x IS NOT NULL)"),
@@ -183,9 +186,9 @@ def reference_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.gallery_sizes(matching.usable_references(refs))
 
 
-@query("SELECT DISTINCT label::VARCHAR AS entity_id, dense_rank() OVER (ORDER BY label::VARCHAR)::INT AS entity_idx FROM embeddings WHERE vec_id % 10 = 0")
+@query("SELECT DISTINCT label::VARCHAR AS entity_id, dense_rank() OVER (ORDER BY label::VARCHAR)::INT AS entity_idx FROM embeddings")
 def entity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.entity_index(inputs.gallery(spark, sf_dir))
+    return matching.entity_index(inputs.references(spark, sf_dir))
 
 
 # --- series ---
@@ -299,8 +302,6 @@ SELECT item_id, line, part, supp, det_score FROM boxes WHERE det_score >= 0.18
 UNION ALL SELECT item_id, line, part, supp, det_score FROM w WHERE n <= 1"""
 )
 def weak_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
-
     kept = detections.cap_weak(inputs.boxes(spark, sf_dir), replace(SETTINGS, rescue_max_candidates=1), "item_id", tie=("line", "part", "supp"))
     return kept.select("item_id", "line", "part", "supp", "det_score")
 
@@ -315,8 +316,6 @@ ys AS (SELECT DISTINCT item_id, y FROM (
 SELECT item_id, x, y, least(w, x + 1400) - x AS w, least(h, y + 1400) - y AS h FROM xs JOIN ys USING (item_id)"""
 )
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
-
     images = inputs.table(spark, sf_dir, "part").selectExpr("p_partkey AS item_id", "CAST(1500 + p_size * 60 AS INT) AS image_w", "CAST(1200 + p_partkey % 40 * 50 AS INT) AS image_h")
     tiles = detections.tile_grid(images, replace(SETTINGS, tile_size=1400, tile_overlap=0.2))
     return tiles.select("item_id", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h")])
@@ -380,6 +379,41 @@ def reference_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.references_with_one_box(inputs.boxes(spark, sf_dir).select("item_id", "bbox", "det_score", "line", "part", "supp"), SETTINGS)
 
 
+@query(
+    f"""WITH RECURSIVE {inputs.BOXES_SQL},
+local AS (
+  SELECT *, supp % 2 = 1 AS tiled, line % 3 * 100 AS tx, part % 2 * 80 AS ty, greatest(6, least(28, least(greatest(x2 - x1, 1), greatest(y2 - y1, 1)) * 0.10)) AS margin
+  FROM boxes WHERE part % 13 <> 0 AND part % 17 <> 0 AND det_score >= 0.10),
+whole AS (
+  SELECT item_id, line, part, supp, det_score, CASE WHEN tiled THEN 'tile' ELSE 'full' END AS seen, CASE WHEN tiled THEN tx ELSE 0 END AS dx, CASE WHEN tiled THEN ty ELSE 0 END AS dy, x1, y1, x2, y2
+  FROM local WHERE NOT tiled OR NOT ((tx > 0 AND x1 <= margin) OR (ty > 0 AND y1 <= margin) OR (tx + 240 < 500 AND x2 >= 240 - margin) OR (ty + 200 < 300 AND y2 >= 200 - margin))),
+corners AS (SELECT *, greatest(0, least(499, x1 + dx)) AS a1, greatest(0, least(299, y1 + dy)) AS b1 FROM whole),
+framed AS (
+  SELECT item_id, line, part, supp, det_score, CASE WHEN det_score >= 0.18 THEN seen ELSE 'rescue-' || seen END AS source, a1 AS x1, b1 AS y1,
+         greatest(a1 + 1, least(500, x2 + dx)) AS x2, greatest(b1 + 1, least(300, y2 + dy)) AS y2 FROM corners),
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY det_score DESC, (x2 - x1) * (y2 - y1) DESC, line, part, supp) AS i FROM framed),
+fold AS (
+  SELECT item_id, i, [struct_pack(i := i, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] AS kept FROM b WHERE i = 1
+  UNION ALL
+  SELECT b.item_id, b.i, CASE WHEN len(list_filter(f.kept, lambda k:
+      greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))
+      >= 0.35 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
+         - greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))))) > 0
+    THEN f.kept ELSE list_append(f.kept, struct_pack(i := b.i, x1 := b.x1, y1 := b.y1, x2 := b.x2, y2 := b.y2)) END
+  FROM fold f JOIN b ON b.item_id = f.item_id AND b.i = f.i + 1),
+last AS (SELECT item_id, unnest(kept) AS k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i DESC) AS n FROM fold) WHERE n = 1),
+kept AS (SELECT b.* FROM last JOIN b ON b.item_id = last.item_id AND b.i = last.k.i),
+capped AS (SELECT *, row_number() OVER (PARTITION BY item_id, det_score >= 0.18 ORDER BY i) AS n FROM kept)
+SELECT item_id, line, part, supp, source, x1, y1, x2, y2, det_score FROM capped WHERE det_score >= 0.18 OR n <= 1"""
+)
+def detect_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of whole frames and of tiles together: landmarks, inner edges, shifting, suppression and the cap on weak ones."""
+    full, tiled = inputs.frame_boxes(spark, sf_dir)
+    s = replace(SETTINGS, rescue_max_candidates=1)
+    found = detections.detect(detections.candidates(full, s), detections.candidates(detections.from_tiles(tiled), s), s, tie=("line", "part", "supp"))
+    return found.select("item_id", "line", "part", "supp", "source", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")], "det_score")
+
+
 # --- quality ---
 
 
@@ -395,8 +429,6 @@ SELECT item_id, line, part, array_to_string(
 FROM q"""
 )
 def quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
-
     rows = inputs.measured(spark, sf_dir).withColumn("bbox", clipped(F.col("raw_bbox"), F.col("image_w"), F.col("image_h")))
     return quality.with_quality(rows, replace(SETTINGS, reject_exposure=True)).select("item_id", "line", "part", F.concat_ws(";", "quality_reasons").alias("reasons"))
 
@@ -442,6 +474,17 @@ def ident_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.group_references(refs).select("path", "entity_id")
 
 
+@query(
+    """WITH n AS (
+  SELECT 'r/' || c_custkey || '.jpg' AS path, 'K' || c_custkey % 300 || ' N' || c_custkey % 300 AS base,
+         CASE (c_custkey // 300) % 3 WHEN 1 THEN ' portrait' WHEN 2 THEN ' street' ELSE '' END AS more FROM customer)
+SELECT path, base || CASE WHEN min(more) OVER b = max(more) OVER b THEN more ELSE '' END AS entity_id FROM n WINDOW b AS (PARTITION BY base)"""
+)
+def ident_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of files named after customers: the two words that different names share."""
+    return identity.group_references(inputs.named_files(spark, sf_dir)).select("path", "entity_id")
+
+
 @query(
     """WITH s AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages),
 t AS (SELECT page_id, CASE WHEN length(name) > 1 THEN regexp_replace(name, '(.)\\.[^.]*$', '\\1') ELSE name END AS stem FROM s)
@@ -524,6 +567,28 @@ def collect_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.where("status = 'found'").select("row_number", "path", "target")
 
 
+@query(
+    """WITH RECURSIVE wanted AS (
+  SELECT *, regexp_extract(name, '^(.*)(\\.[^.]*)$', 1) AS stem, regexp_extract(name, '^(.*)(\\.[^.]*)$', 2) AS ending, row_number() OVER (PARTITION BY folder ORDER BY row_number) AS i
+  FROM (SELECT (c_custkey + 1)::INT AS row_number, 'E' || c_custkey % 5 AS folder, """
+    + inputs.CLASH_NAME
+    + """ AS name, c_custkey FROM customer)),
+existing AS (SELECT 'E' || r_regionkey AS folder, unnest(CASE WHEN r_regionkey % 2 = 0 THEN ['a.jpg', 'A (4).jpg'] ELSE ['a.jpg'] END) AS name FROM region),
+fold AS (
+  SELECT folder, 0::BIGINT AS i, list(lower(name)) AS taken, NULL::VARCHAR AS target, NULL::INT AS row_number, NULL::VARCHAR AS path FROM existing GROUP BY folder
+  UNION ALL
+  SELECT folder, i, list_append(taken, lower(target)), target, row_number, path FROM (
+    SELECT f.folder, w.i, f.taken, w.row_number, 'd' || c_custkey || '/' || name AS path, list_filter(list_transform(range(1, w.i + 5),
+        lambda n: stem || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || ending), lambda t: NOT list_contains(f.taken, lower(t)))[1] AS target
+    FROM fold f JOIN wanted w ON w.folder = f.folder AND w.i = f.i + 1))
+SELECT row_number, path, folder || '/' || target AS target FROM fold WHERE i > 0"""
+)
+def collect_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that clash with each other and with existing files: every target is free when its row comes."""
+    rows, there = inputs.clashing(spark, sf_dir)
+    return collect.copy_plan(rows, rows.select(F.col("source").alias("path")), has_source=True, existing=there).select("row_number", "path", "target")
+
+
 @query(RESOLVED + "SELECT count(*) FILTER (WHERE reason IS NULL) AS copied, count(*) FILTER (WHERE reason IS NOT NULL) AS skipped, count(DISTINCT entity) FILTER (WHERE reason IS NULL) AS targets FROM with_source")
 def collect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.collect_summary(manifest_resolve(spark, sf_dir))

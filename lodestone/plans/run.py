@@ -6,13 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
-from lodestone.operators import matching, quality, routing, series
+from lodestone.operators import identity, matching, quality, routing, series
 from lodestone.sources import delimited
+from lodestone.storage import written
 
 
 @dataclass(frozen=True)
@@ -25,18 +25,25 @@ class Results:
     errors: DataFrame
 
 
+def gallery_of(references: DataFrame) -> DataFrame:
+    """references: path, stem, boxes, embedding, quality_reasons, error. The gallery: entity_id by the names of all files, ref_id (the path) and embedding of the usable ones."""
+    groups = identity.group_references(references.select("path", "stem"))
+    named = references.join(groups, "path").withColumn("ref_id", F.col("path"))
+    return matching.usable_references(named)
+
+
 def analyse(observations: DataFrame, gallery: DataFrame, s: Settings, *, order: DataFrame | None = None, provider: Callable[[DataFrame], DataFrame] | None = None) -> Results:
     """observations: obs_id, path, error and what quality and matching need.
 
     order: item_order of the paths; with it the best frame of each series is chosen.
-    provider: a stage of the user's own that adds embeddings and metrics, such as a mapInArrow over decoded items.
+    provider: a stage of the user's own that adds embeddings and metrics, such as operators.provider.batched over decoded items.
     """
     rows, errors = routing.without_errors(observations)
     if provider is not None:
         rows = provider(rows)
     judged = quality.with_quality(rows, s)
     found = matching.match_two_pass(judged, gallery, s)
-    matched = judged.drop("embedding").join(found, "obs_id").persist(StorageLevel.DISK_ONLY)
+    matched = written(judged.drop("embedding").join(found, "obs_id"), "run")
     accepted = routing.accepted(matched)
     best = None
     if order is not None:
