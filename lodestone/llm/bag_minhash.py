@@ -18,7 +18,8 @@ pairs but edges that connect what they connect.
 
 Defined results: a null text is alone; equal texts share a class, also without words;
 other texts without words are alone; a null id gets class null unless it shares a text or
-link with others; an empty table gives an empty table. A node is a text's 64-bit hash.
+link with others; an empty table gives an empty table; a very long text is held whole by one
+task; input columns named as results are replaced. A node is a text's 64-bit hash.
 """
 
 from __future__ import annotations

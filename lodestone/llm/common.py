@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.storage import shared_dir, written
+
+__all__ = ["NULL_ID", "ordered_id", "read_table", "shared_dir", "text_or_empty", "written"]
+
 #: Stands for a null id where ids are ordered: after every real one.
 NULL_ID = 2**63 - 1
 
@@ -22,29 +23,3 @@ def text_or_empty(text_col: str) -> Column:
 
 def ordered_id(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs nothing of it.
-
-    The table goes when the driver ends. narrow: rows are short and cheap to make, so there
-    are no more files than the cluster has cores; each costs its executor processes for the
-    file's rights where Hadoop's native library is missing.
-    """
-    spark = df.sparkSession
-    if narrow:
-        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)

@@ -13,8 +13,10 @@ documents of each language, taken whole and chosen by a hash of the id. Its size
 number of languages times the buckets, whatever the input. Prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every
-text if nothing could be learned; rows without a language teach nothing; repeated rows get
-equal results; an empty table gives an empty table.
+text if nothing could be learned; rows without a language teach nothing; of languages with
+equal proportions the first by name counts; repeated rows get equal results; an empty table
+gives an empty table; a very long text is read whole by one task; input columns named as
+results are replaced, the others stay.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from lodestone.llm.bpe import released, text_slices
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 1024
+#: A model of that many languages has 64 MB, which is all that is broadcast.
+MOST_LANGUAGES = 256
 
 
 def _folded() -> np.ndarray:

@@ -6,7 +6,8 @@ documents is combined on the map side, and the join back to its lines is one tha
 execution splits. What comes back to a document is the list of its dropped positions.
 
 Defined results: a null or empty text is one empty line; a null id counts as one document
-after all others; rows that repeat an id count as one document; an empty table gives an
+after all others; rows that repeat an id count as one document; a very long text is split by
+the task that holds it, and only its lines' hashes are dealt anew; an empty table gives an
 empty table; of columns with the names of this operator's results, the input's go.
 """
 

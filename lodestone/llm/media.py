@@ -8,7 +8,9 @@ is a perceptual hash: the grey image is averaged down to 32 x 32, and each of th
 lowest frequencies of its cosine transform gives a bit, whether it is above their median.
 
 Defined results: a null or empty text is a payload of spaces; equal texts have equal media;
-a null medium gives null features; damaged media raise an error that names the fault.
+a null medium gives null features; damaged media raise an error that names the fault; null ids
+and repeated rows stay; an empty table gives an empty table; a very long text is one image, held
+by one task; of the input only the columns to keep stay, and those named as results are replaced.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import textwrap
 import time
@@ -342,3 +343,64 @@ def test_held_out_accuracy(spark, sf):
     docs_ = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     out = op1_language_id(spark, sf).join(docs_, "doc_id").where("held_out")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def plain_proportions(text, model, penalty=3.0, rounds=12):
+    """The method word by word: expectation-maximisation over all languages, then over nested sets while the penalised likelihood grows."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
+    words = bytes(map(fold, text.encode())).split()
+    n = len(model.languages)
+    if not words:
+        return [0.0] * n
+    lik = []
+    for w in words:
+        padded = b" " + w + b" "
+        codes = [((padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(w))]
+        log = [sum(float(model.logp[k, c]) for c in codes) for k in range(n)]
+        lik.append([math.exp(max(x - max(log), -60)) for x in log])
+
+    def maximised(share):
+        for _ in range(rounds):
+            new = [0.0] * n
+            for row in lik:
+                total = sum(p * x for p, x in zip(share, row, strict=True))
+                for k in range(n):
+                    new[k] += row[k] * share[k] / total / len(lik)
+            new = [max(x, 1e-9) * (share[k] > 0) for k, x in enumerate(new)]
+            share = [x / sum(new) for x in new]
+        return share, sum(math.log(sum(p * x for p, x in zip(share, row, strict=True))) for row in lik)
+
+    share, _ = maximised([1 / n] * n)
+    order = sorted(range(n), key=lambda k: -share[k])
+    kept = [float(k == order[0]) for k in range(n)]
+    value = sum(math.log(row[order[0]]) for row in lik)
+    whole = maximised([1 / n] * n)[1]
+    for size in range(2, n + 1):
+        cost = penalty * math.log(len(words) + 1) * (size - 1)
+        if whole - cost <= value:
+            break
+        got, log_lik = maximised([1 / size * (k in order[:size]) for k in range(n)])
+        if log_lik - cost > value:
+            kept, value = got, log_lik - cost
+    return kept
+
+
+def test_language_query_against_the_plain_method(spark, sf):
+    """Predictions, scores and splits of the query for short texts of the table, and of mixtures of them."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    model = language_id.fit(spark.read.parquet(f"{sf}/documents.parquet").where(~language_id.held_out()))
+    got = {r["doc_id"]: r for r in op1_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    short = [r for r in rows if 0 < len(r["text"] or "") < 1500][:25]
+    for r in short:
+        expected = plain_proportions(r["text"], model)
+        mine = got[r["doc_id"]]
+        if any(c.isalpha() for c in r["text"]):
+            assert mine["score"] == pytest.approx(max(expected), abs=1e-4)
+            assert mine["lang_pred"] == model.languages[max(range(len(expected)), key=expected.__getitem__)]
+        assert mine["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    by_lang = {r["lang"]: r["text"] for r in short if r["lang"]}
+    mixture = "\n".join(by_lang.values())
+    found = language_id.proportions([mixture.encode()], model)[0]
+    assert found.tolist() == pytest.approx(plain_proportions(mixture, model), abs=1e-4)
+    assert (found > 0).sum() >= 2
