@@ -15,7 +15,9 @@ search is exact and shuffles no string that stands only once:
    each position's longest previous factor; where that reaches the length, the string stands
    earlier too, and the neighbour it shares the length with stands again.
 4. An anchor with more than HOT_RUNS distinct contents would make its shard too large. Its
-   strings are counted one by one by their hashes, in one aggregation and a join back.
+   runs are cut by the distance from string to anchor into parts, keyed by the bytes that a
+   part's strings share; parts of one content are counted, the distinct ones are shards. What
+   is too large even then is counted string by string in one aggregation.
 5. The spans found go back to their texts, which cut them out.
 
 keep_first leaves the earliest copy, by id, hash of the text and place, and removes those
@@ -30,6 +32,7 @@ the others stay.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,8 @@ from pyspark.sql import types as T
 from lodestone.llm.bpe import released, text_slices, texts_of
 from lodestone.llm.common import ordered_id, text_or_empty, written
 
-#: Distinct runs from which an anchor's strings are counted one by one instead of in a shard.
-HOT_RUNS = 2000
+#: Distinct contents from which a key is no shard, and parts into which an anchor's runs are then cut.
+HOT_RUNS, HOT_PARTS = 2000, 16
 #: Bytes of cuttings from which a shard is sorted.
 SHARD_BYTES = 1 << 20
 #: Bytes by which suffixes are ranked at first.
@@ -250,8 +253,21 @@ def runs(rows: DataFrame, length: int, anchor: int, placed: bool) -> DataFrame:
     return rows.select("doc", "th", "text").mapInArrow(lambda batches: released(run(batches)), _schema(*names))
 
 
-def cuttings(asked: DataFrame, length: int) -> DataFrame:
-    """asked: rows with text, doc, th and wanted, a list of runs. A row for each: ah, doc, th, lo, snippet."""
+def cuttings(asked: DataFrame, length: int, anchor: int, parts: int = 1) -> DataFrame:
+    """asked: rows with text, doc, th and wanted, a list of runs. A row for each run, or for each of its parts: ah (or the hash of what the part's strings share), doc, th, lo, snippet."""
+    width = length - anchor + 1
+
+    def cut(text: bytes, w: dict) -> Iterator[tuple[int, int, bytes]]:
+        if parts == 1:
+            yield w["ah"], w["lo"], text[w["lo"] : w["hi"] + length]
+            return
+        at = w["lo"] + w["off"]
+        for i in range(parts):
+            near, far = i * width // parts, (i + 1) * width // parts - 1  # distances from string to anchor
+            lo, hi = max(w["lo"], at - far), min(w["hi"], at - near)
+            if lo <= hi:
+                shared = hashlib.blake2b(text[at - near : at - far + length] + bytes([i]), digest_size=8).digest()
+                yield int.from_bytes(shared, "little", signed=True), lo, text[lo : hi + length]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -263,7 +279,7 @@ def cuttings(asked: DataFrame, length: int) -> DataFrame:
                 if (doc, th) in seen:  # a repeated row is the same place
                     continue
                 seen.add((doc, th))
-                out += [(w["ah"], doc, th, w["lo"], text[w["lo"] : w["hi"] + length]) for w in some.as_py()]
+                out += [(key, doc, th, lo, snippet) for w in some.as_py() for key, lo, snippet in cut(text, w)]
             for at in range(0, len(out), 20_000):
                 columns = list(zip(*out[at : at + 20_000], strict=True))
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.binary() if n == "snippet" else pa.int64()) for n, c in zip(("ah", "doc", "th", "lo", "snippet"), columns, strict=True)})
@@ -271,8 +287,26 @@ def cuttings(asked: DataFrame, length: int) -> DataFrame:
     return asked.mapInArrow(lambda batches: released(run(batches)), _schema("ah", "doc", "th", "lo", snippet=T.BinaryType()))
 
 
+def repeats_of_parts(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """doc, th, b, e: the repeated strings of very common anchors' parts."""
+    place = F.struct("doc", "th", "lo")
+    # repeated rows may have been cut in several tasks
+    pieces = written(parts.withColumn("sh", F.xxhash64("snippet")).dropDuplicates(["ah", "doc", "th", "lo"]), "hot-parts")
+    contents = written(pieces.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(place).alias("rep"), F.first("snippet").alias("snippet")), "hot-contents")
+    again = contents.where("n > 1").select(F.bitwise_not("ah").alias("nah"), F.bitwise_not("sh").alias("nsh"), "rep")
+    copies = pieces.join(again, (F.col("ah") == F.bitwise_not("nah")) & (F.col("sh") == F.bitwise_not("nsh")))
+    if keep_first:
+        copies = copies.where(place != F.col("rep"))
+    large = contents.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_RUNS).select(F.bitwise_not("ah").alias("nah"))
+    once = contents.select("ah", "rep.doc", "rep.th", "rep.lo", "snippet")
+    is_large = F.col("ah") == F.bitwise_not("nah")
+    found = copies.select("doc", "th", F.col("lo").alias("b"), (F.col("lo") + F.octet_length("snippet")).alias("e"))
+    found = found.unionByName(shards(once.join(large, is_large, "left_anti"), length, keep_first))
+    return found.unionByName(repeats_one_by_one(once.join(large, is_large, "left_semi"), length, keep_first))
+
+
 def repeats_one_by_one(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """doc, th, b, e: the repeated strings of cuttings around very common anchors, by one aggregation over the strings' hashes: no group is gathered."""
+    """doc, th, b, e: the repeated strings of cuttings of very common keys, by one aggregation over the strings' hashes: no group is gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +318,7 @@ def repeats_one_by_one(cut: DataFrame, length: int, keep_first: bool) -> DataFra
             columns = {"ah": ah, "h": np.concatenate([*hashes, np.empty(0, np.uint64)]).view(np.int64), "doc": doc, "th": th, "b": at}
             yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in columns.items()})
 
-    # repeated rows may have been cut in several tasks
-    strings = written(cut.dropDuplicates(["doc", "th", "lo"]).mapInArrow(lambda batches: released(run(batches)), _schema("ah", "h", "doc", "th", "b")), "hot-strings")
+    strings = written(cut.mapInArrow(lambda batches: released(run(batches)), _schema("ah", "h", "doc", "th", "b")), "hot-strings")
     place = F.struct("doc", "th", "b")
     again = strings.groupBy("ah", "h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(F.bitwise_not("ah").alias("nah"), F.bitwise_not("h").alias("nh"), "first")
     found = strings.join(again, (F.col("ah") == F.bitwise_not("nah")) & (F.col("h") == F.bitwise_not("nh")))
@@ -350,7 +383,7 @@ def repeated_spans(rows: DataFrame, length: int, keep_first: bool, anchor: int |
         firsts = alike.groupBy("ah").agg(F.min(place).alias("first")).select(F.bitwise_not("ah").alias("nah"), "first")
         alike = alike.join(firsts, F.col("ah") == F.bitwise_not("nah")).where(place != F.col("first"))
     varied = shared.where("mixed")
-    contents = varied.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "lo", "hi")).alias("rep"))
+    contents = varied.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "lo", "hi", "off")).alias("rep"))
     again = contents.where("n > 1").select(F.bitwise_not("ah").alias("nah"), F.col("sh").alias("rep_sh"), F.col("rep"))
     copies = varied.join(again, (F.col("ah") == F.bitwise_not("nah")) & (F.col("sh") == F.col("rep_sh")))
     if keep_first:
@@ -358,14 +391,14 @@ def repeated_spans(rows: DataFrame, length: int, keep_first: bool, anchor: int |
     hot = written(contents.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_RUNS).select(F.bitwise_not("ah").alias("nah")), "hot-anchors", narrow=True)
     texts = rows.select("doc", "th", "text")
 
-    def cut(some: DataFrame) -> DataFrame:
-        wanted = some.select("rep.doc", "rep.th", F.struct("ah", "rep.lo", "rep.hi").alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted"))
-        return cuttings(texts.join(wanted.hint("shuffle_hash"), ["doc", "th"]), length)
+    def cut(some: DataFrame, parts: int = 1) -> DataFrame:
+        wanted = some.select("rep.doc", "rep.th", F.struct("ah", "rep.lo", "rep.hi", "rep.off").alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted"))
+        return cuttings(texts.join(wanted.hint("shuffle_hash"), ["doc", "th"]), length, anchor, parts)
 
     is_hot = F.col("ah") == F.bitwise_not("nah")
     found = alike.select(*whole).unionByName(copies.select(*whole)).unionByName(shards(cut(contents.join(hot, is_hot, "left_anti")), length, keep_first))
     if not hot.isEmpty():
-        found = found.unionByName(repeats_one_by_one(cut(contents.join(hot, is_hot, "left_semi")), length, keep_first))
+        found = found.unionByName(repeats_of_parts(cut(contents.join(hot, is_hot, "left_semi"), HOT_PARTS), length, keep_first))
     return found
 
 
