@@ -125,3 +125,11 @@ def test_farthest_references_of_a_whole_table(spark, sf):
     for entity, (refs, d, pairs) in expected.items():
         r = got[entity]
         assert r["refs"] == refs and abs(r["worst_dist"] - d) < 1e-8 and (r["ref_a"], r["ref_b"]) in pairs
+
+
+@pytest.mark.parametrize("limit", [128 << 20, 16])
+def test_vectors_of_other_lengths_match_nothing(spark, monkeypatch, limit):
+    monkeypatch.setattr(matching, "GALLERY_BYTES", limit)
+    g = vectors(spark, [("a", (1, 0)), ("b", (0, 1)), ("c", (1, 0, 0, 0))], "entity_id")
+    o = vectors(spark, [(1, (1, 0, 0)), (2, (1, 0.1)), (3, ()), (4, (float("nan"), 1))], "obs_id", "long")
+    assert [(r["obs_id"], r["best_id"], r["second_id"]) for r in matching.top2(o, g).collect()] == [(2, "a", "b")]

@@ -139,3 +139,12 @@ def test_best_frame_follows_the_score(spark, seed):
 
 def test_no_frames(spark):
     assert series.best_frames(spark.createDataFrame([], SCHEMA), S).collect() == []
+
+
+def test_frames_without_times_and_numbers_are_spread_by_their_paths(spark, monkeypatch):
+    rows = [("e", f"d/{c}", "d", c, None, False, None, "x") for c in ("ab", "aa", "bb", "ba", "c")] + [("e", f"f/{c}", "f", c, None, False, None, "x") for c in ("q", "p")]
+    frames = spark.createDataFrame(rows, "entity_id string, path string, dir string, name string, capture_time timestamp, time_is_metadata boolean, seq decimal(38,0), prefix string")
+    monkeypatch.setattr(series, "PATH_HEAD", 3)
+    assert series.ordered(frames).select("stretch").distinct().count() == 5
+    got = {r["path"]: (r["series_index"], r["series_size"]) for r in series.split(frames, Settings()).collect()}
+    assert got == {f"d/{c}": (1, 5) for c in ("ab", "aa", "bb", "ba", "c")} | {f"f/{c}": (2, 2) for c in ("q", "p")}
