@@ -82,3 +82,13 @@ def test_run_gives_the_same_rows(spark, stages):
     got = corpus_pipeline.run(spark, stages[2])
     count = lambda rows: {d: sum(n for e, _, n, _ in map(key, rows) if e == d) for d in {r["doc_id"] for r in rows}}
     assert count(got.collect()) == count(stages[0][5])
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path):
+    spark.createDataFrame([], plain.TEXT).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = [(None, "words of one text that says a little", "aa", None, None), (None, "words of one text that says a little", "aa", None, None), (2, None, None, None, None), (3, "", "aa", "s", 0), (4, "kama " * 30_000, None, "s", 7)]
+    spark.createDataFrame(rows, plain.TEXT).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted({str(r["doc_id"]) for r in out}) == ["4", "None"]
+    assert sum(r["start"] == 0 for r in out) == 2
