@@ -19,7 +19,8 @@ pairs but edges that connect what they connect.
 Defined results: a null text is alone; equal texts share a class, also without words;
 other texts without words are alone; a null id gets class null unless it shares a text or
 link with others; an empty table gives an empty table; a very long text is held whole by one
-task; input columns named as results are replaced. A node is a text's 64-bit hash.
+task; input columns named as results are replaced. A node is a text's 64-bit hash; where
+texts of another second hash share it, both hashes name them, so no two texts are taken for one.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import released, slices, text_slices, texts_of
@@ -217,6 +218,26 @@ def across_blocks(open_: DataFrame, texts: DataFrame, size: int, similarity: flo
     return rows.groupBy("band", "i", "j").applyInArrow(lambda t: _block_links(t, size, similarity), "a long, b long")
 
 
+def _node(text_col: str) -> Column:
+    return F.xxhash64(text_col)
+
+
+def told_apart(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own: doc, text, node, second (another hash of the text). own with nodes that no two texts share, and of every node the smallest doc and the number of copies."""
+
+    def firsts_of(rows: DataFrame) -> DataFrame:
+        clash = F.min("second") != F.max("second")
+        return written(rows.where("text IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), clash.alias("clash")), "nodes", narrow=True)
+
+    firsts = firsts_of(own)
+    if not firsts.where("clash").isEmpty():
+        # a table of its own, so that its size is known: next to none share a hash
+        clashes = written(firsts.where("clash").select(F.bitwise_not("node").alias("nn")), "clashes", narrow=True)
+        own = own.join(clashes, F.col("node") == F.bitwise_not("nn"), "left").withColumn("node", F.when(F.col("nn").isNull(), F.col("node")).otherwise(F.xxhash64("node", "second"))).drop("nn")
+        firsts = firsts_of(own)
+    return own, firsts.drop("clash")
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, one_text: bool = False) -> DataFrame:
     """docs with class_id (the smallest id of the class), class_size and kept (its first row, if ids are unique).
 
@@ -224,9 +245,9 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     results = ("class_id", "class_size", "kept")
     columns = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in results}  # no name clashes, and what nobody asks for is pruned
-    own = docs.select(*[F.col(c).alias(name) for c, name in columns.items()], ordered_id(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node"))
+    own = docs.select(*[F.col(c).alias(name) for c, name in columns.items()], ordered_id(id_col).alias("doc"), F.col(text_col).alias("text"), _node(text_col).alias("node"), F.xxhash64(F.lit(1), text_col).alias("second"))
+    own, firsts = told_apart(own)
     named = own.where("text IS NOT NULL").select("doc", "node", "text")
-    firsts = written(named.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "nodes", narrow=True)
     members = banded(named, size, bands, rows).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("nband"), "n")
     buckets = written(members.join(shared, F.col("band") == F.bitwise_not("nband")).select("band", "node", "n"), "buckets", narrow=True)

@@ -149,6 +149,14 @@ def test_near_classes(spark, monkeypatch, few):
         assert r["kept"] == (r["class_id"] == r["doc_id"])
 
 
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(bag_minhash, "_node", lambda c: F.length(c).cast("long") % 3)
+    rng = random.Random(3)
+    rows = family(rng, 6, 60, 0.02, 0) + family(rng, 6, 40, 0.3, 100) + [(200, None), (201, ""), (202, ""), (203, "abc"), (204, "abd"), (205, "abd")]
+    got = bag_minhash.near_classes(docs(spark, rows))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == plain.near_classes(rows)
+
+
 def test_near_classes_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "p q r s t u", "x"), (5, "p q r s t u", "y"), (5, "p q r s t u", "y"), (None, None, None)], "doc_id long, text string, node string")
     got = sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"], str(r["node"])) for r in bag_minhash.near_classes(df).collect())
