@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bag_minhash import near_classes
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import read_table
+from lodestone.llm.filter_audit import audit_filters
 from lodestone.llm.hnsw import near_vectors
 from lodestone.llm.html_text import extract_main_text
 from lodestone.llm.language_id import fit, held_out, identify
@@ -19,6 +20,8 @@ from lodestone.llm.license_scan import PHRASES, STRETCH, all_templates, scan_lic
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.media import media_features, store_texts
 from lodestone.llm.packing import pack_documents
+from lodestone.llm.resampling import resampled
+from lodestone.llm.sharding import shard_rows
 from lodestone.llm.suffix_dedup import remove_repeats
 
 
@@ -70,6 +73,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_rows(docs, shards=24, keep_text=False)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = (read_table(spark, sf_dir, t).select(*c) for t, c in (("documents", ("doc_id", "text")), ("benchmark", ("text",))))
+    return resampled(docs, targets, runs=1, buckets=10_000, percent=10, min_words=20, seed=2024, keep=("doc_id",)).drop("n_words")
 
 
 def license_sql(templates: Mapping[str, str], phrases: Mapping[str, str], threshold: float = 0.9) -> str:
@@ -206,6 +221,62 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
+OP11_SQL = r"""
+WITH features AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy
+  FROM documents),
+failures AS (
+  SELECT part, coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), copy] AS f
+  FROM features LEFT JOIN labels USING (doc_id)),
+cells AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failures GROUP BY part, f),
+letters AS (SELECT unnest(range(1, 6)) AS x),
+orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+counted AS (
+  SELECT part, o, step, n, good, toxic, f[o[step]] AS fails, list_bool_or(list_transform(o[1 : step - 1], lambda k: f[k])) IS TRUE AS earlier,
+         len(list_filter(f, lambda y: y)) = 1 AS single
+  FROM cells CROSS JOIN steps),
+summed AS (
+  SELECT part, o, step, sum(CASE WHEN NOT fails AND NOT earlier THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails AND earlier THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND single THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counted GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k::INT, 1)), '') AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley
+FROM summed
+"""
+
+OP13_SQL = r"""
+WITH bits(k) AS (SELECT unnest(range(0, 256))),
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(k, range(0, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY k) AS crcs FROM bits),
+texts AS (
+  SELECT 0 AS side, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 1, NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (SELECT side, doc_id, unnest(regexp_extract_all(t, '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w FROM texts),
+counts AS (SELECT side, doc_id, w, count(*) AS n FROM words GROUP BY ALL),
+spelt AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM counts)),
+checksums AS (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                                        lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM spelt, crc_table),
+sides AS (SELECT bucket, sum(CASE WHEN side = 0 THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN side = 1 THEN n ELSE 0 END)::DOUBLE AS t FROM counts JOIN checksums USING (w) GROUP BY bucket),
+totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sides),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS gain FROM sides, totals),
+weights AS (SELECT doc_id, sum(n) AS n, floor(sum(n * gain) / sum(n)) AS weight FROM counts JOIN checksums USING (w) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+hashed AS (SELECT doc_id, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents),
+scores AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM hashed LEFT JOIN weights USING (doc_id)),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS eligible FROM scores WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= eligible * 10 // 100 THEN rank END AS rank FROM scores s LEFT JOIN ranks USING (doc_id)
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -217,5 +288,8 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_hnsw": op9_hnsw,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_sharding": op12_sharding,
+    "op13_resampling": op13_resampling,
 }
-ORACLE_SQL = {"op3_license_scan": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op3_license_scan": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op13_resampling": OP13_SQL}
