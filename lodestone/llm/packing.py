@@ -14,8 +14,9 @@ A partition packs its own documents in groups of bounded size, so nothing is shu
 lost task packs the same sequences again. Sequence ids hold the partition's number in their
 upper bits.
 
-Strings of special tokens in a text are ordinary text, so that no text can forge an end;
-with special_literals they become the special ids, as in the library's plain call.
+With special_literals, strings of special tokens in a text become the special ids, as in the
+library's plain call (so the query and the pipeline have it); without, they are ordinary text,
+so that no text can forge an end.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed one by
 one, also with null ids; an empty table gives no sequences; extra columns are dropped unless

@@ -33,7 +33,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return pack_documents(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2, with_ids=False)
+    return pack_documents(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2, with_ids=False, special_literals=True)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,17 @@ def test_packing_with_other_tokenizers_literals_and_odd_rows(spark, tmp_path):
     assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in out if r["start"] == 0) == [("3", 1), ("None", 3), ("None", 3)]
 
 
+def test_packing_query_gives_the_plain_calls_ids(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "a <|ENDOFTEXT|> b", "plain"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = {i: np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
+    assert expected[0].tolist() == [320, 49407, 321, 2]
+    rows = op2_packing(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(e) for i, e in expected.items()}
+    assert all(r["ids_crc32"] == zlib.crc32(expected[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in rows)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_subset_sum_is_the_best(seed):
     rng = random.Random(seed)
