@@ -31,7 +31,9 @@ def line_key(line: Column) -> Column:
 def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     """(doc, text_hash, dropped): for each text with dropped lines, their positions from 0."""
     text = text_or_empty(text_col)
-    lines = docs.select(ordered_id(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # the text is hashed below the explosion, once and not for every line
+    texts = docs.select(ordered_id(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
+    lines = texts.select("doc", "text_hash", F.posexplode("lines").alias("pos", "line"))
     keyed = (
         lines.select("doc", "text_hash", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
@@ -48,7 +50,7 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
         keyed.join(found, (F.col("h1") == F.bitwise_not("n1")) & (F.col("h2") == F.bitwise_not("n2")))
         .where(F.col("doc") != F.col("first"))
         .groupBy("doc", "text_hash")
-        .agg(F.collect_list("pos").alias("dropped"))
+        .agg(F.collect_set("pos").alias("dropped"))  # a text's own lines, however many rows repeat it
     )
 
 
@@ -63,12 +65,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.struct(*others).alias("row") if others else F.struct(F.lit(0)).alias("row"), F.col(text_col).alias("text"), ordered_id(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"))
     # hashed on the short side, so that texts are not sorted
     joined = rows.join(dropped_positions(docs, id_col, text_col, min_chars, min_docs).hint("shuffle_hash"), ["doc", "text_hash"], "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    pieces = F.transform(kept, lambda i: F.get(lines, i))
-    return joined.select(
+    # lines and the positions that stay are columns of their own: inside the lambda they would be made again for every line
+    cut = joined.select("row", "text", "dropped", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    cut = cut.withColumn("stays", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped")))
+    return cut.select(
         *[F.col("row").getField(c).alias(c) for c in others],
-        F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(pieces, "\n")).alias(text_col),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.array_distinct("dropped")), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform("stays", lambda i: F.get("lines", i)), "\n")).alias(text_col),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )

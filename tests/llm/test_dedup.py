@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -40,6 +41,16 @@ def test_lines_of_repeated_rows_null_ids_and_clashing_columns(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_a_very_long_text_take_linear_time(spark):
+    rows = [(1, "the common line\n" + "\n".join(f"line number {i} of one text" for i in range(200_000))), (0, "the common line\nline number 77 of one text")]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    took = time.perf_counter() - began
+    assert (got[1]["n_lines"], got[1]["n_dropped"]) == (200_001, 2)
+    assert got[1]["text"] == "\n".join(f"line number {i} of one text" for i in range(200_000) if i != 77)
+    assert took < 15  # seconds; each doubling cost almost four times as much before
+
+
 def test_lines_of_more_documents(spark):
     rows = [(i, "held by four or two\n" + ("held by just two" if i < 2 else "zz")) for i in range(4)]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs(spark, rows), min_docs=3).collect()}
