@@ -59,7 +59,7 @@ def failure_cells(docs: DataFrame, labels: DataFrame, failures: Mapping[str, Col
     digests = docs.select(
         F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), ordered_id(id_col).alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2"), mask.alias("mask")
     )
-    digests = written(digests, "failures", narrow=True)
+    digests = written(digests, "failures")  # in the tasks that read the texts
     repeated = digests.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     # under complements, so that Spark deals both sides anew and can split a text that very many documents have
     firsts = repeated.select(F.bitwise_not("h1").alias("n1"), F.bitwise_not("h2").alias("n2"), "first")

@@ -412,7 +412,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep_first: bool = Tru
     text = text_or_empty(text_col)
     rows = docs.select(F.struct(*[f.name for f in others]).alias("row"), ordered_id(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = repeated_spans(rows.select("doc", "th", "text"), length, keep_first)
-    removed = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    removed = spans.groupBy("doc", "th").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     # hashed on the short side, so that texts are not sorted
     joined = rows.join(removed.hint("shuffle_hash"), ["doc", "th"], "left").select("row", "text", "spans")
 
