@@ -37,10 +37,12 @@ def analyse(observations: DataFrame, gallery: DataFrame, s: Settings, *, order:
 
     order: item_order of the paths; with it the best frame of each series is chosen.
     provider: a stage of the user's own that adds embeddings and metrics, such as operators.provider.batched over decoded items.
+    It sees each row once: what it gives is written before anything reads it. Rows that it gives an error are among the errors.
     """
     rows, errors = routing.without_errors(observations)
     if provider is not None:
-        rows = provider(rows)
+        rows, failed = routing.without_errors(written(provider(rows), "provided"))
+        errors = errors.unionByName(failed, allowMissingColumns=True)
     judged = quality.with_quality(rows, s)
     found = matching.match_two_pass(judged, gallery, s)
     matched = written(judged.drop("embedding").join(found, "obs_id"), "run")

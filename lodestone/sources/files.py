@@ -28,12 +28,17 @@ def candidates(listing: DataFrame, *, recursive: bool = True) -> DataFrame:
     return rows.sort(F.lower("path"), "path")
 
 
-def list_files(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:
-    """path, length, modified. Contents are not read. Spark's listing hides names that begin with _ or a dot."""
+def files_at(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:
+    """path (relative to root), uri, length, modified. Contents are not read. Spark's listing hides names that begin with _ or a dot, and empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     base = F.lit(root.rstrip("/").removeprefix("file:"))
     plain = F.regexp_replace("path", "^file:(//)?", "")
-    return found.select(F.substring(plain, F.length(base) + 2, F.length(plain)).alias("path"), "length", F.col("modificationTime").alias("modified"))
+    return found.select(F.substring(plain, F.length(base) + 2, F.length(plain)).alias("path"), F.col("path").alias("uri"), "length", F.col("modificationTime").alias("modified"))
+
+
+def list_files(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:
+    """path, length, modified of the files below root."""
+    return files_at(spark, root, recursive=recursive).drop("uri")
 
 
 def item_order(items: DataFrame) -> DataFrame:
