@@ -179,7 +179,7 @@ files AS (
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_files(spark, sf_dir).selectExpr(
-        "CAST(row_number() OVER (ORDER BY page_id) + 1 AS INT) AS row_number",
+        "CAST(page_id + 2 AS INT) AS row_number",
         "CASE WHEN page_id % 21 = 0 THEN '' ELSE concat('Team', CASE WHEN page_id % 2 = 0 THEN ': ' ELSE '? ' END, page_id % 5) END AS entity",
         "regexp_extract(path, '/([0-9]+)', 1) AS photo_id",
         "CASE WHEN page_id % 9 = 0 THEN concat('../', path) WHEN page_id % 6 = 0 THEN replace(path, '/', '\\\\') ELSE path END AS source",
@@ -189,7 +189,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MANIFEST_SQL = """
 manifest AS (
-  SELECT (row_number() OVER (ORDER BY page_id) + 1)::INT AS row_number,
+  SELECT (page_id + 2)::INT AS row_number,
          CASE WHEN page_id % 21 = 0 THEN '' ELSE 'Team' || CASE WHEN page_id % 2 = 0 THEN ': ' ELSE '? ' END || (page_id % 5) END AS entity,
          regexp_extract(path, '/([0-9]+)', 1) AS photo_id,
          CASE WHEN page_id % 9 = 0 THEN '../' || path WHEN page_id % 6 = 0 THEN replace(path, '/', '\\') ELSE path END AS source,
@@ -225,21 +225,25 @@ def frame_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return rows.where("supp % 2 = 0").withColumn("source", F.lit("full")), tiled
 
 
-#: Stems of reference files and the entity that each belongs to.
-NAMED = [
-    ("a/712 Kot Nik.jpg", "712 Kot Nik", "Kot Nik"),
-    ("b/709 Kot Nik.jpg", "709 Kot Nik", "Kot Nik"),
-    ("a/A Ber Tom.jpg", "A Ber Tom", "Ber Tom"),
-    ("a/B Ber Tom.jpg", "B Ber Tom", "Ber Tom"),
-    ("a/Lis.jpg", "Lis", "Lis"),
-    ("a/Lis Ann.jpg", "Lis Ann", "Lis"),
-    ("a/Volk Ian portrait.jpg", "Volk Ian portrait", "Volk Ian"),
-    ("a/Volk Ian standing.jpg", "Volk Ian standing", "Volk Ian"),
-    ("a/Volk Ian street.jpg", "Volk Ian street", "Volk Ian"),
-    ("a/Lev Ros.jpg", "Lev Ros", "Lev Ros"),
-    ("a/Lev Max.jpg", "Lev Max", "Lev Max"),
-    ("a/712 A Sova.jpg", "712 A Sova", "A Sova"),
-    ("a/713.jpg", "713", "713"),
-    ("a/Пётр Ёж.jpg", "Пётр Ёж", "Пётр Ёж"),
-    ("b/12 петр еж.jpg", "12 петр еж", "Пётр Ёж"),
-]
+def photo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, head, mtime: events as the first bytes of picture files that hold their times, of six kinds by turns."""
+    text = F.concat(F.date_format("ts", "yyyy:MM:dd HH:mm:ss").cast("binary"), F.unhex(F.lit("00")))
+    raw = lambda digits: F.unhex(F.lit(digits.replace(" ", "")))
+    small = F.concat(raw("49492A00 08000000 0100 3201 0200 14000000 1A000000 00000000"), text)
+    big = F.concat(raw("4D4D002A 00000008 0001 9003 0002 00000014 0000001A 00000000"), text)
+    pointing = F.concat(raw("49492A00 08000000 0100 6987 0400 01000000 1A000000 00000000 0100 0490 0200 14000000 2C000000 00000000"), text)
+    jpeg = F.concat(raw("FFD8 FFE0 0004 0000 FFE1 0036 457869660000"), big, raw("FFDA0002"))
+    png = F.concat(raw("89504E470D0A1A0A 00000003 49444154 010203 00000000 0000002E 65584966"), small, raw("00000000"))
+    kinds = [small, jpeg, pointing, F.substring(jpeg, 1, 40), png, F.lit("no picture").cast("binary")]
+    head = F.coalesce(*[F.when(F.col("event_id") % len(kinds) == k, head) for k, head in enumerate(kinds)])
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("d/img"), "event_id", F.lit(".jpg")).alias("path"), head.alias("head"), F.col("ts").alias("mtime"))
+
+
+RESULT_ENTITY = "concat(CASE c_custkey % 3 WHEN 0 THEN 'Team; ' WHEN 1 THEN 'team ' ELSE 'A \"B\" ' END, c_custkey % 40)"
+RESULT_PATH_SQL = "concat('d', c_custkey % 7, CASE c_custkey % 4 WHEN 0 THEN '/x\";' || chr(10) || 'y ' ELSE '/IMG ' END, c_custkey, '.jpg')"
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as accepted rows."""
+    path = F.concat(F.lit("d"), F.col("c_custkey") % 7, F.when(F.col("c_custkey") % 4 == 0, '/x";\ny ').otherwise("/IMG "), "c_custkey", F.lit(".jpg"))
+    return table(spark, sf_dir, "customer").select(F.expr(RESULT_ENTITY.replace("\"", "\\\"")).alias("entity_id"), F.col("c_custkey").cast("string").alias("photo_id"), path.alias("path"))

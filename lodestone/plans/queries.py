@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,8 +15,10 @@ from lodestone.functions.vectors import openness
 from lodestone.operators import collect, detections, identity, matching, quality, routing, series
 from lodestone.plans import inputs
 from lodestone.plans.inputs import SETTINGS
+from lodestone.sources.delimited import ACCEPTED, read_manifest, write_single
+from lodestone.sources.exif import dates_of_heads
 from lodestone.sources.files import candidates, item_order
-from lodestone.storage import written
+from lodestone.storage import shared_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -468,12 +471,6 @@ def ident_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("key", identity_key(F.col("display")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{path}', '{entity}')" for path, _, entity in inputs.NAMED) + ") AS t(path, entity_id)")
-def ident_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = spark.createDataFrame([(p, s) for p, s, _ in inputs.NAMED], "path string, stem string")
-    return identity.group_references(refs).select("path", "entity_id")
-
-
 @query(
     """WITH n AS (
   SELECT 'r/' || c_custkey || '.jpg' AS path, 'K' || c_custkey % 300 || ' N' || c_custkey % 300 AS base,
@@ -525,6 +522,28 @@ def camera_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("c_custkey"), camera_time(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz").alias("t"))
 
 
+@query(
+    """WITH h AS (SELECT 'd/img' || event_id || '.jpg' AS path, ts, event_id % 6 IN (0, 1, 2, 4) AS dated FROM events)
+SELECT path, CASE WHEN dated THEN date_trunc('second', ts) ELSE ts END AS capture_time, dated AS time_is_metadata FROM h"""
+)
+def photo_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture times out of the first bytes of files of several kinds, some of them cut or no pictures."""
+    files = inputs.photo_files(spark, sf_dir)
+    out = item_order(dates_of_heads(files).join(files.select("path", "mtime"), "path"))
+    return out.select("path", F.col("capture_time").cast("timestamp_ntz").alias("capture_time"), "time_is_metadata")
+
+
+@query(
+    f"""WITH r AS (SELECT {inputs.RESULT_ENTITY} AS entity, c_custkey::VARCHAR AS photo_id, {inputs.RESULT_PATH_SQL} AS source FROM customer)
+SELECT (row_number() OVER (ORDER BY lower(entity), entity, lower(source), source) + 1)::INT AS row_number, entity, photo_id, source, 3 AS width FROM r"""
+)
+def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as one ordered file by all tasks, and read back in chunks as a manifest; cells hold quotes, delimiters and line ends."""
+    path = f"{shared_path(spark)}/result-{uuid.uuid4().hex}.csv"
+    write_single(inputs.results(spark, sf_dir), path, ACCEPTED)
+    return read_manifest(spark, path)[0]
+
+
 # --- collection ---
 
 RESOLVED = f"""

@@ -8,10 +8,11 @@ import io
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources.logical_rows import numbered_rows
 from lodestone.sources.single_file import write_lines
 
 #: Headers by which columns of a manifest are known, in order of preference.
@@ -61,30 +62,23 @@ def find_column(header: Sequence[str], names: Sequence[str], fallback: int | Non
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """(row_number, entity, photo_id, source, width; whether there is a source column).
 
-    Only the head is read here, for the delimiter and the header. Rows are numbered from 2
-    without blank ones, in file order.
+    Only the head is read here, for the delimiter and the header; the file is read in chunks.
+    Rows are numbered from 2 without blank ones, in file order, and are as wide as they are written.
     """
-    head = spark.read.text(path).limit(200).collect()
+    lines = spark.read.option("lineSep", "\n").text(path)
+    head = lines.where("_metadata.file_block_start = 0").limit(200).collect()
     if not head:
         raise ValueError("the manifest is empty")
-    sample = "\n".join(r["value"] for r in head)[:4096].lstrip("﻿")
-    sep = delimiter(sample)
-    header = [c.strip() for c in next(csv.reader(sample.splitlines(), delimiter=sep))]
+    text = "\n".join(r["value"] for r in head).removeprefix("\ufeff")
+    sep = delimiter(text[:4096])
+    header = [c.strip() for c in next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])]
     entity, photo = find_column(header, ENTITY_HEADERS, 0), find_column(header, PHOTO_HEADERS, 1)
     source = find_column(header, SOURCE_HEADERS)
     if entity is None or photo is None:
         raise ValueError("the manifest has no columns of entity and item")
-    n = max(len(header), 3)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
-    raw = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', multiLine=True, header=True, enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    cells = [F.trim(F.coalesce(F.col(f"c{i}"), F.lit(""))) for i in range(n)]
-    # a missing cell is null, an empty one as well: a row is as wide as its last cell that says something
-    width = F.coalesce(F.array_max(F.array(*[F.when(c != "", F.lit(i + 1)) for i, c in enumerate(cells)])), F.lit(0))
-    some = raw.select(cells[entity].alias("entity"), cells[photo].alias("photo_id"), (cells[source] if source is not None else F.lit(None).cast("string")).alias("source"), width.alias("width"), F.monotonically_increasing_id().alias("at"))
-    rows = some.where("width > 0")
-    # one manifest, written by a person or by a run, is one file: its rows are few
-    numbered = rows.withColumn("row_number", (F.row_number().over(Window.orderBy("at")) + 1).cast("int"))
-    return numbered.select("row_number", "entity", "photo_id", "source", "width"), source is not None
+    cell = lambda k: F.lit(None).cast("string") if k is None else F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
+    rows = numbered_rows(spark, path, sep)
+    return rows.select(F.col("number").cast("int").alias("row_number"), cell(entity).alias("entity"), cell(photo).alias("photo_id"), cell(source).alias("source"), F.size("cells").alias("width")), source is not None
 
 
 def shown(df: DataFrame, headers: dict[str, str]) -> DataFrame:

@@ -19,6 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The shared folder as a path of the file system, for files that Spark's own writers do not make."""
+    named = shared_dir(spark)
+    if ":" in named and not named.startswith("file:"):
+        raise RuntimeError(f"{named} is no folder of the file system")
+    return "/" + named.removeprefix("file:").lstrip("/")
+
+
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs nothing of it.
 

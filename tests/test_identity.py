@@ -69,3 +69,28 @@ def test_longest_run_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([("a b c d", "c d a b"), ("x", "y"), ("", "y")], "a string, b string")
     got = df.select(longest_common_run(tokens(F.col("a")), tokens(F.col("b"))).alias("r")).collect()
     assert [r["r"] and tuple(r["r"]) for r in got] == [(2, -1), None, None]
+
+
+#: Stems of reference files and the entity that each belongs to.
+NAMED = [
+    ("a/712 Kot Nik.jpg", "712 Kot Nik", "Kot Nik"),
+    ("b/709 Kot Nik.jpg", "709 Kot Nik", "Kot Nik"),
+    ("a/A Ber Tom.jpg", "A Ber Tom", "Ber Tom"),
+    ("a/B Ber Tom.jpg", "B Ber Tom", "Ber Tom"),
+    ("a/Lis.jpg", "Lis", "Lis"),
+    ("a/Lis Ann.jpg", "Lis Ann", "Lis"),
+    ("a/Volk Ian portrait.jpg", "Volk Ian portrait", "Volk Ian"),
+    ("a/Volk Ian standing.jpg", "Volk Ian standing", "Volk Ian"),
+    ("a/Volk Ian street.jpg", "Volk Ian street", "Volk Ian"),
+    ("a/Lev Ros.jpg", "Lev Ros", "Lev Ros"),
+    ("a/Lev Max.jpg", "Lev Max", "Lev Max"),
+    ("a/712 A Sova.jpg", "712 A Sova", "A Sova"),
+    ("a/713.jpg", "713", "713"),
+    ("a/Пётр Ёж.jpg", "Пётр Ёж", "Пётр Ёж"),
+    ("b/12 петр еж.jpg", "12 петр еж", "Пётр Ёж"),
+]
+
+
+def test_groups_of_known_names(spark):
+    refs = spark.createDataFrame([(p, s) for p, s, _ in NAMED], "path string, stem string")
+    assert {r["path"]: r["entity_id"] for r in group_references(refs).collect()} == {p: e for p, _, e in NAMED}

@@ -1,0 +1,95 @@
+"""Manifests read in chunks, against the csv module on the whole file."""
+
+import csv
+import io
+import random
+
+import pytest
+
+from lodestone.sources import logical_rows
+from lodestone.sources.delimited import read_manifest
+
+
+def plain_rows(text):
+    header, *rows = csv.reader(io.StringIO(text, newline=""), delimiter=";")
+    return list(enumerate(([c.strip() for c in r] for r in rows if any(c.strip() for c in r)), 2))
+
+
+def cell(rng):
+    kind = rng.random()
+    if kind < 0.5:
+        return rng.choice(["a", "b c", "", " x ", 'inch 5"', "'", "é"])
+    body = "".join(rng.choice(["x", "\n", ";", '""', "\r\n", "line\n\nline", "é"]) for _ in range(rng.randint(0, 6)))
+    return f'"{body}"' + rng.choice(["", "", "tail", 'tail"q'])
+
+
+def manifest(rng, rows):
+    end = lambda: rng.choice(["\n", "\n", "\r\n"])
+    text = "who;item;Source file\n"
+    for _ in range(rows):
+        text += rng.choice([";".join(cell(rng) for _ in range(rng.randint(1, 4))), "", ";;"]) + end()
+    return text
+
+
+@pytest.fixture
+def small_chunks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_across_chunks(spark, tmp_path, small_chunks, seed):
+    text = manifest(random.Random(seed), 40)
+    (tmp_path / "m.csv").write_text(text, newline="")
+    lines = logical_rows.chunk_lines(spark, str(tmp_path / "m.csv"), ";")
+    assert lines.select("chunk").distinct().count() >= 4
+    got = logical_rows.numbered_rows(spark, str(tmp_path / "m.csv"), ";")
+    assert sorted(map(tuple, got.collect())) == plain_rows(text)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().replace("Window [row_number() windowspecdefinition(chunk", "")
+
+
+def test_a_cell_over_many_chunks(spark, tmp_path, small_chunks):
+    text = 'who;item\nA;"' + "\n".join(f"line {i};" for i in range(200)) + '"\nB;2\n'
+    (tmp_path / "m.csv").write_text(text)
+    rows, has_source = read_manifest(spark, str(tmp_path / "m.csv"))
+    got = {r["row_number"]: r for r in rows.collect()}
+    assert not has_source
+    assert set(got) == {2, 3}
+    assert got[2]["photo_id"].count("\n") == 199
+    assert (got[3]["entity"], got[3]["photo_id"], got[3]["source"], got[3]["width"]) == ("B", "2", None, 2)
+
+
+def test_states_of_lines():
+    s = logical_rows.LineStates(";")
+    outside, inside = logical_rows.OUTSIDE, logical_rows.INSIDE
+    cases = [("a;b", 0, 1), ('a"b;c', 0, 0), ('"a', 1, 0), ('"a";"b', 1, 1), ('x";"y"', 0, 0), ('""', 0, 1), ('a;"', 1, 0), ('"a""', 1, 0), ('"a"""', 0, 1), ('"a"b"', 0, 0), ("", 0, 1), ('x"y;"z', 1, 1)]
+    for line, from_outside, from_inside in cases:
+        assert (s.after(line, outside), s.after(line, inside)) == (from_outside, from_inside), line
+    assert s.after('"' + 'a""' * 100_000, outside) == inside  # neither deep nor slow
+
+
+def test_states_follow_the_csv_module():
+    rng, s = random.Random(8), logical_rows.LineStates(";")
+    for _ in range(4000):
+        line = "".join(rng.choice('"";ax ') for _ in range(rng.randint(0, 9)))
+        n = len(list(csv.reader(io.StringIO(line + "\nsecond\n", newline=""), delimiter=";")))
+        assert s.after(line, logical_rows.OUTSIDE) == (n == 1), line
+        n = len(list(csv.reader(io.StringIO('"\n' + line + "\nsecond\n", newline=""), delimiter=";")))
+        assert s.after(line, logical_rows.INSIDE) == (n == 1), line
+
+
+def test_an_open_quote_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(logical_rows, "LONGEST", 1000)
+    (tmp_path / "m.csv").write_text('who;item\nA;"1\n' + "B;2\n" * 400)
+    with pytest.raises(ValueError, match="a quote is not closed"):
+        read_manifest(spark, str(tmp_path / "m.csv"))
+
+
+def test_short_rows_keep_their_width(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("﻿who,item,Source file\r\nA\r\nB,\r\n,,x\r\n \r\n", newline="")
+    rows, has_source = read_manifest(spark, str(tmp_path / "m.csv"))
+    assert has_source
+    assert sorted(map(tuple, rows.collect())) == [(2, "A", "", "", 1), (3, "B", "", "", 2), (4, "", "", "x", 3)]
