@@ -63,24 +63,74 @@ def ordered(frames: DataFrame) -> DataFrame:
 _ORDER = ("k1", "k2", "k3", "k4")
 
 
-def with_previous(frames: DataFrame, *columns: str) -> DataFrame:
-    """ordered frames with previous, a struct of the columns of the frame before; null for an entity's first."""
+def with_previous(rows: DataFrame, *columns: str, keys: tuple[str, ...] = ("entity_id",), order: tuple[str, ...] = _ORDER) -> DataFrame:
+    """rows with previous, a struct of the columns of the row before in the order within keys; null for the first. stretch: a part of that order."""
     own = F.struct(*columns)
-    within = Window.partitionBy("entity_id", "stretch").orderBy(*_ORDER)
-    near = frames.withColumn("_lag", F.lag(own).over(within))
-    lasts = frames.groupBy("entity_id", "stretch").agg(F.max(F.struct(*_ORDER, own.alias("own"))).alias("last"))
+    within = Window.partitionBy(*keys, "stretch").orderBy(*order)
+    near = rows.withColumn("_lag", F.lag(own).over(within))
+    lasts = rows.groupBy(*keys, "stretch").agg(F.max(F.struct(*order, own.alias("own"))).alias("last"))
     # one row for each stretch
-    before = lasts.select("entity_id", "stretch", F.lag("last.own").over(Window.partitionBy("entity_id").orderBy("stretch")).alias("_before"))
-    return near.join(before, ["entity_id", "stretch"]).withColumn("previous", F.coalesce("_lag", "_before")).drop("_lag", "_before")
+    before = lasts.select(*keys, "stretch", F.lag("last.own").over(Window.partitionBy(*keys).orderBy("stretch")).alias("_before"))
+    return near.join(before, [*keys, "stretch"]).withColumn("previous", F.coalesce("_lag", "_before")).drop("_lag", "_before")
+
+
+def _hours(micros: str) -> Column:
+    return F.floor(F.col(micros) / STRETCH_MICROS)
+
+
+def shortest_runs(paths: DataFrame, n: int) -> DataFrame:
+    """dir, first and best: for each folder and time at which n frames of one entity in a row begin, (until, who) of the run that ends first; who are all entities on its frames."""
+    seen = paths.select("dir", "path", "micros", F.explode("targets").alias("entity"), F.col("micros").alias("first"), F.col("targets").alias("who"), _hours("micros").alias("stretch"))
+    for _ in range(n - 1):
+        longer = with_previous(seen, "first", "who", keys=("dir", "entity"), order=("micros", "path")).where("previous IS NOT NULL")
+        seen = longer.select("dir", "path", "micros", "entity", F.col("previous.first").alias("first"), F.array_union("who", "previous.who").alias("who"), "stretch")
+    return seen.groupBy("dir", "first").agg(F.min(F.struct(F.col("micros").alias("until"), F.sort_array("who").alias("who"))).alias("best"))
+
+
+def next_runs(asked: DataFrame, runs: DataFrame) -> DataFrame:
+    """asked (dir, low and other columns) with best: of the runs in the folder that begin after low the one that ends first.
+
+    A running minimum from the last time to the first, within stretches and then over one row for each stretch.
+    """
+    own = [c for c in asked.columns if c != "dir"]
+    points = asked.select("dir", F.col("low").alias("at"), F.struct(*own).alias("own"), F.lit(None).cast(runs.schema["best"].dataType).alias("best"))
+    points = points.unionByName(runs.select("dir", F.col("first").alias("at"), F.lit(None).cast(points.schema["own"].dataType).alias("own"), "best")).withColumn("stretch", _hours("at"))
+    # what is asked at a time comes before the runs that begin then
+    later = Window.partitionBy("dir", "stretch").orderBy(F.desc("at"), F.col("own").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = points.withColumn("near", F.min("best").over(later)).where("own IS NOT NULL")
+    stretches = points.groupBy("dir", "stretch").agg(F.min("best").alias("best"))
+    far = stretches.select("dir", "stretch", F.min("best").over(Window.partitionBy("dir").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
+    return near.join(far, ["dir", "stretch"]).select("dir", "own.*", F.least("near", "far").alias("best"))
+
+
+def foreign_in_time(asked: DataFrame, paths: DataFrame, s: Settings) -> DataFrame:
+    """asked: entity_id, path, dir, low and high. Those with a foreign entity on foreign_frames paths of the folder between the times, counted path by path.
+
+    An interval meets paths by buckets of time, at most REACH + 1 of a width that its length asks for; paths go into the widths that are asked for.
+    """
+    width = max(1, int(s.series_gap_seconds * 1_000_000))
+    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(float(REACH), (F.col("high") - F.col("low")) / F.lit(float(width * REACH)))))).cast("int")
+    bucket = lambda c, k: F.floor(F.col(c) / (F.pow(F.lit(float(REACH)), k) * width))
+    asked = asked.withColumn("level", level)
+    levels = [r["level"] for r in asked.select("level").distinct().collect()]  # LEVELS at most
+    spread = asked.withColumn("at", F.explode(F.sequence(bucket("low", F.col("level")), bucket("high", F.col("level")))))
+    held = paths.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("at", bucket("micros", F.col("level")))
+    inside = (F.col("f.micros") > F.col("p.low")) & (F.col("f.micros") < F.col("p.high")) & (F.col("p.dir") == F.col("f.dir")) & ~F.array_contains("f.targets", F.col("p.entity_id"))
+    between = spread.alias("p").join(held.alias("f"), (F.col("p.level") == F.col("f.level")) & (F.col("p.at") == F.col("f.at")) & inside)
+    counts = between.select("p.entity_id", "p.path", F.col("f.path").alias("between"), F.explode("f.targets").alias("target")).groupBy("entity_id", "path", "target").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= s.foreign_frames).select("entity_id", "path").distinct()
 
 
 def foreign_between(pairs: DataFrame, frames: DataFrame, s: Settings) -> DataFrame:
     """pairs: entity_id, path, dir, prefix, seq, micros and previous of those. entity_id, path of pairs with a foreign entity on foreign_frames paths between them.
 
-    Paths that also show the entity itself do not count. Where both frames have numbers of
-    one prefix, the few numbers between are looked up; else times between, by buckets.
+    Paths that also show the entity itself do not count. Where both frames have numbers of one
+    prefix, the few numbers between are looked up. Else times between decide: if any entity has
+    so many frames there, then some run of just as many that follow one another lies there,
+    and of the runs that begin after the first time the one that ends first. It shows the
+    entity itself only where frames ordered by numbers go back in time; those pairs are counted path by path.
     """
-    paths = frames.groupBy("path", "dir", "prefix", "seq", _micros(F.col("capture_time")).alias("micros")).agg(F.collect_set("entity_id").alias("targets"))
+    paths = written(frames.groupBy("path", "dir", "prefix", "seq", _micros(F.col("capture_time")).alias("micros")).agg(F.collect_set("entity_id").alias("targets")), "paths")
     p = pairs.select("entity_id", "path", "dir", "prefix", "seq", "micros", "previous")
     by_number = F.col("seq").isNotNull() & F.col("previous.seq").isNotNull() & (F.col("prefix") == F.col("previous.prefix")) & (F.col("previous.seq") < F.col("seq"))
     numbered = (
@@ -89,21 +139,18 @@ def foreign_between(pairs: DataFrame, frames: DataFrame, s: Settings) -> DataFra
         .alias("p")
         .join(paths.where("seq IS NOT NULL").alias("f"), (F.lower("p.dir") == F.lower("f.dir")) & (F.col("p.prefix") == F.col("f.prefix")) & (F.col("p.at").cast("decimal(38,0)") == F.col("f.seq")))
     )
-    width = max(1, int(s.series_gap_seconds * 1_000_000))
+    foreign = numbered.where(~F.array_contains("f.targets", F.col("p.entity_id"))).select("p.entity_id", "p.path", F.explode("f.targets").alias("target"))
+    counts = foreign.groupBy("entity_id", "path", "target").agg(F.count("*").alias("n"))
+    by_numbers = counts.where(F.col("n") >= s.foreign_frames).select("entity_id", "path")
+
     low, high = F.least("micros", "previous.micros"), F.greatest("micros", "previous.micros")
-    timed = p.where(~F.coalesce(by_number, F.lit(False)) & (high > low)).withColumns({"low": low, "high": high})
-    # a pair looks into at most REACH + 1 buckets: the longer the time between, the wider they are
-    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(float(REACH), (F.col("high") - F.col("low")) / F.lit(float(width * REACH)))))).cast("int")
-    bucket = lambda c, k: F.floor(F.col(c) / (F.pow(F.lit(float(REACH)), k) * width))
-    in_time = (F.col("f.micros") > F.col("p.low")) & (F.col("f.micros") < F.col("p.high")) & (F.col("p.dir") == F.col("f.dir"))
-    asked = timed.withColumn("level", level).withColumn("at", F.explode(F.sequence(bucket("low", F.col("level")), bucket("high", F.col("level")))))
-    held = paths.withColumn("level", F.explode(F.array(*map(F.lit, range(LEVELS))))).withColumn("at", bucket("micros", F.col("level")))
-    between = asked.alias("p").join(held.alias("f"), (F.col("p.level") == F.col("f.level")) & (F.col("p.at") == F.col("f.at")) & in_time)
-    columns = [F.col("p.entity_id").alias("entity_id"), F.col("p.path").alias("path"), F.col("f.path").alias("between"), F.col("f.targets").alias("targets"), F.col("p.previous.path").alias("was")]
-    found = numbered.select(*columns).unionByName(between.select(*columns))
-    foreign = found.where((F.col("between") != F.col("path")) & (F.col("between") != F.col("was")) & ~F.array_contains("targets", F.col("entity_id"))).distinct()
-    counts = foreign.withColumn("target", F.explode("targets")).groupBy("entity_id", "path", "target").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") >= s.foreign_frames).select("entity_id", "path").distinct()
+    timed = p.where(~F.coalesce(by_number, F.lit(False)) & (high > low)).select("entity_id", "path", "dir", low.alias("low"), high.alias("high"))
+    met = next_runs(timed, shortest_runs(paths, s.foreign_frames)).where("best.until < high")
+    met = written(met.select("entity_id", "path", "dir", "low", "high", F.array_contains("best.who", F.col("entity_id")).alias("own")), "runs-between", narrow=True)
+    found = by_numbers.unionByName(met.where("NOT own").select("entity_id", "path"))
+    if not met.where("own").isEmpty():
+        found = found.unionByName(foreign_in_time(met.where("own").drop("own"), paths, s))
+    return found.distinct()
 
 
 def split(frames: DataFrame, s: Settings) -> DataFrame:
@@ -116,7 +163,7 @@ def split(frames: DataFrame, s: Settings) -> DataFrame:
     number_ok = F.when(numbers, (F.lower("dir") == F.lower(prev["dir"])) & (F.col("prefix") == prev["prefix"]) & (delta > 0) & (delta <= s.series_gap_numbers)).otherwise(same_dir)
     close = F.greatest(F.lit(0), F.col("micros") - prev["micros"]) <= int(s.series_gap_seconds * 1_000_000)
     time_ok = F.when((F.col("time_is_metadata") & prev["time_is_metadata"]) | ~numbers, close).otherwise(True)
-    linked = keyed.withColumn("joins", F.coalesce(same_dir & number_ok & time_ok, F.lit(False)))
+    linked = written(keyed.withColumn("joins", F.coalesce(same_dir & number_ok & time_ok, F.lit(False))), "linked")
     # only frames that would join need the guard
     guard = foreign_between(linked.where("joins"), frames, s).withColumn("foreign", F.lit(True)) if s.foreign_frames > 0 else None
     marked = linked.join(guard, ["entity_id", "path"], "left") if guard is not None else linked.withColumn("foreign", F.lit(None).cast("boolean"))

@@ -95,6 +95,26 @@ def test_foreign_frames_break_only_if_one_entity_has_two(spark):
     assert count(a + two + [frame("a", "d", "i2", 0.3, 2)]) == 1
 
 
+@pytest.mark.parametrize("foreign_frames", [1, 2, 3])
+def test_frames_without_numbers_go_back_in_time(spark, foreign_frames, monkeypatch):
+    """An entity ordered by numbers has its own frames between two times, so runs of others are counted path by path there."""
+    monkeypatch.setattr("tests.test_series.S", Settings(series_gap_seconds=5000.0, foreign_frames=foreign_frames))
+    rng = random.Random(foreign_frames)
+    rows = []
+    for e in "abcd":
+        rows += [frame(e, "d", f"{e}{n:02d}", 4 * n + ord(e) / 1000, n, prefix=e) for n in range(1, 31)]
+        rows += [frame(e, "d", f"{e}-{t}", t, None, prefix="-") for t in rng.sample(range(0, 130, 7), 3)]
+    rows += [frame(e, *r[2:4], (r[4] - datetime(2024, 1, 1)).total_seconds(), r[6], prefix=r[7]) for r in rng.sample([r for r in rows if r[6] is None], 5) for e in rng.sample("abcd", 2) if e != r[0]]
+    first, seen = {}, set()
+    rows = [(r[0], *first.setdefault(r[1], r[1:])) for r in rows if not ((r[0], r[1]) in seen or seen.add((r[0], r[1])))]
+    called = []
+    exact = series.foreign_in_time
+    monkeypatch.setattr(series, "foreign_in_time", lambda *a: called.append(1) or exact(*a))
+    got = {(r["entity_id"], r["path"]): r["series_index"] for r in series.split(spark.createDataFrame(rows, SCHEMA), S).collect()}
+    assert got == plain_split(rows)
+    assert called  # own frames lie on the first run found
+
+
 def test_gaps(spark):
     rows = [frame("a", "d", f"i{n}", t, n) for n, t in ((1, 0), (6, 1), (12, 2), (13, 14), (14, 27))]
     got = [r["series_index"] for r in series.split(spark.createDataFrame(rows, SCHEMA), S).sort("seq").collect()]
