@@ -7,17 +7,18 @@ nodes of one as queries to the graph of the other. What leaves a task is a row f
 linked node - its links and a root - so a dense group's pairs are counted where they are found.
 Graphs are built and searched for many vectors in lockstep, so each step is a few matrix
 operations. A search is only done when its beam holds a vector below the threshold; until
-then the beam widens, so that a dense group of any size is found whole. Besides, queries are
-drawn and searched by brute force in every shard until AUDITED_LINKS true links, matches with
-themselves aside, or MOST_AUDITED queries were seen, and the beams of the whole shard widen
-until the recall of these links passes. Where so many queries hold no link at all, none is
-missed and the audit has passed. What the audit found is part of the result; if it took every
-query, it is the result. Whatever a search finds is verified in double precision.
+then the beam widens, so that a dense group of any size is found whole. All queries are
+searched in the graph first, whatever the shard's size; the links are those that it finds,
+each verified in double precision. Then an audit measures: one query in AUDIT_SHARE, drawn at
+random, is compared with every vector until AUDITED_LINKS true links, matches with themselves
+aside, were seen. If the graph missed any of them, the beams of the whole shard widen and all
+is searched again; a beam as wide as the graph sees all of it. An audit's own links are never
+part of the result.
 
 Links are counted from both sides by weights, components follow from the links.
 
-The audits' links, and how many of them the graphs had found, come with the links
-(audited_recall sums them up).
+The audits' links, and how many of them the graphs had found at the first width of the beams
+and at the last, come with the links (audited_recall sums them up).
 
 Defined results: vectors that are null, zero, hold null or non-finite components, differ in
 length from those of their shard, or have no label link with nothing and are alone; repeated
@@ -44,17 +45,20 @@ from lodestone.llm.components import components, smallest_reachable
 SHARD, LOCKSTEP = 4096, 512
 #: Shards whose queries one task takes.
 BLOCK = 16
-#: Queries audited at a time and at most, true links after which an audit has seen enough, the recall it must reach, and the first width of the beams.
-AUDITED, MOST_AUDITED, AUDITED_LINKS, RECALL, BEAM = 32, 1280, 200, 0.99, 48
+#: Queries audited at a time, one in how many at most, true links after which an audit has seen enough, and the first width of the beams.
+AUDITED, AUDIT_SHARE, AUDITED_LINKS, BEAM = 32, 8, 200, 48
+
+AUDIT = ("audited", "first_hit", "hit")
 
 
 @dataclass(frozen=True)
 class Found:
-    """Pairs of a query and a node; the audit's true links, and those of them that the graph found; the beams' last width, 0 if no graph was needed."""
+    """Pairs of a query and a node that the graph found; the audit's true links, those of them that it found with the first beams and with the last, and the beams' last width."""
 
     query: np.ndarray
     node: np.ndarray
     audited: int
+    first_hit: int
     hit: int
     width: int
 
@@ -62,6 +66,10 @@ class Found:
     def recall(self) -> float:
         return self.hit / self.audited if self.audited else 1.0
 
+    @property
+    def first_recall(self) -> float:
+        return self.first_hit / self.audited if self.audited else 1.0
+
 
 def _take(values: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.take_along_axis(values, order, axis=1)
@@ -181,10 +189,11 @@ class SmallWorld:
         return nodes, similar
 
     def _audit(self, queries: np.ndarray, least: float, own: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
-        """Queries drawn AUDITED at a time until their true links, each query's own node aside, are as many as asked, or the queries MOST_AUDITED or all; and those links."""
-        order = np.random.Generator(np.random.PCG64(len(queries))).permutation(len(queries))
+        """Queries drawn AUDITED at a time until their true links, each query's own node aside, are as many as asked, or one in AUDIT_SHARE was drawn; and those links."""
+        most = max(AUDITED, len(queries) // AUDIT_SHARE)
+        order = np.random.Generator(np.random.PCG64(len(queries))).permutation(len(queries))[:most]
         parts, seen, at = [], 0, 0
-        while at < min(len(order), MOST_AUDITED) and seen < links:
+        while at < len(order) and seen < links:
             some = order[at : at + AUDITED]
             truth = queries[some] @ self.exact.T >= least - 1e-12
             mine = np.flatnonzero(own[some] >= 0)
@@ -224,28 +233,27 @@ class SmallWorld:
         return tuple(np.concatenate([f[k] for f in found] or [np.empty(0)]).astype(np.int64) for k in (0, 1))
 
     def within(self, queries: np.ndarray, least: float, own: np.ndarray | None = None, links: int = AUDITED_LINKS) -> Found:
-        """The pairs with cosine of at least least that are found.
+        """The pairs with cosine of at least least that the graph finds.
 
-        own: each query's own node, which is no link, or -1. An audit that took all queries is
-        the result. Else the beams of all queries widen until the audit passes; a beam as wide
-        as the graph has seen all of it. The audit's links are among the pairs.
+        own: each query's own node, which is no link, or -1. The beams of all queries widen
+        until no link of the audit is missing; a beam as wide as the graph sees all of it.
         """
         n, width = len(self.exact), min(self.beam, len(self.exact))
         own = np.full(len(queries), -1) if own is None else own
-        sample, truth = self._audit(queries, least, own, links)
-        i, v = np.nonzero(truth)
-        sure, sure_v = self._exact(queries, sample[i], v, least)
-        if len(sample) == len(queries):
-            return Found(sure, sure_v, len(sure), len(sure), 0)
-        known = np.unique(sure * n + sure_v)
         near = queries.astype(np.float32)
+        known, first_hit = None, 0
         while True:
             q, v = self._exact(queries, *self._beams(near, width, least - 1e-4), least)
             pairs = np.unique(q * n + v)
+            if known is None:
+                sample, truth = self._audit(queries, least, own, links)
+                i, v = np.nonzero(truth)
+                sure, sure_v = self._exact(queries, sample[i], v, least)
+                known = np.unique(sure * n + sure_v)
+                first_hit = int(np.isin(known, pairs, assume_unique=True).sum())
             hit = int(np.isin(known, pairs, assume_unique=True).sum())
-            if hit >= RECALL * len(known) or width >= n:
-                pairs = np.union1d(pairs, known)
-                return Found(pairs // n, pairs % n, len(known), hit, width)
+            if hit == len(known) or width >= n:
+                return Found(pairs // n, pairs % n, len(known), first_hit, hit, width)
             width = min(n, width * 2)
 
 
@@ -259,7 +267,7 @@ def _search_block(table: pa.Table, similarity: float) -> pa.Table:
     node, weight, build = (table[c].to_numpy() for c in ("node", "weight", "build"))
     vectors = _matrix(table["vector"].combine_chunks())
     base, asking = np.flatnonzero(build), np.flatnonzero(~build)
-    empty = pa.table({c: pa.array([], pa.int64()) for c in ("node", "links", "root", "audited", "hit")})
+    empty = pa.table({c: pa.array([], pa.int64()) for c in ("node", "links", "root", *AUDIT)})
     if not len(base) or not len(asking):
         return empty
     base, asking = base[np.argsort(node[base])], asking[np.argsort(node[asking])]
@@ -275,7 +283,7 @@ def _search_block(table: pa.Table, similarity: float) -> pa.Table:
         found = graph.within(vectors[asking[at : at + SHARD]], similarity, np.where(mine[place] == some, place, -1))
         left.append(theirs[at + found.query])
         right.append(mine[found.node])
-        audits.append((found.audited, found.hit))
+        audits.append((found.audited, found.first_hit, found.hit))
     a, b = np.concatenate(left), np.concatenate(right)
     both = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))  # within the shard a link may be found from both ends
     a, b = both // len(names), both % len(names)
@@ -283,13 +291,14 @@ def _search_block(table: pa.Table, similarity: float) -> pa.Table:
     np.add.at(links, a, weights[b])
     np.add.at(links, b, weights[a])
     some = np.flatnonzero(links)
-    counts = np.zeros((2, len(some)), np.int64)
+    some = some if len(some) else np.array([0])  # what the audit saw is told even where the graph found nothing
+    counts = np.zeros((len(AUDIT), len(some)), np.int64)
     counts[:, :1] = np.sum(audits, axis=0)[:, None]
-    return pa.table({"node": names[some], "links": links[some], "root": names[smallest_reachable(a, b, len(names))[some]], "audited": counts[0], "hit": counts[1]})
+    return pa.table({"node": names[some], "links": links[some], "root": names[smallest_reachable(a, b, len(names))[some]]} | dict(zip(AUDIT, counts, strict=True)))
 
 
 def linked(nodes: DataFrame, similarity: float, shard: int = SHARD) -> DataFrame:
-    """nodes: node, label, vector (array<double>, unit), weight. node, links, root, audited, hit: parts of each node's links, edges that connect what is linked, and the audits' counts.
+    """nodes: node, label, vector (array<double>, unit), weight. node, links, root and the columns of AUDIT: parts of each node's links, edges that connect what is linked, and the audits' counts.
 
     Every two shards of a label meet in one task, which counts their links for both ends;
     a task takes a shard and the queries of BLOCK shards, so that no label is too large for one.
@@ -301,13 +310,14 @@ def linked(nodes: DataFrame, similarity: float, shard: int = SHARD) -> DataFrame
     block = F.floor(F.col("own") / BLOCK).cast("int")
     queries = dealt.select("node", "label", "d", "vector", "weight", F.explode(F.sequence("own", F.col("shards") - 1)).alias("shard"), block.alias("block"), F.lit(False).alias("build"))
     builders = dealt.select("node", "label", "d", "vector", "weight", F.col("own").alias("shard"), F.explode(F.sequence(F.lit(0), block)).alias("block"), F.lit(True).alias("build"))
-    return queries.unionByName(builders).groupBy("label", "d", "shard", "block").applyInArrow(lambda t: _search_block(t, similarity), "node long, links long, root long, audited long, hit long")
+    return queries.unionByName(builders).groupBy("label", "d", "shard", "block").applyInArrow(lambda t: _search_block(t, similarity), "node long, links long, root long, audited long, first_hit long, hit long")
 
 
 def audited_recall(links: DataFrame) -> DataFrame:
-    """links: of linked. One row: audited and hit, the true links that audits saw and those that graphs had found, and recall, 1 if there was none."""
-    sums = links.agg(F.coalesce(F.sum("audited"), F.lit(0)).alias("audited"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"))
-    return sums.withColumn("recall", F.when(F.col("audited") > 0, F.col("hit") / F.col("audited")).otherwise(1.0))
+    """links: of linked. One row: audited, first_hit and hit (the true links that audits saw, and those that graphs found with their first and last beams), first_recall and recall, 1 if there was none."""
+    sums = links.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in AUDIT])
+    share = lambda c: F.when(F.col("audited") > 0, F.col(c) / F.col("audited")).otherwise(1.0)
+    return sums.withColumns({"first_recall": share("first_hit"), "recall": share("hit")})
 
 
 def vector_nodes(unit: DataFrame) -> DataFrame:

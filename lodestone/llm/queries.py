@@ -68,6 +68,14 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"), similarity=0.98)
 
 
+def hnsw_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 over all vectors and a changed copy of each, so that there are links to find: its components go off by up to 8 in a hundred."""
+    own = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    changed = F.expr("transform(embedding, (x, i) -> CAST(x * (1D + ((vec_id * 31 + i * 17) % 11 - 5) * 0.016D * (vec_id % 6)) AS FLOAT))")
+    copies = own.select((F.col("vec_id") + 10_000_000).alias("vec_id"), changed.alias("embedding"), "label")
+    return near_vectors(own.unionByName(copies), similarity=0.98)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -184,16 +192,17 @@ LEFT JOIN sizes s ON c.class_id = s.class_id
 """
 
 OP9_SQL = """
-WITH RECURSIVE v AS (
+WITH RECURSIVE vectors AS (SELECT vec_id, embedding, label FROM embeddings),
+v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e,
          label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding::DOUBLE[], lambda x: x IS NOT NULL AND isfinite(x))), false) AS clean
-  FROM embeddings),
+  FROM vectors),
 good AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE clean AND list_dot_product(e, e) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
 reach AS (
-  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  SELECT vec_id AS a, vec_id AS b FROM vectors
   UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
@@ -201,6 +210,12 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM parts LEFT JOIN counts USING (vec_id)
 """
 
+COPIES_SQL = OP9_SQL.replace(
+    "SELECT vec_id, embedding, label FROM embeddings",
+    """SELECT vec_id, embedding, label FROM embeddings UNION ALL
+  SELECT vec_id + 10000000, list_transform(embedding, lambda x, i: (x * (1::DOUBLE + ((vec_id * 31 + (i - 1) * 17) % 11 - 5) * 0.016::DOUBLE * (vec_id % 6)))::FLOAT), label FROM embeddings""",
+)
+
 OP10_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -287,9 +302,10 @@ QUERIES = {
     "op7_media": op7_media,
     "op8_html_text": op8_html_text,
     "op9_hnsw": op9_hnsw,
+    "hnsw_of_copies": hnsw_of_copies,
     "op10_line_dedup": op10_line_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_sharding": op12_sharding,
     "op13_resampling": op13_resampling,
 }
-ORACLE_SQL = {"op3_license_scan": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op13_resampling": OP13_SQL}
+ORACLE_SQL = {"op3_license_scan": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_bag_minhash": OP6_SQL, "op9_hnsw": OP9_SQL, "hnsw_of_copies": COPIES_SQL, "op10_line_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op13_resampling": OP13_SQL}
