@@ -206,6 +206,36 @@ def test_what_is_noise(page, text):
     assert html_text.main_text(page, frozenset(), html_text.Paths()) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # reader comments go, articles too
+        ('<main><article>S</article><section id="comments"><article>reader</article></section></main>', "S"),
+        ('<main><article>S</article><article class="comment">reader</article></main>', "S"),
+        ('<article>S<ol><li><article class="comment-body"><p>reader</p></article></li></ol></article>', "S"),
+        ('<article>S<div class="comment-thread"><p>reader</p></div></article>', "S"),
+        ('<article>S</article><div class="post-comments"><article><p>reader</p></article></div>', "S"),
+        ('<div><p>S</p></div><ul class="top-nav-items"><li>x</li></ul><ol class="commentlist"><li>y</li></ol><div class="related-posts"><p>z</p></div>', "S"),
+        ('<article class="post comments-open">S</article>', "S"),
+        # text of the article stays
+        ('<article><p id="share">The share price rose.</p></article>', "The share price rose."),
+        ('<div><p id="share">The share price rose.</p></div>', "The share price rose."),
+        ('<article><h2 id="comments">Comments in C</h2><p>T</p></article>', "Comments in C\nT"),
+        ('<div><h2 id="comments">Comments in C</h2><p>T</p></div>', "Comments in C\nT"),
+        ('<article><p class="notice">N</p></article>', "N"),
+        ('<article><p>the <a class="related">linked phrase</a> stays</p></article>', "the linked phrase stays"),
+        ('<article><p>S</p><form><label>name</label></form><div><label>x</label></div></article>', "S"),
+        # a teaser that is longer than the story
+        (f"<article>{'teaser ' * 23}</article><div><p>{'story ' * 16}</p></div>", f"{('teaser ' * 23).strip()}\n{('story ' * 16).strip()}"),
+        ("<article><p>S</p></article><div>loose words beside it</div>", "S"),
+        # what is noise in an article still goes
+        ('<article><p>S</p><div class="ad">x</div><ul class="share-buttons"><li>y</li></ul><span class="advert">z</span></article>', "S"),
+    ],
+)
+def test_names_both_ways(page, text):
+    assert html_text.main_text(page, frozenset(), html_text.Paths()) == text
+
+
 @pytest.mark.parametrize("part", ['<a "', '<a x="', "<a x='\"", "<", "<div>", "<p>w &lt; ", "<a ", "</", "<!--", "</p>", "<div></p>", '<p class="x y">'])
 def test_broken_pages_take_linear_time(part):
     seconds = []
