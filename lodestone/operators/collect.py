@@ -22,11 +22,11 @@ from lodestone.storage import written
 
 
 def stem_index(files: DataFrame, destination: str | None = None) -> DataFrame:
-    """stem (case-folded), paths: files by name, without those that are hidden or in the destination."""
+    """stem (case-folded), found (the first path) and files (how many there are): files by name, without those that are hidden or in the destination. Combined on the map side, however many share a name."""
     seen = files.where(~base_name(F.col("path")).startswith("."))
     if destination:
         seen = seen.where(~F.col("path").startswith(destination.rstrip("/") + "/"))
-    return seen.groupBy(casefold(stem(F.col("path"))).alias("stem")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return seen.groupBy(casefold(stem(F.col("path"))).alias("stem")).agg(F.min("path").alias("found"), F.count("*").alias("files"))
 
 
 def _first_free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,8 +90,8 @@ def resolve(manifest: DataFrame, files: DataFrame, *, has_source: bool, destinat
     else:
         index = stem_index(files, destination)
         rows = manifest.withColumn("wanted", casefold(stem(F.col("photo_id")))).join(index, F.col("wanted") == F.col("stem"), "left")
-        rows = rows.withColumn("path", F.when(F.size("paths") == 1, F.get("paths", F.lit(0))))
-        why = F.when(F.col("paths").isNull(), "no such file").when(F.size("paths") > 1, "several files")
+        rows = rows.withColumn("path", F.when(F.col("files") == 1, F.col("found")))
+        why = F.when(F.col("files").isNull(), "no such file").when(F.col("files") > 1, "several files")
     short = F.coalesce(F.col("width") < 2, F.lit(False))
     reason = F.when(short, "short row").when(blank, "empty entity or item").otherwise(why)
     out = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "found").otherwise("skipped"))

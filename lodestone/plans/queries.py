@@ -13,6 +13,7 @@ from lodestone.functions.boxes import clipped, padded
 from lodestone.functions.text import camera_time, identifier, identity_key, sequence_number, sequence_prefix, stem, suffix
 from lodestone.functions.vectors import openness
 from lodestone.operators import collect, detections, identity, matching, quality, routing, series
+from lodestone.operators.samples import exposure
 from lodestone.plans import inputs
 from lodestone.plans.inputs import SETTINGS
 from lodestone.sources.delimited import ACCEPTED, read_manifest, write_single
@@ -544,6 +545,20 @@ def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_manifest(spark, path)[0]
 
 
+@query(
+    """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+v AS (SELECT doc_id, ('0x' || substr(h, 2 * i + 1, 2))::INT AS v FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d))
+SELECT d.doc_id, count(v) AS samples, round(CASE WHEN count(v) = 0 THEN 1 ELSE count(*) FILTER (WHERE v <= 5 OR v >= 250) / count(v) END, 6) AS clipped, round(coalesce(avg(v), 0), 6) AS gray_mean
+FROM d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id"""
+)
+def exposure_of_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts' bytes as grey samples, in tiles of up to 500 characters."""
+    text = F.coalesce("text", F.lit(""))
+    starts = F.sequence(F.lit(0), F.char_length(text), F.lit(500))
+    tiles = inputs.table(spark, sf_dir, "documents").select("doc_id", text.alias("t"), F.explode(starts).alias("at")).select("doc_id", F.encode(F.substr("t", F.col("at") + 1, F.lit(500)), "UTF-8").alias("grey"))
+    return rounded(exposure(tiles, ["doc_id"]), "clipped", "gray_mean")
+
+
 # --- collection ---
 
 RESOLVED = f"""
