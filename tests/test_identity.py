@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import identifier, identity_key, longest_common_run, tokens
-from lodestone.operators.identity import AmbiguousNames, group_references
+from lodestone.operators.identity import AmbiguousNames, group_references, named, nodes_of, resolution, shared_by_two
 
 
 def groups(spark, stems):
@@ -94,3 +96,56 @@ NAMED = [
 def test_groups_of_known_names(spark):
     refs = spark.createDataFrame([(p, s) for p, s, _ in NAMED], "path string, stem string")
     assert {r["path"]: r["entity_id"] for r in group_references(refs).collect()} == {p: e for p, _, e in NAMED}
+
+
+def plain_resolution(names):
+    """Entity of each name and the names in doubt, by comparing all pairs. names: different, as words of lower case."""
+    words = {n: n.split(" ") for n in names}
+    holds = lambda n, run: f" {run} " in f" {n} "
+    candidates = set()
+    order = sorted(names)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            w = words[a]
+            runs = [(k, -s, " ".join(w[s : s + k])) for s in range(len(w)) for k in range(1, len(w) - s + 1)]
+            common = [r for r in runs if holds(b, r[2])]
+            if common and (max(common)[0] > 1 or 1 in (len(w), len(words[b]))):
+                candidates.add(max(common, key=lambda r: r[:2])[2])
+    members = {c: {n for n in names if holds(n, c)} for c in candidates}
+    short = {c for c, m in members.items() if " " not in c and len(m) > 2}
+    doubt = set().union(*(members[c] for c in short))
+    choice = {}
+    for n in names:
+        own = [c for c in members if c not in short and n in members[c]]
+        longest = [c for c in own if len(c.split(" ")) == max(len(x.split(" ")) for x in own)]
+        if len(longest) > 1:
+            doubt.add(n)
+        elif longest:
+            choice[n] = longest[0]
+    return {n: choice[n] if n in choice and all(choice.get(m) == choice[n] for m in members[choice[n]]) else n for n in names}, doubt
+
+
+def test_candidates_by_counting_are_those_of_all_pairs(spark):
+    rng = random.Random(7)
+    wanted, doubted, rows = {}, set(), []
+    for trial in range(150):
+        pool = [f"t{trial}{c}" for c in "abcdefgh"[: rng.choice([3, 5, 8])]]
+        names = {" ".join(rng.choices(pool, k=rng.choice([1, 2, 3, 4, 6]))) for _ in range(rng.choice([2, 4, 7]))}
+        entities, doubt = plain_resolution(names)
+        wanted.update(entities)
+        doubted |= doubt
+        rows += [(f"{n}.jpg", n) for n in names]
+    groups, problems = resolution(spark.createDataFrame(rows, "path string, stem string"))
+    assert {r["path"][:-4]: r["entity_id"] for r in groups.collect()} == wanted
+    assert {r["name"] for r in problems.collect()} == doubted
+
+
+def test_one_run_in_very_many_names_makes_no_pairs(spark):
+    many = 200_000
+    names = spark.range(many).select(F.concat(F.lit("d/"), "id").alias("path"), F.concat(F.lit("Kot Nik x"), "id").alias("stem"))
+    twice = spark.range(many).select(F.concat(F.lit("e/"), "id").alias("path"), F.concat(F.lit("Lev Ros Max Ian y"), "id", F.lit(" Lis Ann Ber Tom")).alias("stem"))
+    nodes = nodes_of(named(twice))
+    held = nodes.select(F.lit("lev ros max ian").alias("candidate"), "key").unionByName(nodes.select(F.lit("lis ann ber tom").alias("candidate"), "key"))
+    assert [(r["candidate"], r["first"]) for r in shared_by_two(nodes, held).collect()] == [("lev ros max ian", "lev ros max ian y0 lis ann ber tom")]
+    found = group_references(names).groupBy("entity_id").count().collect()
+    assert [tuple(r) for r in found] == [("Kot Nik", many)]
