@@ -99,16 +99,19 @@ def memberships(nodes: DataFrame) -> DataFrame:
     most = held.groupBy("key").agg(F.max("size").alias("longest"), F.max(F.struct("size", "candidate")).alias("last"), F.min(F.struct(-F.col("size"), F.col("candidate"))).alias("first"))
     doubted = most.where((F.col("longest") > 1) & (F.col("last.candidate") != F.col("first.candidate"))).select("key", "longest")
     doubt = written(held.join(doubted, "key").where("size = longest").select("candidate").distinct(), "doubtful", narrow=True)
-    sure = held.join(doubt, "candidate", "left_anti")
+    in_doubt = not doubt.isEmpty()
+    sure = held.join(doubt, "candidate", "left_anti") if in_doubt else held
     top = sure.join(most.select("key", "longest"), "key").where("size = 1 OR size = longest").drop("longest")
     firsts = sure.join(nodes.select("key", "cf"), "key").groupBy("candidate").agg(F.min(F.struct("cf", "key")).getField("key").alias("first"))
-    doubtful = held.join(doubt, "candidate", "left_semi")
-    proved = shared_by_two(nodes, doubtful.select("candidate", "key"))
+    if in_doubt:
+        doubtful = held.join(doubt, "candidate", "left_semi")
+        top = top.unionByName(doubtful)
+        firsts = firsts.unionByName(shared_by_two(nodes, doubtful.select("candidate", "key")))
     n = F.size(tokens(F.col("candidate")))
     start = F.get(F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_join(F.slice("words", i, n), " ") == F.col("candidate")), 0)
     names = nodes.select(F.col("key").alias("first"), "words", "display")
-    shown = firsts.unionByName(proved).join(names, "first").select("candidate", F.array_join(F.slice(tokens(F.col("display")), start, n), " ").alias("shown"))
-    return top.unionByName(doubtful).join(shown, "candidate").select("candidate", "shown", "size", "key", "members")
+    shown = firsts.join(names, "first").select("candidate", F.array_join(F.slice(tokens(F.col("display")), start, n), " ").alias("shown"))
+    return top.join(shown, "candidate").select("candidate", "shown", "size", "key", "members")
 
 
 def resolution(references: DataFrame) -> tuple[DataFrame, DataFrame]:
