@@ -6,6 +6,8 @@ array<array<float>>, det_score, source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,10 +91,10 @@ def from_tiles(local: DataFrame) -> DataFrame:
     return whole.withColumns({"raw_bbox": shifted(raw, x, y), "kps": F.transform("kps", lambda p: F.array(p[0] + x, p[1] + y))}).drop("x", "y", "w", "h")
 
 
-def detect(full: DataFrame, tiled: DataFrame, s: Settings, tie: tuple[str, ...] = ()) -> DataFrame:
-    """Candidates of whole images and of tiles, suppressed together and capped, by (y1, x1)."""
+def detect(full: DataFrame, tiled: DataFrame, s: Settings, tie: tuple[str, ...] = (), suppressing: Callable[..., DataFrame] = suppress) -> DataFrame:
+    """Candidates of whole images and of tiles, suppressed together and capped, by (y1, x1). suppressing: crowded.suppress_any where an image may have very many boxes."""
     together = full.unionByName(tiled)
-    kept = cap_weak(suppress(together, s.nms_iou, "item_id", tie=tie), s, "item_id", tie=tie)
+    kept = cap_weak(suppressing(together, s.nms_iou, "item_id", tie=tie), s, "item_id", tie=tie)
     return kept.sort("item_id", "bbox.y1", "bbox.x1")
 
 

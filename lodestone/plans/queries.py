@@ -13,6 +13,7 @@ from lodestone.functions.boxes import clipped, padded
 from lodestone.functions.text import camera_time, identifier, identity_key, sequence_number, sequence_prefix, stem, suffix
 from lodestone.functions.vectors import openness
 from lodestone.operators import collect, detections, identity, matching, quality, routing, series
+from lodestone.operators.crowded import suppress_in_rounds
 from lodestone.operators.samples import exposure
 from lodestone.plans import inputs
 from lodestone.plans.inputs import SETTINGS
@@ -299,6 +300,20 @@ def nms_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("item_id", "line", "part", "supp", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")], "det_score")
 
 
+@query(
+    f"""WITH kept AS ({SQL['nms_keep']})
+SELECT item_id % 4 AS sheet, item_id, line, part, supp, x1 + 400 * (item_id // 4 % 1000) AS x1, y1 + 300 * (item_id // 4000) AS y1, x2 + 400 * (item_id // 4 % 1000) AS x2, y2 + 300 * (item_id // 4000) AS y2, det_score FROM kept"""
+)
+def nms_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of nms_keep side by side on four sheets, each of which is one image: what is kept is the same, but no image is a group."""
+    right, down = F.col("item_id") / 4 % 1000, F.col("item_id") / 4000
+    at = lambda side, step, size: (F.col(f"bbox.{side}") + F.floor(step).cast("int") * size).alias(side)
+    box = F.struct(at("x1", right, 400), at("y1", down, 300), at("x2", right, 400), at("y2", down, 300))
+    sheets = inputs.boxes(spark, sf_dir).withColumns({"sheet": F.col("item_id") % 4, "bbox": box})
+    kept = suppress_in_rounds(sheets, SETTINGS.nms_iou, "sheet", tie=("line", "part", "supp"))
+    return kept.select("sheet", "item_id", "line", "part", "supp", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")], "det_score")
+
+
 @query(
     f"""WITH {inputs.BOXES_SQL},
 w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY det_score DESC, (x2 - x1) * (y2 - y1) DESC, line, part, supp) AS n FROM boxes WHERE det_score < 0.18)
