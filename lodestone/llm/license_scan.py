@@ -1,16 +1,16 @@
 """License scans: an exact set-similarity join of text blocks (lines) with license templates.
 
-Words are runs of ASCII letters (lower-cased), digits and bytes outside ASCII. A block meets
-a template if it holds at least the threshold's share of the template's distinct words. One
-pass over all blocks counts how many hold each word of the templates; ordered from the
+Words are runs of ASCII letters (lower-cased), digits and bytes outside ASCII. A stretch is
+words in a row, at most STRETCH times as many as a template has; it meets the template if it
+holds at least the threshold's share of its distinct words, and a block does if a stretch of
+it does, so words that are scattered over a long line are no match. One pass over all blocks counts how many hold each word of the templates; ordered from the
 rarest, a block that meets a template must share one of the template's first words (prefix
 filter), have enough distinct words (length filter), and have enough of them left, on both
-sides, from the first one shared (positional filter). What passes is verified exactly.
+sides, from the first one shared (positional filter). What passes is verified exactly: in a
+block longer than a stretch, a window slides over the places of the template's words.
 
-Notices are usually wrapped, so a template is also met by a stretch across line ends: words
-in a row, at most STRETCH times as many as the template has, that hold the threshold's share
-of its distinct words. The same join finds the templates that a whole text meets; only for
-those a window slides over the places of their words.
+Notices are usually wrapped, so a template is also met by a stretch across line ends. The same
+join finds the templates that a whole text meets; only for those a window slides over it.
 
 The templates are a parameter, by default one-line notices and the texts of license_texts.txt;
 their distinct words, which is all that is ever gathered or sent to the executors, are checked
@@ -62,7 +62,7 @@ TEMPLATES = {
 }
 TEXTS = Path(__file__).with_name("license_texts.txt")
 MOST_TEMPLATE_WORDS = 100_000
-#: Words of a stretch across line ends for each word of the template; more than one, for comment marks and small additions.
+#: Words of a stretch for each word of the template; more than one, for comment marks and small additions.
 STRETCH = 2
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -102,7 +102,15 @@ class TemplateIndex:
         self.keys = frozenset(self.prefix)
 
     def matches(self, block: list[bytes]) -> Iterator[tuple[int, float]]:
-        """(number, share of its words) of each template that the block meets."""
+        """(number, share of its words) of each template that the block meets with its best stretch."""
+        for k, share in self.joined(block):
+            if len(block) <= self.longest[k]:
+                yield k, share
+            elif best := self.stretch(block, k):
+                yield k, best[2]
+
+    def joined(self, block: list[bytes]) -> Iterator[tuple[int, float]]:
+        """(number, share of its words) of each template of whose words the whole block holds enough."""
         if self.keys.isdisjoint(block):
             return
         held = set(block)
@@ -119,8 +127,8 @@ class TemplateIndex:
                 if (n := sum(x in held for x in words)) >= need:
                     yield k, n / len(words)
 
-    def wrapped(self, words: list[bytes], line: list[int], k: int) -> tuple[int, int, float] | None:
-        """(first line, last line, share) of the first of the stretches across line ends that meet template k best."""
+    def stretch(self, words: list[bytes], k: int, line: list[int] | None = None) -> tuple[int, int, float] | None:
+        """(first word, last word, share) of the first of the stretches that meet template k best; of those across line ends if the words' lines are given."""
         own, longest = self.words[k], self.longest[k]
         places = [i for i, w in enumerate(words) if w in own]
         held: Counter[bytes] = Counter()
@@ -133,8 +141,8 @@ class TemplateIndex:
                 if not held[w]:
                     del held[w]
                 left += 1
-            if len(held) > most and line[places[left]] != line[right]:
-                best, most = (line[places[left]], line[right], len(held) / len(own)), len(held)
+            if len(held) > most and (line is None or line[places[left]] != line[right]):
+                best, most = (places[left], right, len(held) / len(own)), len(held)
         return best
 
 
@@ -179,7 +187,7 @@ def phrase_places(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tupl
 def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.9, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns to keep (all by default), n_words, n_base, first_word, last_word, base_labels, labels, score, matches and wrapped.
 
-    matches: (block from 0, label, share) of every block that meets a template; wrapped: (first
+    matches: (block from 0, label, share of its best stretch) of every block that meets a template; wrapped: (first
     line, last line, label, share) of the best stretch across line ends of every template that
     one meets better than any block. score is the largest share, 1 where a phrase stands.
     """
@@ -198,14 +206,14 @@ def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str] | None = None
         words = words_of(text)
         base = phrase_places(words, spaced)
         met, wrapped = [], []
-        if whole := [k for k, _ in index.matches(words)]:
+        if whole := [k for k, _ in index.joined(words)]:
             lines = [words_of(x) for x in text.split(b"\n")]
             met = [(i, k, share) for i, x in enumerate(lines) for k, share in index.matches(x)]
             line = [i for i, x in enumerate(lines) for _ in x]
             for k in whole:
-                best = index.wrapped(words, line, k)
+                best = index.stretch(words, k, line)
                 if best and best[2] > max((share for _, j, share in met if j == k), default=0.0):
-                    wrapped.append((k, *best))
+                    wrapped.append((k, line[best[0]], line[best[1]], best[2]))
         places, own = [p for p, _ in base], {label for _, label in base}
         return (
             len(words),

@@ -96,7 +96,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_sql(templates: Mapping[str, str], phrases: Mapping[str, str], threshold: float = 0.9) -> str:
-    """Words with their lines; places of phrases; for each template the distinct words that a line holds, and those of stretches across line ends."""
+    """Words; places of phrases; for each template the distinct words that a stretch of a text holds, within a line or across line ends."""
     found = [(k, label, [w.decode() for w in words_of(text.encode())]) for k, (text, label) in enumerate(templates.items())]
     needs = [(k, label, STRETCH * len(words), max(1, math.ceil(threshold * len(set(words)) - 1e-9)), len(set(words))) for k, label, words in found]
     rows = lambda some: ", ".join(map(repr, some))
@@ -116,16 +116,13 @@ ahead AS (
   SELECT doc_id, pos, w AS w0, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2, lead(w, 3) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
-hits AS (SELECT doc_id, n, pos, k, w FROM words JOIN template_words USING (w)),
+hits AS (SELECT doc_id, pos, k, w FROM words JOIN template_words USING (w)),
 held AS (SELECT doc_id, k FROM hits JOIN templates USING (k) GROUP BY doc_id, k, need HAVING count(DISTINCT w) >= need),
 near AS (SELECT h.* FROM hits h JOIN held USING (doc_id, k)),
-in_line AS (SELECT doc_id, k, n, count(DISTINCT w) AS c FROM near GROUP BY doc_id, k, n),
-last_places AS (
-  SELECT a.doc_id, a.k, a.pos, a.n, b.w, max(b.pos) AS p, max(b.n) AS line
+stretches AS (
+  SELECT a.doc_id, a.k, a.pos, count(DISTINCT b.w) AS c
   FROM near a JOIN templates USING (k) JOIN near b ON a.doc_id = b.doc_id AND a.k = b.k AND b.pos <= a.pos AND b.pos > a.pos - longest GROUP BY ALL),
-across AS (SELECT doc_id, k, pos, count(*) AS c FROM last_places GROUP BY doc_id, k, pos, n HAVING min(line) < n),
-met AS (
-  SELECT doc_id, k, max(c) AS c FROM (SELECT doc_id, k, c FROM in_line UNION ALL SELECT doc_id, k, c FROM across) JOIN templates USING (k) WHERE c >= need GROUP BY doc_id, k),
+met AS (SELECT doc_id, k, max(c) AS c FROM stretches JOIN templates USING (k) WHERE c >= need GROUP BY doc_id, k),
 labels AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
     SELECT doc_id, label FROM met JOIN templates USING (k) UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id),
