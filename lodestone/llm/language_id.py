@@ -10,7 +10,9 @@ a second language go through the larger sets.
 
 The model may be fitted on a sample: per_language bounds the expected number of labelled
 documents of each language, taken whole and chosen by a hash of the id. Its size is the
-number of languages times the buckets, whatever the input. Prediction reads whole texts.
+number of languages times the buckets, whatever the input; more languages than most_languages
+are an error before anything is learned. Prediction reads whole texts; likelihoods beyond a
+bound are computed again, slice by slice, so memory does not grow with words times languages.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every
 text if nothing could be learned; rows without a language teach nothing; of languages with
@@ -36,6 +38,8 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 16
 #: A model of that many languages has 64 MB, which is all that is broadcast.
 MOST_LANGUAGES = 256
+#: Likelihoods (words x languages) of a slice, and those that a task holds at once.
+SLICE, HELD = 1 << 20, 1 << 25
 
 
 def _folded() -> np.ndarray:
@@ -81,12 +85,12 @@ class Model:
     logp: np.ndarray  # languages x buckets, float32
 
 
-def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 2000) -> Model:
-    """Learns from the rows whose text and language are not null."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("draw"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 2000, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Learns from the rows whose text and language are not null. Each of most_languages takes 256 KB of driver and task."""
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col)).alias("draw"))
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()}
+    if len(totals) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     languages = sorted(totals)
     if not languages:
         return Model([], np.empty((0, BUCKETS), np.float32))
@@ -113,15 +117,59 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
     return Model(languages, np.log((sums + 0.05) / (sums.sum(axis=1, keepdims=True) + 0.05 * BUCKETS)).astype(np.float32))
 
 
-def _maximised(lik: np.ndarray, first: np.ndarray, count: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (texts x languages) and the logarithm of the likelihood that lik, scaled word by word, has under them."""
-    owner = np.repeat(np.arange(len(count)), count)
+class Likelihoods:
+    """What each word says of each language, scaled word by word; held at once or, where that is too much, computed again slice by slice."""
+
+    def __init__(self, words: Words, model: Model) -> None:
+        self.words, self.logp = words, model.logp
+        languages = len(model.logp)
+        self.step = max(1, SLICE // languages)
+        present, self.count = np.unique(words.text, return_counts=True)
+        self.present, self.owner = present, np.repeat(np.arange(len(present)), self.count)
+        self.held = [self._slice(at) for at in self._starts()] if len(words.first) * languages <= HELD else None
+
+    def _starts(self) -> range:
+        return range(0, len(self.words.first), self.step)
+
+    def _slice(self, at: int) -> np.ndarray:
+        first = self.words.first[at : at + self.step + 1]
+        codes = self.words.codes[first[0] : first[-1] if len(first) > self.step else None]
+        log = np.stack([np.add.reduceat(row[codes], first[: self.step] - first[0]) for row in self.logp], axis=1).astype(np.float64)
+        log -= log.max(axis=1, keepdims=True)
+        return np.exp(np.maximum(log, -60))
+
+    def slices(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in some, likelihoods) of the words of some texts (numbers in order)."""
+        place = np.full(len(self.present), -1)
+        place[some] = np.arange(len(some))
+        for i, at in enumerate(self._starts()):
+            owner = place[self.owner[at : at + self.step]]
+            mine = owner >= 0
+            if mine.any():
+                lik = self._slice(at) if self.held is None else self.held[i]
+                yield (owner, lik) if mine.all() else (owner[mine], lik[mine])
+
+
+def _add(sums: np.ndarray, owner: np.ndarray, values: np.ndarray) -> None:
+    """Adds the values of rows to their owners' sums; rows of an owner stand together."""
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    sums[owner[first]] += np.add.reduceat(values, first, axis=0)
+
+
+def _maximised(liks: Likelihoods, some: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (some texts x languages) and the logarithm of the scaled likelihood under them."""
     for _ in range(rounds):
-        joint = lik * share[owner]
-        joint /= joint.sum(axis=1, keepdims=True)
-        share = np.maximum(np.add.reduceat(joint, first, axis=0) / count[:, None], 1e-9) * (share > 0)
+        sums = np.zeros(share.shape)
+        for owner, lik in liks.slices(some):
+            joint = lik * share[owner]
+            joint /= joint.sum(axis=1, keepdims=True)
+            _add(sums, owner, joint)
+        share = np.maximum(sums / liks.count[some, None], 1e-9) * (share > 0)
         share /= share.sum(axis=1, keepdims=True)
-    return share, np.add.reduceat(np.log((lik * share[owner]).sum(axis=1)), first)
+    value = np.zeros(len(some))
+    for owner, lik in liks.slices(some):
+        _add(value, owner, np.log((lik * share[owner]).sum(axis=1)))
+    return share, value
 
 
 def proportions(texts: list[bytes], model: Model, penalty: float = 3.0, rounds: int = 12) -> np.ndarray:
@@ -131,28 +179,26 @@ def proportions(texts: list[bytes], model: Model, penalty: float = 3.0, rounds:
     words = words_of(texts)
     if not n or not len(words.first):
         return out
-    log = np.stack([np.add.reduceat(row[words.codes], words.first) for row in model.logp], axis=1).astype(np.float64)
-    log -= log.max(axis=1, keepdims=True)
-    lik = np.exp(np.maximum(log, -60))
-    present, first, count = np.unique(words.text, return_index=True, return_counts=True)
-    share, best = _maximised(lik, first, count, np.full((len(present), n), 1 / n), rounds)
+    liks = Likelihoods(words, model)
+    everyone = np.arange(len(liks.present))
+    share, best = _maximised(liks, everyone, np.full((len(everyone), n), 1 / n), rounds)
     order = np.argsort(-share, axis=1, kind="stable")
-    owner = np.repeat(np.arange(len(present)), count)
-    alone = np.add.reduceat(np.log(lik[np.arange(len(owner)), order[owner, 0]]), first)
-    cost = penalty * np.log(count + 1)
-    kept, value = np.zeros((len(present), n)), alone.copy()
-    kept[np.arange(len(present)), order[:, 0]] = 1
+    value = np.zeros(len(everyone))
+    for owner, lik in liks.slices(everyone):
+        _add(value, owner, np.log(lik[np.arange(len(owner)), order[owner, 0]]))
+    cost = penalty * np.log(liks.count + 1)
+    kept = np.zeros((len(everyone), n))
+    kept[everyone, order[:, 0]] = 1
     for k in range(2, n + 1):
         some = np.flatnonzero(best - cost * (k - 1) > value)
         if not len(some):
             break
         inside = np.zeros((len(some), n))
         np.put_along_axis(inside, order[some, :k], 1 / k, axis=1)
-        mine = np.isin(owner, some)
-        got, log_lik = _maximised(lik[mine], np.concatenate([[0], np.cumsum(count[some])[:-1]]), count[some], inside, rounds)
+        got, log_lik = _maximised(liks, some, inside, rounds)
         better = log_lik - cost[some] * (k - 1) > value[some]
         kept[some[better]], value[some[better]] = got[better], (log_lik - cost[some] * (k - 1))[better]
-    out[present] = kept
+    out[liks.present] = kept
     return out
 
 

@@ -5,6 +5,7 @@ import math
 import random
 import textwrap
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -367,6 +368,44 @@ def test_held_out_accuracy(spark, sf):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def test_slices_of_likelihoods_give_the_same_proportions(monkeypatch):
+    rng = random.Random(6)
+    model = language_id.Model(list("abcde"), np.log(np.random.default_rng(1).dirichlet(np.full(language_id.BUCKETS, 0.1), 5) + 1e-9).astype(np.float32))
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(rng.choice([0, 1, 40, 400]))).encode() for _ in range(30)]
+    whole = language_id.proportions(texts, model)
+    monkeypatch.setattr(language_id, "SLICE", 35)
+    assert np.allclose(language_id.proportions(texts, model), whole, atol=1e-9)
+    monkeypatch.setattr(language_id, "HELD", 0)
+    assert np.allclose(language_id.proportions(texts, model), whole, atol=1e-9)
+
+
+def test_a_long_text_in_many_languages_takes_bounded_memory():
+    """2 MB in 64 languages, within 400 MB of arrays."""
+    model = language_id.Model([f"l{i:02}" for i in range(64)], np.log(np.random.default_rng(2).random((64, language_id.BUCKETS), np.float32) + 0.01))
+    text = b"word and others " * 131_072
+    tracemalloc.start()
+    try:
+        share = language_id.proportions([text], model, rounds=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert share.sum() == pytest.approx(1)
+    assert peak < 400e6
+
+
+def test_language_ties_null_ids_and_clashing_columns(spark):
+    rows = [(None, "kama tiko mana", "aa", "old", 7.0)] * 3 + [(1, "zzyq wvvu qzzy", "cc", None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language_id.fit(df, per_language=2)
+    assert model.languages == ["aa", "cc"]
+    got = sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in language_id.identify(df, model).collect())
+    assert got == [("1", "cc", 1.0), *[("None", "aa", 1.0)] * 3, ("None", "und", 0.0)]
+    same_twice = language_id.Model(["aa", "zz"], np.repeat(model.logp[:1], 2, axis=0))
+    assert language_id.identify(df.where("lang = 'aa'"), same_twice).select("lang_pred").distinct().collect()[0][0] == "aa"
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language_id.fit(df, most_languages=1)
+
+
 def plain_proportions(text, model, penalty=3.0, rounds=12):
     """The method word by word: expectation-maximisation over all languages, then over nested sets while the penalised likelihood grows."""
     fold = lambda b: b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
