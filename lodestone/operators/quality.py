@@ -1,6 +1,6 @@
 """Quality rules: an ordered array of reason codes for each row.
 
-Numbers behind a reason stay in their columns; texts are a matter of output. A metric that
+Numbers behind a reason stay in their columns; `reasons` makes texts of both. A metric that
 is null or not finite gives no reason.
 """
 
@@ -28,10 +28,14 @@ def _listed(codes: Column) -> Column:
     return F.array_remove(F.split(codes, ";"), "")
 
 
+def face_share(fw: Column, fh: Column, width: Column, height: Column) -> Column:
+    """The share of the frame that a box takes."""
+    return F.greatest(F.lit(1e-8), F.least(F.lit(1.0), fw * fh / F.greatest(F.lit(1.0), width.cast("double") * height.cast("double"))))
+
+
 def guard_ratio(fw: Column, fh: Column, width: Column, height: Column, s: Settings) -> Column:
     """The share of the frame that must stay free around a box of that size."""
-    share = F.greatest(F.lit(1e-8), F.least(F.lit(1.0), fw * fh / F.greatest(F.lit(1.0), width.cast("double") * height.cast("double"))))
-    scaled = s.guard_base * F.pow(F.lit(max(1e-8, s.guard_area)) / share, F.lit(s.guard_exponent))
+    scaled = s.guard_base * F.pow(F.lit(max(1e-8, s.guard_area)) / face_share(fw, fh, width, height), F.lit(s.guard_exponent))
     return F.greatest(F.lit(s.guard_min), F.least(F.lit(s.guard_max), scaled))
 
 

@@ -5,7 +5,7 @@ matched: obs_id, path, source, quality_reasons, and what match_two_pass gives.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
@@ -35,10 +35,10 @@ def accepted(matched: DataFrame) -> DataFrame:
     return _closest(rows, "source").withColumn("photo_id", stem(F.col("path")))
 
 
-def rejected(matched: DataFrame) -> DataFrame:
-    """As accepted, with reasons; an entity accepted on a path is not rejected there."""
+def rejected(matched: DataFrame, reason: Column | None = None) -> DataFrame:
+    """As accepted, with reasons (codes, unless a column for them is given); an entity accepted on a path is not rejected there."""
     rows = final_source(matched).where(F.col("accepted_id").isNotNull() & (F.size("quality_reasons") > 0))
-    closest = _closest(rows.withColumn("reason", F.array_join("quality_reasons", "; ")), "reason", "source")
+    closest = _closest(rows.withColumn("reason", F.array_join("quality_reasons", "; ") if reason is None else reason), "reason", "source")
     return closest.join(accepted(matched).select("entity_id", "path"), ["entity_id", "path"], "left_anti").withColumn("photo_id", stem(F.col("path")))
 
 

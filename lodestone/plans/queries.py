@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.boxes import clipped, padded
 from lodestone.functions.text import camera_time, identifier, identity_key, sequence_number, sequence_prefix, stem, suffix
 from lodestone.functions.vectors import openness
-from lodestone.operators import collect, detections, identity, matching, quality, routing, series
+from lodestone.operators import collect, detections, identity, matching, quality, reasons, routing, series
 from lodestone.operators.crowded import suppress_in_rounds
 from lodestone.operators.samples import exposure
 from lodestone.plans import inputs
@@ -436,22 +437,55 @@ def detect_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- quality ---
 
 
-@query(
-    f"""WITH {inputs.MEASURED_SQL}, {inputs.CLIPPING_SQL},
+JUDGED_SQL = f"""WITH {inputs.MEASURED_SQL}, {inputs.CLIPPING_SQL},
 q AS (
-  SELECT *, greatest(bx1 + 1, least(w, round_even(x2, 0)::BIGINT)) AS bx2, greatest(by1 + 1, least(h, round_even(y2, 0)::BIGINT)) AS by2 FROM clipping)
-SELECT item_id, line, part, array_to_string(
-  list_filter([CASE WHEN least(bx2 - bx1, by2 - by1) < 45 THEN 'small' END], lambda x: x IS NOT NULL) || edge_reasons ||
+  SELECT *, greatest(bx1 + 1, least(w, round_even(x2, 0)::BIGINT)) AS bx2, greatest(by1 + 1, least(h, round_even(y2, 0)::BIGINT)) AS by2 FROM clipping),
+judged AS (
+  SELECT *, list_filter([CASE WHEN least(bx2 - bx1, by2 - by1) < 45 THEN 'small' END], lambda x: x IS NOT NULL) || edge_reasons ||
   list_filter([CASE WHEN blur < 45 THEN 'blur' END, CASE WHEN clip > 0.55 OR gray < 22 OR gray > 238 THEN 'exposure' END,
     CASE WHEN posed AND abs(yaw) > 45 THEN 'yaw' END, CASE WHEN posed AND abs(pitch) > 35 THEN 'pitch' END, CASE WHEN posed AND abs(roll) > 35 THEN 'roll' END,
-    CASE WHEN eye_l IS NOT NULL AND least(eye_l, eye_r) < 0.105 THEN 'eyes' END], lambda x: x IS NOT NULL), ';') AS reasons
-FROM q"""
-)
+    CASE WHEN eye_l IS NOT NULL AND least(eye_l, eye_r) < 0.105 THEN 'eyes' END], lambda x: x IS NOT NULL) AS reasons
+  FROM q)
+"""
+
+
+@query(JUDGED_SQL + "SELECT item_id, line, part, array_to_string(reasons, ';') AS reasons FROM judged")
 def quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.measured(spark, sf_dir).withColumn("bbox", clipped(F.col("raw_bbox"), F.col("image_w"), F.col("image_h")))
     return quality.with_quality(rows, replace(SETTINGS, reject_exposure=True)).select("item_id", "line", "part", F.concat_ws(";", "quality_reasons").alias("reasons"))
 
 
+def _shown_sql(x: str, places: int) -> str:
+    """A number of that many places: nine digits, then halves to even, in whole numbers."""
+    units = f"round_even(round_even({x} * 1e9, 0)::BIGINT / 1e{9 - places}, 0)::BIGINT"
+    return f"printf('%.{places}f', {units} / 1e{places})" if places else f"({units})::VARCHAR"
+
+
+def _texts_sql() -> str:
+    values = {
+        "side": "least(bx2 - bx1, by2 - by1)::VARCHAR",
+        "share": _shown_sql("least(1.0, fw * fh / (w * h)) * 100", 2),
+        "guard": _shown_sql("guard * 100", 1),
+        "blur": _shown_sql("blur", 1),
+        "clipped": _shown_sql("clip * 100", 0),
+        "mean": _shown_sql("gray", 0),
+        "yaw": "yaw::VARCHAR",
+        "pitch": "pitch::VARCHAR",
+        "roll": "roll::VARCHAR",
+        "left": _shown_sql("eye_l", 3),
+        "right": _shown_sql("eye_r", 3),
+    }
+    filled = {code: "'" + re.sub(r"\{(\w+)\}", lambda m: f"' || {values[m[1]]} || '", text) + "'" for code, text in reasons.TEXTS.items()}
+    return " ".join(f"WHEN '{code}' THEN {text}" for code, text in filled.items())
+
+
+@query(JUDGED_SQL + f"SELECT item_id, line, part, array_to_string(list_transform(reasons, lambda code: CASE code {_texts_sql()} END), '; ') AS reason FROM judged WHERE len(reasons) > 0")
+def quality_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.measured(spark, sf_dir).withColumn("bbox", clipped(F.col("raw_bbox"), F.col("image_w"), F.col("image_h")))
+    s = replace(SETTINGS, reject_exposure=True)
+    return quality.with_quality(rows, s).where(F.size("quality_reasons") > 0).select("item_id", "line", "part", reasons.reason_text(s).alias("reason"))
+
+
 @query(f"WITH {inputs.MEASURED_SQL}, {inputs.CLIPPING_SQL} SELECT item_id, line, part, array_to_string(edge_reasons, ';') AS reasons, round(guard, 6) AS guard FROM clipping")
 def edge_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.measured(spark, sf_dir)

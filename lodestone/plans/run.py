@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
-from lodestone.operators import identity, matching, quality, routing, series
+from lodestone.operators import identity, matching, quality, reasons, routing, series
 from lodestone.sources import delimited
 from lodestone.storage import written
 
@@ -32,12 +32,13 @@ def gallery_of(references: DataFrame) -> DataFrame:
     return matching.usable_references(named)
 
 
-def analyse(observations: DataFrame, gallery: DataFrame, s: Settings, *, order: DataFrame | None = None, provider: Callable[[DataFrame], DataFrame] | None = None) -> Results:
+def analyse(observations: DataFrame, gallery: DataFrame, s: Settings, *, order: DataFrame | None = None, provider: Callable[[DataFrame], DataFrame] | None = None, texts: Mapping[str, str] | None = None) -> Results:
     """observations: obs_id, path, error and what quality and matching need.
 
     order: item_order of the paths; with it the best frame of each series is chosen.
     provider: a stage of the user's own that adds embeddings and metrics, such as operators.provider.batched over decoded items.
-    It sees each row once: what it gives is written before anything reads it. Rows that it gives an error are among the errors.
+    texts: texts by reason code, such as reasons.TEXTS, for the reasons of rejected rows; codes by default.
+    The provider sees each row once: what it gives is written before anything reads it. Rows that it gives an error are among the errors.
     """
     rows, errors = routing.without_errors(observations)
     if provider is not None:
@@ -52,7 +53,7 @@ def analyse(observations: DataFrame, gallery: DataFrame, s: Settings, *, order:
         metrics = matched.select("obs_id", "det_score", "blur_score", "eye_left", "eye_right", "pose")
         frames = accepted.join(order, "path").join(metrics, "obs_id")
         best = series.best_frames(frames, s)
-    return Results(matched, accepted, routing.rejected(matched), routing.review(matched, s), best, errors)
+    return Results(matched, accepted, routing.rejected(matched, None if texts is None else reasons.reason_text(s, texts)), routing.review(matched, s), best, errors)
 
 
 def write(results: Results, folder: str | Path, name: str = "result") -> None:
