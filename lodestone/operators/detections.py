@@ -98,9 +98,9 @@ def detect(full: DataFrame, tiled: DataFrame, s: Settings, tie: tuple[str, ...]
     return kept.sort("item_id", "bbox.y1", "bbox.x1")
 
 
-def references_with_one_box(boxes: DataFrame, s: Settings) -> DataFrame:
-    """item_id, boxes and ok: of a reference exactly one box must be strong enough after suppression."""
-    strong = suppress(boxes.where(F.col("det_score") >= s.reference_min_score), s.nms_iou, "item_id")
+def references_with_one_box(boxes: DataFrame, s: Settings, tie: tuple[str, ...] = ()) -> DataFrame:
+    """item_id, boxes and ok: of a reference exactly one box must be strong enough after suppression. Which of equally strong and large boxes stays may decide how many do, so ties are those of suppress."""
+    strong = suppress(boxes.where(F.col("det_score") >= s.reference_min_score), s.nms_iou, "item_id", tie=tie)
     counts = strong.groupBy("item_id").agg(F.count("*").alias("boxes"))
     every = boxes.select("item_id").distinct()
     n = F.coalesce("boxes", F.lit(0))

@@ -396,7 +396,7 @@ counts AS (SELECT item_id, max(len(kept)) AS boxes FROM fold GROUP BY item_id)
 SELECT DISTINCT b.item_id, coalesce(c.boxes, 0)::BIGINT AS boxes, coalesce(c.boxes, 0) = 1 AS ok FROM boxes b LEFT JOIN counts c USING (item_id)"""
 )
 def reference_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections.references_with_one_box(inputs.boxes(spark, sf_dir).select("item_id", "bbox", "det_score", "line", "part", "supp"), SETTINGS)
+    return detections.references_with_one_box(inputs.boxes(spark, sf_dir).select("item_id", "bbox", "det_score", "line", "part", "supp"), SETTINGS, tie=("line", "part", "supp"))
 
 
 @query(

@@ -54,6 +54,15 @@ def test_references_need_one_box(spark):
     assert got == {1: (1, True), 2: (2, False), 3: (0, False)}
 
 
+def test_ties_decide_how_many_boxes_a_reference_has(spark):
+    # the middle box overlaps both others, which do not meet; all are equally strong and large
+    left, middle, right = (0, 0, 10, 10), (5, 0, 15, 10), (10, 0, 20, 10)
+    rows = [(1, 0, middle, 0.9), (1, 1, left, 0.9), (1, 2, right, 0.9), (2, 0, left, 0.9), (2, 1, middle, 0.9), (2, 2, right, 0.9)]
+    s = Settings(nms_iou=0.3)
+    got = {r["item_id"]: (r["boxes"], r["ok"]) for r in references_with_one_box(spark.createDataFrame(rows, SCHEMA), s, tie=("n",)).collect()}
+    assert got == {1: (1, True), 2: (2, False)}
+
+
 def test_clipping_goes_to_even_halves_and_refuses_what_is_not_finite(spark):
     rows = [((0.5, 1.5, 2.5, 3.5),), ((-5.0, -5.0, 300.0, 300.0),), ((float("nan"), 0.0, 1.0, 1.0),), ((99.9, 99.9, 99.9, 99.9),)]
     df = spark.createDataFrame(rows, "raw struct<x1:double,y1:double,x2:double,y2:double>")
