@@ -4,7 +4,8 @@ A box is settled once all stronger boxes that it overlaps are. Boxes that overla
 threshold are of similar size and place, so an image is cut into blocks by both, and a block
 gets copies of the neighbours' boxes that may overlap its own. It goes through its boxes from
 the strongest on, and holds only those that stay and those that wait for another block. What
-waits goes into the next round, where blocks lie elsewhere; the strongest box that waits is always
+waits goes into the next round, where blocks lie elsewhere, with the boxes that stay and that another
+block's box has yet to meet; the strongest box that waits is always
 settled, and a chain of boxes costs a round only where it leaves a block.
 """
 
@@ -13,7 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,31 +25,86 @@ from lodestone.storage import written
 
 #: Boxes of an image that are folded as one array.
 FOLDED = 2000
-#: A block has boxes of 16 sizes, as powers of two: sides from M / 16 to M; it is 16 M wide.
-LOG_SIZES, WIDTHS = 4, 16
+#: A block has boxes of two sizes, as powers of two: sides from M / 4 to M; it is 16 M wide.
+LOG_SIZES, WIDTHS = 2, 16
 #: Where blocks begin, as parts of their width, round by round.
 OFFSETS = (0.0, 0.5, 0.25, 0.75)
 BLOCK = ("image", "level", "bx", "by")
-WORK = "place long, image string, x1 double, y1 double, x2 double, y2 double, kept boolean"
+WORK = "place long, image string, x1 double, y1 double, x2 double, y2 double, kept boolean, needed boolean"
+WORK_COLUMNS = [c.split()[0] for c in WORK.split(", ")]
+#: Boxes of a block that are compared at a time, with how many held ones at a time, and rows that are returned together.
+CHUNK, PIECE, TOLD = 256, 4096, 10_000
 
 
 class Held:
-    """Boxes that later ones are compared with."""
+    """Boxes that later ones are compared with, their places, and which are the block's own and still needed by other blocks' boxes."""
 
     def __init__(self) -> None:
-        self.boxes, self.n = np.empty((64, 4)), 0
-
-    def add(self, box: np.ndarray) -> None:
-        if self.n == len(self.boxes):
-            self.boxes = np.concatenate([self.boxes, np.empty_like(self.boxes)])
-        self.boxes[self.n] = box
-        self.n += 1
-
-    def overlaps(self, box: np.ndarray, threshold: float) -> bool:
-        b = self.boxes[: self.n]
-        inter = np.maximum(np.minimum(b[:, 2], box[2]) - np.maximum(b[:, 0], box[0]), 0) * np.maximum(np.minimum(b[:, 3], box[3]) - np.maximum(b[:, 1], box[1]), 0)
-        union = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) + (box[2] - box[0]) * (box[3] - box[1]) - inter
-        return bool((inter / union >= threshold).any())
+        self.boxes, self.places, self.own, self.needed, self.n = np.empty((64, 4)), np.empty(64, np.int64), np.empty(64, bool), np.empty(64, bool), 0
+
+    def add(self, boxes: np.ndarray, places: np.ndarray, own: np.ndarray, needed: np.ndarray) -> None:
+        end = self.n + len(boxes)
+        if end > len(self.boxes):
+            more = max(end, 2 * len(self.boxes)) - self.n
+            wider = lambda a: np.concatenate([a[: self.n], np.empty((more, *a.shape[1:]), a.dtype)])
+            self.boxes, self.places, self.own, self.needed = wider(self.boxes), wider(self.places), wider(self.own), wider(self.needed)
+        self.boxes[self.n : end], self.places[self.n : end], self.own[self.n : end], self.needed[self.n : end] = boxes, places, own, needed
+        self.n = end
+
+    def met(self, boxes: np.ndarray, threshold: float, asking: np.ndarray) -> np.ndarray:
+        """Which boxes overlap a held one; those that the asking ones overlap are needed from then on."""
+        hit = np.zeros(len(boxes), bool)
+        for at in range(0, self.n, PIECE):
+            some = slice(at, min(self.n, at + PIECE))
+            i, j = overlaps(boxes, self.boxes[some], threshold)
+            hit[i] = True
+            self.needed[some][j[asking[i]]] = True
+        return hit
+
+
+def overlaps(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of boxes of a and b that overlap by the threshold."""
+    beside = (a[:, None, 0] < b[None, :, 2]) & (b[None, :, 0] < a[:, None, 2]) & (a[:, None, 1] < b[None, :, 3]) & (b[None, :, 1] < a[:, None, 3])
+    i, j = np.nonzero(beside)
+    p, q = a[i], b[j]
+    inter = (np.minimum(p[:, 2], q[:, 2]) - np.maximum(p[:, 0], q[:, 0])) * (np.minimum(p[:, 3], q[:, 3]) - np.maximum(p[:, 1], q[:, 1]))
+    union = (p[:, 2] - p[:, 0]) * (p[:, 3] - p[:, 1]) + (q[:, 2] - q[:, 0]) * (q[:, 3] - q[:, 1]) - inter
+    enough = inter / union >= threshold
+    return i[enough], j[enough]
+
+
+class Block:
+    """A block's boxes, from the strongest on: those that stay and those that wait for another block."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.stay, self.wait = threshold, Held(), Held()
+
+    def take(self, boxes: np.ndarray, places: np.ndarray, kept: np.ndarray, own: np.ndarray) -> None:
+        asking = ~kept & ~own
+        dead = self.stay.met(boxes, self.threshold, asking) & ~kept
+        stays = kept | (own & ~dead & ~self.wait.met(boxes, self.threshold, asking))
+        waits = ~stays & ~dead
+        later, earlier = overlaps(boxes, boxes, self.threshold)
+        later, earlier = later[earlier < later], earlier[earlier < later]
+        needed = np.zeros(len(boxes), bool)
+        needed[earlier[asking[later]]] = True
+        # pairs are in order, so all earlier boxes of one are settled when its turn comes
+        heads, first = np.unique(later, return_index=True)
+        for n, some in zip(heads, np.split(earlier, first[1:]), strict=True) if len(heads) else ():
+            if kept[n] or dead[n]:
+                continue
+            if stays[some].any():
+                dead[n], stays[n], waits[n] = True, False, False
+            elif stays[n] and waits[some].any():
+                stays[n], waits[n] = False, True
+        for held, which in ((self.stay, stays), (self.wait, waits)):
+            held.add(boxes[which], places[which], own[which], needed[which])
+
+    def settled(self) -> list[np.ndarray]:
+        """places, boxes, kept and needed of the own boxes that stay or wait."""
+        both = [(h.places[: h.n][h.own[: h.n]], h.boxes[: h.n][h.own[: h.n]], h.needed[: h.n][h.own[: h.n]]) for h in (self.stay, self.wait)]
+        places, boxes, needed = (np.concatenate(parts) for parts in zip(*both, strict=True))
+        return [places, boxes, np.arange(len(places)) < len(both[0][0]), needed]
 
 
 def _level(side: Column, shift: int) -> Column:
@@ -55,8 +112,11 @@ def _level(side: Column, shift: int) -> Column:
 
 
 def dealt(work: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """work with level, bx, by and own: each box in its own block and, not as own, in all others whose boxes it may overlap by the threshold."""
-    shift, offset = 2 * (turn % 2), OFFSETS[turn % len(OFFSETS)]
+    """work with level, bx, by and own: each box in its own block and, not as own, in all others whose boxes it may overlap by the threshold.
+
+    The first row of a block that has own boxes has no place. Of an image, only levels that have own boxes are dealt to.
+    """
+    shift, offset = LOG_SIZES // 2 * (turn % 2), OFFSETS[turn % len(OFFSETS)]
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     side = F.greatest(w, h)
     block = lambda at: F.floor(at / F.col("width") + F.lit(offset))
@@ -65,31 +125,59 @@ def dealt(work: DataFrame, threshold: float, turn: int) -> DataFrame:
     near = lambda at, long: F.explode(F.sequence(block(at - long * low - 1), block(at + long * high + 1)))
     levels = F.sequence(_level(side * threshold * 0.999, shift), _level(side / threshold * 1.001, shift))
     at_levels = work.withColumn("mine", _level(side, shift)).withColumn("level", F.explode(levels))
-    wide = at_levels.withColumn("width", F.pow(F.lit(2.0), LOG_SIZES * (F.col("level") + 1) - shift) * WIDTHS)
+    met = work.select("image", _level(side, shift).alias("level")).distinct()
+    wide = at_levels.join(met, ["image", "level"], "left_semi").withColumn("width", F.pow(F.lit(2.0), LOG_SIZES * (F.col("level") + 1) - shift) * WIDTHS)
     placed = wide.withColumn("bx", near(F.col("x1"), w)).withColumn("by", near(F.col("y1"), h))
     own = (F.col("level") == F.col("mine")) & (F.col("bx") == block(F.col("x1"))) & (F.col("by") == block(F.col("y1")))
-    return placed.withColumn("own", own).drop("width", "mine")
+    rows = placed.withColumn("own", own).drop("width", "mine")
+    at = F.pow(F.lit(2.0), LOG_SIZES * (F.col("level") + 1) - shift) * WIDTHS
+    blocks = work.select("image", _level(side, shift).alias("level"), "x1", "y1").withColumn("width", at)
+    blocks = blocks.select("image", "level", block(F.col("x1")).alias("bx"), block(F.col("y1")).alias("by")).distinct()
+    return rows.unionByName(blocks, allowMissingColumns=True)
 
 
 def settle(threshold: float):
-    """The stage of a round: blocks one after another, boxes from the strongest on. Own boxes that stay or wait are returned."""
+    """The stage of a round: blocks one after another, boxes from the strongest on. Own boxes that stay or wait are returned when their block ends."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, ended, rows = None, None, [], 0
+
+        def told() -> pa.RecordBatch:
+            places, boxes, kept, needed = (np.concatenate(parts) for parts in zip(*[e[1] for e in ended], strict=True))
+            images = pa.chunked_array([pa.repeat(pa.scalar(image, pa.string()), len(part[0])) for image, part in ended]).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array(places), images, *(pa.array(boxes[:, k]) for k in range(4)), pa.array(kept), pa.array(needed)], names=WORK_COLUMNS)
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, stay, wait = None, Held(), Held()
         for batch in batches:
-            boxes = batch[list(SIDES)].to_numpy(float)
-            kept, out = batch["kept"].to_numpy(bool).copy(), np.zeros(len(batch), bool)
-            for n, (at, own) in enumerate(zip(batch[list(BLOCK)].itertuples(index=False, name=None), batch["own"].to_numpy(bool), strict=True)):
-                if at != block:
-                    block, stay, wait = at, Held(), Held()
-                box = boxes[n]
-                if not kept[n]:
-                    if stay.overlaps(box, threshold):
-                        continue
-                    kept[n] = own and not wait.overlaps(box, threshold)
-                (stay if kept[n] else wait).add(box)
-                out[n] = own
-            yield batch.assign(kept=kept)[out][["place", "image", *SIDES, "kept"]]
+            if not batch.num_rows:
+                continue
+            column = {n: batch.column(n) for n in batch.schema.names}
+            boxes = np.column_stack([column[s].to_numpy(zero_copy_only=False) for s in SIDES])
+            places, kept, own = (pc.fill_null(column[c], nothing).to_numpy(zero_copy_only=False) for c, nothing in (("place", -1), ("kept", False), ("own", False)))
+            new = np.zeros(batch.num_rows, bool)
+            for c in BLOCK:
+                new[1:] |= np.asarray(pc.not_equal(column[c].slice(1), column[c].slice(0, batch.num_rows - 1)))
+            starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for start, end in zip(starts[:-1], starts[1:], strict=True):
+                here = tuple(column[c][start].as_py() for c in BLOCK)
+                if here != at:
+                    if block is not None:
+                        ended.append((at[0], block.settled()))
+                        rows += len(ended[-1][1][0])
+                        if rows >= TOLD:
+                            yield told()
+                            ended, rows = [], 0
+                    # a block without boxes of its own settles nothing
+                    at, block = here, Block(threshold) if column["place"][start].as_py() is None else None
+                    start += block is not None
+                if block is None:
+                    continue
+                for n in range(start, end, CHUNK):
+                    some = slice(n, min(end, n + CHUNK))
+                    block.take(boxes[some], places[some], kept[some], own[some])
+        if block is not None:
+            ended.append((at[0], block.settled()))
+        if ended:
+            yield told()
 
     return step
 
@@ -97,8 +185,8 @@ def settle(threshold: float):
 def suppress_in_rounds(boxes: DataFrame, threshold: float, *keys: str, tie: tuple[str, ...] = ()) -> DataFrame:
     """detections.suppress for boxes of whole numbers, however many an image has.
 
-    Boxes without an area overlap nothing and stay. Equal boxes are one before anything is
-    shuffled. A threshold above one keeps all; it must be above zero.
+    Boxes without an area overlap nothing and stay. Equal boxes are one before they
+    are dealt. A threshold above one keeps all; it must be above zero.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above zero")
@@ -109,15 +197,23 @@ def suppress_in_rounds(boxes: DataFrame, threshold: float, *keys: str, tie: tupl
     rest = [c for c in boxes.columns if c not in keys]
     record = F.struct((-F.col("det_score")).alias("_s"), (-area(F.col("bbox"))).alias("_a"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)], *rest)
     image = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    different = boxes.where(solid).groupBy(*keys, "bbox").agg(F.min(record).alias("r"))
-    # ids go up with the sorted partitions, and are fixed once they are written
-    ranked = written(different.sort("r").select(F.monotonically_increasing_id().alias("place"), image.alias("image"), *keys, "bbox", "r"), "ranked-boxes")
-    work, turn, left = ranked.select("place", "image", *box.values(), F.lit(False).alias("kept")), 0, True
-    while left:
-        spread = dealt(work, threshold, turn).repartition(*BLOCK).sortWithinPartitions(*BLOCK, "place")
-        work = written(spread.mapInPandas(settle(threshold), WORK), "suppressed-boxes")
-        turn, left = turn + 1, not work.where("NOT kept").isEmpty()
-    stay = ranked.join(work.select("place"), "place").select(*keys, *[F.col("r").getField(c).alias(c) for c in rest])
+    # ids go up with the sorted partitions, and are fixed once they are written; a struct has no short sort key, its first fields do
+    order = [f"r.{c}" for c in ("_s", "_a")] + ["r"]
+    records = boxes.where(solid).select(image.alias("image"), *keys, *box.values(), record.alias("r"))
+    ranked = written(records.sort(*order).withColumn("place", F.monotonically_increasing_id()), "ranked-boxes")
+    different = ranked.groupBy("image", *SIDES).agg(F.min("place").alias("place"))
+    work, turn, rounds = different.select("place", "image", *SIDES, F.lit(False).alias("kept")), 0, []
+    while True:
+        spread = dealt(work, threshold, turn).withColumn("h", F.xxhash64(*BLOCK)).repartition("h").sortWithinPartitions("h", "bx", "by", "level", "image", "place").drop("h")
+        rounds.append(written(spread.mapInArrow(settle(threshold), WORK), "suppressed-boxes"))
+        if rounds[-1].where("NOT kept").isEmpty():
+            break
+        # a box that stays goes on only where a box of another block has yet to meet it
+        rounds[-1], work, turn = rounds[-1].where("kept AND NOT needed"), rounds[-1].where("NOT kept OR needed").drop("needed"), turn + 1
+    places = rounds[0].select("place")
+    for r in rounds[1:]:
+        places = places.unionByName(r.select("place"))
+    stay = ranked.join(places, "place").select(*keys, *[F.col("r").getField(c).alias(c) for c in rest])
     return stay.unionByName(boxes.where(~solid)).select(*boxes.columns)
 
 

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.operators.crowded import suppress_any, suppress_in_rounds
+from lodestone.operators.crowded import dealt, suppress_any, suppress_in_rounds
 from tests.test_boxes import SCHEMA, greedy
 
 
@@ -60,3 +61,12 @@ def test_boxes_without_an_area_and_odd_thresholds(spark):
     assert suppress_in_rounds(df.limit(0), 0.5, "item_id").collect() == []
     with pytest.raises(ValueError, match="above zero"):
         suppress_in_rounds(df, 0.0, "item_id")
+
+
+def test_blocks_without_boxes_of_their_own_get_none(spark):
+    # boxes of one size: what larger and smaller levels would hold is all foreign
+    rows = [(n, "1", 400.0 * (n % 60), 300.0 * (n // 60), 400.0 * (n % 60) + 100, 300.0 * (n // 60) + 90, False) for n in range(3600)]
+    spread = dealt(spark.createDataFrame(rows, "place long, image string, x1 double, y1 double, x2 double, y2 double, kept boolean"), 0.35, 0)
+    blocks = spread.groupBy("level", "bx", "by").agg(F.count("place").alias("n"), F.max("own").alias("own")).collect()
+    assert all(b["own"] for b in blocks if b["n"] > 20)
+    assert max(b["n"] for b in blocks) < 500
