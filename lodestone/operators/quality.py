@@ -15,6 +15,11 @@ from lodestone.config import Settings
 from lodestone.functions.boxes import finite
 
 
+def stage(rows: DataFrame) -> DataFrame:
+    """rows; counting them ends a compiled stage. Many rules in one make a method of over 8000 bytes, which the JVM never compiles."""
+    return rows.observe(f"judged-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def _over(metric: Column, limit: float) -> Column:
     return finite(metric) & (F.abs(metric) > limit)
 
@@ -60,7 +65,7 @@ def _with_edges(boxes: DataFrame, s: Settings) -> DataFrame:
         (raw["y1"] - fh * s.top_margin < height * guard, "guard_top"),
         (height - (raw["y2"] + fh * s.bottom_margin) < height * guard, "guard_bottom"),
     )
-    ruled = sized.withColumns({"_guard": guard_ratio(fw, fh, width, height, s), "_direct": direct})
+    ruled = stage(stage(sized.withColumn("_guard", guard_ratio(fw, fh, width, height, s))).withColumn("_direct", direct))
     return ruled.withColumn("_edges", F.when(F.col("_direct") != "", F.col("_direct")).otherwise(guarded)).drop("_fw", "_fh", "_direct")
 
 
@@ -88,7 +93,7 @@ def with_quality(observations: DataFrame, s: Settings, *, apply_clipping: bool =
         (s.reject_eyes, eyes_known & (F.least(c("eye_left"), c("eye_right")) < s.eye_ratio_min), "eyes"),
     ]
     small = [(F.least(c("bbox.x2") - c("bbox.x1"), c("bbox.y2") - c("bbox.y1")) < s.min_side, "small")] if s.reject_small else []
-    # counting the rows also ends a compiled stage: all rules in one make a method too long for the JVM to optimise
-    first = observations.withColumn("_rest", _codes(*[(rule, code) for on, rule, code in rules if on])).observe(f"judged-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+    first = stage(stage(observations).withColumn("_rest", _codes(*[(rule, code) for on, rule, code in rules if on])))
     rows = _with_edges(first, s) if edges else first
-    return rows.withColumn("quality_reasons", _listed(F.concat_ws(";", _codes(*small), *([c("_edges")] if edges else []), c("_rest")))).drop("_rest", "_edges", "_guard")
+    joined = stage(rows.withColumn("_rest", F.concat_ws(";", _codes(*small), *([c("_edges")] if edges else []), c("_rest"))).drop("_edges", "_guard"))
+    return joined.withColumn("quality_reasons", _listed(c("_rest"))).drop("_rest")

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from string import Formatter
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.boxes import finite
-from lodestone.operators.quality import face_share, guard_ratio
+from lodestone.operators.quality import face_share, guard_ratio, stage
 
 _MARGIN = "({share}% of the frame, about {guard}% must stay free)"
 #: Texts by code. Names in braces are those of numbers().
@@ -39,6 +39,10 @@ TEXTS = {
 }
 
 
+#: Codes whose texts one compiled stage fills.
+STAGED = 2
+
+
 def shown(number: Column, places: int) -> Column:
     text = F.bround(F.round(number.cast("double"), 9), places).cast(f"decimal(38,{places})").cast("string")
     return F.when(finite(number.cast("double")), text).otherwise("?")
@@ -84,3 +88,30 @@ def reason_text(s: Settings, texts: Mapping[str, str] = TEXTS, separator: str =
         return shown_as.otherwise(code)
 
     return F.array_join(F.transform("quality_reasons", of), separator)
+
+
+def with_reason_text(rows: DataFrame, s: Settings, column: str = "reason", texts: Mapping[str, str] = TEXTS, separator: str = "; ") -> DataFrame:
+    """rows with reason_text as a column, for many rows: codes are replaced in one text, a few in each compiled stage, where a transform of the array is interpreted.
+
+    A code stands between two marks and its text between two others, so no part of a text is taken for a code.
+    """
+    values, used = numbers(s), "".join([*texts, *texts.values(), separator])
+    values |= {"share": shown(F.col("_share") * 100, 2), "guard": shown(F.col("_guard") * 100, 1)}
+    mark, filled = [c for c in map(chr, range(1, 32 + len(used))) if c not in used][:2]
+    codes, m, f = F.col("quality_reasons"), F.lit(mark), F.lit(filled)
+    # codes of the user's own that hold a mark are rare, but possible
+    whole = F.array_join(codes, "")
+    fw, fh = (F.greatest(F.col(f"raw_bbox.{a}2") - F.col(f"raw_bbox.{a}1"), F.lit(1.0)) for a in "xy")
+    size = fw, fh, F.col("image_w"), F.col("image_h")
+    rows = stage(rows.withColumns({"_share": face_share(*size), "_guard": guard_ratio(*size, s)}))
+    rows = stage(rows.withColumns({"_odd": whole.contains(mark) | whole.contains(filled), "_text": F.concat(m, F.array_join(codes, mark + mark), m)}))
+    names = list(texts)
+    for at in range(0, len(names), STAGED):
+        text = F.col("_text")
+        for name in names[at : at + STAGED]:
+            shown_as = F.when(F.col("_text").contains(mark + name + mark), F.concat(f, _filled(texts[name], values), f)).otherwise("")
+            text = F.replace(text, F.lit(mark + name + mark), shown_as)
+        rows = stage(rows.withColumn("_text", text))
+    inner = F.substring(F.col("_text"), F.lit(2), F.length("_text") - 2)
+    listed = F.replace(F.translate(inner, filled, mark), F.lit(mark + mark), F.lit(separator))
+    return rows.withColumn(column, F.when(F.col("_odd"), reason_text(s, texts, separator)).otherwise(listed)).drop("_odd", "_text", "_share", "_guard")

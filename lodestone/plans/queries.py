@@ -483,7 +483,7 @@ def _texts_sql() -> str:
 def quality_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.measured(spark, sf_dir).withColumn("bbox", clipped(F.col("raw_bbox"), F.col("image_w"), F.col("image_h")))
     s = replace(SETTINGS, reject_exposure=True)
-    return quality.with_quality(rows, s).where(F.size("quality_reasons") > 0).select("item_id", "line", "part", reasons.reason_text(s).alias("reason"))
+    return reasons.with_reason_text(quality.with_quality(rows, s).where(F.size("quality_reasons") > 0), s).select("item_id", "line", "part", "reason")
 
 
 @query(f"WITH {inputs.MEASURED_SQL}, {inputs.CLIPPING_SQL} SELECT item_id, line, part, array_to_string(edge_reasons, ';') AS reasons, round(guard, 6) AS guard FROM clipping")

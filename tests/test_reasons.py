@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.operators.quality import with_quality
-from lodestone.operators.reasons import TEXTS, reason_text
+from lodestone.operators.reasons import TEXTS, reason_text, with_reason_text
+from lodestone.plans.queries import QUERIES
 from lodestone.plans.run import analyse
 from tests.test_matching import OBS, observation, vectors
 
@@ -40,3 +43,20 @@ def test_rejected_rows_of_a_run_with_texts(spark):
     rows = spark.createDataFrame([observation(1, "d/i1.jpg", (1, 0.1), blur=1.0), observation(2, "d/i2.jpg", (1, 0.1))], OBS)
     out = analyse(rows, vectors(spark, [("a", (1, 0)), ("b", (-1, 0))], "entity_id"), Settings(match_threshold=0.35), texts=TEXTS)
     assert [(r["path"], r["reason"]) for r in out.rejected.collect()] == [("d/i1.jpg", "blurred (1.0)")]
+
+
+def test_staged_texts_are_those_of_the_column(spark):
+    s = Settings()
+    rows = spark.createDataFrame([observation(n, "p", (1, 0), blur=float("nan") if n else 3.14, pose=None) for n in range(2)], OBS)
+    for codes in (["blur", "own", "yaw", "blur", "small"], [], [""], ["", "eyes", ""], ["\x01blur\x01", "blur"], [None, "roll"]):
+        listed = rows.withColumn("quality_reasons", F.array(*map(F.lit, codes)).cast("array<string>"))
+        for texts in (TEXTS, {"small": "blur", "blur": "small {blur}", "own": "\x01\x02"}):
+            both = with_reason_text(listed, s, "staged", texts).select("staged", reason_text(s, texts).alias("t")).collect()
+            assert [r["staged"] for r in both] == [r["t"] for r in both]
+
+
+@pytest.mark.parametrize("name", ["quality_texts", "quality_reasons", "edge_guard"])
+def test_no_stage_is_too_long_for_the_jvm_to_compile(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
