@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.boxes import area, clipped, finite, iou, tile_starts
+from lodestone.storage import written
 
 RESCUE = "rescue-"
 
@@ -78,10 +79,13 @@ def suppress(boxes: DataFrame, threshold: float, *keys: str, tie: tuple[str, ...
 
 def cap_weak(boxes: DataFrame, s: Settings, *keys: str, tie: tuple[str, ...] = ()) -> DataFrame:
     """All strong boxes, and of the weak ones of each image the best rescue_max_candidates."""
+    # a null score is neither
     strong = F.col("det_score") >= s.detector_threshold
     order = [F.desc("det_score"), F.desc(area(F.col("bbox"))), *tie]
-    weak = boxes.where(~strong).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= max(0, s.rescue_max_candidates)).drop("_n")
-    return boxes.where(strong).unionByName(weak)
+    # one pass, so what boxes come from is not computed for each kind; strong ones need no number and are no group
+    alone = F.when(strong, F.xxhash64("bbox"))
+    numbered = boxes.where(strong.isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, strong, alone).orderBy(*order)))
+    return numbered.where(strong | (F.col("_n") <= max(0, s.rescue_max_candidates))).drop("_n")
 
 
 def from_tiles(local: DataFrame) -> DataFrame:
@@ -94,7 +98,8 @@ def from_tiles(local: DataFrame) -> DataFrame:
 def detect(full: DataFrame, tiled: DataFrame, s: Settings, tie: tuple[str, ...] = (), suppressing: Callable[..., DataFrame] = suppress) -> DataFrame:
     """Candidates of whole images and of tiles, suppressed together and capped, by (y1, x1). suppressing: crowded.suppress_any where an image may have very many boxes."""
     together = full.unionByName(tiled)
-    kept = cap_weak(suppressing(together, s.nms_iou, "item_id", tie=tie), s, "item_id", tie=tie)
+    # a sort reads its input twice
+    kept = written(cap_weak(suppressing(together, s.nms_iou, "item_id", tie=tie), s, "item_id", tie=tie), "detected")
     return kept.sort("item_id", "bbox.y1", "bbox.x1")
 
 

@@ -48,6 +48,13 @@ def test_caps_never_touch_strong_boxes(spark):
     assert {r["n"] for r in kept.collect()} == {2, 3, 4, 5, 6, 7}
 
 
+def test_a_cap_reads_its_boxes_once(spark):
+    rows = [(1, n, (0, 0, 10 + n, 10), 0.05 if n < 4 else 0.9) for n in range(8)] + [(1, 8, (0, 0, 1, 1), None), (None, 9, (0, 0, 1, 1), 0.01)]
+    capped = cap_weak(suppress(spark.createDataFrame(rows, SCHEMA), 1.1, "item_id", tie=("n",)), Settings(rescue_max_candidates=1), "item_id")
+    assert capped._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert {r["n"] for r in capped.collect()} == {3, 4, 5, 6, 7, 9}
+
+
 def test_references_need_one_box(spark):
     rows = [(1, 0, (0, 0, 9, 9), 0.9), (2, 0, (0, 0, 9, 9), 0.9), (2, 1, (20, 20, 29, 29), 0.9), (3, 0, (0, 0, 9, 9), 0.1)]
     got = {r["item_id"]: (r["boxes"], r["ok"]) for r in references_with_one_box(spark.createDataFrame(rows, SCHEMA), Settings()).collect()}
