@@ -5,11 +5,15 @@ and the metrics that selection needs. Sequence numbers are comparable within dir
 
 A frame's predecessor is needed, and how many breaks came before it. Both are computed in
 two levels - within stretches of the order, then over one row for each stretch - so an
-entity with very many frames is spread over many tasks.
+entity with very many frames is spread over many tasks. No row is dealt by its entity alone:
+what is known of entities and of stretches is written first, so that its size is known and
+the frames stay where they are when it is joined.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from lodestone.config import Settings
 from lodestone.functions.boxes import finite
 from lodestone.storage import written
 
+#: Columns of frames that their series follow from.
+ORDERING = ("entity_id", "path", "dir", "name", "capture_time", "time_is_metadata", "seq", "prefix")
 #: Stands for no sequence number in an order.
 LAST = 10**15
 #: Stands for no time in an order.
@@ -47,12 +53,12 @@ def _micros(t: Column) -> Column:
 
 
 def ordered(frames: DataFrame) -> DataFrame:
-    """frames with k1, k2, k3, k4 (their order within an entity) and stretch."""
-    modes = order_modes(frames).select("entity_id", "by_number")
+    """frames with k1, k2, k3 (with path their order within an entity) and stretch."""
+    modes = written(order_modes(frames).select("entity_id", "by_number"), "modes", narrow=True)
     number, time = F.coalesce("seq", F.lit(LAST)).cast("decimal(38,0)"), _micros(F.col("capture_time")).cast("decimal(38,0)")
     both = frames.join(modes, "entity_id")
     by = F.col("by_number")
-    keyed = both.withColumns({"k1": F.when(by, number).otherwise(time), "k2": F.when(by, time).otherwise(number), "k3": F.when(by, F.lower("name")).otherwise(F.lower("path")), "k4": F.col("path")})
+    keyed = both.withColumns({"k1": F.when(by, number).otherwise(time), "k2": F.when(by, time).otherwise(number), "k3": F.when(by, F.lower("name")).otherwise(F.lower("path"))})
     # frames without what orders their entity stand in stretches of the next key, and at last of their paths
     missing = F.col("k1") == F.when(by, LAST).otherwise(NO_TIME)
     second = F.when(missing, F.floor(F.col("k2") / F.when(by, STRETCH_MICROS).otherwise(STRETCH_NUMBERS)))
@@ -60,18 +66,22 @@ def ordered(frames: DataFrame) -> DataFrame:
     return keyed.withColumn("stretch", F.struct(F.floor(F.col("k1") / F.when(by, STRETCH_NUMBERS).otherwise(STRETCH_MICROS)).alias("first"), second.alias("second"), third.alias("third")))
 
 
-_ORDER = ("k1", "k2", "k3", "k4")
+_ORDER = ("k1", "k2", "k3", "path")
 
 
 def with_previous(rows: DataFrame, *columns: str, keys: tuple[str, ...] = ("entity_id",), order: tuple[str, ...] = _ORDER) -> DataFrame:
-    """rows with previous, a struct of the columns of the row before in the order within keys; null for the first. stretch: a part of that order."""
+    """rows with previous, a struct of the columns of the row before in the order within keys; null for the first. stretch: a part of that order.
+
+    Rows are dealt once and written; only the first of each stretch are joined with the last of the one before.
+    """
     own = F.struct(*columns)
     within = Window.partitionBy(*keys, "stretch").orderBy(*order)
-    near = rows.withColumn("_lag", F.lag(own).over(within))
-    lasts = rows.groupBy(*keys, "stretch").agg(F.max(F.struct(*order, own.alias("own"))).alias("last"))
+    near = written(rows.withColumns({"previous": F.lag(own).over(within), "_last": F.lead(F.lit(True)).over(within).isNull()}), "near")
     # one row for each stretch
-    before = lasts.select(*keys, "stretch", F.lag("last.own").over(Window.partitionBy(*keys).orderBy("stretch")).alias("_before"))
-    return near.join(before, [*keys, "stretch"]).withColumn("previous", F.coalesce("_lag", "_before")).drop("_lag", "_before")
+    lasts = near.where("_last").select(*keys, "stretch", own.alias("own"))
+    before = written(lasts.select(*keys, "stretch", F.lag("own").over(Window.partitionBy(*keys).orderBy("stretch")).alias("previous")), "stretches", narrow=True)
+    firsts = near.where("previous IS NULL").drop("previous").join(before, [*keys, "stretch"])
+    return near.where("previous IS NOT NULL").unionByName(firsts).drop("_last")
 
 
 def _hours(micros: str) -> Column:
@@ -79,12 +89,12 @@ def _hours(micros: str) -> Column:
 
 
 def shortest_runs(paths: DataFrame, n: int) -> DataFrame:
-    """dir, first and best: for each folder and time at which n frames of one entity in a row begin, (until, who) of the run that ends first; who are all entities on its frames."""
+    """dir, first and best: for each n frames of one entity in a row, their folder, the time at which they begin, and (until, who); who are all entities on its frames."""
     seen = paths.select("dir", "path", "micros", F.explode("targets").alias("entity"), F.col("micros").alias("first"), F.col("targets").alias("who"), _hours("micros").alias("stretch"))
     for _ in range(n - 1):
         longer = with_previous(seen, "first", "who", keys=("dir", "entity"), order=("micros", "path")).where("previous IS NOT NULL")
         seen = longer.select("dir", "path", "micros", "entity", F.col("previous.first").alias("first"), F.array_union("who", "previous.who").alias("who"), "stretch")
-    return seen.groupBy("dir", "first").agg(F.min(F.struct(F.col("micros").alias("until"), F.sort_array("who").alias("who"))).alias("best"))
+    return seen.select("dir", "first", F.struct(F.col("micros").alias("until"), F.sort_array("who").alias("who")).alias("best"))
 
 
 def next_runs(asked: DataFrame, runs: DataFrame) -> DataFrame:
@@ -96,11 +106,12 @@ def next_runs(asked: DataFrame, runs: DataFrame) -> DataFrame:
     points = asked.select("dir", F.col("low").alias("at"), F.struct(*own).alias("own"), F.lit(None).cast(runs.schema["best"].dataType).alias("best"))
     points = points.unionByName(runs.select("dir", F.col("first").alias("at"), F.lit(None).cast(points.schema["own"].dataType).alias("own"), "best")).withColumn("stretch", _hours("at"))
     # what is asked at a time comes before the runs that begin then
-    later = Window.partitionBy("dir", "stretch").orderBy(F.desc("at"), F.col("own").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    near = points.withColumn("near", F.min("best").over(later)).where("own IS NOT NULL")
-    stretches = points.groupBy("dir", "stretch").agg(F.min("best").alias("best"))
-    far = stretches.select("dir", "stretch", F.min("best").over(Window.partitionBy("dir").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
-    return near.join(far, ["dir", "stretch"]).select("dir", "own.*", F.least("near", "far").alias("best"))
+    back = Window.partitionBy("dir", "stretch").orderBy(F.desc("at"), F.col("own").isNull())
+    later = back.rowsBetween(Window.unboundedPreceding, 0)
+    near = written(points.withColumns({"near": F.min("best").over(later), "_last": F.lead(F.lit(True)).over(back).isNull()}).where("own IS NOT NULL OR _last").drop("best"), "near-runs")
+    stretches = near.where("_last").select("dir", "stretch", "near")
+    far = written(stretches.select("dir", "stretch", F.min("near").over(Window.partitionBy("dir").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)).alias("far")), "far-runs", narrow=True)
+    return near.where("own IS NOT NULL").join(far, ["dir", "stretch"]).select("dir", "own.*", F.least("near", "far").alias("best"))
 
 
 def foreign_in_time(asked: DataFrame, paths: DataFrame, s: Settings) -> DataFrame:
@@ -121,8 +132,8 @@ def foreign_in_time(asked: DataFrame, paths: DataFrame, s: Settings) -> DataFram
     return counts.where(F.col("n") >= s.foreign_frames).select("entity_id", "path").distinct()
 
 
-def foreign_between(pairs: DataFrame, frames: DataFrame, s: Settings) -> DataFrame:
-    """pairs: entity_id, path, dir, prefix, seq, micros and previous of those. entity_id, path of pairs with a foreign entity on foreign_frames paths between them.
+def foreign_between(pairs: DataFrame, frames: DataFrame, s: Settings) -> DataFrame | None:
+    """pairs: entity_id, path, dir, prefix, seq, micros and previous of those. entity_id, path of pairs with a foreign entity on foreign_frames paths between them; None where nothing lies between any pair.
 
     Paths that also show the entity itself do not count. Where both frames have numbers of one
     prefix, the few numbers between are looked up. Else times between decide: if any entity has
@@ -130,32 +141,34 @@ def foreign_between(pairs: DataFrame, frames: DataFrame, s: Settings) -> DataFra
     and of the runs that begin after the first time the one that ends first. It shows the
     entity itself only where frames ordered by numbers go back in time; those pairs are counted path by path.
     """
-    paths = written(frames.groupBy("path", "dir", "prefix", "seq", _micros(F.col("capture_time")).alias("micros")).agg(F.collect_set("entity_id").alias("targets")), "paths")
     p = pairs.select("entity_id", "path", "dir", "prefix", "seq", "micros", "previous")
-    by_number = F.col("seq").isNotNull() & F.col("previous.seq").isNotNull() & (F.col("prefix") == F.col("previous.prefix")) & (F.col("previous.seq") < F.col("seq"))
-    numbered = (
-        p.where(by_number & (F.col("seq") - F.col("previous.seq") > 1))
-        .withColumn("at", F.explode(F.sequence(F.col("previous.seq").cast("long") + 1, F.col("seq").cast("long") - 1)))
-        .alias("p")
-        .join(paths.where("seq IS NOT NULL").alias("f"), (F.lower("p.dir") == F.lower("f.dir")) & (F.col("p.prefix") == F.col("f.prefix")) & (F.col("p.at").cast("decimal(38,0)") == F.col("f.seq")))
-    )
-    foreign = numbered.where(~F.array_contains("f.targets", F.col("p.entity_id"))).select("p.entity_id", "p.path", F.explode("f.targets").alias("target"))
-    counts = foreign.groupBy("entity_id", "path", "target").agg(F.count("*").alias("n"))
-    by_numbers = counts.where(F.col("n") >= s.foreign_frames).select("entity_id", "path")
-
+    by_number = F.coalesce(F.col("seq").isNotNull() & F.col("previous.seq").isNotNull() & (F.col("prefix") == F.col("previous.prefix")) & (F.col("previous.seq") < F.col("seq")), F.lit(False))
     low, high = F.least("micros", "previous.micros"), F.greatest("micros", "previous.micros")
-    timed = p.where(~F.coalesce(by_number, F.lit(False)) & (high > low)).select("entity_id", "path", "dir", low.alias("low"), high.alias("high"))
-    met = next_runs(timed, shortest_runs(paths, s.foreign_frames)).where("best.until < high")
-    met = written(met.select("entity_id", "path", "dir", "low", "high", F.array_contains("best.who", F.col("entity_id")).alias("own")), "runs-between", narrow=True)
-    found = by_numbers.unionByName(met.where("NOT own").select("entity_id", "path"))
-    if not met.where("own").isEmpty():
-        found = found.unionByName(foreign_in_time(met.where("own").drop("own"), paths, s))
-    return found.distinct()
+    numbered = p.where(by_number & (F.col("seq") - F.col("previous.seq") > 1))
+    timed = p.where(~by_number & (high > low)).select("entity_id", "path", "dir", low.alias("low"), high.alias("high"))
+    numbers, times = not numbered.isEmpty(), not timed.isEmpty()
+    if not (numbers or times):
+        return None
+    paths = written(frames.groupBy("path", "dir", "prefix", "seq", _micros(F.col("capture_time")).alias("micros")).agg(F.collect_set("entity_id").alias("targets")), "paths")
+    found = []
+    if numbers:
+        asked = numbered.withColumn("at", F.explode(F.sequence(F.col("previous.seq").cast("long") + 1, F.col("seq").cast("long") - 1))).alias("p")
+        there = (F.lower("p.dir") == F.lower("f.dir")) & (F.col("p.prefix") == F.col("f.prefix")) & (F.col("p.at").cast("decimal(38,0)") == F.col("f.seq"))
+        between = asked.join(paths.where("seq IS NOT NULL").alias("f"), there & ~F.array_contains("f.targets", F.col("p.entity_id")))
+        counts = between.select("p.entity_id", "p.path", F.explode("f.targets").alias("target")).groupBy("entity_id", "path", "target").agg(F.count("*").alias("n"))
+        found.append(counts.where(F.col("n") >= s.foreign_frames).select("entity_id", "path"))
+    if times:
+        met = next_runs(timed, shortest_runs(paths, s.foreign_frames)).where("best.until < high")
+        met = written(met.select("entity_id", "path", "dir", "low", "high", F.array_contains("best.who", F.col("entity_id")).alias("own")), "runs-between", narrow=True)
+        found.append(met.where("NOT own").select("entity_id", "path"))
+        if not met.where("own").isEmpty():
+            found.append(foreign_in_time(met.where("own").drop("own"), paths, s))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def split(frames: DataFrame, s: Settings) -> DataFrame:
     """frames with series_index, from 1 in an entity's order, and series_size."""
-    keyed = with_previous(ordered(frames).withColumn("micros", _micros(F.col("capture_time"))), "path", "dir", "prefix", "seq", "micros", "time_is_metadata")
+    keyed = with_previous(ordered(frames).withColumn("micros", _micros(F.col("capture_time"))), "dir", "prefix", "seq", "micros", "time_is_metadata")
     prev = F.col("previous")
     numbers = F.col("seq").isNotNull() & prev["seq"].isNotNull()
     delta = F.col("seq") - prev["seq"]
@@ -163,19 +176,35 @@ def split(frames: DataFrame, s: Settings) -> DataFrame:
     number_ok = F.when(numbers, (F.lower("dir") == F.lower(prev["dir"])) & (F.col("prefix") == prev["prefix"]) & (delta > 0) & (delta <= s.series_gap_numbers)).otherwise(same_dir)
     close = F.greatest(F.lit(0), F.col("micros") - prev["micros"]) <= int(s.series_gap_seconds * 1_000_000)
     time_ok = F.when((F.col("time_is_metadata") & prev["time_is_metadata"]) | ~numbers, close).otherwise(True)
-    linked = written(keyed.withColumn("joins", F.coalesce(same_dir & number_ok & time_ok, F.lit(False))), "linked")
+    linked = keyed.withColumn("joins", F.coalesce(same_dir & number_ok & time_ok, F.lit(False)))
     # only frames that would join need the guard
-    guard = foreign_between(linked.where("joins"), frames, s).withColumn("foreign", F.lit(True)) if s.foreign_frames > 0 else None
-    marked = linked.join(guard, ["entity_id", "path"], "left") if guard is not None else linked.withColumn("foreign", F.lit(None).cast("boolean"))
-    # breaks are both summed and numbered
-    cut = written(marked.withColumn("breaks", (~(F.col("joins") & F.col("foreign").isNull())).cast("long")).drop("previous", "micros", "joins", "foreign"), "breaks")
-    within = Window.partitionBy("entity_id", "stretch").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    sums = cut.groupBy("entity_id", "stretch").agg(F.sum("breaks").alias("b"))
+    guard = foreign_between(linked.where("joins"), frames, s) if s.foreign_frames > 0 else None
+    if guard is None:
+        marked = linked.withColumn("foreign", F.lit(None).cast("boolean"))
+    else:
+        marked = linked.join(written(guard, "guard").withColumn("foreign", F.lit(True)), ["entity_id", "path"], "left")
+    cut = marked.withColumn("breaks", (~(F.col("joins") & F.col("foreign").isNull())).cast("long")).drop("previous", "micros", "joins", "foreign")
+    return _numbered(cut).select(*frames.columns, "series_index", "series_size")
+
+
+def _numbered(cut: DataFrame) -> DataFrame:
+    """cut: ordered frames with breaks, 1 where a series begins. Those with series_index and series_size.
+
+    Both are counted within stretches and then corrected by one row for each stretch: by
+    the series begun before it, and by the whole sizes of its first and last series, which others may share.
+    """
+    order = Window.partitionBy("entity_id", "stretch").orderBy(*_ORDER)
+    numbered = cut.withColumns({"_k": F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.lag(F.lit(True)).over(order).isNull(), "_last": F.lead(F.lit(True)).over(order).isNull()})
+    here = written(numbered.withColumn("_size", F.count("*").over(Window.partitionBy("entity_id", "stretch", "_k"))), "breaks")
     earlier = Window.partitionBy("entity_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("entity_id", "stretch", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("offset"))
-    numbered = cut.withColumn("series_index", F.sum("breaks").over(within)).join(offsets, ["entity_id", "stretch"]).withColumn("series_index", F.col("series_index") + F.col("offset"))
-    sized = numbered.withColumn("series_size", F.count("*").over(Window.partitionBy("entity_id", "series_index")))
-    return sized.select(*frames.columns, "series_index", "series_size")
+    lasts = here.where("_last").select("entity_id", "stretch", F.col("_k").alias("_most"), F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_before"))
+    # the first and the last series of each stretch, once where they are one
+    ends = here.where("_first OR _last").select("entity_id", "stretch", "_k", "_size").distinct().join(lasts, ["entity_id", "stretch"])
+    whole = ends.withColumn("_whole", F.sum("_size").over(Window.partitionBy("entity_id", F.col("_before") + F.col("_k"))))
+    sizes = whole.groupBy("entity_id", "stretch", "_most", "_before").agg(F.max(F.when(F.col("_k") == 0, F.col("_whole"))).alias("_head"), F.max(F.when(F.col("_k") == F.col("_most"), F.col("_whole"))).alias("_tail"))
+    sized = here.join(written(sizes, "sizes", narrow=True), ["entity_id", "stretch"])
+    size = F.when(F.col("_k") == F.col("_most"), F.col("_tail")).when(F.col("_k") == 0, F.col("_head")).otherwise(F.col("_size"))
+    return sized.withColumns({"series_index": F.col("_k") + F.col("_before"), "series_size": size})
 
 
 def eye_value(left: Column, right: Column) -> Column:

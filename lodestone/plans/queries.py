@@ -235,7 +235,7 @@ series AS (SELECT *, count(*) OVER (PARTITION BY entity_id, series_index) AS ser
 
 @query(_series_sql(True) + "SELECT entity_id, path, series_index, series_size FROM series")
 def series_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.split(inputs.frames(spark, sf_dir), SETTINGS).select("entity_id", "path", "series_index", "series_size")
+    return series.split(inputs.frames(spark, sf_dir).select(*series.ORDERING), SETTINGS).select("entity_id", "path", "series_index", "series_size")
 
 
 @query(_series_sql(False) + "SELECT entity_id, path, series_index, series_size FROM series")
