@@ -241,7 +241,7 @@ def series_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_series_sql(False) + "SELECT entity_id, path, series_index, series_size FROM series")
 def series_split_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that some frames lack: the guard also looks between times."""
-    return series.split(inputs.frames(spark, sf_dir, numbered=False), SETTINGS).select("entity_id", "path", "series_index", "series_size")
+    return series.split(inputs.frames(spark, sf_dir, numbered=False).select(*series.ORDERING), SETTINGS).select("entity_id", "path", "series_index", "series_size")
 
 
 @query(
