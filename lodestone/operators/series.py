@@ -27,6 +27,8 @@ ORDERING = ("entity_id", "path", "dir", "name", "capture_time", "time_is_metadat
 LAST = 10**15
 #: Stands for no time in an order.
 NO_TIME = -(2**62)
+#: Numbers of this size and beyond stand at the ends of an order of longs, there by their own value.
+FAR = 2**62
 #: Characters of a path that name a stretch.
 PATH_HEAD = 48
 #: Microseconds, or sequence numbers, of a stretch of an entity's order.
@@ -53,20 +55,30 @@ def _micros(t: Column) -> Column:
 
 
 def ordered(frames: DataFrame) -> DataFrame:
-    """frames with k1, k2, k3 (with path their order within an entity) and stretch."""
+    """frames with k1, far1, k2, far2, k3 (with path their order within an entity) and stretch.
+
+    Sorts compare keys very often, and decimals of that size are made anew for each comparison: keys are longs, and numbers beyond them come beside.
+    """
     modes = written(order_modes(frames).select("entity_id", "by_number"), "modes", narrow=True)
-    number, time = F.coalesce("seq", F.lit(LAST)).cast("decimal(38,0)"), _micros(F.col("capture_time")).cast("decimal(38,0)")
+    exact = F.coalesce("seq", F.lit(LAST)).cast("decimal(38,0)")
+    number, time = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), exact)).cast("long"), _micros(F.col("capture_time"))
+    far = F.when(F.abs(exact) >= FAR, exact)
     both = frames.join(modes, "entity_id")
     by = F.col("by_number")
-    keyed = both.withColumns({"k1": F.when(by, number).otherwise(time), "k2": F.when(by, time).otherwise(number), "k3": F.when(by, F.lower("name")).otherwise(F.lower("path"))})
+    keys = {"k1": F.when(by, number).otherwise(time), "far1": F.when(by, far), "k2": F.when(by, time).otherwise(number), "far2": F.when(~by, far), "k3": F.when(by, F.lower("name")).otherwise(F.lower("path"))}
+    keyed = both.withColumns(keys)
     # frames without what orders their entity stand in stretches of the next key, and at last of their paths
     missing = F.col("k1") == F.when(by, LAST).otherwise(NO_TIME)
     second = F.when(missing, F.floor(F.col("k2") / F.when(by, STRETCH_MICROS).otherwise(STRETCH_NUMBERS)))
     third = F.when(missing & (F.col("k2") == F.when(by, NO_TIME).otherwise(LAST)), F.substring("k3", 1, PATH_HEAD))
-    return keyed.withColumn("stretch", F.struct(F.floor(F.col("k1") / F.when(by, STRETCH_NUMBERS).otherwise(STRETCH_MICROS)).alias("first"), second.alias("second"), third.alias("third")))
+    # a thousand far numbers are one stretch where numbers order
+    beyond = F.coalesce("far1", F.when(missing, F.col("far2")))
+    beyond = F.when(beyond > 0, F.substring(F.lpad(beyond.cast("string"), 38, "0"), 1, 35))
+    first = F.floor(F.col("k1") / F.when(by, STRETCH_NUMBERS).otherwise(STRETCH_MICROS))
+    return keyed.withColumn("stretch", F.struct(first.alias("first"), second.alias("second"), beyond.alias("beyond"), third.alias("third")))
 
 
-_ORDER = ("k1", "k2", "k3", "path")
+_ORDER = ("k1", "far1", "k2", "far2", "k3", "path")
 
 
 def with_previous(rows: DataFrame, *columns: str, keys: tuple[str, ...] = ("entity_id",), order: tuple[str, ...] = _ORDER) -> DataFrame:
@@ -75,8 +87,9 @@ def with_previous(rows: DataFrame, *columns: str, keys: tuple[str, ...] = ("enti
     Rows are dealt once and written; only the first of each stretch are joined with the last of the one before.
     """
     own = F.struct(*columns)
-    within = Window.partitionBy(*keys, "stretch").orderBy(*order)
-    near = written(rows.withColumns({"previous": F.lag(own).over(within), "_last": F.lead(F.lit(True)).over(within).isNull()}), "near")
+    # sorts tell most rows apart by the first eight bytes of their first key, which a hash fills
+    within = Window.partitionBy("_at", *keys, "stretch").orderBy(*order)
+    near = written(rows.withColumn("_at", F.xxhash64(*keys, "stretch")).withColumns({"previous": F.lag(own).over(within), "_last": F.lead(F.lit(True)).over(within).isNull()}).drop("_at"), "near")
     # one row for each stretch
     lasts = near.where("_last").select(*keys, "stretch", own.alias("own"))
     before = written(lasts.select(*keys, "stretch", F.lag("own").over(Window.partitionBy(*keys).orderBy("stretch")).alias("previous")), "stretches", narrow=True)
@@ -152,8 +165,8 @@ def foreign_between(pairs: DataFrame, frames: DataFrame, s: Settings) -> DataFra
     paths = written(frames.groupBy("path", "dir", "prefix", "seq", _micros(F.col("capture_time")).alias("micros")).agg(F.collect_set("entity_id").alias("targets")), "paths")
     found = []
     if numbers:
-        asked = numbered.withColumn("at", F.explode(F.sequence(F.col("previous.seq").cast("long") + 1, F.col("seq").cast("long") - 1))).alias("p")
-        there = (F.lower("p.dir") == F.lower("f.dir")) & (F.col("p.prefix") == F.col("f.prefix")) & (F.col("p.at").cast("decimal(38,0)") == F.col("f.seq"))
+        asked = numbered.withColumn("at", F.explode(F.sequence(F.lit(1), (F.col("seq") - F.col("previous.seq") - 1).cast("int")))).withColumn("at", (F.col("previous.seq") + F.col("at")).cast("decimal(38,0)")).alias("p")
+        there = (F.lower("p.dir") == F.lower("f.dir")) & (F.col("p.prefix") == F.col("f.prefix")) & (F.col("p.at") == F.col("f.seq"))
         between = asked.join(paths.where("seq IS NOT NULL").alias("f"), there & ~F.array_contains("f.targets", F.col("p.entity_id")))
         counts = between.select("p.entity_id", "p.path", F.explode("f.targets").alias("target")).groupBy("entity_id", "path", "target").agg(F.count("*").alias("n"))
         found.append(counts.where(F.col("n") >= s.foreign_frames).select("entity_id", "path"))
@@ -193,9 +206,9 @@ def _numbered(cut: DataFrame) -> DataFrame:
     Both are counted within stretches and then corrected by one row for each stretch: by
     the series begun before it, and by the whole sizes of its first and last series, which others may share.
     """
-    order = Window.partitionBy("entity_id", "stretch").orderBy(*_ORDER)
-    numbered = cut.withColumns({"_k": F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.lag(F.lit(True)).over(order).isNull(), "_last": F.lead(F.lit(True)).over(order).isNull()})
-    here = written(numbered.withColumn("_size", F.count("*").over(Window.partitionBy("entity_id", "stretch", "_k"))), "breaks")
+    order = Window.partitionBy("_at", "entity_id", "stretch").orderBy(*_ORDER)
+    numbered = cut.withColumn("_at", F.xxhash64("entity_id", "stretch")).withColumns({"_k": F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.lag(F.lit(True)).over(order).isNull(), "_last": F.lead(F.lit(True)).over(order).isNull()})
+    here = written(numbered.withColumn("_size", F.count("*").over(Window.partitionBy("_at", "entity_id", "stretch", "_k"))).drop("_at"), "breaks")
     earlier = Window.partitionBy("entity_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     lasts = here.where("_last").select("entity_id", "stretch", F.col("_k").alias("_most"), F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_before"))
     # the first and the last series of each stretch, once where they are one
@@ -226,28 +239,35 @@ def average_rank(value: str, *partition: str) -> Column:
     whole = Window.partitionBy(*partition)
     v = F.col(value)
     n, spread = F.count(v).over(whole), F.max(v).over(whole) - F.min(v).over(whole)
-    # frames of fractions are for SQL only
-    equal = F.expr(f"count({value}) OVER (PARTITION BY {', '.join(partition)} ORDER BY {value} RANGE BETWEEN 1e-9D PRECEDING AND 1e-9D FOLLOWING)")
+    # frames of fractions are for SQL only; the order is that of the rank, so that both take one sort
+    equal = F.expr(f"count({value}) OVER (PARTITION BY {', '.join(partition)} ORDER BY {value} NULLS LAST RANGE BETWEEN 1e-9D PRECEDING AND 1e-9D FOLLOWING)")
     place = (F.rank().over(whole.orderBy(v.asc_nulls_last())) - 1 + F.greatest(F.lit(0), equal - 1) / 2.0) / F.greatest(F.lit(1), n - 1)
     return F.when((n <= 1) | (spread <= 1e-9), 0.5).otherwise(place)
 
 
-def scored(series: DataFrame, s: Settings) -> DataFrame:
+#: A series; its number comes first, by which sorts tell most rows apart.
+_SERIES = ("series_index", "entity_id")
+
+
+def scored(series: DataFrame, s: Settings, alone: bool = False) -> DataFrame:
     """Rows in the running for the best of their series, with eye, blur_rank, eye_part, pose_part and score.
 
-    If any frame's eyes are reliably open, only such frames are in the running.
+    If any frame's eyes are reliably open, only such frames are in the running. alone: each
+    row is a series of its own, which needs no other rows, so all stay where they are.
     """
-    key = ("entity_id", "series_index")
-    whole = Window.partitionBy(*key)
-    eye = eye_value(F.col("eye_left"), F.col("eye_right"))
-    opened = F.coalesce(F.col("eye") >= s.eye_ratio_min, F.lit(False))
-    pool = series.withColumn("eye", eye).withColumn("_open", opened).withColumn("_any", F.max("_open").over(whole)).where(F.col("_open") | ~F.col("_any")).drop("_open", "_any")
-    sharp = pool.withColumn("_log", F.when(finite(F.col("blur_score")), F.log1p(F.greatest(F.lit(0.0), F.col("blur_score")))))
-    sharp = sharp.withColumns({"_eyes": F.count("eye").over(whole), "_blurs": F.count("_log").over(whole), "_eye_rank": average_rank("eye", *key), "_blur_rank": average_rank("_log", *key)})
+    rows = series.withColumns({"eye": eye_value(F.col("eye_left"), F.col("eye_right")), "_log": F.when(finite(F.col("blur_score")), F.log1p(F.greatest(F.lit(0.0), F.col("blur_score"))))})
+    if alone:
+        one = lambda c: F.col(c).isNotNull().cast("long")
+        ranked = rows.withColumns({"_eyes": one("eye"), "_blurs": one("_log"), "_eye_rank": F.lit(0.5), "_blur_rank": F.lit(0.5)})
+    else:
+        whole = Window.partitionBy(*_SERIES)
+        opened = F.coalesce(F.col("eye") >= s.eye_ratio_min, F.lit(False))
+        pool = rows.withColumn("_open", opened).withColumn("_any", F.max("_open").over(whole)).where(F.col("_open") | ~F.col("_any")).drop("_open", "_any")
+        ranked = pool.withColumns({"_eyes": F.count("eye").over(whole), "_blurs": F.count("_log").over(whole), "_eye_rank": average_rank("eye", *_SERIES), "_blur_rank": average_rank("_log", *_SERIES)})
     eye_part = F.when(F.col("eye").isNull(), F.when(F.col("_eyes") > 0, 0.35).otherwise(0.50)).when(F.col("_eyes") > 1, F.col("_eye_rank")).otherwise(0.75)
     blur_part = F.when(F.col("_log").isNull(), F.when(F.col("_blurs") > 0, 0.35).otherwise(0.50)).otherwise(F.col("_blur_rank"))
     identity = clamp(1.0 - F.col("distance") / max(1e-6, s.match_threshold))
-    parts = sharp.withColumns({"eye_part": eye_part, "blur_rank": blur_part, "pose_part": pose_score(F.col("pose"))})
+    parts = ranked.withColumns({"eye_part": eye_part, "blur_rank": blur_part, "pose_part": pose_score(F.col("pose"))})
     score = 0.40 * F.col("blur_rank") + 0.32 * F.col("eye_part") + 0.13 * identity + 0.10 * F.col("pose_part") + 0.05 * clamp(F.col("det_score"))
     return parts.withColumn("score", score).drop("_log", "_eyes", "_blurs", "_eye_rank", "_blur_rank")
 
@@ -255,8 +275,9 @@ def scored(series: DataFrame, s: Settings) -> DataFrame:
 def best_of_series(series: DataFrame, s: Settings) -> DataFrame:
     """One row of each series: the highest score, then the smallest distance, the sharpest, the first path; differences below 1e-12 do not count."""
     blur = F.coalesce(F.when(finite(F.col("blur_score")), F.col("blur_score")), F.lit(-1.0))
-    order = Window.partitionBy("entity_id", "series_index").orderBy(F.desc(F.round("score", 12)), F.round("distance", 12), F.desc(F.round(blur, 12)), F.lower("path"), "path")
-    return scored(series, s).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    order = Window.partitionBy(*_SERIES).orderBy(F.desc(F.round("score", 12)), F.round("distance", 12), F.desc(F.round(blur, 12)), F.lower("path"), "path")
+    several = scored(series.where("series_size > 1"), s).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return several.unionByName(scored(series.where("series_size = 1"), s, alone=True))
 
 
 def best_frames(frames: DataFrame, s: Settings) -> DataFrame:
