@@ -6,8 +6,10 @@ expected size, each shard builds a graph, and every two shards of a label meet o
 nodes of one as queries to the graph of the other. What leaves a task is a row for each
 linked node - its links and a root - so a dense group's pairs are counted where they are found.
 Graphs are built and searched for many vectors in lockstep, so each step is a few matrix
-operations. A search is only done when its beam holds a vector below the threshold; until
-then the beam widens, so that a dense group of any size is found whole. All queries are
+operations. A search is only done when its beam holds a vector below the threshold. A beam
+without one lies in a dense group: from there the search goes on along the graph's edges, through
+all vectors above the threshold and as far again below it, each once and in no order, so that a
+dense group of any size is found whole in a time that grows with its size. All queries are
 searched in the graph first, whatever the shard's size; the links are those that it finds,
 each verified in double precision. Then an audit measures: one query in AUDIT_SHARE, drawn at
 random, is compared with every vector until AUDITED_LINKS true links, matches with themselves
@@ -41,10 +43,12 @@ from pyspark.sql import types as T
 from lodestone.llm.common import NULL_ID, ordered_id, written
 from lodestone.llm.components import components, smallest_reachable
 
-#: Expected vectors of a shard, and vectors that one search step takes together.
-SHARD, LOCKSTEP = 4096, 512
-#: Shards whose queries one task takes.
-BLOCK = 16
+#: Expected vectors of a shard, and vectors that one search step takes together. A search takes little longer in a larger graph, so larger shards make fewer searches.
+SHARD, LOCKSTEP = 16384, 512
+#: Shards whose queries one task takes; with its own shard, no more vectors than that are held by a task.
+BLOCK = 3
+#: Queries that are searched and audited together, and places of a graph that a spreading search goes on from together.
+QUERIES, SPREAD = 4096, 32768
 #: Queries audited at a time, one in how many at most, true links after which an audit has seen enough, and the first width of the beams.
 AUDITED, AUDIT_SHARE, AUDITED_LINKS, BEAM = 32, 8, 200, 48
 
@@ -208,28 +212,50 @@ class SmallWorld:
         cosine = np.concatenate([np.einsum("pd,pd->p", queries[q[at : at + 65536]], self.exact[v[at : at + 65536]]) for at in range(0, len(q), 65536)] or [np.empty(0)])
         return q[cosine >= least], v[cosine >= least]
 
+    def _spread(self, near: np.ndarray, start: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a node of at least least, on all ways from each query's start (nodes of at least least) over nodes not farther below it than 1 is above."""
+        n, links = len(self.exact), self.layers[0]
+        seen = np.zeros((len(near), n), bool)
+        q, v = np.repeat(np.arange(len(near)), start.shape[1]), start.ravel().astype(np.int64)
+        seen[q, v] = True
+        found, open_ = [(q, v)], [(q, v)]
+        while open_:
+            q, v = open_.pop()
+            if len(q) > SPREAD:
+                open_.append((q[SPREAD:], v[SPREAD:]))
+                q, v = q[:SPREAD], v[:SPREAD]
+            new, q = links[v].ravel(), np.repeat(q, links.shape[1])
+            q, new = q[new >= 0], new[new >= 0]
+            fresh = ~seen[q, new]
+            fresh = np.unique(q[fresh] * n + new[fresh])
+            q, v = fresh // n, fresh % n
+            seen[q, v] = True
+            similar = np.concatenate([np.einsum("pd,pd->p", near[q[at : at + SPREAD]], self.near[v[at : at + SPREAD]]) for at in range(0, len(q), SPREAD)] or [np.empty(0)])
+            close, on = similar >= least, similar >= 2 * least - 1
+            found.append((q[close], v[close]))
+            if on.any():
+                open_.append((q[on], v[on]))
+        return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
     def _beams(self, near: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that beams of that width find; a beam that is all that close widens."""
+        """Pairs that beams of that width find; where a beam is all that close, the search spreads from it."""
         n, found = len(self.exact), []
-        left, wide = np.arange(len(near)), width
-        while len(left):
-            most = max(1, min(LOCKSTEP, (32 << 20) // n, (8 << 20) // (wide + 32)))
-            full = []
-            for at in range(0, len(left), most):
-                some = left[at : at + most]
-                if wide >= n:  # every node
-                    nodes = np.broadcast_to(np.arange(n, dtype=np.int32), (len(some), n))
-                    close = near[some] @ self.near.T >= least
-                else:
-                    nodes, similar = self._search(near[some], 0, wide, self._descend(near[some], 0))
-                    close = similar >= least
-                    whole = close.all(axis=1)
-                    full.append(some[whole])
+        most = max(1, min(LOCKSTEP, (32 << 20) // max(1, n), (8 << 20) // (width + 32)))
+        for at in range(0, len(near), most):
+            some = np.arange(at, min(at + most, len(near)))
+            if width >= n:  # every node
+                nodes = np.broadcast_to(np.arange(n, dtype=np.int32), (len(some), n))
+                close = near[some] @ self.near.T >= least
+            else:
+                nodes, similar = self._search(near[some], 0, width, self._descend(near[some], 0))
+                close = similar >= least
+                whole = close.all(axis=1)
+                if whole.any():
+                    q, v = self._spread(near[some[whole]], nodes[whole], least)
+                    found.append((some[whole][q], v))
                     close &= ~whole[:, None]
-                i, j = np.nonzero(close)
-                found.append((some[i], nodes[i, j]))
-            left = np.concatenate(full) if full else left[:0]
-            wide = min(n, wide * 4)
+            i, j = np.nonzero(close)
+            found.append((some[i], nodes[i, j]))
         return tuple(np.concatenate([f[k] for f in found] or [np.empty(0)]).astype(np.int64) for k in (0, 1))
 
     def within(self, queries: np.ndarray, least: float, own: np.ndarray | None = None, links: int = AUDITED_LINKS) -> Found:
@@ -277,10 +303,10 @@ def _search_block(table: pa.Table, similarity: float) -> pa.Table:
     mine, theirs = index[: len(base)], index[len(base) :]
     graph = SmallWorld(vectors[base])
     links, left, right, audits = np.zeros(len(names), np.int64), [], [], []
-    for at in range(0, len(asking), SHARD):
-        some = theirs[at : at + SHARD]
+    for at in range(0, len(asking), QUERIES):
+        some = theirs[at : at + QUERIES]
         place = np.minimum(np.searchsorted(mine, some), len(mine) - 1)
-        found = graph.within(vectors[asking[at : at + SHARD]], similarity, np.where(mine[place] == some, place, -1))
+        found = graph.within(vectors[asking[at : at + QUERIES]], similarity, np.where(mine[place] == some, place, -1))
         left.append(theirs[at + found.query])
         right.append(mine[found.node])
         audits.append((found.audited, found.first_hit, found.hit))
