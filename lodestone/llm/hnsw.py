@@ -6,16 +6,17 @@ expected size, each shard builds a graph, and every two shards of a label meet o
 nodes of one as queries to the graph of the other. What leaves a task is a row for each
 linked node - its links and a root - so a dense group's pairs are counted where they are found.
 Graphs are built and searched for many vectors in lockstep, so each step is a few matrix
-operations. A search is only done when its beam holds a vector below the threshold. A beam
-without one lies in a dense group: from there the search goes on along the graph's edges, through
-all vectors above the threshold and as far again below it, each once and in no order, so that a
-dense group of any size is found whole in a time that grows with its size. All queries are
+operations. Lists of edges are bounded, so in a dense group a node can drop out of all lists of
+others. What no way from the entry leads to gets an edge from the closest node that is reached.
+Where a beam holds vectors above the threshold, or as far again below it, the search goes on from
+them along the graph's edges, in both directions, through all such vectors, each once and in no
+order, so that a dense group of any size is found whole in a time that grows with its size. All queries are
 searched in the graph first, whatever the shard's size; the links are those that it finds,
 each verified in double precision. Then an audit measures: one query in AUDIT_SHARE, drawn at
 random, is compared with every vector until AUDITED_LINKS true links, matches with themselves
 aside, were seen. If the graph missed any of them, the beams of the whole shard widen and all
-is searched again; a beam as wide as the graph sees all of it. An audit's own links are never
-part of the result.
+is searched again. A beam as wide as the graph sees all of it, and is the next one as soon as a
+beam's edges would be half as many as the vectors. An audit's own links are never part of the result.
 
 Links are counted from both sides by weights, components follow from the links.
 
@@ -47,8 +48,10 @@ from lodestone.llm.components import components, smallest_reachable
 SHARD, LOCKSTEP = 16384, 512
 #: Shards whose queries one task takes; with its own shard, no more vectors than that are held by a task.
 BLOCK = 3
-#: Queries that are searched and audited together, and places of a graph that a spreading search goes on from together.
-QUERIES, SPREAD = 4096, 32768
+#: Queries that are searched and audited together, and edges of a graph that a spreading search follows together.
+QUERIES, SPREAD = 4096, 1 << 20
+#: Edges that a node can hold besides its own choice, to nodes that nothing else leads to; edges that a step of a beam follows, as beams widen by.
+SPARE, EDGES = 2, 32
 #: Queries audited at a time, one in how many at most, true links after which an audit has seen enough, and the first width of the beams.
 AUDITED, AUDIT_SHARE, AUDITED_LINKS, BEAM = 32, 8, 200, 48
 
@@ -94,6 +97,12 @@ class SmallWorld:
         self.beam = beam
         for layer in range(self.top, -1, -1):
             self._build(layer, self.order[: int((levels >= layer).sum())])
+        if n:
+            self._hold()
+        node, column = np.nonzero(self.layers[0] >= 0)
+        target = self.layers[0][node, column]
+        self.holders = node[np.argsort(target, kind="stable")].astype(np.int32)  # of each node, from its first to that of the next
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(target, minlength=n))])
 
     def _build(self, layer: int, nodes: np.ndarray) -> None:
         done = min(len(nodes), 2 * self.layers[layer].shape[1])
@@ -106,6 +115,27 @@ class SmallWorld:
             self._link(layer, batch, np.concatenate([found, peers], axis=1))
             done += len(batch)
 
+    def _hold(self) -> None:
+        """Each node that no way from the entry leads to gets an edge, from the closest node that is reached and has room for one."""
+        n = len(self.near)
+        self.layers[0] = links = np.concatenate([self.layers[0], np.full((n, SPARE), -1, np.int32)], axis=1)
+        reached, room = np.zeros(n, bool), np.full(n, SPARE)
+
+        def walk(at: int) -> None:
+            reached[at], open_ = True, np.array([at])
+            while len(open_):
+                new = np.unique(links[open_])
+                open_ = new[(new >= 0) & ~reached[new]]
+                reached[open_] = True
+
+        walk(self.entry)
+        for lost in np.flatnonzero(~reached):
+            if not reached[lost]:
+                by = int(np.argmax(np.where(reached & (room > 0), self.near @ self.near[lost], -np.inf)))
+                links[by, -room[by]] = lost
+                room[by] -= 1
+                walk(lost)
+
     def _descend(self, queries: np.ndarray, layer: int) -> np.ndarray:
         at = np.full(len(queries), self.entry, np.int32)
         for k in range(self.top, layer, -1):
@@ -212,25 +242,28 @@ class SmallWorld:
         cosine = np.concatenate([np.einsum("pd,pd->p", queries[q[at : at + 65536]], self.exact[v[at : at + 65536]]) for at in range(0, len(q), 65536)] or [np.empty(0)])
         return q[cosine >= least], v[cosine >= least]
 
-    def _spread(self, near: np.ndarray, start: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a query and a node of at least least, on all ways from each query's start (nodes of at least least) over nodes not farther below it than 1 is above."""
+    def _spread(self, near: np.ndarray, q: np.ndarray, v: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a node of at least least, on all ways from the pairs q, v, along edges or against them, over nodes not farther below it than 1 is above."""
         n, links = len(self.exact), self.layers[0]
+        held = np.diff(self.first)
         seen = np.zeros((len(near), n), bool)
-        q, v = np.repeat(np.arange(len(near)), start.shape[1]), start.ravel().astype(np.int64)
         seen[q, v] = True
-        found, open_ = [(q, v)], [(q, v)]
+        found, open_ = [], [(q, v)]
         while open_:
             q, v = open_.pop()
-            if len(q) > SPREAD:
-                open_.append((q[SPREAD:], v[SPREAD:]))
-                q, v = q[:SPREAD], v[:SPREAD]
-            new, q = links[v].ravel(), np.repeat(q, links.shape[1])
+            some = max(1, int(np.searchsorted(np.cumsum(links.shape[1] + held[v]), SPREAD)))
+            if len(q) > some:
+                open_.append((q[some:], v[some:]))
+                q, v = q[:some], v[:some]
+            count = held[v]
+            against = self.holders[np.repeat(self.first[v] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+            new, q = np.concatenate([links[v].ravel(), against]), np.concatenate([np.repeat(q, links.shape[1]), np.repeat(q, count)])
             q, new = q[new >= 0], new[new >= 0]
             fresh = ~seen[q, new]
             fresh = np.unique(q[fresh] * n + new[fresh])
             q, v = fresh // n, fresh % n
             seen[q, v] = True
-            similar = np.concatenate([np.einsum("pd,pd->p", near[q[at : at + SPREAD]], self.near[v[at : at + SPREAD]]) for at in range(0, len(q), SPREAD)] or [np.empty(0)])
+            similar = np.concatenate([np.einsum("pd,pd->p", near[q[at : at + 32768]], self.near[v[at : at + 32768]]) for at in range(0, len(q), 32768)] or [np.empty(0)])
             close, on = similar >= least, similar >= 2 * least - 1
             found.append((q[close], v[close]))
             if on.any():
@@ -238,31 +271,30 @@ class SmallWorld:
         return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
 
     def _beams(self, near: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that beams of that width find; where a beam is all that close, the search spreads from it."""
+        """Pairs that beams of that width find, and the search that spreads from what they hold."""
         n, found = len(self.exact), []
         most = max(1, min(LOCKSTEP, (32 << 20) // max(1, n), (8 << 20) // (width + 32)))
         for at in range(0, len(near), most):
-            some = np.arange(at, min(at + most, len(near)))
+            some = near[at : at + most]
             if width >= n:  # every node
-                nodes = np.broadcast_to(np.arange(n, dtype=np.int32), (len(some), n))
-                close = near[some] @ self.near.T >= least
+                i, v = np.nonzero(some @ self.near.T >= least)
             else:
-                nodes, similar = self._search(near[some], 0, width, self._descend(near[some], 0))
-                close = similar >= least
-                whole = close.all(axis=1)
-                if whole.any():
-                    q, v = self._spread(near[some[whole]], nodes[whole], least)
-                    found.append((some[whole][q], v))
-                    close &= ~whole[:, None]
-            i, j = np.nonzero(close)
-            found.append((some[i], nodes[i, j]))
+                nodes, similar = self._search(some, 0, width, self._descend(some, 0))
+                i, j = np.nonzero(similar >= 2 * least - 1)
+                v, close = nodes[i, j].astype(np.int64), similar[i, j] >= least
+                if len(i):
+                    q, w = self._spread(some, i, v, least)
+                    found.append((at + q, w))
+                i, v = i[close], v[close]
+            found.append((at + i, v))
         return tuple(np.concatenate([f[k] for f in found] or [np.empty(0)]).astype(np.int64) for k in (0, 1))
 
     def within(self, queries: np.ndarray, least: float, own: np.ndarray | None = None, links: int = AUDITED_LINKS) -> Found:
         """The pairs with cosine of at least least that the graph finds.
 
         own: each query's own node, which is no link, or -1. The beams of all queries widen
-        until no link of the audit is missing; a beam as wide as the graph sees all of it.
+        until no link of the audit is missing; a beam as wide as the graph sees all of it, and
+        takes less time than one whose edges are half as many.
         """
         n, width = len(self.exact), min(self.beam, len(self.exact))
         own = np.full(len(queries), -1) if own is None else own
@@ -280,7 +312,7 @@ class SmallWorld:
             hit = int(np.isin(known, pairs, assume_unique=True).sum())
             if hit == len(known) or width >= n:
                 return Found(pairs // n, pairs % n, len(known), first_hit, hit, width)
-            width = min(n, width * 2)
+            width = width * 2 if width * 2 * EDGES * 2 < n else n
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -344,6 +344,44 @@ def test_dense_groups_are_found_with_narrow_beams(monkeypatch):
     assert max(widths) == hnsw.BEAM
 
 
+def test_groups_around_a_centre_lose_no_vector(monkeypatch):
+    """All of such a group are closer to its centre than to each other, so some drop out of all lists of edges; then audits widened the beams of all queries."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 64))
+    x[1:500] = x[0] + rng.normal(size=(499, 64)) * 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = hnsw.SmallWorld(x)
+    reached, open_ = {graph.entry}, [graph.entry]
+    while open_:
+        new = set(graph.layers[0][open_.pop()].tolist()) - reached - {-1}
+        reached |= new
+        open_ += new
+    assert len(reached) == len(x)
+    widths = []
+    beams = hnsw.SmallWorld._beams
+    monkeypatch.setattr(hnsw.SmallWorld, "_beams", lambda self, near, width, least: widths.append(width) or beams(self, near, width, least))
+    found = graph.within(x, 0.98, np.arange(len(x)))
+    truth = x @ x.T >= 0.98
+    np.fill_diagonal(truth, False)
+    assert truth.sum() > 200_000
+    assert pairs_of(found) == set(zip(*(k.tolist() for k in np.nonzero(truth)), strict=True))
+    assert widths == [hnsw.BEAM]
+    assert found.first_hit == found.audited > 0
+
+
+def test_beams_do_not_widen_beyond_what_all_vectors_cost(monkeypatch):
+    """A beam follows many edges for each place of it: one of 3072 in a graph of 8000 takes far longer than all 8000."""
+    x = np.tile([1.0, 0.0], (8000, 1))
+    widths = []
+    none = np.arange(0)
+    monkeypatch.setattr(hnsw.SmallWorld, "_beams", lambda self, near, width, least: widths.append(width) or ((none, none) if width < len(x) else (np.zeros(8000, int), np.arange(8000))))
+    graph = hnsw.SmallWorld.__new__(hnsw.SmallWorld)
+    graph.exact, graph.beam = x, hnsw.BEAM
+    found = graph.within(x[:1], 0.98)
+    assert widths == [48, 96, 8000]
+    assert (found.first_hit, found.hit, found.audited) == (0, 8000, 8000)
+
+
 def test_recall_of_a_label_of_several_shards(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(900, 24))
