@@ -1,16 +1,19 @@
 """Greedy suppression in images of very many boxes, spread over tasks.
 
-A box is settled once all stronger boxes that it overlaps are. Boxes that overlap by the
-threshold are of similar size and place, so an image is cut into blocks by both, and a block
-gets copies of the neighbours' boxes that may overlap its own. It goes through its boxes from
-the strongest on, and holds only those that stay and those that wait for another block. What
-waits goes into the next round, where blocks lie elsewhere, with the boxes that stay and that another
-block's box has yet to meet; the strongest box that waits is always
-settled, and a chain of boxes costs a round only where it leaves a block.
+A box is settled once all stronger boxes that it overlaps are. Each round cuts images into the cells
+of a grid and deals every box that is left to the one cell of its middle. A box is the cell's own
+if all boxes that it may overlap by the threshold lie in the cell too. A cell goes through its boxes
+from the strongest on: one that overlaps a box that stays is dropped, an own box stays if it overlaps none
+before it that is left, and all others wait for the next round, whose grid lies elsewhere or is
+wider. What an own box that stays overlaps is dropped with it, so only boxes that wait go on.
+No box is copied, rows cross the shuffle once for each round that they wait, and a chain of boxes
+costs a round only where it leaves a cell.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.boxes import SIDES, area
 from lodestone.operators.detections import suppress
@@ -25,196 +29,179 @@ from lodestone.storage import written
 
 #: Boxes of an image that are folded as one array.
 FOLDED = 2000
-#: A block has boxes of two sizes, as powers of two: sides from M / 4 to M; it is 16 M wide.
-LOG_SIZES, WIDTHS = 2, 16
-#: Where blocks begin, as parts of their width, round by round.
-OFFSETS = (0.0, 0.5, 0.25, 0.75)
-BLOCK = ("image", "level", "bx", "by")
-WORK = "place long, image string, x1 double, y1 double, x2 double, y2 double, kept boolean, needed boolean"
-WORK_COLUMNS = [c.split()[0] for c in WORK.split(", ")]
-#: Boxes of a block that are compared at a time, with how many held ones at a time, and rows that are returned together.
-CHUNK, PIECE, TOLD = 256, 4096, 10_000
+#: The first grid is so many powers of two wider than the small boxes (this share of all is no larger) or what they reach.
+WIDE, SMALL = 6, 0.05
+#: Where cells begin, as parts of their width, round by round: a box that reaches less than a third of it is at a border in x in one of them at most, and so in y.
+OFFSETS = (0.5, 0.5 + 1 / 3, 0.5 + 2 / 3)
+#: A grid widens by so many powers of two after a turn of offsets, as long as no cell gets more boxes than that; as few as those go to cells without borders.
+LEVELS, FULL = 2, 20_000
+#: Boxes that a task sorts, at most about, whatever the session's partitions are.
+DEALT = 500_000
+CELL = ("image", "bx", "by")
+#: Boxes of a cell that are compared at a time, and with how many held ones at a time.
+CHUNK, PIECE = 256, 4096
 
 
 class Held:
-    """Boxes that later ones are compared with, their places, and which are the block's own and still needed by other blocks' boxes."""
+    """Boxes that later ones are compared with."""
 
     def __init__(self) -> None:
-        self.boxes, self.places, self.own, self.needed, self.n = np.empty((64, 4)), np.empty(64, np.int64), np.empty(64, bool), np.empty(64, bool), 0
+        self.boxes, self.n = np.empty((64, 4)), 0
 
-    def add(self, boxes: np.ndarray, places: np.ndarray, own: np.ndarray, needed: np.ndarray) -> None:
+    def add(self, boxes: np.ndarray) -> None:
         end = self.n + len(boxes)
         if end > len(self.boxes):
             more = max(end, 2 * len(self.boxes)) - self.n
-            wider = lambda a: np.concatenate([a[: self.n], np.empty((more, *a.shape[1:]), a.dtype)])
-            self.boxes, self.places, self.own, self.needed = wider(self.boxes), wider(self.places), wider(self.own), wider(self.needed)
-        self.boxes[self.n : end], self.places[self.n : end], self.own[self.n : end], self.needed[self.n : end] = boxes, places, own, needed
+            self.boxes = np.concatenate([self.boxes[: self.n], np.empty((more, 4))])
+        self.boxes[self.n : end] = boxes
         self.n = end
 
-    def met(self, boxes: np.ndarray, threshold: float, asking: np.ndarray) -> np.ndarray:
-        """Which boxes overlap a held one; those that the asking ones overlap are needed from then on."""
-        hit = np.zeros(len(boxes), bool)
+    def met(self, boxes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which boxes overlap a held one, and which equal one."""
+        hit, equal = np.zeros(len(boxes), bool), np.zeros(len(boxes), bool)
         for at in range(0, self.n, PIECE):
-            some = slice(at, min(self.n, at + PIECE))
-            i, j = overlaps(boxes, self.boxes[some], threshold)
+            i, _, same = overlaps(boxes, self.boxes[at : min(self.n, at + PIECE)], threshold)
             hit[i] = True
-            self.needed[some][j[asking[i]]] = True
-        return hit
+            equal[i[same]] = True
+        return hit, equal
 
 
-def overlaps(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of boxes of a and b that overlap by the threshold."""
+def overlaps(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of boxes of a and b that overlap by the threshold, and which of them are equal."""
     beside = (a[:, None, 0] < b[None, :, 2]) & (b[None, :, 0] < a[:, None, 2]) & (a[:, None, 1] < b[None, :, 3]) & (b[None, :, 1] < a[:, None, 3])
     i, j = np.nonzero(beside)
     p, q = a[i], b[j]
     inter = (np.minimum(p[:, 2], q[:, 2]) - np.maximum(p[:, 0], q[:, 0])) * (np.minimum(p[:, 3], q[:, 3]) - np.maximum(p[:, 1], q[:, 1]))
     union = (p[:, 2] - p[:, 0]) * (p[:, 3] - p[:, 1]) + (q[:, 2] - q[:, 0]) * (q[:, 3] - q[:, 1]) - inter
     enough = inter / union >= threshold
-    return i[enough], j[enough]
+    return i[enough], j[enough], (inter == union)[enough]
 
 
-class Block:
-    """A block's boxes, from the strongest on: those that stay and those that wait for another block."""
+class Cell:
+    """A cell's boxes, from the strongest on: those that stay and those that wait."""
 
     def __init__(self, threshold: float) -> None:
         self.threshold, self.stay, self.wait = threshold, Held(), Held()
 
-    def take(self, boxes: np.ndarray, places: np.ndarray, kept: np.ndarray, own: np.ndarray) -> None:
-        asking = ~kept & ~own
-        dead = self.stay.met(boxes, self.threshold, asking) & ~kept
-        stays = kept | (own & ~dead & ~self.wait.met(boxes, self.threshold, asking))
+    def take(self, boxes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which boxes stay and which wait."""
+        dead, _ = self.stay.met(boxes, self.threshold)
+        behind, equal = self.wait.met(boxes, self.threshold)
+        # whatever becomes of a box, no equal one after it stays
+        dead |= equal
+        stays = own & ~dead & ~behind
         waits = ~stays & ~dead
-        later, earlier = overlaps(boxes, boxes, self.threshold)
-        later, earlier = later[earlier < later], earlier[earlier < later]
-        needed = np.zeros(len(boxes), bool)
-        needed[earlier[asking[later]]] = True
+        later, earlier, same = overlaps(boxes, boxes, self.threshold)
+        before = earlier < later
+        later, earlier, same = later[before], earlier[before], same[before]
         # pairs are in order, so all earlier boxes of one are settled when its turn comes
         heads, first = np.unique(later, return_index=True)
-        for n, some in zip(heads, np.split(earlier, first[1:]), strict=True) if len(heads) else ():
-            if kept[n] or dead[n]:
+        for n, start, end in zip(heads, first, np.append(first, len(later))[1:], strict=True):
+            some = earlier[start:end]
+            if dead[n]:
                 continue
-            if stays[some].any():
+            if stays[some].any() or waits[some[same[start:end]]].any():
                 dead[n], stays[n], waits[n] = True, False, False
-            elif stays[n] and waits[some].any():
+            elif waits[some].any():
                 stays[n], waits[n] = False, True
-        for held, which in ((self.stay, stays), (self.wait, waits)):
-            held.add(boxes[which], places[which], own[which], needed[which])
+        self.stay.add(boxes[stays])
+        self.wait.add(boxes[waits])
+        return stays, waits
 
-    def settled(self) -> list[np.ndarray]:
-        """places, boxes, kept and needed of the own boxes that stay or wait."""
-        both = [(h.places[: h.n][h.own[: h.n]], h.boxes[: h.n][h.own[: h.n]], h.needed[: h.n][h.own[: h.n]]) for h in (self.stay, self.wait)]
-        places, boxes, needed = (np.concatenate(parts) for parts in zip(*both, strict=True))
-        return [places, boxes, np.arange(len(places)) < len(both[0][0]), needed]
 
+def _cell(low: Column, high: Column, level: float, turn: int, beyond: Column | float = 0.0) -> Column:
+    """The cell, along one side, of the middle between low and high, or of a place beyond it. Cells are 2 ** level wide, those of an infinite level have no borders."""
+    return F.floor(((low + high) / F.lit(2.0) + beyond) / F.lit(2.0**level) + F.lit(OFFSETS[turn % len(OFFSETS)])) if level < math.inf else F.lit(0).cast("long")
 
-def _level(side: Column, shift: int) -> Column:
-    return F.floor((F.log2(side) + shift) / LOG_SIZES)
 
-
-def dealt(work: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """work with level, bx, by and own: each box in its own block and, not as own, in all others whose boxes it may overlap by the threshold.
-
-    The first row of a block that has own boxes has no place. Of an image, only levels that have own boxes are dealt to.
-    """
-    shift, offset = LOG_SIZES // 2 * (turn % 2), OFFSETS[turn % len(OFFSETS)]
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    side = F.greatest(w, h)
-    block = lambda at: F.floor(at / F.col("width") + F.lit(offset))
-    # another box's first corner lies within these bounds if both overlap by the threshold
-    low, high = (1 - threshold) / threshold, 1 - threshold
-    near = lambda at, long: F.explode(F.sequence(block(at - long * low - 1), block(at + long * high + 1)))
-    levels = F.sequence(_level(side * threshold * 0.999, shift), _level(side / threshold * 1.001, shift))
-    at_levels = work.withColumn("mine", _level(side, shift)).withColumn("level", F.explode(levels))
-    met = work.select("image", _level(side, shift).alias("level")).distinct()
-    wide = at_levels.join(met, ["image", "level"], "left_semi").withColumn("width", F.pow(F.lit(2.0), LOG_SIZES * (F.col("level") + 1) - shift) * WIDTHS)
-    placed = wide.withColumn("bx", near(F.col("x1"), w)).withColumn("by", near(F.col("y1"), h))
-    own = (F.col("level") == F.col("mine")) & (F.col("bx") == block(F.col("x1"))) & (F.col("by") == block(F.col("y1")))
-    rows = placed.withColumn("own", own).drop("width", "mine")
-    at = F.pow(F.lit(2.0), LOG_SIZES * (F.col("level") + 1) - shift) * WIDTHS
-    blocks = work.select("image", _level(side, shift).alias("level"), "x1", "y1").withColumn("width", at)
-    blocks = blocks.select("image", "level", block(F.col("x1")).alias("bx"), block(F.col("y1")).alias("by")).distinct()
-    return rows.unionByName(blocks, allowMissingColumns=True)
+def dealt(work: DataFrame, threshold: float, turn: int, level: float = 12) -> DataFrame:
+    """work with level, bx and by, which name each box's cell, and own: whether all boxes that it may overlap by the threshold lie there."""
+    cells, own = {}, F.lit(True)
+    for name, low, high in (("bx", F.col("x1"), F.col("x2")), ("by", F.col("y1"), F.col("y2"))):
+        # the middles of boxes that overlap by the threshold are no farther apart
+        reach = (high - low) * F.lit((1 - threshold) / (2 * threshold)) + F.lit(1.0)
+        cells[name] = _cell(low, high, level, turn)
+        own &= (_cell(low, high, level, turn, -reach) == cells[name]) & (_cell(low, high, level, turn, reach) == cells[name])
+    return work.withColumns({"level": F.lit(float(level)), **cells, "own": own})
 
 
 def settle(threshold: float):
-    """The stage of a round: blocks one after another, boxes from the strongest on. Own boxes that stay or wait are returned when their block ends."""
+    """The stage of a round: cells one after another, boxes from the strongest on. Records that stay or wait go on at once."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block, ended, rows = None, None, [], 0
-
-        def told() -> pa.RecordBatch:
-            places, boxes, kept, needed = (np.concatenate(parts) for parts in zip(*[e[1] for e in ended], strict=True))
-            images = pa.chunked_array([pa.repeat(pa.scalar(image, pa.string()), len(part[0])) for image, part in ended]).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array(places), images, *(pa.array(boxes[:, k]) for k in range(4)), pa.array(kept), pa.array(needed)], names=WORK_COLUMNS)
-
+        at, cell = None, None
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            column = {n: batch.column(n) for n in batch.schema.names}
+            column = {c: batch.column(c) for c in batch.schema.names}
             boxes = np.column_stack([column[s].to_numpy(zero_copy_only=False) for s in SIDES])
-            places, kept, own = (pc.fill_null(column[c], nothing).to_numpy(zero_copy_only=False) for c, nothing in (("place", -1), ("kept", False), ("own", False)))
-            new = np.zeros(batch.num_rows, bool)
-            for c in BLOCK:
-                new[1:] |= np.asarray(pc.not_equal(column[c].slice(1), column[c].slice(0, batch.num_rows - 1)))
-            starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            own = column["own"].to_numpy(zero_copy_only=False)
+            new = np.zeros(n, bool)
+            for c in CELL:
+                new[1:] |= pc.not_equal(column[c].slice(1), column[c].slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(new).tolist(), n]
+            stays, waits = np.zeros(n, bool), np.zeros(n, bool)
             for start, end in zip(starts[:-1], starts[1:], strict=True):
-                here = tuple(column[c][start].as_py() for c in BLOCK)
+                here = tuple(column[c][start].as_py() for c in CELL)
                 if here != at:
-                    if block is not None:
-                        ended.append((at[0], block.settled()))
-                        rows += len(ended[-1][1][0])
-                        if rows >= TOLD:
-                            yield told()
-                            ended, rows = [], 0
-                    # a block without boxes of its own settles nothing
-                    at, block = here, Block(threshold) if column["place"][start].as_py() is None else None
-                    start += block is not None
-                if block is None:
-                    continue
-                for n in range(start, end, CHUNK):
-                    some = slice(n, min(end, n + CHUNK))
-                    block.take(boxes[some], places[some], kept[some], own[some])
-        if block is not None:
-            ended.append((at[0], block.settled()))
-        if ended:
-            yield told()
+                    at, cell = here, Cell(threshold)
+                for first in range(start, end, CHUNK):
+                    some = slice(first, min(end, first + CHUNK))
+                    stays[some], waits[some] = cell.take(boxes[some], own[some])
+            left = stays | waits
+            yield pa.RecordBatch.from_arrays([column["r"].filter(pa.array(left)), pa.array(stays[left])], names=["r", "kept"])
 
     return step
 
 
-def suppress_in_rounds(boxes: DataFrame, threshold: float, *keys: str, tie: tuple[str, ...] = ()) -> DataFrame:
+def suppress_in_rounds(boxes: DataFrame, threshold: float, *keys: str, tie: tuple[str, ...] = (), full: int = FULL) -> DataFrame:
     """detections.suppress for boxes of whole numbers, however many an image has.
 
-    Boxes without an area overlap nothing and stay. Equal boxes are one before they
-    are dealt. A threshold above one keeps all; it must be above zero.
+    Boxes without an area overlap nothing and stay. A threshold above one keeps all; it must be above zero.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above zero")
     if threshold > 1:
         return boxes
-    box = {s: F.col("bbox").getField(s).cast("double").alias(s) for s in SIDES}
+    spark, rest = boxes.sparkSession, [c for c in boxes.columns if c not in keys]
     solid = F.coalesce((F.col("bbox.x2") > F.col("bbox.x1")) & (F.col("bbox.y2") > F.col("bbox.y1")), F.lit(False))
-    rest = [c for c in boxes.columns if c not in keys]
-    record = F.struct((-F.col("det_score")).alias("_s"), (-area(F.col("bbox"))).alias("_a"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)], *rest)
     image = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    # ids go up with the sorted partitions, and are fixed once they are written; a struct has no short sort key, its first fields do
-    order = [f"r.{c}" for c in ("_s", "_a")] + ["r"]
-    records = boxes.where(solid).select(image.alias("image"), *keys, *box.values(), record.alias("r"))
-    ranked = written(records.sort(*order).withColumn("place", F.monotonically_increasing_id()), "ranked-boxes")
-    different = ranked.groupBy("image", *SIDES).agg(F.min("place").alias("place"))
-    work, turn, rounds = different.select("place", "image", *SIDES, F.lit(False).alias("kept")), 0, []
-    while True:
-        spread = dealt(work, threshold, turn).withColumn("h", F.xxhash64(*BLOCK)).repartition("h").sortWithinPartitions("h", "bx", "by", "level", "image", "place").drop("h")
-        rounds.append(written(spread.mapInArrow(settle(threshold), WORK), "suppressed-boxes"))
-        if rounds[-1].where("NOT kept").isEmpty():
-            break
-        # a box that stays goes on only where a box of another block has yet to meet it
-        rounds[-1], work, turn = rounds[-1].where("kept AND NOT needed"), rounds[-1].where("NOT kept OR needed").drop("needed"), turn + 1
-    places = rounds[0].select("place")
-    for r in rounds[1:]:
-        places = places.unionByName(r.select("place"))
-    stay = ranked.join(places, "place").select(*keys, *[F.col("r").getField(c).alias(c) for c in rest])
-    return stay.unionByName(boxes.where(~solid)).select(*boxes.columns)
+    box = {s: F.col("bbox").getField(s).cast("double") for s in SIDES}
+    side = F.greatest(box["x2"] - box["x1"], box["y2"] - box["y1"])
+    ranks = {"_s": -F.col("det_score"), "_a": -area(F.col("bbox"))}
+    order = [*ranks, *[F.col("r").getField(c) for c in (*tie, *rest)]]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def cells(level: float, turn: int) -> list[Column]:
+        return [image, _cell(box["x1"], box["x2"], level, turn), _cell(box["y1"], box["y2"], level, turn)]
+
+    work, turn, rounds = boxes.where(solid), 0, []
+    # as powers of two, so few rows
+    sizes = sorted(work.groupBy(F.ceil(F.log2(side)).alias("size")).count().collect())
+    left = before = sum(n for _, n in sizes)
+    smaller = itertools.accumulate(n for _, n in sizes)
+    level = next((size for (size, _), n in zip(sizes, smaller, strict=True) if n >= SMALL * left), 0) + WIDE + math.ceil(math.log2(max(1.0, (1 - threshold) / (2 * threshold))))
+    while left:
+        if turn and left <= full:
+            level = math.inf
+        elif turn and turn % len(OFFSETS) == 0:
+            # the strongest box of all is settled in one of a turn's grids unless they are too narrow for it
+            fullest = work.groupBy(*cells(level + LEVELS, turn)).count().agg(F.max("count")).first()[0]
+            level, before = level + LEVELS if left == before or fullest <= full else level, left
+        # only rows as they came cross the shuffle
+        h = F.xxhash64(*cells(level, turn))
+        spread = work.repartition(-(-left // DEALT), h) if left > DEALT * partitions else work.repartition(h)
+        named = spread.select(h.alias("h"), image.alias("image"), *[b.alias(s) for s, b in box.items()], *[r.alias(c) for c, r in ranks.items()], F.struct(*boxes.columns).alias("r"))
+        ranked = dealt(named, threshold, turn, level).sortWithinPartitions("h", *CELL, *order).select(*CELL, *SIDES, "own", "r")
+        schema = StructType().add("r", ranked.schema["r"].dataType).add("kept", "boolean")
+        rounds.append(written(ranked.mapInArrow(settle(threshold), schema), "suppressed-boxes", codec="zstd"))
+        work, turn = rounds[-1].where("NOT kept").select("r.*"), turn + 1
+        left = work.count()
+    stay = boxes.where(~solid)
+    for r in rounds:
+        stay = stay.unionByName(r.where("kept").select("r.*"))
+    return stay
 
 
 def suppress_any(boxes: DataFrame, threshold: float, *keys: str, tie: tuple[str, ...] = (), folded: int = FOLDED) -> DataFrame:

@@ -27,18 +27,18 @@ def shared_path(spark: SparkSession) -> str:
     return "/" + named.removeprefix("file:").lstrip("/")
 
 
-def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, narrow: bool = False, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs nothing of it.
 
     The table goes when the driver ends. narrow: rows are short and cheap to make, so there
     are no more files than the cluster has cores; each costs its executor processes for the
-    file's rights where Hadoop's native library is missing.
+    file's rights where Hadoop's native library is missing. codec: another compression than the session's.
     """
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)

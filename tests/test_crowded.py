@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import crowded
 from lodestone.operators.crowded import dealt, suppress_any, suppress_in_rounds
 from tests.test_boxes import SCHEMA, greedy
 
@@ -70,3 +71,49 @@ def test_blocks_without_boxes_of_their_own_get_none(spark):
     blocks = spread.groupBy("level", "bx", "by").agg(F.count("place").alias("n"), F.max("own").alias("own")).collect()
     assert all(b["own"] for b in blocks if b["n"] > 20)
     assert max(b["n"] for b in blocks) < 500
+
+
+def test_a_box_is_dealt_to_one_cell(spark):
+    rng = random.Random(7)
+    rows = [(n, "1", float(x), float(y), float(x + rng.choice((3, 40, 500))), float(y + 30), False) for n in range(500) for x, y in [(rng.randrange(9000), rng.randrange(9000))]]
+    spread = dealt(spark.createDataFrame(rows, "place long, image string, x1 double, y1 double, x2 double, y2 double, kept boolean"), 0.35, 0)
+    assert sorted(r["place"] for r in spread.collect()) == list(range(500))
+
+
+def test_only_boxes_that_wait_are_written_again(spark, monkeypatch):
+    rng = random.Random(8)
+    sheet = [(i, (x, y, x + rng.randrange(40, 130), y + rng.randrange(40, 100)), rng.randrange(50)) for i in range(2400) for x, y in [(400 * (i // 4 % 25) + rng.randrange(200), 300 * (i // 100) + rng.randrange(150))]]
+    rows = []
+
+    def counted(df, *args, **options):
+        rows.append((table := written(df, *args, **options)).count())
+        return table
+
+    written = crowded.written
+    monkeypatch.setattr(crowded, "written", counted)
+    assert found(suppress_in_rounds(frame(spark, {1: sheet}), 0.35, "item_id", tie=("n",))) == {1: sorted(greedy(sheet, 0.35))}
+    assert sum(rows) < 1.3 * len(sheet)
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.6])
+def test_grids_alone_are_the_greedy_fold(spark, threshold):
+    rng = random.Random(9)
+    images = {
+        1: random_boxes(rng, 600, 500, [1, 2, 3, 5]),
+        2: random_boxes(rng, 500, 1500, [2, 3, 40, 300]),
+        3: [(n, (128 * (n % 3) - 2, 85 * (n % 5) - 2, 128 * (n % 3) + 2, 85 * (n % 5) + 2), n % 7) for n in range(300)],  # equal boxes, at borders
+        4: [(n, (2 * n, 0, 2 * n + 5, 5), 5000 - n) for n in range(400)],  # a chain
+    }
+    images[5] = [(n, tuple(c - 1000 for c in b), s) for n, b, s in images[1]]
+    got = found(suppress_in_rounds(frame(spark, images), threshold, "item_id", tie=("n",), full=0))
+    assert got == {i: sorted(greedy(boxes, threshold)) for i, boxes in images.items()}
+
+
+def test_columns_named_like_the_steps_own(spark):
+    rng = random.Random(10)
+    boxes = random_boxes(rng, 200, 100, [8, 9, 11])
+    df = frame(spark, {1: boxes}).select("*", *[F.lit(k).alias(c) for k, c in enumerate(("x1", "y2", "image", "own", "level", "bx", "h", "r", "kept", "_s"))])
+    kept = suppress_in_rounds(df, 0.35, "item_id", tie=("n",))
+    assert kept.columns == df.columns
+    assert found(kept) == {1: sorted(greedy(boxes, 0.35))}
+    assert {tuple(r)[4:] for r in kept.collect()} == {tuple(range(10))}
